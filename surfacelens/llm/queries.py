@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, wavelet
+from . import packing, substring, wavelet
 from .common import table
 
 
@@ -24,6 +24,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 13-word windows that an earlier document has."""
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"), window=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written to wavelet-matrix shards and read back."""
     rows = wavelet.token_ranges(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -32,6 +38,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}
