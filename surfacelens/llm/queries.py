@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, substring, wavelet
-from .common import table
+from . import mixing, packing, quality, substring, wavelet
+from .common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -30,6 +30,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' quality scores; labels of fold 1 of 3 are held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), "quality", fold("doc_id", 3) != 1)
+    scored = quality.score(docs, model).drop("text")
+    return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mixture whose sources are repeated at most twice."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), max_passes=2.0)
+    return mixed.select("doc_id", "source", "mix_pass", "mix_block", "mix_tokens", "mix_order")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids, written to wavelet-matrix shards and read back."""
     rows = wavelet.token_ranges(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -39,6 +53,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
+    "op9_mixing": op9_mixing,
     "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}
