@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, substring, wavelet
+from . import mixing, packing, quality, substring, toxicity, wavelet
 from .common import fold, table
 
 
@@ -18,6 +18,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' toxicity scores; labels of fold 2 of 4 are held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 4) != 2)
+    scored = toxicity.score(docs, lexicon).drop("text")
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
     pieces = packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -51,6 +59,7 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,

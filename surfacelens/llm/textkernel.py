@@ -51,12 +51,22 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+class SpanHasher:
+    """Fingerprints of many sets of byte spans of one buffer."""
+
+    def __init__(self, buf: np.ndarray) -> None:
+        up, self.down = _power(len(buf) + 1)
+        self.sums = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * up[: len(buf)], out=self.sums[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit fingerprints of the byte spans [start, end)."""
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+
+
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the byte spans [start, end) of ``buf``."""
-    up, down = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return SpanHasher(buf).hash(start, end)
 
 
 def as_bytes(text: str | bytes | None) -> bytes:
