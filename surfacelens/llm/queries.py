@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, substring, toxicity, wavelet
+from . import mixing, packing, permutation_index, quality, substring, toxicity, wavelet, webp
 from .common import fold, table
 
 
@@ -46,6 +46,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector whose id is divisible by 50."""
+    return permutation_index.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as lossless WebP images and read back."""
+    return webp.read_media(webp.store_media(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in a mixture whose sources are repeated at most twice."""
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"), max_passes=2.0)
@@ -63,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
+    "op5_nearest": op5_nearest,
+    "op7_media": op7_media,
     "op9_mixing": op9_mixing,
     "op8_token_output": op8_token_output,
 }
