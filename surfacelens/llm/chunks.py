@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import work_path
 from .textkernel import as_bytes
@@ -98,33 +99,52 @@ def chunk_rows(body: bytes) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     return rows, ids[order], [as_bytes(t) for t in rows["text"].to_pylist()]
 
 
-def answered(
-    chunks: DataFrame,
-    ask: Callable[[bytes], Iterator[tuple[int, bytes]]],
-    answer: Callable[[list[bytes]], list[bytes]],
-) -> DataFrame:
-    """(chunk, bucket, reply): what ``ask`` makes of each chunk's body goes to its buckets, and ``answer`` replies to each blob of a bucket."""
+#: The bucket of side rows: what a chunk is told beside its replies.
+SIDE = -1
+REPLY = "bucket long, chunk long, reply binary"
+
+
+def asked(chunks: DataFrame, ask: Callable[[bytes, dict[int, bytes]], Iterator[tuple[int, bytes]]], side: DataFrame | None = None) -> DataFrame:
+    """(bucket, chunk, blob): what ``ask`` makes of each chunk's body and of the replies it got before (``side``)."""
+    schema = "bucket long, chunk long, blob binary"
+
+    def rows(chunk: int, made: Iterator[tuple[int, bytes]]) -> pa.Table:
+        made = list(made)
+        return pa.table({"bucket": pa.array([m[0] for m in made], pa.int64()), "chunk": pa.array([chunk] * len(made), pa.int64()), "blob": pa.array([m[1] for m in made], pa.binary())})
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body"), strict=True):
-                for bucket, blob in ask(body.as_py()):
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int64()), "chunk": pa.array([chunk], pa.int64()), "blob": pa.array([blob], pa.binary())})
+                yield from rows(chunk, ask(body.as_py(), {})).to_batches()
+
+    def send_with(left: pa.Table, right: pa.Table) -> pa.Table:
+        got = dict(zip(right["bucket"].to_pylist(), right["reply"].to_pylist(), strict=True))
+        return pa.concat_tables([rows(0, ())] + [rows(chunk, ask(body.as_py(), got)) for chunk, body in zip(left["chunk"].to_pylist(), left["body"], strict=True)])
+
+    some = chunks.select("chunk", "body")
+    if side is None:
+        return some.mapInArrow(send, schema)
+    return some.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(send_with, schema)
+
+
+def answered(rows: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
+    """(bucket, chunk, reply): ``answer`` replies to each blob of a bucket."""
 
-    def reply(rows: pa.Table) -> pa.Table:
-        out = answer(rows["blob"].to_pylist())
-        return pa.table({"bucket": rows["bucket"], "chunk": rows["chunk"], "reply": pa.array(out, pa.binary())})
+    def reply(group: pa.Table) -> pa.Table:
+        out = answer(group["blob"].to_pylist())
+        return pa.table({"bucket": group["bucket"], "chunk": group["chunk"], "reply": pa.array(out, pa.binary())})
 
-    asked = chunks.select("chunk", "body").mapInArrow(send, "bucket long, chunk long, blob binary")
-    return asked.groupBy("bucket").applyInArrow(reply, "bucket long, chunk long, reply binary")
+    return rows.groupBy("bucket").applyInArrow(reply, REPLY)
 
 
 def with_replies(chunks: DataFrame, replies: DataFrame, read: Callable[[bytes, dict[int, bytes]], pa.Table], schema: T.StructType | str) -> DataFrame:
     """Rows that ``read`` makes of each chunk's body and its replies by bucket. Only the replies are shuffled."""
+    empty = to_arrow_schema(schema) if isinstance(schema, T.StructType) else None
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         got = dict(zip(right["bucket"].to_pylist(), right["reply"].to_pylist(), strict=True))
-        return pa.concat_tables([read(body.as_py(), got) for body in left["body"]])
+        made = [read(body.as_py(), got) for body in left["body"]]
+        return pa.concat_tables(made) if made else empty.empty_table()
 
     return chunks.select("chunk", "body").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, permutation_index, quality, substring, toxicity, wavelet, webp
+from . import mixing, ngram_join, packing, permutation_index, quality, substring, toxicity, wavelet, webp
 from .common import fold, table
 
 
@@ -68,6 +68,11 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of 0.85 on four-word shingles."""
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_nearest": op5_nearest,
     "op7_media": op7_media,
     "op9_mixing": op9_mixing,
+    "op10_ngram_join": op10_ngram_join,
     "op8_token_output": op8_token_output,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import answered, chunk_rows, chunked, total_bytes, unzip_array, with_replies, zip_array
+from .chunks import answered, asked, chunk_rows, chunked, total_bytes, unzip_array, with_replies, zip_array
 from .textkernel import U64, mix, window_hash, word_hashes
 
 #: Prefix lengths in words; the last is always the window.
@@ -139,7 +139,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYT
     trees = max(1, -(-total_bytes(chunks) // tree_bytes))
     heavy = _plan(chunks, trees, window)
 
-    def ask(body: bytes) -> Iterator[tuple[int, bytes]]:
+    def ask(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         _, ids, texts = chunk_rows(body)
         suffixes = _Suffixes(texts, window)
         order, first, cut, ranked, _ = _sent(suffixes, heavy, trees)
@@ -191,4 +191,4 @@ def remove_repeats(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYT
         rows = rows.set_column(rows.column_names.index("text"), "text", pa.array(out, pa.binary()).cast(pa.string()))
         return rows.append_column("n_words", pa.array(suffixes.n_words.astype(np.int64))).append_column("n_removed", pa.array(removed.astype(np.int64)))
 
-    return with_replies(chunks, answered(chunks, ask, answer), read, _schema(docs))
+    return with_replies(chunks, answered(asked(chunks, ask), answer), read, _schema(docs))
