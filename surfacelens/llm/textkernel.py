@@ -63,6 +63,11 @@ class SpanHasher:
         """64-bit fingerprints of the byte spans [start, end)."""
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
+    def hash_without(self, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Fingerprints of [start, end) without [a, b) inside it."""
+        value = (self.sums[a] - self.sums[start]) + (self.sums[end] - self.sums[b]) * self.down[b - a]
+        return mix(value * self.down[start] + (end - start - b + a).astype(np.uint64))
+
 
 def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit fingerprints of the byte spans [start, end) of ``buf``."""

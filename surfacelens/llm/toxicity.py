@@ -149,6 +149,13 @@ def plain(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", swapped) if not unicodedata.combining(c))
 
 
+def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which keys are among the sorted ``some``."""
+    if not len(some):
+        return np.zeros(len(keys), bool)
+    return some[np.minimum(np.searchsorted(some, keys), len(some) - 1)] == keys
+
+
 @dataclass
 class Lexicon:
     """Terms, stems and the weight (log odds) of each kind of match.
@@ -167,44 +174,52 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.trie, self.exact, self.stem_set = Trie(self.terms), {t: i for i, t in enumerate(self.terms)}, set(self.stems)
         self.cache: dict[bytes, list[tuple[str, int]]] = {}
-        self.parts: dict[tuple[bool, int, int, int], np.ndarray] = {}
-        parts: dict[tuple[bool, int, int, int], set[bytes]] = {}
-        for t in self.terms:
-            raw = t.encode()
-            if len(t) < FUZZY_LENGTH:
-                parts.setdefault((True, len(raw), len(t), 0), set()).add(raw)
-                continue
-            # Of most + 1 parts of a term, one is untouched by the edits; it begins at most as many letters away.
-            cuts = [len(t[: len(t) * k // (self.most + 1)].encode()) for k in range(self.most + 2)]
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                shift = 0 if k in (0, self.most) else 4 * self.most
-                parts.setdefault((k < self.most, b - a, len(t), shift and a + shift), set()).add(raw[a:b])
-        for s in self.stems:
-            parts.setdefault((True, len(s.encode()), 0, 0), set()).add(s.encode())
-        for at, some in parts.items():
-            joined = np.frombuffer(b"".join(some), np.uint8)
-            begin = np.arange(len(some)) * at[1]
-            self.parts[at] = np.sort(span_hash(joined, begin, begin + at[1]))
+        self.short = np.sort(self._keys([t for t in self.terms if len(t) < FUZZY_LENGTH]))
+        self.stem_keys = {n: np.sort(self._keys([s for s in self.stems if len(s.encode()) == n])) for n in {len(s.encode()) for s in self.stems}}
+        long = [t for t in self.terms if len(t) >= FUZZY_LENGTH]
+        self.lengths = (min(map(len, long), default=1) - self.most, max(map(len, long), default=0) + self.most)
+        # The spellings of each long term with up to ``most`` letters left out.
+        spelled, now = set(long), set(long)
+        for _ in range(self.most):
+            now = {t[:i] + t[i + 1 :] for t in now for i in range(len(t))}
+            spelled |= now
+        self.long = np.sort(self._keys(sorted(spelled)))
+
+    @staticmethod
+    def _keys(words: list[str]) -> np.ndarray:
+        raw = [w.encode() for w in words]
+        end = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        return span_hash(np.frombuffer(b"".join(raw), np.uint8), end - [len(r) for r in raw], end) if raw else np.zeros(0, np.uint64)
 
     def candidates(self, buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which tokens can match at all: a superset of those that do, found by half-terms."""
+        """Which tokens can match at all: a superset of those that do.
+
+        A token and a term within one edit share a spelling with a letter or none left out of
+        each. With more edits allowed, all tokens of fitting length are candidates.
+        """
         raw = np.frombuffer(buf, np.uint8)
         sums = SpanHasher(raw)
-        size, hit = end - start, np.zeros(len(start), bool)
-        letters = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-        n_letters = letters[end] - letters[start]
-        odd = np.zeros(len(raw) + 1, np.int64)
-        odd[1:] = np.cumsum(np.isin(raw, np.frombuffer(b"@$0123456789", np.uint8)))
-        hit |= (odd[end] > odd[start]) & (size >= 4) & (size <= 24) & (odd[end] - odd[start] < size)
-        for (front, n, whole, reach), keys in self.parts.items():
-            # A stem (whole = 0) fits any longer token, a term those of about as many letters.
-            fits = size >= n if not whole else (size >= n) & (abs(n_letters - whole) <= self.most)
-            for shift in range(reach + 1):
-                some = np.flatnonzero(~hit & fits & (size >= n + shift))
-                a = start[some] + shift if front else end[some] - n
-                got = sums.hash(a, a + n)
-                at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-                hit[some[keys[at] == got]] = True
+        size = end - start
+        odd = np.concatenate(([0], np.cumsum(np.isin(raw, np.frombuffer(b"@$0123456789", np.uint8)))))
+        odd = odd[end] - odd[start]
+        own = sums.hash(start, end)
+        hit = (odd > 0) & (2 * odd < size) & (size >= 4) & (size <= 24)
+        hit |= _within(own, self.short) | _within(own, self.long)
+        for n, keys in self.stem_keys.items():
+            some = np.flatnonzero(~hit & (size >= n))
+            hit[some[_within(sums.hash(start[some], start[some] + n), keys)]] = True
+        begins = np.flatnonzero((raw & 0xC0) != 0x80)  # letters' first bytes
+        first, last = np.searchsorted(begins, start), np.searchsorted(begins, end)
+        fits = ~hit & (last - first >= self.lengths[0]) & (last - first <= self.lengths[1]) & (len(self.long) > 0)
+        if self.most != 1:
+            return hit | (fits & (self.most > 0))
+        some = np.flatnonzero(fits)
+        n = (last - first)[some]
+        of = np.repeat(some, n)
+        letter = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[some], n)
+        upto = np.append(begins, len(raw))[letter + 1]
+        near = _within(sums.hash_without(start[of], end[of], begins[letter], upto), self.long)
+        hit[of[near]] = True
         return hit
 
     def match(self, token: bytes) -> list[tuple[str, int]]:
