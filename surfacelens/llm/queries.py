@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, permutation_index, quality, substring, toxicity, wavelet, webp
+from . import katz, mixing, ngram_join, packing, permutation_index, quality, substring, toxicity, wavelet, webp
 from .common import fold, table
 
 
@@ -51,6 +51,12 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' Katz scores; fold 1 of 5 is held out of the model."""
+    scored = katz.score(table(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as lossless WebP images and read back."""
     return webp.read_media(webp.store_media(table(spark, sf_dir, "documents", "doc_id", "text")))
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_nearest": op5_nearest,
+    "op6_lm_score": op6_lm_score,
     "op7_media": op7_media,
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
