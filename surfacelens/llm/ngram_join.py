@@ -34,11 +34,28 @@ from .textkernel import U64, mix, window_hash, word_hashes
 BUCKET_BYTES = 6 << 20
 #: Hash ranges of the suffix filter.
 RANGES = 8
+#: Finer ranges for candidates that a leader did not link; a power of two.
+SKETCH = 256
+#: For each document of a group whose documents are not all linked, so many others are compared by sketch, and so many of them verified, before all are.
+NEAR, NEAREST = 64, 3
 #: Members of one leader that are verified in one task.
 LEADER_MEMBERS = 512
 _NONE = np.iinfo(np.int64).max
 
 
+def by_text(of: np.ndarray, n: int) -> np.ndarray:
+    """A stable order by text number: in one or two passes of 16 bits."""
+    order = np.argsort((of & 0xFFFF).astype(np.uint16), kind="stable")
+    return order if n <= 1 << 16 else order[np.argsort((of[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def sketches(key: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many elements of each set lie in each of SKETCH hash ranges, up to 255."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    n = np.bincount(of * SKETCH + (key >> U64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=len(counts) * SKETCH)
+    return np.minimum(n, 255).astype(np.uint8).reshape(-1, SKETCH)
+
+
 def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints of the distinct shingles, by text and ascending; their counts). Short texts have one: all their words."""
     words, owner = word_hashes(texts, lower=True)
@@ -55,7 +72,8 @@ def shingles(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
             keys.append(window_hash(words, k)[first[some]])
             owners.append(some)
     key, of = np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((key, of))
+    order = np.argsort(key)
+    order = order[by_text(of[order], len(texts))]
     key, of = key[order], of[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
@@ -155,22 +173,34 @@ def _candidates(group: pa.Table, percent: int) -> pa.Table:
     )
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's documents in different components, without those of the leader, that pass the filters."""
+def _across(batches: Iterator[pa.RecordBatch], percent: int, some: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a group's documents in different components, without those of the leader, that pass the filters.
+
+    With ``some`` only the nearest few of each document, by sketch, among those next to it.
+    """
     for batch in batches:
-        for members, parts, facts in zip(batch.column("members"), batch.column("components"), batch.column("facts"), strict=True):
+        for members, facts, nodes in zip(batch.column("members"), batch.column("facts"), batch.column("nodes").to_pylist(), strict=True):
             doc = np.asarray(members.values)
-            at = dict(zip(parts.as_py()[0::2], parts.as_py()[1::2], strict=True))
-            component = np.array([at[d] for d in doc.tolist()])
+            at = {x["node"]: i for i, x in enumerate(nodes)}
+            place = np.array([at[d] for d in doc.tolist()])
+            component = np.array([x["component"] for x in nodes])[place]
+            sketch = np.frombuffer(b"".join(x["sketch"] for x in nodes), np.uint8).reshape(-1, SKETCH)[place].astype(np.int16)
             fact = np.frombuffer(facts.as_py(), "<u4").reshape(len(doc), -1)
             for i in range(1, len(doc) - 1):
-                j = i + 1 + np.flatnonzero(component[i + 1 :] != component[i])
+                j = i + 1 + np.flatnonzero(component[i + 1 : i + 1 + NEAR if some else None] != component[i])
+                j = j[doc[j] != doc[i]]
                 if not len(j):
                     continue
                 one = np.full(len(j), i)
-                fine = passes(fact[one, 0], fact[j, 0], fact[one, 1], fact[j, 1], fact[one, 2:], fact[j, 2:], percent) & (doc[j] != doc[i])
-                if fine.any():
-                    yield pa.RecordBatch.from_pydict({"a": np.full(int(fine.sum()), doc[i]), "b": doc[j[fine]]})
+                j = j[passes(fact[one, 0], fact[j, 0], fact[one, 1], fact[j, 1], fact[one, 2:], fact[j, 2:], percent)]
+                both = fact[i, 0].astype(np.int64) + fact[j, 0]
+                apart = np.abs(sketch[j] - sketch[i]).sum(1)
+                close = apart <= both - 2 * least_overlap(both, percent)
+                j, apart = j[close], apart[close]
+                if some:
+                    j = j[np.argsort(apart, kind="stable")[:NEAREST]]
+                if len(j):
+                    yield pa.RecordBatch.from_pydict({"a": np.full(len(j), doc[i]), "b": doc[j]})
 
 
 def _verified(pairs: DataFrame, chunks: DataFrame, places: DataFrame, n: int, percent: int) -> DataFrame:
@@ -237,10 +267,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85,
                 begin = np.cumsum(counts) - counts
                 sums = [np.concatenate(([0], np.cumsum(mix(key * U64(m)), dtype=np.uint64))) for m in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)]
                 signs = [(s[begin + counts] - s[begin]).view(np.int64) for s in sums]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=ids == _NONE), "chunk": np.full(len(ids), chunk), "row": np.arange(len(ids)), "n": counts.astype(np.int64), "s1": signs[0], "s2": signs[1]})
+                marks = pa.array([x.tobytes() for x in sketches(key, counts)], pa.binary())
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=ids == _NONE), "chunk": np.full(len(ids), chunk), "row": np.arange(len(ids)), "n": counts.astype(np.int64), "s1": signs[0], "s2": signs[1], "sketch": marks})
 
-    rows = stored(chunks.select("chunk", "body").mapInArrow(sign, "doc_id long, chunk long, row long, n long, s1 long, s2 long"), "signatures")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("r"))
+    rows = stored(chunks.select("chunk", "body").mapInArrow(sign, "doc_id long, chunk long, row long, n long, s1 long, s2 long, sketch binary"), "signatures")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "chunk", "row")).alias("r"), F.first("sketch").alias("sketch"))
     places = classes.select("r.doc_id", "r.chunk", "r.row")
     side = places.groupBy("chunk").agg(F.concat_ws(",", F.collect_list("row")).cast("binary").alias("reply")).select(F.lit(SIDE).cast("long").alias("bucket"), "chunk", "reply")
     side = stored(side, "representatives")
@@ -259,7 +290,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85,
         for at, a, b in _cuts(bucket):
             seen[a:b] = unzip_array(got[at], np.uint8)
         often = seen[place]
-        order = np.lexsort((sets.key, often, sets.of))
+        order = np.argsort(often, kind="stable")  # sets come in ascending order of their shingles
+        order = order[by_text(sets.of[order], len(sets.ids))]
         size = np.repeat(sets.counts, sets.counts)
         begin = np.repeat(np.cumsum(sets.counts) - sets.counts, sets.counts)
         rank = np.arange(len(order)) - begin
@@ -279,14 +311,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85,
     told = side.unionByName(counts.select("bucket", "chunk", "reply"))
     found = stored(asked(chunks, post, told).groupBy("bucket").applyInArrow(lambda g: _candidates(g, percent), "a long, b long, members array<long>, facts binary"), "candidates")
     first = stored(_verified(found.where("members is null"), chunks, places, shingle_words, percent), "links")
-    linked = connected_components(first)
-    groups = found.where("members is not null").select("members", "facts").withColumn("gid", F.xxhash64("members")).dropDuplicates(["members"])
-    spread = groups.select("gid", F.xxhash64("facts").alias("fid"), F.explode("members").alias("node")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = spread.groupBy("gid", "fid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.flatten(F.collect_list(F.array("node", "component"))).alias("components")).where("low != high")
-    open_ = groups.withColumn("fid", F.xxhash64("facts")).join(mixed.select("gid", "fid", "components"), ["gid", "fid"])
-    more = open_.select("members", "components", "facts").mapInArrow(lambda b: _across(b, percent), "a long, b long")
-    second = _verified(stored(more.distinct(), "more-candidates"), chunks, places, shingle_words, percent)
-    linked = connected_components(stored(first.union(second), "all-links"))
+    linked = stored(connected_components(first), "linked")
+    groups = found.where("members is not null").select("members", "facts").dropDuplicates(["members"]).withColumn("gid", F.xxhash64("members", "facts"))
+    groups = stored(groups, "groups")
+    marks = classes.select(F.col("r.doc_id").alias("node"), "sketch").dropDuplicates(["node"])
+    links = first
+    # A few near ones of each document first; then all that are still apart. The second round leaves no pair of different components unchecked.
+    for some in (True, False):
+        spread = groups.select("gid", F.explode("members").alias("node")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = spread.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gid")
+        nodes = spread.join(mixed, "gid", "left_semi").join(marks, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("nodes"))
+        pairs = groups.join(nodes, "gid").select("members", "facts", "nodes").mapInArrow(lambda b, some=some: _across(b, percent, some), "a long, b long")
+        links = stored(links.union(_verified(stored(pairs.distinct(), "more-candidates"), chunks, places, shingle_words, percent)), "links")
+        linked = stored(connected_components(links), "linked")
     own = rows.join(classes.select("s1", "s2", "n", F.col("r.doc_id").alias("least")), ["s1", "s2", "n"], "left")
     out = own.join(linked.withColumnRenamed("node", "least"), "least", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "least")).otherwise(F.col("doc_id"))
