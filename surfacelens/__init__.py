@@ -1,0 +1 @@
+"""Compares versions of a declared surface as DataFrame jobs."""

@@ -1,0 +1,163 @@
+"""Argument lists, extended attributes and build conditions."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+_OPEN, _CLOSE = "([{<", ")]}>"
+
+
+def split_top(text: str, mark: str = ",") -> list[str]:
+    """Parts of a text between marks outside brackets and quotes."""
+    parts, depth, quote, begin = [], 0, "", 0
+    for i, c in enumerate(text):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c in _OPEN:
+            depth += 1
+        elif c in _CLOSE:
+            depth -= 1
+        elif c == mark and depth <= 0:
+            parts.append(text[begin:i])
+            begin = i + 1
+    return [*parts, text[begin:]]
+
+
+def arity_range(signature: str) -> tuple[int, int | None]:
+    """(required arguments, most arguments or None) of a signature."""
+    begin = signature.find("(")
+    inner = signature[begin + 1 : signature.rfind(")")].strip() if begin >= 0 else ""
+    if not inner:
+        return 0, 0
+    parts = [p.strip() for p in split_top(inner)]
+    fixed = [p for p in parts if "..." not in p]
+    return sum(not p.startswith("optional ") for p in fixed), None if len(fixed) < len(parts) else len(parts)
+
+
+def arity_ranges(signatures: Column) -> Column:
+    """C6 of an array of signatures as structs (low, high), JVM-side: brackets up to six deep are emptied, then commas split."""
+
+    def one(signature: Column) -> Column:
+        inner = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1))
+        for _ in range(6):
+            inner = F.regexp_replace(inner, r"[(\[<][^()\[\]<>]*[)\]>]", "")
+        parts = F.transform(F.split(inner, ","), F.trim)
+        fixed = F.filter(parts, lambda p: ~p.contains("..."))
+        empty = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1)) == ""
+        low = F.when(empty, 0).otherwise(F.size(F.filter(fixed, lambda p: ~p.startswith("optional "))))
+        high = F.when(empty, 0).when(F.size(fixed) < F.size(parts), None).otherwise(F.size(parts))
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    return F.transform(signatures, one)
+
+
+def normalize_signature(text: str) -> str:
+    """White space around brackets and commas in one form; quoted text stays."""
+    out = []
+    for i, part in enumerate(re.split(r'("[^"]*"|\'[^\']*\')', text or "")):
+        if i % 2 == 0:
+            part = re.sub(r"\s+", " ", part)
+            part = re.sub(r"\s*([(\[<])\s*", r"\1", part)
+            part = re.sub(r"\s*([)\]>])", r"\1", part)
+            part = re.sub(r"\s*,\s*", ", ", part)
+        out.append(part)
+    return "".join(out).strip()
+
+
+def normalize_params(text: str) -> str:
+    """Parameters split at the top level, collapsed and joined by ', '."""
+    return ", ".join(p for p in (re.sub(r"\s+", " ", x).strip() for x in split_top(text or "")) if p)
+
+
+def parse_ext_attrs(text: str) -> dict[str, str]:
+    """X7: 'A=b, C' as a map; a bare name's value is 'true'."""
+    out = {}
+    for part in split_top(text or ""):
+        name, _, value = part.partition("=")
+        if name.strip():
+            out[name.strip()] = value.strip() or "true"
+    return out
+
+
+#: Macros that are known for our platform. Fixed values.
+KNOWN = {"BUILDFLAG(IS_WIN)": True, "BUILDFLAG(IS_ANDROID)": False, "BUILDFLAG(IS_APPLE)": False, "BUILDFLAG(IS_CHROMEOS)": False, "BUILDFLAG(IS_FUCHSIA)": False, "BUILDFLAG(IS_IOS)": False, "BUILDFLAG(IS_LINUX)": False, "BUILDFLAG(IS_MAC)": False, "BUILDFLAG(IS_POSIX)": False}
+
+
+def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
+    """A build condition for our platform: true, false, or None where it can't be known.
+
+    Dialects: 'cpp' (&& || ! and macros), 'template' (and, or, not, is_win), 'attribute'
+    (EnableIf=a|b, EnableIfNot=a).
+    """
+    if dialect == "template":
+        text = re.sub(r"\bnot\b", "!", re.sub(r"\bor\b", "||", re.sub(r"\band\b", "&&", text)))
+        text = re.sub(r"\bis_(\w+)\b", lambda m: f"BUILDFLAG(IS_{m[1].upper()})", text)
+    elif dialect == "attribute":
+        name, _, value = text.partition("=")
+        names = " || ".join(f"BUILDFLAG({v.strip().upper()})" for v in value.split("|"))
+        text = f"!({names})" if name.strip() == "EnableIfNot" else f"({names})"
+    tokens = re.findall(r"&&|\|\||!|\w+\s*\(\s*\w+\s*\)|[()]|\w+", text)
+    at = 0
+
+    def take() -> str:
+        nonlocal at
+        at += 1
+        return tokens[at - 1] if at <= len(tokens) else ""
+
+    def either() -> bool | None:
+        value = both()
+        while at < len(tokens) and tokens[at] == "||":
+            take()
+            other = both()
+            value = True if value is True or other is True else False if value is False and other is False else None
+        return value
+
+    def both() -> bool | None:
+        value = one()
+        while at < len(tokens) and tokens[at] == "&&":
+            take()
+            other = one()
+            value = False if value is False or other is False else True if value is True and other is True else None
+        return value
+
+    def one() -> bool | None:
+        token = take()
+        if token == "!":
+            value = one()
+            return None if value is None else not value
+        if token == "(":
+            value = either()
+            take()
+            return value
+        return {"1": True, "0": False, "true": True, "false": False}.get(token, KNOWN.get(re.sub(r"\s+", "", token)))
+
+    return either() if tokens else None
+
+
+@pandas_udf("boolean")
+def _guard(text: pd.Series, dialect: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else evaluate_guard(t, d or "cpp") for t, d in zip(text, dialect, strict=True)], dtype=object)
+
+
+def resolve_guards(rows: DataFrame, text: str = "condition", dialect: str = "dialect") -> DataFrame:
+    """Adds ``holds`` to rows with conditions: each distinct one is evaluated once and joined back."""
+    some = rows.select(text, dialect).distinct().withColumn("holds", _guard(text, dialect))
+    return rows.join(some, [text, dialect], "left")
+
+
+def text_function(function, kind: str = "string"):  # noqa: ANN001, ANN201
+    """A one-column pandas UDF of a text function."""
+
+    @pandas_udf(kind)
+    def run(batch: pd.Series) -> pd.Series:
+        known = {t: function(t) for t in batch.dropna().unique()}
+        return batch.map(known)
+
+    return run
