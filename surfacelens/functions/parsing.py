@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 _OPEN, _CLOSE = "([{<", ")]}>"
@@ -48,7 +49,7 @@ def arity_ranges(signatures: Column) -> Column:
         inner = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1))
         for _ in range(6):
             inner = F.regexp_replace(inner, r"[(\[<][^()\[\]<>]*[)\]>]", "")
-        parts = F.transform(F.split(inner, ","), F.trim)
+        parts = F.transform(F.split(inner, ","), lambda p: F.trim(p))
         fixed = F.filter(parts, lambda p: ~p.contains("..."))
         empty = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1)) == ""
         low = F.when(empty, 0).otherwise(F.size(F.filter(fixed, lambda p: ~p.startswith("optional "))))
@@ -141,7 +142,7 @@ def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
     return either() if tokens else None
 
 
-@pandas_udf("boolean")
+@pandas_udf(T.BooleanType())
 def _guard(text: pd.Series, dialect: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else evaluate_guard(t, d or "cpp") for t, d in zip(text, dialect, strict=True)], dtype=object)
 

@@ -90,7 +90,7 @@ def link_findings(findings: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("pair_id", "t").orderBy(F.desc("score"), "kind", "key"))
     routes = routes.withColumn("n", first).where("n = 1").select("pair_id", "t", F.concat_ws(":", "kind", "key").alias("b"))
     at = lambda *kinds: of(*kinds).withColumn("node", node)
-    named = F.array_distinct(F.filter(F.transform(F.concat(_both("label"), _both("element_id")), norm_identifier), lambda x: x != ""))
+    named = F.array_distinct(F.filter(F.transform(F.concat(_both("label"), _both("element_id")), lambda x: norm_identifier(x)), lambda x: x != ""))
     out = edge(at("webui_route"), gates, _lists("guards"))
     for part in (
         edge(at("webui_gate"), features, _lists("features")),

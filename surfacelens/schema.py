@@ -1,12 +1,8 @@
-"""Schemas of the data model."""
+"""Schemas of the data model, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-FACT = T._parse_datatype_string("snapshot_id string, kind string, key string, name string, path string, line int, attrs map<string,string>")
-SNAPSHOT = T._parse_datatype_string("snapshot_id string, ref string, milestone int, created timestamp, target_set string, partitions array<string>, complete boolean, missing_targets array<string>, parse_errors int, schema int")
-CHANGE = T._parse_datatype_string(
-    "pair_id string, change_type string, kind string, key string, name string, before map<string,string>, after map<string,string>, deltas array<struct<attr:string,old:string,new:string>>, paths array<string>, locations array<string>, signals array<string>, severity int"
-)
+#: Snapshots of another version are rebuilt, not read.
 SCHEMA_VERSION = 40
+FACT = "snapshot_id string, kind string, key string, name string, path string, line int, attrs map<string,string>"
+SNAPSHOT = "snapshot_id string, ref string, milestone int, created timestamp, target_set string, partitions array<string>, complete boolean, missing_targets array<string>, parse_errors int, schema int"
