@@ -20,7 +20,7 @@ from .textkernel import slabs, span_hash
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 #: Pieces kept between batches; the cache starts anew beyond it.
-CACHE = 400_000
+CACHE = 120_000
 #: Texts that go to the library in one call: its result objects take about 150 bytes a token.
 WHOLE = 64
 
@@ -134,7 +134,7 @@ class Encoder:
             (plain if simple else odd).append(i)
         for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
-        for first, part in slabs([texts[i] for i in plain], 6 << 20):
+        for first, part in slabs([texts[i] for i in plain]):
             raw = b"".join(part)
             buf = np.frombuffer(raw, np.uint8)
             begin = np.concatenate(([0], np.cumsum([len(t) for t in part])))

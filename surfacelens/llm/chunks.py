@@ -27,7 +27,7 @@ from .common import work_path
 from .textkernel import as_bytes
 
 #: Bytes of text in a chunk, about; a longer text is a chunk of its own.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def zip_array(x: np.ndarray) -> bytes:

@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import shared_dir, stored, work_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(sc, "_surfacelens_dir", None) or tempfile.mkdtemp(prefix="spark-surfacelens-")
-        sc._surfacelens_dir = base
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, as a URI."""
-    base = shared_dir(spark)
-    base = base if "://" in base or base.startswith("file:") else f"file://{base}"
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fold", "shared_dir", "stored", "table", "work_path"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,9 +19,3 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def fold(key: str, n: int) -> Column:
     """crc32 of the key's text, modulo n."""
     return (F.crc32(F.col(key).cast("string").cast("binary")) % n).cast("int")
-
-
-def splits(df: DataFrame, task_bytes: int) -> int:
-    """Partitions for about ``task_bytes`` of the optimizer's size estimate each, at least the session's shuffle partitions' floor of one."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(-(-size // task_bytes), 1_000_000))

@@ -1,36 +1,7 @@
-"""Connected components of large undirected graphs as DataFrame jobs."""
+"""Connected components: the library's own operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from ..operators.graph import connected_components
 
-from .common import stored
-
-
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: integers); a component's id is its smallest node.
-
-    Large-star and small-star steps in turn: each links a node's neighbours to the least of
-    them. Every round is written and read back, so that lineage stays short. Loops and repeated
-    edges do no harm; null ends are left out.
-    """
-    now = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    now = stored(now, "edges")
-    before = None
-    for _ in range(most_rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        now = stored(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
-    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+__all__ = ["connected_components"]

@@ -26,7 +26,7 @@ from .textkernel import U64, as_bytes, find_words, mix, slabs, span_hash, window
 #: Hashed features, a power of two: the model is one number each.
 FEATURES = 1 << 18
 #: Labelled rows that a fit takes at most.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 
 _KIND = np.full(256, 3, np.uint8)  # other signs
 _KIND[ord("a") : ord("z") + 1] = 0

@@ -71,15 +71,15 @@ class WaveletMatrix:
         byte, block = at >> 3, at // BLOCK
         columns = np.arange(step)
         where = block[:, None] * step + columns
-        inside = np.where((where < byte[:, None]) & (where < len(plane)), _ONES[plane[np.minimum(where, len(plane) - 1)]] if len(plane) else 0, 0).sum(1)
+        inside = np.where((where < byte[:, None]) & (where < len(plane)), _ONES[plane[np.minimum(where, len(plane) - 1)]] if len(plane) else 0, 0).sum(1, dtype=np.int64)
         part = np.where(byte < len(plane), _ONES[plane[np.minimum(byte, len(plane) - 1)] & ((1 << (at & 7)) - 1).astype(np.uint8)] if len(plane) else 0, 0)
-        return self.directory[level][block].astype(np.int64) + inside + part
+        return self.directory[level][block].astype(np.int64) + inside + part.astype(np.int64)
 
     def access(self, at: np.ndarray) -> np.ndarray:
         """The ids at the given positions."""
         at, out = np.asarray(at, np.int64), np.zeros(len(at), np.int64)
         for level, plane in enumerate(self.planes):
-            bit = (plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+            bit = ((plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64)
             ones = self._rank1(level, at)
             at = np.where(bit, self.zeros[level] + ones, at - ones)
             out = out * 2 + bit
