@@ -190,8 +190,9 @@ class _Requests:
         of = np.repeat(need, n)
         salt = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         target = _bucket(hashes[of], salt, buckets)
-        order = np.argsort(target, kind="stable")
-        self.need, self.need_bucket = of[order], target[order]
+        # Two parts of a history may share a partition, which answers for both at once.
+        both = np.unique(target * len(hashes) + of)
+        self.need, self.need_bucket = both % len(hashes), both // len(hashes)
         self.hashes = hashes
 
     def blobs(self, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
