@@ -11,9 +11,17 @@ words combines its words' fingerprints position by position.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+
+# Workers are reused: arrays of a megabyte or more go back to the system when they are freed.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+pa.set_memory_pool(pa.system_memory_pool())
 
 U64 = np.uint64
 _RNG = np.random.default_rng(20240229)

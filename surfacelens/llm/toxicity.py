@@ -12,6 +12,7 @@ as independent evidence.
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored
-from .quality import labelled_sample
+from .quality import fit_curve, labelled_sample
 from .textkernel import SpanHasher, as_bytes, slabs, span_hash
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms in the lexicon, at most.
 SAMPLE_ROWS, MAX_TERMS = 20_000, 4_000
 #: How many times likelier in toxic documents than elsewhere a term must be, and its least log-likelihood ratio (G).
 MIN_LIFT, MIN_G = 8.0, 20.0
+#: The share of toxic documents in whose number of contexts a term must stand at least.
+MIN_SHARE = 0.005
 #: Lengths of learned stems; words a stem must have; letters a term needs to be matched with an edit.
 STEM_LENGTHS, STEM_WORDS, FUZZY_LENGTH = (4, 5, 6, 7, 8), 3, 5
 #: Words to each side that make a match's context.
@@ -170,6 +173,8 @@ class Lexicon:
     weight: dict[tuple[str, int, int], float] = field(default_factory=dict)
     default: dict[tuple[int, int], float] = field(default_factory=dict)
     base: float = -4.0
+    slope: float = 1.0
+    shift: float = 0.0
 
     def __post_init__(self) -> None:
         self.trie, self.exact, self.stem_set = Trie(self.terms), {t: i for i, t in enumerate(self.terms)}, set(self.stems)
@@ -248,6 +253,12 @@ class Lexicon:
 
 def find_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[int, str, int, int]]:
     """(text, term, distance, quoted) of every match in the texts."""
+    for match, _ in placed_matches(texts, lexicon):
+        yield match
+
+
+def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple[int, str, int, int], bytes]]:
+    """The matches, each with the tokens beside it."""
     reporting = {w.encode() for w in REPORTING}
     for first, _, buf, start, end, owner in tokens(texts):
         if not len(start):
@@ -273,8 +284,9 @@ def find_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[int, st
             marks = sum(before.count(q) for q in QUOTES), sum(after.count(q) for q in QUOTES)
             words = {buf[start[j] : end[j]] for j in range(a, b + 1) if j != k}
             quoted = int(2 * (min(marks) > 0) + (len(words & reporting) > 0) >= 2)
+            beside = b" ".join(buf[start[j] : end[j]] for j in (k - 1, k + 1) if a <= j <= b)
             for term, distance in by_code[int(code[k])]:
-                yield first + int(owner[k]), term, distance, quoted
+                yield (first + int(owner[k]), term, distance, quoted), beside
 
 
 def plainest(kinds: set[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
@@ -296,7 +308,29 @@ def score_texts(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
         for rank, p in enumerate(share[1:], 2):
             clear *= 1 - p / rank if p > 0.5 else 1.0
         out[text] = max(out[text], 1 - clear)
-    return out
+    out = np.clip(out, 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-np.clip(lexicon.slope * np.log(out / (1 - out)) + lexicon.shift, -30, 30)))
+
+
+def _in_many_contexts(sample: DataFrame, terms: list[str], stems: list[str], n_bad: int, n_good: int) -> tuple[list[str], list[str]]:
+    """The terms and stems that stand in enough different contexts in toxic documents.
+
+    A word of a toxic document that was copied often comes with the same neighbours each time;
+    so contexts are counted here, where documents were counted before.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast(Lexicon(terms, stems, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = batch.column("y").to_pylist()
+            texts = [as_bytes(t) if bad else b"" for t, bad in zip(batch.column("text").to_pylist(), y, strict=True)]
+            rows = sorted({(m[1], zlib.crc32(beside)) for m, beside in placed_matches(texts, shared.value) if m[2] == 0})
+            yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows], pa.string()), "beside": pa.array([r[1] for r in rows], pa.int64())})
+
+    found = sample.mapInArrow(run, "term string, beside long").groupBy("term").agg(F.countDistinct("beside").alias("n")).collect()
+    least = max(n_bad * MIN_SHARE, MIN_G / (-2 * np.log(n_bad / (n_bad + n_good)))) if n_bad and n_good else 0.0
+    wide = {r["term"] for r in found if r["n"] >= least}
+    return [t for t in terms if t in wide], [s for s in stems if s + "*" in wide]
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample_rows: int = SAMPLE_ROWS, most: int = 1) -> Lexicon:
@@ -339,6 +373,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     for k in STEM_LENGTHS[1:]:
         covered = covered | F.substring("word", 1, k).isin(stems)
     terms = [r[0] for r in terms.where(~covered).orderBy(F.desc("g"), "word").limit(MAX_TERMS).select("word").collect()]
+    terms, stems = _in_many_contexts(sample, terms, stems, n_bad, n_good)
     lexicon = Lexicon(terms, stems, most)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -366,6 +401,11 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
                 if (r["distance"], r["quoted"]) == (distance, quoted):
                     share = (r["p"] + 2 * mean) / (r["n"] + 2)
                     lexicon.weight[(r["term"], distance, quoted)] = logit(min(max(share, 1e-3), 1 - 1e-3))
+    if n[0] and n[1]:
+        # Scores of the sample, two numbers a row, set the curve from evidence to probability.
+        known = score(sample.select("doc_id", "text", "y"), lexicon).select("doc_id", "score", "y").toArrow().sort_by("doc_id")
+        evidence = np.clip(np.asarray(known["score"]), 1e-6, 1 - 1e-6)
+        lexicon.slope, lexicon.shift = fit_curve(np.log(evidence / (1 - evidence)), np.asarray(known["y"]))
     return lexicon
 
 
