@@ -289,12 +289,6 @@ def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple
                 yield (first + int(owner[k]), term, distance, quoted), beside
 
 
-def plainest(kinds: set[tuple[str, int, int]]) -> set[tuple[str, int, int]]:
-    """The matches of a text that count: exact ones, if it has any, else those with edits."""
-    exact = {k for k in kinds if k[1] == 0}
-    return exact or kinds
-
-
 def score_texts(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     """Scores in [0, 1]: that of the strongest match, raised by further ones that are likelier toxic than not."""
     found: dict[int, set[tuple[str, int, int]]] = {}
@@ -302,7 +296,7 @@ def score_texts(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
         found.setdefault(text, set()).add((term, distance, quoted))
     out = np.full(len(texts), 1 / (1 + np.exp(-lexicon.base)))
     for text, kinds in found.items():
-        odds = [lexicon.weight.get(k, lexicon.default.get(k[1:], lexicon.base)) for k in plainest(kinds)]
+        odds = [lexicon.weight.get(k, lexicon.default.get(k[1:], lexicon.base)) for k in kinds]
         share = sorted((float(1 / (1 + np.exp(-w))) for w in odds), reverse=True)
         clear = 1.0 - share[0]
         for rank, p in enumerate(share[1:], 2):
@@ -383,7 +377,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
             by_text: dict[int, set[tuple[str, int, int]]] = {}
             for t, *k in find_matches([as_bytes(t) for t in batch.column("text").to_pylist()], shared.value):
                 by_text.setdefault(t, set()).add(tuple(k))
-            rows = sorted((t, *k) for t, some in by_text.items() for k in plainest(some))
+            rows = sorted((t, *k) for t, some in by_text.items() for k in some)
             yield pa.RecordBatch.from_pydict({"term": pa.array([r[1] for r in rows], pa.string()), "distance": pa.array([r[2] for r in rows], pa.int32()), "quoted": pa.array([r[3] for r in rows], pa.int32()), "y": pa.array([y[r[0]] for r in rows], pa.int32())})
 
     seen = sample.mapInArrow(kinds, "term string, distance int, quoted int, y int").groupBy("term", "distance", "quoted").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()

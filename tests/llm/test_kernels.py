@@ -100,6 +100,12 @@ def test_matches_and_quotes():
     assert s[0] > 0.9 and s[1] < 0.1 and s[4] == s[5] < 0.05 and ((0 <= s) & (s <= 1)).all()
 
 
+def test_a_quotation_does_not_hide_an_edited_match():
+    lex = toxicity.Lexicon(["idiot", "moron"], [], 1, {("idiot", 0, 1): -3.0, ("moron", 1, 0): 4.0})
+    s = toxicity.score_texts([b'she said "idiot" there, long before that morron came in again', b'she said "idiot" there'], lex)
+    assert s[0] > 0.9 and s[1] < 0.1
+
+
 def test_classifier_learns():
     rng = np.random.default_rng(5)
     texts = [(" ".join(rng.choice(["aa", "bb", "cc", "dd"], 30)) + (" junk|" * int(y))).encode() for y in range(2) for _ in range(40)]
