@@ -4,13 +4,15 @@ Terms are learned from labelled documents: words, and word beginnings (stems), t
 documents have far more often than clean ones. The terms lie in a trie. A token matches the terms
 that a Levenshtein automaton of the token accepts while it walks the trie; stems match tokens
 that begin with them. Each match is weighed by how often such matches (of that term, at that
-distance, quoted or not) come in toxic documents, and by a score of the words around it:
-reporting words and quotation marks make it a quotation. A document's score joins its matches'
-as independent evidence.
+distance, quoted or not) come in toxic documents. A score of the words around it tells whether
+it is quoted: the quotation marks opened before and closed after it and the reporting words near
+it count, each the less the further away, by weights learned from the labels. A document's score
+joins its matches' as independent evidence.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -18,6 +20,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,12 +37,17 @@ MIN_LIFT, MIN_G = 8.0, 20.0
 MIN_SHARE = 0.005
 #: Lengths of learned stems; words a stem must have; letters a term needs to be matched with an edit.
 STEM_LENGTHS, STEM_WORDS, FUZZY_LENGTH = (4, 5, 6, 7, 8), 3, 5
-#: Words to each side that make a match's context.
-CONTEXT = 6
-#: Signs of quotation. Fixed values.
-QUOTES = "\"“”„«»‹›‘’"
+#: Words to each side in which reporting words are looked for; words at which a mark counts half; more count as so many.
+CONTEXT, FAR = 6, 31
+#: The marks that open a quotation, each with those that close it. Fixed values.
+QUOTES = {k.encode(): tuple(c.encode() for c in v) for k, v in {'"': '"', "“": "”", "„": "“”", "”": "”", "«": "»", "»": "«", "‹": "›", "›": "‹", "‘": "’"}.items()}
+#: Log odds that near marks and a reporting word beside add, before labels are seen, and those at which a match is quoted.
+WINDOW, QUOTED = (-6.0, -4.0), -2.0
 REPORTING = ("said", "says", "say", "called", "calls", "calling", "quote", "quoted", "wrote", "word", "term", "phrase", "dijo", "llamó", "palabra", "sagte", "nannte", "wort", "dit", "appelé", "mot")
 
+# Marks, and blank lines; an apostrophe (a mark between two letters) is neither.
+_MARK = re.compile(rb"(?<=[0-9A-Za-z\x80-\xbf])(?<!\xe2\x80[\x80-\xbf])(?<!\xc2[\xab\xbb])\xe2\x80[\x98\x99](?=[0-9A-Za-z\xc3-\xe1\xe3-\xf4])|(\"|\xe2\x80[\x98\x99\x9c-\x9e\xb9\xba]|\xc2[\xab\xbb]|\n[ \t\r]*\n)")
+_SENTENCE = re.compile(rb"[.!?]|\n[ \t\r]*\n")
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), ord("@"), ord("$"), *range(0x80, 256)]] = True
 _LOW = np.arange(256, dtype=np.uint8)
@@ -172,6 +180,7 @@ class Lexicon:
     most: int = 1
     weight: dict[tuple[str, int, int], float] = field(default_factory=dict)
     default: dict[tuple[int, int], float] = field(default_factory=dict)
+    window: tuple[float, float] = WINDOW
     base: float = -4.0
     slope: float = 1.0
     shift: float = 0.0
@@ -227,6 +236,11 @@ class Lexicon:
         hit[of[near]] = True
         return hit
 
+    def quoted(self, marks: int, report: int) -> int:
+        """Whether a match is quoted by its window: see placed_matches()."""
+        near = nearness(marks, report)
+        return int(self.window[0] * near[0] + self.window[1] * near[1] <= QUOTED)
+
     def match(self, token: bytes) -> list[tuple[str, int]]:
         """(term or stem*, distance) of a token, the nearest first; several for ties."""
         got = self.cache.get(token)
@@ -251,16 +265,48 @@ class Lexicon:
         return sorted(x for x in near if x[1] == least)[:3]
 
 
+def nearness(marks: int, report: int) -> tuple[float, float]:
+    """How near a match's quotation marks and its reporting word are: 1 beside it, 0 if there are none."""
+    return CONTEXT / (CONTEXT + marks) if marks >= 0 else 0.0, CONTEXT / (CONTEXT + report - 1) if report else 0.0
+
+
+def quotations(text: bytes) -> list[tuple[int, int]]:
+    """(opening, closing mark) of every quotation. One that isn't closed in its paragraph is none."""
+    found, opened = [], []
+    for m in _MARK.finditer(text):
+        mark, i, j = m.group(1), m.start(), m.end()
+        if mark is None:
+            continue
+        if mark not in QUOTES and mark[:1] == b"\n":
+            opened = []
+            continue
+        begins = (i == 0 or text[i - 1 : i] in b" \t\n\r([{") and j < len(text) and text[j : j + 1] not in b" \t\n\r"
+        ends = i > 0 and text[i - 1 : i] not in b" \t\n\r" and (j == len(text) or text[j : j + 1] in b" \t\n\r.,;:!?)]}")
+        of = next((k for k in range(len(opened) - 1, -1, -1) if mark in QUOTES[opened[k][0]]), -1)
+        if of >= 0 and not (mark == opened[of][0] and begins):
+            found.append((opened[of][1], i))
+            del opened[of:]
+        elif mark in QUOTES and not ends:
+            opened = [o for o in opened if o[0] != mark or mark != b'"']  # the one before was never closed
+            opened.append((mark, i))
+    return found
+
+
 def find_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[int, str, int, int]]:
     """(text, term, distance, quoted) of every match in the texts."""
-    for match, _ in placed_matches(texts, lexicon):
-        yield match
+    for (text, term, distance, marks, report), _ in placed_matches(texts, lexicon):
+        yield text, term, distance, lexicon.quoted(marks, report)
+
 
+def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple[int, str, int, int, int], bytes]]:
+    """(text, term, distance, marks, report) of every match, each with the tokens beside it.
 
-def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple[int, str, int, int], bytes]]:
-    """The matches, each with the tokens beside it."""
+    ``marks`` is the number of words from the match to the further mark of the quotation it
+    stands in, the nearest if there are several (-1: in none); ``report`` is its distance in
+    words to the nearest reporting word of the same sentence (0: none within the context).
+    """
     reporting = {w.encode() for w in REPORTING}
-    for first, _, buf, start, end, owner in tokens(texts):
+    for first, n, buf, start, end, owner in tokens(texts):
         if not len(start):
             continue
         some, code = distinct(buf, start, end)
@@ -272,21 +318,42 @@ def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple
                 by_code[c] = got
         if not by_code:
             continue
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts[first : first + n]])
+        seen, pairs = -1, np.zeros((0, 2), np.int64)
         for k in np.flatnonzero(np.isin(code, np.fromiter(by_code, np.int64))).tolist():
-            a = k
-            while a > 0 and k - a < CONTEXT and owner[a - 1] == owner[k]:
-                a -= 1
-            b = k
-            while b + 1 < len(start) and b - k < CONTEXT and owner[b + 1] == owner[k]:
-                b += 1
-            before = buf[start[a] : start[k]].decode("utf-8", "replace")
-            after = buf[end[k] : end[b]].decode("utf-8", "replace")
-            marks = sum(before.count(q) for q in QUOTES), sum(after.count(q) for q in QUOTES)
-            words = {buf[start[j] : end[j]] for j in range(a, b + 1) if j != k}
-            quoted = int(2 * (min(marks) > 0) + (len(words & reporting) > 0) >= 2)
-            beside = b" ".join(buf[start[j] : end[j]] for j in (k - 1, k + 1) if a <= j <= b)
+            if seen != owner[k]:
+                seen = int(owner[k])
+                at = quotations(buf[begin[seen] : begin[seen + 1] - 1])
+                # As tokens: the first one inside and the one after the last.
+                pairs = np.searchsorted(start, np.array(at, np.int64).reshape(-1, 2) + begin[seen])
+            around = pairs[(pairs[:, 0] <= k) & (k < pairs[:, 1])]
+            marks = min(FAR, int(np.maximum(k - around[:, 0], around[:, 1] - k - 1).min())) if len(around) else -1
+            report = 0
+            for j in sorted(range(max(0, k - CONTEXT), min(len(start), k + CONTEXT + 1)), key=lambda j: abs(j - k)):
+                if j != k and owner[j] == seen and buf[start[j] : end[j]] in reporting and not _SENTENCE.search(buf, end[min(j, k)], start[max(j, k)]):
+                    report = abs(j - k)
+                    break
+            beside = b" ".join(buf[start[j] : end[j]] for j in (k - 1, k + 1) if 0 <= j < len(start) and owner[j] == seen)
             for term, distance in by_code[int(code[k])]:
-                yield (first + int(owner[k]), term, distance, quoted), beside
+                yield (first + seen, term, distance, marks, report), beside
+
+
+def fit_window(counts: list[tuple[int, int, int, int]], steps: int = 50) -> tuple[float, float]:
+    """Weights of nearness() from (marks, report, matches in toxic texts, matches): logistic, drawn to WINDOW."""
+    x = np.array([(1.0, *nearness(m, r)) for m, r, _, _ in counts]).reshape(-1, 3)
+    p, n = (np.array([c[i] for c in counts], float) for i in (2, 3))
+    prior, pull = np.array([2.0, *WINDOW]), np.diag([0.01, 1.0, 1.0])
+    loss = lambda w: float((n * np.logaddexp(0, x @ w) - p * (x @ w)).sum() + (w - prior) @ pull @ (w - prior) / 2)
+    w = prior.copy()
+    for _ in range(steps):
+        share = 1 / (1 + np.exp(-(x @ w)))
+        slope = x.T @ (n * share - p) + pull @ (w - prior)
+        step = np.linalg.solve((x.T * (n * share * (1 - share))) @ x + pull, slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    return float(w[1]), float(w[2])
 
 
 def score_texts(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
@@ -371,16 +438,20 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     lexicon = Lexicon(terms, stems, most)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
-    def kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 40
         for batch in batches:
             y = batch.column("y").to_pylist()
-            by_text: dict[int, set[tuple[str, int, int]]] = {}
-            for t, *k in find_matches([as_bytes(t) for t in batch.column("text").to_pylist()], shared.value):
-                by_text.setdefault(t, set()).add(tuple(k))
-            rows = sorted((t, *k) for t, some in by_text.items() for k in some)
-            yield pa.RecordBatch.from_pydict({"term": pa.array([r[1] for r in rows], pa.string()), "distance": pa.array([r[2] for r in rows], pa.int32()), "quoted": pa.array([r[3] for r in rows], pa.int32()), "y": pa.array([y[r[0]] for r in rows], pa.int32())})
-
-    seen = sample.mapInArrow(kinds, "term string, distance int, quoted int, y int").groupBy("term", "distance", "quoted").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
+            rows = sorted({m for m, _ in placed_matches([as_bytes(t) for t in batch.column("text").to_pylist()], shared.value)})
+            cols = {"text": [first + r[0] for r in rows], **{name: [r[i] for r in rows] for i, name in enumerate(("term", "distance", "marks", "report"), 1)}, "y": [y[r[0]] for r in rows]}
+            yield pa.RecordBatch.from_pydict({name: pa.array(col, pa.string() if name == "term" else pa.int64() if name == "text" else pa.int32()) for name, col in cols.items()})
+            first += len(batch)
+
+    seen = stored(sample.mapInArrow(placed, "text long, term string, distance int, marks int, report int, y int"), "toxic-matches")
+    windows = seen.where("distance = 0").groupBy("marks", "report").agg(F.sum("y"), F.count("*")).orderBy("marks", "report").collect()  # FAR x CONTEXT rows at most
+    lexicon.window = fit_window([tuple(r) for r in windows])
+    quoted = F.when(F.col("marks") >= 0, lexicon.window[0] * CONTEXT / (CONTEXT + F.col("marks"))).otherwise(0.0) + F.when(F.col("report") > 0, lexicon.window[1] * CONTEXT / (CONTEXT - 1 + F.col("report"))).otherwise(0.0) <= QUOTED
+    seen = seen.select("text", "term", "distance", quoted.cast("int").alias("quoted"), "y").distinct().groupBy("term", "distance", "quoted").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()
     rate = n_bad / (n_bad + n_good)
     logit = lambda p: float(np.log(p / (1 - p)))
     lexicon.base = logit(min(max(0.1 * rate, 1e-4), 0.2))

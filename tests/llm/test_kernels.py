@@ -102,10 +102,39 @@ def test_matches_and_quotes():
 
 def test_a_quotation_does_not_hide_an_edited_match():
     lex = toxicity.Lexicon(["idiot", "moron"], [], 1, {("idiot", 0, 1): -3.0, ("moron", 1, 0): 4.0})
-    s = toxicity.score_texts([b'she said "idiot" there, long before that morron came in again', b'she said "idiot" there'], lex)
+    s = toxicity.score_texts([b'she said "idiot" there. Long before, that morron came in again', b'she said "idiot" there'], lex)
     assert s[0] > 0.9 and s[1] < 0.1
 
 
+def test_windows_tell_quotations():
+    lex = toxicity.Lexicon(["idiot"], [])
+    quoted = {
+        "they called me an idiot yesterday": 1,  # reported without marks
+        "the word idiot": 1,
+        "he wrote well. You idiot": 0,  # another sentence
+        "\"you idiot\"": 1,  # marks at both ends of the text
+        "note “idiot”": 1,
+        "«idiot» first": 1,
+        "„so ein idiot“ rief einer": 1,
+        "don’t be an idiot, it’s late": 0,  # apostrophes
+        "you can’t, idiot; she doesn’t": 0,
+        "\"fine\" you idiot \"fine\"": 0,  # between two quotations
+        "\"fine, you idiot": 0,  # never closed
+        "a 5\" nail, idiot, and a 6\" one": 0,
+        "\"one two three four five six seven eight idiot two three\" and on": 1,
+    }
+    for text, want in quoted.items():
+        assert [m[3] for m in toxicity.find_matches([text.encode()], lex)] == [want], text
+    found = toxicity.find_matches([b'"open', b"idiot", b'close"'], lex)  # marks of other texts
+    assert [m[3] for m in found] == [0]
+
+
+def test_window_weights_are_learned():
+    assert toxicity.fit_window([]) == toxicity.WINDOW
+    marks, report = toxicity.fit_window([(-1, 0, 900, 1000), (-1, 2, 450, 500), (1, 0, 5, 300)])
+    assert marks < -4 and report > -0.5  # reporting words change nothing here, marks do
+
+
 def test_classifier_learns():
     rng = np.random.default_rng(5)
     texts = [(" ".join(rng.choice(["aa", "bb", "cc", "dd"], 30)) + (" junk|" * int(y))).encode() for y in range(2) for _ in range(40)]
