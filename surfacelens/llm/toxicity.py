@@ -50,50 +50,58 @@ _MARK = re.compile(rb"(?<=[0-9A-Za-z\x80-\xbf])(?<!\xe2\x80[\x80-\xbf])(?<!\xc2[
 _SENTENCE = re.compile(rb"[.!?]|\n[ \t\r]*\n")
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(ord("0"), ord("9") + 1), *range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), ord("@"), ord("$"), *range(0x80, 256)]] = True
+_LOOKALIKES = str.maketrans("013457@$", "oieastas")
+_ODD = np.zeros(256, bool)  # what plain() may change
+_ODD[[*b"013457@$", *range(0x80, 256)]] = True
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[ord("A") : ord("Z") + 1] += 32
 
 
 class Automaton:
-    """The Levenshtein automaton of a word, for at most ``most`` edits.
+    """The Levenshtein automaton of a word, for at most ``most`` edits; a swap of neighbours is one edit if ``swaps``.
 
     After i letters of input its state holds the edit distances to the word's first i - most to
-    i + most letters, capped at most + 1. Where a letter leads depends on the state and on which
-    of the word's letters there equal it, so steps are shared by all words.
+    i + most letters, capped at most + 1, and, for swaps, what each would be if the next letter
+    were the earlier one of a swapped pair. Where a letter leads depends on the state and on
+    which of the word's letters there equal it, so steps are shared by all words.
     """
 
     steps: dict[tuple, tuple[int, ...]] = {}
 
-    def __init__(self, word: str, most: int) -> None:
-        self.most, self.n = most, len(word)
-        self.padded = "\0" * most + word  # the letter that ends the prefix of length j is at j + most - 1
+    def __init__(self, word: str, most: int, swaps: bool = False) -> None:
+        self.most, self.n, self.swaps = most, len(word), swaps
+        self.padded = "\0" * (most + 1) + word  # the letter that ends the prefix of length j is at j + most
 
     def start(self) -> tuple[int, ...]:
         """The state before any input."""
         m = self.most
-        return tuple(j if 0 <= j <= self.n else m + 1 for j in range(-m, m + 1))
+        return tuple(j if 0 <= j <= self.n else m + 1 for j in range(-m, m + 1)) + (m + 1,) * ((2 * m + 1) * self.swaps)
 
     def step(self, row: tuple[int, ...], depth: int, letter: str) -> tuple[int, ...]:
         """The state after input letter number ``depth`` (from 1)."""
         m = self.most
-        near = self.padded[depth - 1 : depth + 2 * m]
+        near = self.padded[depth - 1 : depth + 2 * m + 2]  # from one letter before the first distance's to one after the last's
         key = (row, tuple(map(letter.__eq__, near)))
         out = self.steps.get(key)
         if out is None:
+            same, width = key[1], 2 * m + 1
             got: list[int] = []
-            for k in range(2 * m + 1):
-                if k >= len(near):  # beyond the word's end
+            for k in range(width):
+                if k + 1 >= len(near):  # beyond the word's end
                     got.append(m + 1)
                     continue
                 up = row[k + 1] + 1 if k < 2 * m else m + 1
-                got.append(min(row[k] + (not key[1][k]), up, got[k - 1] + 1 if k else m + 1, m + 1))
+                swapped = row[width + k] if self.swaps and same[k] else m + 1
+                got.append(min(row[k] + (not same[k + 1]), up, got[k - 1] + 1 if k else m + 1, swapped, m + 1))
+            if self.swaps:
+                got += [min(row[k] + 1, m + 1) if k + 2 < len(near) and same[k + 2] else m + 1 for k in range(width)]
             out = self.steps[key] = tuple(got)
         return out
 
     def accepts(self, row: tuple[int, ...], depth: int) -> int:
         """The distance of the input read so far to the word; most + 1 if it is more than ``most``."""
         k = self.n - depth + self.most
-        return row[k] if 0 <= k < len(row) else self.most + 1
+        return row[k] if 0 <= k <= 2 * self.most else self.most + 1
 
 
 class Trie:
@@ -107,9 +115,9 @@ class Trie:
                 node = node.setdefault(letter, {})
             node.setdefault(None, i)
 
-    def intersect(self, word: str, most: int) -> list[tuple[int, int]]:
-        """(term, distance) of every term within ``most`` edits of the word."""
-        automaton, found = Automaton(word, most), []
+    def intersect(self, word: str, most: int, swaps: bool = False) -> list[tuple[int, int]]:
+        """(term, distance) of every term within ``most`` edits of the word; a swap of neighbours is one if ``swaps``."""
+        automaton, found = Automaton(word, most, swaps), []
         stack = [(self.root, automaton.start(), 0)]
         while stack:
             node, row, depth = stack.pop()
@@ -155,9 +163,9 @@ def distinct(buf: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
 
 
 def plain(word: str) -> str:
-    """A token without accents, look-alike digits and signs: what is compared besides the word itself."""
-    swapped = word.translate(str.maketrans("013457@$", "oieastas"))
-    return "".join(c for c in unicodedata.normalize("NFD", swapped) if not unicodedata.combining(c))
+    """A token (or lines of tokens) without accents, look-alike digits and signs: what is compared besides the word itself."""
+    apart = unicodedata.normalize("NFD", word.translate(_LOOKALIKES))
+    return apart.translate({ord(c): None for c in set(apart) if unicodedata.combining(c)})
 
 
 def _within(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -206,19 +214,29 @@ class Lexicon:
         return span_hash(np.frombuffer(b"".join(raw), np.uint8), end - [len(r) for r in raw], end) if raw else np.zeros(0, np.uint64)
 
     def candidates(self, buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Which tokens can match at all: a superset of those that do.
+        """Which tokens can match at all: a superset of those that do, as they are or in plain form."""
+        raw = np.frombuffer(buf, np.uint8)
+        hit = self._near(raw, start, end)
+        odd = np.concatenate(([0], np.cumsum(_ODD[raw])))
+        odd = np.flatnonzero(~hit & (odd[end] > odd[start]))
+        if len(odd):
+            lines = b"\n".join(buf[start[k] : end[k]] for k in odd.tolist()).decode("utf-8", "replace")
+            lines = np.frombuffer(plain(lines).encode() + b"\n", np.uint8)
+            ends = np.flatnonzero(lines == 10)
+            hit[odd[self._near(lines, np.concatenate(([0], ends[:-1] + 1)), ends)]] = True
+        return hit
 
-        A token and a term within one edit share a spelling with a letter or none left out of
-        each. With more edits allowed, all tokens of fitting length are candidates.
+    def _near(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which tokens meet a term, a stem or a term's spelling with a letter left out.
+
+        A token and a term within one edit (a swap of neighbours too) share a spelling with a
+        letter or none left out of each. With more edits allowed, all tokens of fitting length
+        are taken.
         """
-        raw = np.frombuffer(buf, np.uint8)
         sums = SpanHasher(raw)
         size = end - start
-        odd = np.concatenate(([0], np.cumsum(np.isin(raw, np.frombuffer(b"@$0123456789", np.uint8)))))
-        odd = odd[end] - odd[start]
         own = sums.hash(start, end)
-        hit = (odd > 0) & (2 * odd < size) & (size >= 4) & (size <= 24)
-        hit |= _within(own, self.short) | _within(own, self.long)
+        hit = _within(own, self.short) | _within(own, self.long)
         for n, keys in self.stem_keys.items():
             some = np.flatnonzero(~hit & (size >= n))
             hit[some[_within(sums.hash(start[some], start[some] + n), keys)]] = True
@@ -260,7 +278,7 @@ class Lexicon:
             return [(stems[-1], 0)]
         if len(word) < FUZZY_LENGTH - 1 or len(word) > 40:
             return []
-        near = [(self.terms[i], d) for i, d in self.trie.intersect(word, self.most) if len(self.terms[i]) >= FUZZY_LENGTH]
+        near = [(self.terms[i], d) for i, d in self.trie.intersect(word, self.most, True) if len(self.terms[i]) >= FUZZY_LENGTH]
         least = min((d for _, d in near), default=0)
         return sorted(x for x in near if x[1] == least)[:3]
 

@@ -91,6 +91,48 @@ def test_automaton_against_distance():
             assert sorted(trie.intersect(w, most)) == sorted((i, d) for i, t in enumerate(terms) if (d := distance(w, t)) <= most)
 
 
+def test_swaps_are_one_edit():
+    def distance(a, b):
+        d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if 0 in (i, j)}
+        for i, x in enumerate(a, 1):
+            for j, y in enumerate(b, 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (x != y))
+                if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    rng = random.Random(5)
+    terms = sorted({"".join(rng.choice("abé") for _ in range(rng.randint(3, 7))) for _ in range(60)})
+    for most in (0, 1, 2):
+        trie = toxicity.Trie(terms)
+        for _ in range(150):
+            w = "".join(rng.choice("abé") for _ in range(rng.randint(1, 8)))
+            assert sorted(trie.intersect(w, most, True)) == sorted((i, d) for i, t in enumerate(terms) if (d := distance(w, t)) <= most)
+
+
+def test_candidates_hold_all_that_matches():
+    rng = random.Random(6)
+    terms, stems = ["idiot", "asesino", "scum", "loser", "esta", "größe"], ["lowei", "chon"]
+    signs = {"i": "1í", "o": "0ö", "a": "4@á", "e": "3é", "s": "5$", "t": "7", "u": "ü"}
+    for most in (0, 1, 2):
+        lex, found = toxicity.Lexicon(terms, stems, most), set()
+        words = ["idoit", "1d10t", "ïdïöt", "$cum", "4535ino", "l0w3ix", "cleán", "7", "@", "\ufffd"]
+        for _ in range(1500):
+            w = list(rng.choice([*terms, "loweien", "chones", "clean"]))
+            for _ in range(rng.randint(0, 2)):
+                k = rng.randrange(len(w))
+                w[k : k + 2] = rng.choice([w[k : k + 2][::-1], w[k + 1 : k + 2], [*w[k : k + 2], "x"], ["é", *w[k + 1 : k + 2]]])
+                w = w or ["a"]
+            words.append("".join(rng.choice(signs[c]) if c in signs and rng.random() < 0.5 else c for c in w))
+        for _, _, buf, start, end, _ in toxicity.tokens([w.encode() for w in words]):
+            can = lex.candidates(buf, start, end)
+            for k in range(len(start)):
+                if got := lex.match(buf[start[k] : end[k]]):
+                    found |= {(buf[start[k] : end[k]].decode(), *g) for g in got}
+                    assert can[k], buf[start[k] : end[k]]
+        assert {("1d10t", "idiot", 0), ("ïdïöt", "idiot", 0), ("l0w3ix", "lowei*", 0)} <= found and (("idoit", "idiot", 1) in found) == (most > 0)
+
+
 def test_matches_and_quotes():
     lex = toxicity.Lexicon(["idiot", "moron"], ["lowei"], 1, {("idiot", 0, 0): 4.0, ("idiot", 0, 1): -3.0}, {(1, 0): 1.0, (0, 0): 3.0, (0, 1): -3.0, (1, 1): -3.0})
     texts = [b"you idiot", "she said \"idiot\" loudly".encode(), b"an id1ot", b"idoit idiots", b"clean text", b"", b"LOWEIEN", b"idot"]
