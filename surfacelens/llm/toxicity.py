@@ -1,7 +1,7 @@
 """Toxicity scores from misspelling-tolerant term matches.
 
 Terms are learned from labelled documents: words, and word beginnings (stems), that toxic
-documents have far more often than clean ones. The terms lie in a trie. A token matches the terms
+documents have far more often than clean ones; a document and its near copies count once. The terms lie in a trie. A token matches the terms
 that a Levenshtein automaton of the token accepts while it walks the trie; stems match tokens
 that begin with them. Each match is weighed by how often such matches (of that term, at that
 distance, quoted or not) come in toxic documents. A score of the words around it tells whether
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,14 +26,15 @@ from pyspark.sql import types as T
 
 from .common import stored
 from .quality import fit_curve, labelled_sample
-from .textkernel import SpanHasher, as_bytes, slabs, span_hash
+from .textkernel import U64, SpanHasher, as_bytes, mix, slabs, span_hash, window_hash, word_hashes
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms in the lexicon, at most.
 SAMPLE_ROWS, MAX_TERMS = 20_000, 4_000
 #: How many times likelier in toxic documents than elsewhere a term must be, and its least log-likelihood ratio (G).
 MIN_LIFT, MIN_G = 8.0, 20.0
-#: The share of toxic documents in whose number of contexts a term must stand at least.
-MIN_SHARE = 0.005
+#: Two texts are copies if, in one of so many bands, the least fingerprints of their windows of so many words are equal
+#: under each of the band's so many orders: texts that share 85 % of their windows in 98 of 100 cases, 30 % in 10.
+COPY_BANDS, COPY_WORDS, COPY_ORDERS = 4, 5, 3
 #: Lengths of learned stems; words a stem must have; letters a term needs to be matched with an edit.
 STEM_LENGTHS, STEM_WORDS, FUZZY_LENGTH = (4, 5, 6, 7, 8), 3, 5
 #: Words to each side in which reporting words are looked for; words at which a mark counts half; more count as so many.
@@ -312,12 +312,12 @@ def quotations(text: bytes) -> list[tuple[int, int]]:
 
 def find_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[int, str, int, int]]:
     """(text, term, distance, quoted) of every match in the texts."""
-    for (text, term, distance, marks, report), _ in placed_matches(texts, lexicon):
+    for text, term, distance, marks, report in placed_matches(texts, lexicon):
         yield text, term, distance, lexicon.quoted(marks, report)
 
 
-def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple[int, str, int, int, int], bytes]]:
-    """(text, term, distance, marks, report) of every match, each with the tokens beside it.
+def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[int, str, int, int, int]]:
+    """(text, term, distance, marks, report) of every match.
 
     ``marks`` is the number of words from the match to the further mark of the quotation it
     stands in, the nearest if there are several (-1: in none); ``report`` is its distance in
@@ -351,9 +351,8 @@ def placed_matches(texts: list[bytes], lexicon: Lexicon) -> Iterator[tuple[tuple
                 if j != k and owner[j] == seen and buf[start[j] : end[j]] in reporting and not _SENTENCE.search(buf, end[min(j, k)], start[max(j, k)]):
                     report = abs(j - k)
                     break
-            beside = b" ".join(buf[start[j] : end[j]] for j in (k - 1, k + 1) if 0 <= j < len(start) and owner[j] == seen)
             for term, distance in by_code[int(code[k])]:
-                yield (first + seen, term, distance, marks, report), beside
+                yield first + seen, term, distance, marks, report
 
 
 def fit_window(counts: list[tuple[int, int, int, int]], steps: int = 50) -> tuple[float, float]:
@@ -391,33 +390,52 @@ def score_texts(texts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(lexicon.slope * np.log(out / (1 - out)) + lexicon.shift, -30, 30)))
 
 
-def _in_many_contexts(sample: DataFrame, terms: list[str], stems: list[str], n_bad: int, n_good: int) -> tuple[list[str], list[str]]:
-    """The terms and stems that stand in enough different contexts in toxic documents.
+def sketches(texts: list[bytes]) -> np.ndarray:
+    """Per text and band, its least window fingerprints as one number."""
+    out = np.zeros((len(texts), COPY_BANDS), np.uint64)
+    orders = mix(np.arange(1, COPY_BANDS * COPY_ORDERS + 1, dtype=np.uint64)).reshape(COPY_BANDS, COPY_ORDERS, 1)
+    for first, part in slabs(texts):
+        words, of = word_hashes(part)
+        edge = np.searchsorted(of, np.arange(len(part) + 1))
+        for i in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            some = words[edge[i] : edge[i + 1]]
+            some = window_hash(some, min(COPY_WORDS, len(some)))
+            for band in range(COPY_BANDS):
+                for order in orders[band]:
+                    out[first + i, band : band + 1] = mix(out[first + i, band : band + 1] + mix(some ^ order).min())
+    return out.view(np.int64)
 
-    A word of a toxic document that was copied often comes with the same neighbours each time;
-    so contexts are counted here, where documents were counted before.
-    """
-    shared = sample.sparkSession.sparkContext.broadcast(Lexicon(terms, stems, 0))
+
+def without_copies(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the sample, stored; of its rows, one of each group of copies with the same label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            y = batch.column("y").to_pylist()
-            texts = [as_bytes(t) if bad else b"" for t, bad in zip(batch.column("text").to_pylist(), y, strict=True)]
-            rows = sorted({(m[1], zlib.crc32(beside)) for m, beside in placed_matches(texts, shared.value) if m[2] == 0})
-            yield pa.RecordBatch.from_pydict({"term": pa.array([r[0] for r in rows], pa.string()), "beside": pa.array([r[1] for r in rows], pa.int64())})
-
-    found = sample.mapInArrow(run, "term string, beside long").groupBy("term").agg(F.countDistinct("beside").alias("n")).collect()
-    least = max(n_bad * MIN_SHARE, MIN_G / (-2 * np.log(n_bad / (n_bad + n_good)))) if n_bad and n_good else 0.0
-    wide = {r["term"] for r in found if r["n"] >= least}
-    return [t for t in terms if t in wide], [s for s in stems if s + "*" in wide]
+            signs = sketches([as_bytes(t) for t in batch.column("text").to_pylist()])
+            own = {"row": pa.array(range(row, row + len(batch)), pa.int64()), **{f"s{r}": pa.array(signs[:, r]) for r in range(COPY_BANDS)}}
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own.values()], names=[*batch.schema.names, *own])
+            row += len(batch)
+
+    bands = [f"s{r}" for r in range(COPY_BANDS)]
+    extra = [T.StructField(c, T.LongType()) for c in ("row", *bands)]
+    sample = stored(sample.mapInArrow(run, T.StructType([*sample.schema.fields, *extra])), "toxic-sample")
+    kept = sample.select("row", "y", *bands)
+    for s in bands:
+        others = [c for c in bands if c != s]
+        kept = kept.groupBy("y", s).agg(F.min(F.struct("row", *others)).alias("least")).select("y", s, "least.*")
+    kept = sample.join(kept.select("row"), "row", "left_semi").drop("row", *bands)
+    return sample.drop("row", *bands), kept
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample_rows: int = SAMPLE_ROWS, most: int = 1) -> Lexicon:
     """Lexicon and weights from the labelled rows that ``where`` lets through, at most ``sample_rows``.
 
-    With no toxic rows the lexicon is empty and every score is the base rate.
+    Copies of a text count once, but for the curve from evidence to probability. With no toxic
+    rows the lexicon is empty and every score is the base rate.
     """
     sample = labelled_sample(docs, labels, label, F.lit(True) if where is None else where, sample_rows)
+    sample, texts = without_copies(sample)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,9 +453,9 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
             keys = [k.decode("utf-8", "replace") for k in counts]
             yield pa.RecordBatch.from_pydict({"word": pa.array(keys, pa.string()), "p": pa.array([x[0] for x in counts.values()], pa.int64()), "q": pa.array([x[1] for x in counts.values()], pa.int64())})
 
-    by_word = sample.mapInArrow(words, "word string, p long, q long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+    by_word = texts.mapInArrow(words, "word string, p long, q long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
     by_word = stored(by_word, "toxic-words")  # the words of at most ``sample_rows`` texts
-    n = sample.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
+    n = texts.agg(F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)).first()
     n_bad, n_good = max(1, n[0]), max(1, n[1])
     lift = (F.col("p") + 0.5) / n_bad / ((F.col("q") + 0.5) / n_good)
     total, share = F.col("p") + F.col("q"), n_bad / (n_bad + n_good)
@@ -452,7 +470,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     for k in STEM_LENGTHS[1:]:
         covered = covered | F.substring("word", 1, k).isin(stems)
     terms = [r[0] for r in terms.where(~covered).orderBy(F.desc("g"), "word").limit(MAX_TERMS).select("word").collect()]
-    terms, stems = _in_many_contexts(sample, terms, stems, n_bad, n_good)
     lexicon = Lexicon(terms, stems, most)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -460,12 +477,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
             y = batch.column("y").to_pylist()
-            rows = sorted({m for m, _ in placed_matches([as_bytes(t) for t in batch.column("text").to_pylist()], shared.value)})
+            rows = sorted(set(placed_matches([as_bytes(t) for t in batch.column("text").to_pylist()], shared.value)))
             cols = {"text": [first + r[0] for r in rows], **{name: [r[i] for r in rows] for i, name in enumerate(("term", "distance", "marks", "report"), 1)}, "y": [y[r[0]] for r in rows]}
             yield pa.RecordBatch.from_pydict({name: pa.array(col, pa.string() if name == "term" else pa.int64() if name == "text" else pa.int32()) for name, col in cols.items()})
             first += len(batch)
 
-    seen = stored(sample.mapInArrow(placed, "text long, term string, distance int, marks int, report int, y int"), "toxic-matches")
+    seen = stored(texts.mapInArrow(placed, "text long, term string, distance int, marks int, report int, y int"), "toxic-matches")
     windows = seen.where("distance = 0").groupBy("marks", "report").agg(F.sum("y"), F.count("*")).orderBy("marks", "report").collect()  # FAR x CONTEXT rows at most
     lexicon.window = fit_window([tuple(r) for r in windows])
     quoted = F.when(F.col("marks") >= 0, lexicon.window[0] * CONTEXT / (CONTEXT + F.col("marks"))).otherwise(0.0) + F.when(F.col("report") > 0, lexicon.window[1] * CONTEXT / (CONTEXT - 1 + F.col("report"))).otherwise(0.0) <= QUOTED

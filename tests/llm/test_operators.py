@@ -198,3 +198,17 @@ def test_classifiers(spark, empty):
     assert all((got[i] >= 0.3) == bool(t) for i, _, t in labels if i % 41)
     assert quality.score(empty, quality.train(empty, table)).count() == 0 and toxicity.score(empty, toxicity.learn(empty, table)).count() == 0
     assert "score" in quality.score(docs.withColumn("score", F.lit("x")), model).columns
+
+
+def test_terms_are_counted_in_distinct_texts(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, fresh(30) + (" you utter idiot now" if i < 20 else " you scum" if i < 80 else ""), int(i < 80)) for i in range(400)]
+    exact, near = fresh(40) + " blorp", (fresh(60) + " zonk " + fresh(60)).split()
+    rows += [(1000 + i, exact, 1) for i in range(40)]
+    rows += [(2000 + i, " ".join([*near[:i], "x", *near[i + 1 :]]), 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    assert {"idiot", "scum"} <= set(lexicon.terms)  # a fixed phrase in 20 documents
+    assert not {"blorp", "zonk", *exact.split(), *near} & set(lexicon.terms)  # one document and its copies
