@@ -6,6 +6,9 @@ reads the lists of its own nearest pivots and ranks the vectors met by Spearman'
 places (a pivot that is not among the nearest counts as one place beyond the last). The best
 share of a block is reranked by exact cosine; the best of all blocks are the answer.
 
+Equal vectors are indexed once, by a row that carries the smallest ids of its group: no answer
+needs more of them than k and the query's own. So copies don't crowd each other out of the share.
+
 Queries and vectors meet in a grid of blocks, so a task holds one block of each.
 """
 
@@ -19,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 
 #: Pivots: a bounded sample of the vectors (smallest hash first).
 PIVOTS = 256
@@ -72,6 +76,19 @@ class InvertedFiles:
         return out
 
 
+def with_smallest(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v, ids) per distinct vector: the smallest of its ids, and the k smallest rows' ids besides those of any one id.
+
+    Rows of one id are all candidates, but not for that id's queries; k of each of the k + 1
+    smallest distinct ids are enough.
+    """
+    counted = rows.groupBy("v", "vec_id").count()
+    spots = Window.partitionBy("v").orderBy("vec_id")
+    some = counted.withColumn("spot", F.row_number().over(spots)).where(F.col("spot") <= k + 1)
+    ids = F.flatten(F.array_sort(F.collect_list(F.array_repeat("vec_id", F.least("count", F.lit(k)).cast("int")))))
+    return some.groupBy("v").agg(F.min("vec_id").alias("vec_id"), ids.alias("ids")).select("vec_id", "v", "ids")
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS, n_places: int = PLACES, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """The k nearest other vectors, by cosine, that the index finds for each vector that ``queries`` (over vec_id) holds for.
 
@@ -87,36 +104,50 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, pivots: int = PIVOTS
     schema = "query_id long, vec_id long, score double"
     if shape is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == shape["d"])
-    n = rows.count()
-    chosen = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(pivots).select("v").toArrow()
+    # -0.0 + 0.0 is 0.0: vectors that are equal are one key.
+    rows = rows.where(F.size("v") == shape["d"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    groups = stored(with_smallest(rows, k), "nearest-groups")
+    n = groups.count()
+    chosen = groups.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(pivots).select("v").toArrow()
     base = spark.sparkContext.broadcast(matrix(chosen["v"]))
     blocks = max(1, round(n / block))
-    keyed = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int"))
+    keyed = groups.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(blocks)).cast("int"))
     asked = rows.where(queries)
     query_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     # Each block of queries is asked of each block of the index once: a grid of whole blocks, not of rows.
     asked = asked.withColumn("query_block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(query_blocks)).cast("int"))
     left = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("block", "query_block", "vec_id", "v")
-    right = keyed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("block", "query_block", "vec_id", "v")
+    right = keyed.withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).select("block", "query_block", "vec_id", "v", "ids")
 
     def ask(q: pa.Table, x: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(q) and len(x):
             x = x.sort_by("vec_id").combine_chunks()
             ids, m, qids, qm = np.asarray(x["vec_id"]), matrix(x["v"]), np.asarray(q["vec_id"]), matrix(q["v"])
+            held, end = np.asarray(pc.list_flatten(x["ids"])), np.cumsum(np.asarray(pc.list_value_length(x["ids"])))
+            group = np.repeat(np.arange(len(ids)), np.diff(end, prepend=0))
             n_used = min(n_places, len(base.value))
             index = InvertedFiles(places(m, base.value, n_used), len(base.value))
             take = min(len(ids), max(least, k + 1, int(share * len(ids))))
             for query, row, near in zip(qids, qm, places(qm, base.value, n_used), strict=True):
-                some = np.arange(len(ids)) if take == len(ids) else np.argpartition(index.footrule(near), take - 1)[:take]
-                some = some[ids[some] != query]
+                some = np.arange(len(ids))
+                if take < len(ids):
+                    # Rows are in order of ids: of equal distances the smaller id is kept.
+                    distance = index.footrule(near)
+                    last = np.partition(distance, take - 1)[take - 1]
+                    below = distance < last
+                    some = np.concatenate((np.flatnonzero(below), np.flatnonzero(distance == last)[: take - below.sum()]))
                 cosine = m[some] @ row
-                best = some[np.lexsort((ids[some], -cosine))[: k + 3]]
+                # The (k + 1)-th group may yet win over the query's own; the product's last bits may differ from those below.
+                worst = np.partition(cosine, -(k + 1))[-(k + 1)] if len(some) > k + 1 else -2.0
+                best = np.sort(some[cosine >= worst - 1e-9])
                 # Once more one by one, so that a pair's score doesn't depend on the rows beside it.
-                exact = np.array([float(np.dot(m[b], row)) for b in best])
-                order = np.lexsort((ids[best], -exact))[:k]
-                out.append((np.full(len(order), query), ids[best[order]], exact[order]))
+                exact = np.array([float(np.dot(m[g], row)) for g in best])
+                at = np.concatenate([np.arange(end[g - 1] if g else 0, end[g]) for g in best])
+                exact = exact[np.searchsorted(best, group[at])]
+                at, exact = at[held[at] != query], exact[held[at] != query]
+                order = np.lexsort((held[at], -exact))[:k]
+                out.append((np.full(len(order), query), held[at[order]], exact[order]))
         parts = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(3)]
         return pa.table({"query_id": parts[0].astype(np.int64), "vec_id": parts[1].astype(np.int64), "score": parts[2]})
 

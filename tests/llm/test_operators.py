@@ -171,6 +171,31 @@ def test_nearest(spark):
     assert permutation_index.search(table.where("vec_id > 1000"), F.lit(True)).count() == 0
 
 
+def test_nearest_among_copies(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(3000, 16))
+    m[rng.permutation(3000)[:1000]] = m[0]  # a third are copies
+    m[3] = m[0] + 1e-3
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for equal in (True, False):
+        ids = np.arange(3000) if equal else np.flatnonzero((m != m[0]).any(axis=1))
+        table = spark.createDataFrame([(int(i), m[i].tolist()) for i in ids], "vec_id long, embedding array<double>").repartition(3)
+        asked = [int(i) for i in ids if i % 50 == 3 or (m[i] == m[0]).all() and i % 40 == 0]
+        got = defaultdict(list)
+        for r in sorted(permutation_index.search(table, F.col("vec_id").isin(asked), k=5, block=1500, least=64).collect(), key=lambda r: r["rank"]):
+            got[r["query_id"]].append(r["vec_id"])
+        hits = 0
+        for q in asked:
+            near = np.round(unit[ids] @ unit[q], 12)
+            near[ids == q] = -9
+            best = ids[np.lexsort((ids, -near))[:5]].tolist()
+            hits += len(set(best) & set(got[q]))
+            assert got[q] == best or not (equal and (q == 3 or (m[q] == m[0]).all()))
+        assert hits / (5 * len(asked)) >= 0.9
+    twice = spark.createDataFrame([(i, [1.0, 2.0]) for i in (1, 1, 1, 2, 2, 3)], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in permutation_index.search(twice, F.col("vec_id") == 3, k=5).orderBy("rank").collect()] == [1, 1, 1, 2, 2]
+
+
 def test_mixing(docs, empty):
     got = mixing.mix(docs, max_passes=3.0).collect()
     seen = Counter(r["doc_id"] for r in got)
