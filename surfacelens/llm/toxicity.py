@@ -33,8 +33,8 @@ SAMPLE_ROWS, MAX_TERMS = 20_000, 4_000
 #: How many times likelier in toxic documents than elsewhere a term must be, and its least log-likelihood ratio (G).
 MIN_LIFT, MIN_G = 8.0, 20.0
 #: Two texts are copies if, in one of so many bands, the least fingerprints of their windows of so many words are equal
-#: under each of the band's so many orders: texts that share 85 % of their windows in 98 of 100 cases, 30 % in 10.
-COPY_BANDS, COPY_WORDS, COPY_ORDERS = 4, 5, 3
+#: under each of the band's so many orders: texts that share 85 % of their windows in 99 of 100 cases, 30 % in 31.
+COPY_BANDS, COPY_WORDS, COPY_ORDERS = 4, 5, 2
 #: Lengths of learned stems; words a stem must have; letters a term needs to be matched with an edit.
 STEM_LENGTHS, STEM_WORDS, FUZZY_LENGTH = (4, 5, 6, 7, 8), 3, 5
 #: Words to each side in which reporting words are looked for; words at which a mark counts half; more count as so many.
