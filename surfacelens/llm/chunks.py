@@ -40,6 +40,40 @@ def unzip_array(data: bytes, kind: object) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Several arrays in one value, each with its type; integers in the smallest unsigned type that holds them."""
+    parts = []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        if x.dtype.kind in "iu" and x.dtype.itemsize > 1 and (not len(x) or x.min() >= 0):
+            x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+        data = zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+        parts.append(x.dtype.str.encode().ljust(4) + len(data).to_bytes(4, "little") + data)
+    return b"".join(parts)
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    """The arrays of ``pack``."""
+    at, out = 0, []
+    while at < len(blob):
+        n = int.from_bytes(blob[at + 4 : at + 8], "little")
+        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 8 : at + 8 + n]), blob[at : at + 4].strip().decode()))
+        at += 8 + n
+    return out
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of an array."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else np.zeros(1, np.int64)
+    return [(int(x[a]), int(a), int(b)) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for ``size`` values of each, one after another."""
+    total = int(size.sum())
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(total)
+
+
 def zip_table(rows: pa.Table | pa.RecordBatch) -> bytes:
     """Rows as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()

@@ -1,20 +1,29 @@
 """Exact substring deduplication with prefix-partitioned suffix trees over words.
 
-Every suffix (a word position) goes to a subtree by a prefix of variable length: the shortest of
-``LEVELS`` words whose prefix class holds no more than a subtree's share of all suffixes. The
-shares are counted over the whole corpus. A subtree gets its suffixes as fingerprints of their
-first ``window`` words; sorted, equal fingerprints are the leaves below one internal node of that
-depth, which is a repeat. Adjacent repeated windows of a document join to maximal passages.
-
-Before suffixes are sent, each chunk keeps one leaf for each of its nodes, that of its smallest
-doc_id. So a passage that a third of all documents share costs a leaf per chunk, not per document.
-Two different windows meet only if 64 bits of fingerprint and their subtree agree: about one
-expected false match in 100 TB.
+A repeat is a window of so many words that also starts in a document with a smaller doc_id. Each
+window is anchored at one of its words: where the short word group with the least rank begins
+(the leftmost of equal ones). Equal windows are anchored alike, and neighbouring windows mostly
+share their anchor, so only about one word in six is the root of a suffix.
+
+- A suffix carries the words of all windows that are anchored at its start: some words before it
+  and those behind it. It goes to the subtree of its prefix, whose length varies: the shortest
+  that does not hold more than a subtree's share of the corpus. Where even the whole group of
+  words is that common, every window goes by itself, and its prefix is all of it.
+- A subtree sorts its suffixes word by word. The lengths of the common prefixes of neighbours give
+  the inner nodes: suffixes below one node of depth d share their first d words. The words
+  before the anchors make a second tree, read backwards. A window with d words from its anchor on
+  and b before it repeats where both trees have a node of these depths in common: these are
+  the deep nodes. The smallest doc_id below them decides.
+- Neighbouring repeated windows of a document join to maximal repeated passages.
+
+Words are compared as 64-bit fingerprints, each word by itself; windows never as one fingerprint.
+Before suffixes are sent, each chunk keeps one of equal ones, that of its smallest doc_id. So a
+passage that a third of all documents share costs one suffix per anchor and chunk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -23,172 +32,280 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import answered, asked, chunk_rows, chunked, total_bytes, unzip_array, with_replies, zip_array
-from .textkernel import U64, mix, window_hash, word_hashes
+from .chunks import answered, asked, chunk_rows, chunked, pack, runs, spread, total_bytes, unpack, with_replies
+from .common import stored
+from .textkernel import U64, _power, mix, window_hash, word_hashes
 
-#: Prefix lengths in words; the last is always the window.
-LEVELS = (1, 2, 4, 8)
+#: Words of the group whose rank anchors a window, at most: the longest prefix of a suffix.
+GRAM = 3
 #: Bytes of text whose suffixes make one subtree, about a million words.
 TREE_BYTES = 6 << 20
 #: Prefix classes that are counted for each subtree.
 CLASSES = 4
+#: Classes in one bitmap row of the plan.
+BITS = 1 << 20
 
 
-class _Suffixes:
-    """The suffixes of one chunk that have ``window`` words, in document order."""
+def anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """The anchor of the window that starts at each word: where the least ranked group of ``gram`` words in it begins."""
+    rank = mix(window_hash(words, gram) + U64(17)) >> U64(32) << U64(32)
+    key = rank | np.arange(len(rank), dtype=np.uint64)
+    span, width = 1, window - gram + 1
+    while 2 * span <= width:
+        key = np.minimum(key[:-span], key[span:])
+        span *= 2
+    if span < width:
+        key = np.minimum(key[: span - width], key[width - span :])
+    return (key & U64(0xFFFFFFFF)).astype(np.int64)
 
-    def __init__(self, texts: list[bytes], window: int) -> None:
+
+class Suffixes:
+    """The anchored suffixes of one chunk: the first of equal ones, and which of them stands for each."""
+
+    def __init__(self, texts: list[bytes], window: int, heavy: list[np.ndarray] | None = None, trees: int = 1) -> None:
         words, owner = word_hashes(texts)
+        self.words, self.owner, self.window, self.gram = words, owner, window, min(GRAM, window)
         self.n_words = np.bincount(owner, minlength=len(texts))
         n = max(0, len(words) - window + 1)
-        self.at = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
-        self.owner = owner[self.at]
-        self.words, self.window = words, window
-        self.key = window_hash(words, window)[self.at]
-
-    def prefix(self, level: int) -> np.ndarray:
-        """Fingerprints of the first ``level`` words."""
-        return self.key if level >= self.window else window_hash(self.words, level)[self.at]
-
-
-def _levels(window: int) -> list[int]:
-    return [k for k in LEVELS if k < window] + [window]
+        start = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
+        anchor = anchors(words, window, self.gram)[start] if n else start
+        new = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1])))) if len(start) else start
+        # Windows lo, ..., lo + n - 1 are anchored at ``anchor``.
+        self.lo, self.anchor, self.n = start[new], anchor[new], np.diff(np.append(new, len(start)))
+        tree = np.zeros(len(self.lo), np.uint64)
+        if heavy is not None:
+            open_ = np.ones(len(self.lo), bool)
+            for level, bits in enumerate(heavy, 1):
+                prefix = self.prefix(level, slice(None))
+                slot = prefix % U64(CLASSES * trees)
+                here = open_ & ((bits[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 0)
+                tree[here] = mix(prefix[here] + U64(level)) % U64(trees)
+                open_ &= ~here
+            tree = self._split(tree, open_, trees)
+        key = self._fingerprint(self.lo, self.lo + self.n + window - 1)
+        _, self.first, self.code = np.unique(key, return_index=True, return_inverse=True)
+        self._keep_unequal()
+        self.tree = tree[self.first].astype(np.int64)
+
+    def _split(self, tree: np.ndarray, some: np.ndarray, trees: int) -> np.ndarray:
+        """Make each window of ``some`` a suffix of its own, in the tree of all its words."""
+        if some.any():
+            size = np.where(some, self.n, 1)
+            self.lo, alone = spread(self.lo, size), np.repeat(some, size)
+            self.anchor, self.n, tree = np.repeat(self.anchor, size), np.where(alone, 1, np.repeat(self.n, size)), np.repeat(tree, size)
+            whole = self._fingerprint(self.lo[alone], self.lo[alone] + self.window)
+            tree[alone] = mix(whole + U64(GRAM + 1)) % U64(trees)
+        return tree
+
+    def _fingerprint(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        up, down = _power(len(self.words) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * up[: len(self.words)])))
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+    def _keep_unequal(self) -> None:
+        """Whatever does not have the words of the suffix that stands for it stands for itself."""
+        size = self.n + self.window - 1
+        other = self.first[self.code]
+        same = size == size[other]
+        some = np.flatnonzero(same & (other != np.arange(len(other))))
+        diff = self.words[spread(self.lo[some], size[some])] != self.words[spread(self.lo[other[some]], size[some])]
+        bad = np.add.reduceat(diff, np.cumsum(size[some]) - size[some]) if len(some) else np.zeros(0)
+        same[some[bad > 0]] = False
+        lost = np.flatnonzero(~same)
+        self.code[lost] = len(self.first) + np.arange(len(lost))
+        self.first = np.concatenate((self.first, lost))
+
+    def prefix(self, level: int, some: object) -> np.ndarray:
+        """Fingerprints of the first ``level`` words of suffixes."""
+        return window_hash(self.words, level)[self.anchor[some]]
+
+    def sent(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(the suffixes that are sent, in order; (subtree, begin, end) of their runs)."""
+        order = np.lexsort((self.first, self.tree))
+        return self.first[order], runs(self.tree[order])
 
 
 def _plan(chunks: DataFrame, trees: int, window: int) -> list[np.ndarray]:
-    """For each level, which prefix classes hold more than a subtree's share of the suffixes.
+    """For each prefix length, a bitmap of the prefix classes that hold more than a subtree's share of the windows.
 
-    A bit for each of CLASSES * trees classes and level: a few MB where there are a million trees.
+    Equal suffixes of a chunk count once, as they are sent once. The bitmaps have CLASSES * trees
+    bits: 8 MB where there are 16 million trees. They are made in tasks, BITS bits a row.
     """
-    classes, levels = CLASSES * trees, _levels(window)
+    classes, levels = CLASSES * trees, range(1, min(GRAM, window) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body in batch.column("body"):
-                suffixes = _Suffixes(chunk_rows(body.as_py())[2], window)
-                for k, level in enumerate(levels[:-1]):
-                    slot, n = np.unique(suffixes.prefix(level) % U64(classes), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"level": np.full(len(n), k, np.int32), "slot": slot.astype(np.int64), "n": n.astype(np.int64)})
-
-    counts = chunks.select("body").mapInArrow(count, "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n"))
-    share = F.sum("n").over(_by_level()) / trees
-    heavy = [np.zeros(classes, bool) for _ in levels[:-1]]
-    for row in counts.withColumn("share", share).where("n > share").select("level", "slot").toLocalIterator():
-        heavy[row[0]][row[1]] = True
-    return heavy
-
-
-def _by_level():  # noqa: ANN202
-    from pyspark.sql import Window
-
-    return Window.partitionBy("level")
-
-
-def _trees_of(suffixes: _Suffixes, some: np.ndarray, heavy: list[np.ndarray], trees: int) -> np.ndarray:
-    """The subtree of each of ``some`` suffixes."""
-    levels = _levels(suffixes.window)
-    tree = mix(suffixes.key[some] + U64(levels[-1])) % U64(trees)
-    open_ = np.ones(len(some), bool)
-    for level, bad in zip(levels[:-1], heavy, strict=True):
-        prefix = suffixes.prefix(level)[some]
-        here = open_ & ~bad[prefix % U64(len(bad))]
-        tree[here] = mix(prefix[here] + U64(level)) % U64(trees)
-        open_ &= ~here
-    return tree.astype(np.int64)
-
-
-def _leaves(suffixes: _Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """(first suffix of each node, node of each suffix); suffixes come in ascending doc_id order."""
-    order = np.argsort(suffixes.key, kind="stable")
-    ranked = suffixes.key[order]
-    new = np.ones(len(ranked), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    node = np.empty(len(ranked), np.int64)
-    node[order] = np.cumsum(new) - 1
-    return order[new], node
-
-
-def _sent(suffixes: _Suffixes, heavy: list[np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes in sending order, their first suffixes, starts of the subtrees' runs in it with the end, the subtrees), and each suffix's node last."""
-    first, node = _leaves(suffixes)
-    tree = _trees_of(suffixes, first, heavy, trees)
-    order = np.lexsort((first, tree))
-    ranked = tree[order]
-    cut = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(ranked) else np.zeros(1, np.int64)
-    return order, first, cut, ranked, node
-
-
-def _schema(docs: DataFrame) -> T.StructType:
-    own = {"n_words", "n_removed"}
-    kept = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema if f.name not in own]
-    return T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYTES) -> DataFrame:
-    """Take out every word covered by ``window`` consecutive words that also start in a document with a smaller doc_id.
-
-    ``docs`` has doc_id (integer) and text; all other columns stay as they are, but n_words and
-    n_removed, which are replaced by the counts of words before and of words taken out. ``text``
-    becomes the kept words joined by single spaces (null and empty texts: empty). Windows are
-    judged on the input. A null doc_id counts as the largest; rows with the same doc_id never
-    remove each other's words. An empty table stays empty.
+                suffixes = Suffixes(chunk_rows(body.as_py())[2], window)
+                for level in levels:
+                    slot, code = np.unique(suffixes.prefix(level, suffixes.first) % U64(classes), return_inverse=True)
+                    n = np.bincount(code, suffixes.n[suffixes.first], len(slot))
+                    yield pa.RecordBatch.from_pydict({"level": np.full(len(n), level, np.int32), "slot": slot.astype(np.int64), "n": n.astype(np.int64)})
+
+    def bitmap(group: pa.Table) -> pa.Table:
+        bits = np.zeros(BITS, bool)
+        slot = np.asarray(group["slot"])
+        bits[slot % BITS] = True
+        return pa.table({"level": group["level"][:1], "part": pa.array(slot[:1] // BITS), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    counts = stored(chunks.select("body").mapInArrow(count, "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n")), "prefixes")
+    share = (counts.where("level = 1").agg(F.sum("n")).first()[0] or 0) / trees
+    found = counts.where(F.col("n") > share).groupBy("level", F.floor(F.col("slot") / BITS).alias("part")).applyInArrow(bitmap, "level int, part long, bits binary").collect()
+    size = -(-classes // BITS)
+    out = [np.zeros(size * BITS // 8, np.uint8) for _ in levels]
+    for level, part, bits in found:
+        out[level - 1][part * BITS // 8 : (part + 1) * BITS // 8] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _message(suffixes: Suffixes, some: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Suffixes as the words they hold, their sizes, and their documents."""
+    size = suffixes.n[some] + suffixes.window - 1
+    code = codes[spread(suffixes.lo[some], size)]
+    used, code = np.unique(code, return_inverse=True)
+    doc = ids[suffixes.owner[suffixes.lo[some]]]
+    return pack(suffixes.vocabulary[used], code, suffixes.n[some], suffixes.anchor[some] - suffixes.lo[some], doc.astype(np.int64))
+
+
+def nodes(words: np.ndarray) -> np.ndarray:
+    """The tree of sequences (rows; columns from the root on): entry (i, d) is the node of depth d that row i lies under.
+
+    Rows are sorted word by word; where the common prefix of neighbours is shorter than d, another
+    node of depth d begins.
     """
-    docs = docs.select(*[docs[f"`{f.name}`"] for f in docs.schema if f.name not in ("n_words", "n_removed")])
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    m, depth = words.shape
+    order = np.lexsort(words.T[::-1]) if depth else np.arange(m)
+    ranked = words[order]
+    same = np.logical_and.accumulate(ranked[1:] == ranked[:-1], axis=1)
+    out = np.zeros((m, depth + 1), np.int32)
+    out[order[1:], 1:] = np.cumsum(~same, axis=0, dtype=np.int32)
+    return out
+
+
+class Subtree:
+    """The suffixes of one subtree: forward and backward trees, and the windows under their nodes."""
+
+    def __init__(self, blobs: list[bytes], window: int) -> None:
+        parts = [unpack(b) for b in blobs]
+        self.sizes = [int(p[2].astype(np.int64).sum()) for p in parts]
+        _, dense = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        first = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
+        word = np.concatenate([dense[p[1].astype(np.int64) + f] for p, f in zip(parts, first, strict=True)]).astype(np.int32) + 1
+        n, before, doc = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (2, 3, 4))
+        size = n + window - 1
+        begin = np.cumsum(size) - size
+        word = np.append(word, 0).astype(np.int32)
+        step = np.arange(window)
+        forward = np.where(before[:, None] + step < size[:, None], begin[:, None] + before[:, None] + step, len(word) - 1)
+        back = min(window - 1, int(before.max()))
+        step = np.arange(1, back + 1)
+        backward = np.where(step <= before[:, None], begin[:, None] + before[:, None] - step, len(word) - 1)
+        ahead, behind = nodes(word[forward]), nodes(word[backward])
+        of = np.repeat(np.arange(len(n)), n)
+        b = before[of] - (np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n))  # words of the window before its anchor
+        self.doc = doc[of]
+        # Windows with the same number of words before the anchor and the same two nodes are equal.
+        pair = ahead[of, window - b].astype(np.int64) * (len(n) + 1) + behind[of, b]
+        order = np.lexsort((b, pair))
+        ranked, depth = pair[order], b[order]
+        at = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (depth[1:] != depth[:-1]))))
+        self.least = np.empty(len(of), np.int64)
+        self.least[order] = np.repeat(np.minimum.reduceat(self.doc[order], at), np.diff(np.append(at, len(of))))
+
+    def late(self) -> list[np.ndarray]:
+        """For each message, which of its windows also start in a document with a smaller doc_id."""
+        return np.split(self.doc > self.least, np.cumsum(self.sizes)[:-1])
+
+
+def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.Table, np.ndarray, list[bytes], Suffixes, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    """What ``read`` makes of each chunk: rows, doc_ids, texts, suffixes and the starts of repeated windows."""
+    if window < 1:
+        raise ValueError("a window has one word at least")
     chunks = chunked(docs, "substring")
     trees = max(1, -(-total_bytes(chunks) // tree_bytes))
-    heavy = _plan(chunks, trees, window)
+    # The bitmaps' size is bounded by the number of subtrees: see _plan.
+    heavy = docs.sparkSession.sparkContext.broadcast(_plan(chunks, trees, window))
 
     def ask(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         _, ids, texts = chunk_rows(body)
-        suffixes = _Suffixes(texts, window)
-        order, first, cut, ranked, _ = _sent(suffixes, heavy, trees)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            leaf = first[order[a:b]]
-            docs_of = ids[suffixes.owner[leaf]]
-            blob = zip_array(np.diff(docs_of, prepend=0))
-            yield int(ranked[a]), len(blob).to_bytes(4, "little") + blob + suffixes.key[leaf].tobytes()
+        suffixes = Suffixes(texts, window, heavy.value, trees)
+        suffixes.vocabulary, codes = np.unique(suffixes.words, return_inverse=True)
+        order, cuts = suffixes.sent()
+        for tree, a, b in cuts:
+            yield tree, _message(suffixes, order[a:b], codes, ids)
 
     def answer(blobs: list[bytes]) -> list[bytes]:
-        docs_of, keys = [], []
-        for blob in blobs:
-            n = 4 + int.from_bytes(blob[:4], "little")
-            docs_of.append(np.cumsum(unzip_array(blob[4:n], np.int64)))
-            keys.append(np.frombuffer(blob, np.uint64, offset=n) if not n % 8 else np.frombuffer(blob[n:], np.uint64))
-        doc, key = np.concatenate(docs_of), np.concatenate(keys)
-        order = np.argsort(key)
-        ranked = key[order]
-        at = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        least = np.minimum.reduceat(doc[order], at)
-        late = np.empty(len(doc), bool)
-        late[order] = doc[order] > np.repeat(least, np.diff(np.append(at, len(doc))))
-        out, start = [], 0
-        for k in keys:
-            out.append(zip_array(np.packbits(late[start : start + len(k)])))
-            start += len(k)
-        return out
-
-    def read(body: bytes, replies: dict[int, bytes]) -> pa.Table:
+        return [pack(np.packbits(x)) for x in Subtree(blobs, window).late()]
+
+    def marked(body: bytes, replies: dict[int, bytes]) -> pa.Table:
         rows, ids, texts = chunk_rows(body)
-        suffixes = _Suffixes(texts, window)
-        order, first, cut, ranked, node = _sent(suffixes, heavy, trees)
-        late = np.zeros(len(first), bool)  # by node: some chunk has it in a document before this chunk's first
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            late[order[a:b]] = np.unpackbits(unzip_array(replies[int(ranked[a])], np.uint8), count=b - a).view(bool)
-        gone = late[node] | (ids[suffixes.owner] > ids[suffixes.owner[first]][node]) if len(node) else np.zeros(0, bool)
-        cover = np.zeros(len(suffixes.words) + 1, np.int64)
-        hit = suffixes.at[gone]
-        np.add.at(cover, hit, 1)
-        np.add.at(cover, hit + window, -1)
+        s = Suffixes(texts, window, heavy.value, trees)
+        order, cuts = s.sent()
+        late = np.zeros(int(s.n[order].sum()), bool)
+        begin = np.cumsum(s.n[order]) - s.n[order]
+        for tree, a, b in cuts:
+            upto = int(begin[b]) if b < len(begin) else len(late)
+            late[begin[a] : upto] = np.unpackbits(unpack(replies[tree])[0], count=upto - int(begin[a])).view(bool)
+        place = np.empty(len(s.lo), np.int64)
+        place[order] = begin
+        stands = s.first[s.code]
+        # A window repeats if the one that stands for it does, or if that is in a document with a smaller id.
+        doc = ids[s.owner[s.lo]]
+        gone = late[spread(place[stands], s.n)] | np.repeat(doc > doc[stands], s.n)
+        return read(rows, ids, texts, s, spread(s.lo, s.n)[gone])
+
+    return with_replies(chunks, answered(asked(chunks, ask), answer), marked, schema)
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYTES, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """Take out every word covered by ``window`` consecutive words that also start in a document with a smaller doc_id.
+
+    ``docs`` has doc_id (integer) and text; all other columns stay as they are, but those named
+    in ``counts``, which are replaced by the counts of words before and of words taken out.
+    ``text`` becomes the kept words joined by single spaces (null and empty texts: empty).
+    Windows are judged on the input. A null doc_id counts as the largest; rows with the same
+    doc_id never remove each other's words. An empty table stays empty. A text is held in one
+    task whole, with about 100 bytes of working memory for each of its bytes.
+    """
+    docs = docs.select(*[docs[f"`{f.name}`"] for f in docs.schema if f.name not in counts])
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    kept = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema]
+    schema = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in counts)])
+
+    def read(rows: pa.Table, _: np.ndarray, texts: list[bytes], s: Suffixes, start: np.ndarray) -> pa.Table:
+        cover = np.zeros(len(s.words) + 1, np.int64)
+        np.add.at(cover, start, 1)
+        np.add.at(cover, start + window, -1)
         keep = np.cumsum(cover[:-1]) == 0
-        ends = np.cumsum(suffixes.n_words)
+        ends = np.cumsum(s.n_words)
         kept = np.concatenate(([0], np.cumsum(keep)))
-        removed = suffixes.n_words - (kept[ends] - kept[ends - suffixes.n_words])
+        removed = s.n_words - (kept[ends] - kept[ends - s.n_words])
         out = []
-        for text, n, end, bad in zip(texts, suffixes.n_words, ends, removed, strict=True):
+        for text, n, end, bad in zip(texts, s.n_words, ends, removed, strict=True):
             words = text.split()
             out.append(b" ".join(compress(words, keep[end - n : end].tolist()) if bad else words))
         rows = rows.set_column(rows.column_names.index("text"), "text", pa.array(out, pa.binary()).cast(pa.string()))
-        return rows.append_column("n_words", pa.array(suffixes.n_words.astype(np.int64))).append_column("n_removed", pa.array(removed.astype(np.int64)))
+        return rows.append_column(counts[0], pa.array(s.n_words.astype(np.int64))).append_column(counts[1], pa.array(removed.astype(np.int64)))
+
+    return _repeated(docs, window, tree_bytes, read, schema)
+
+
+def repeated_passages(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYTES) -> DataFrame:
+    """Maximal repeated passages: (doc_id, start, n_words), words counted from 0.
+
+    A passage is a run of windows, one word apart, each of which also starts in a document with a
+    smaller doc_id, and which no further window at either end continues. Texts without
+    ``window`` words, null and empty ones have none. Null and equal doc_ids count as in
+    ``remove_repeats``.
+    """
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "start", "n_words")])
+
+    def read(rows: pa.Table, _: np.ndarray, texts: list[bytes], s: Suffixes, start: np.ndarray) -> pa.Table:
+        owner = s.owner[start]
+        new = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (owner[1:] != owner[:-1])))) if len(start) else start
+        n = np.diff(np.append(new, len(start))) + window - 1
+        own = (np.cumsum(s.n_words) - s.n_words)[owner[new]]
+        return pa.table({"doc_id": rows["doc_id"].combine_chunks().take(pa.array(owner[new])), "start": pa.array(start[new] - own), "n_words": pa.array(n)})
 
-    return with_replies(chunks, answered(asked(chunks, ask), answer), read, _schema(docs))
+    return _repeated(slim, window, tree_bytes, read, schema)

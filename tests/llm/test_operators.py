@@ -67,7 +67,28 @@ def test_substring(docs, empty, spark):
         got = substring.remove_repeats(docs, 13, tree_bytes=trees)
         assert got.columns == ["doc_id", "text", "source", "chunk", "bucket", "score", "n_words", "n_removed"]
         assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in got.collect()} == want
+    spans = set()
+    for i, t in rows:
+        w = split(t)
+        bad = [first[tuple(w[k : k + 13])] < i for k in range(len(w) - 12)]
+        for k, x in enumerate(bad):
+            if x and not (k and bad[k - 1]):
+                n = bad[k:].index(False) if False in bad[k:] else len(bad) - k
+                spans.add((i, k, n + 12))
+    for trees in (1 << 30, 1 << 9):
+        assert {tuple(r) for r in substring.repeated_passages(docs, 13, tree_bytes=trees).collect()} == spans
     assert substring.remove_repeats(empty).count() == 0
+    assert substring.repeated_passages(empty).count() == 0
+    clash = substring.remove_repeats(docs, 13, counts=("source", "gone"))
+    assert clash.columns == ["doc_id", "text", "chunk", "n_words", "bucket", "score", "source", "gone"]
+    for window in (1, 2, 3, 70):  # windows shorter than a group of words, and long ones
+        want = {}
+        for i, t in rows:
+            w = split(t)
+            for k in range(len(w) - window + 1):
+                want.setdefault(tuple(w[k : k + window]), i)
+        n = {i: sum(any(want[tuple(w[j : j + window])] < i for j in range(max(0, k - window + 1), min(k, len(w) - window) + 1)) for k in range(len(w))) for i, t in rows for w in [split(t)]}
+        assert {r["doc_id"]: r["n_removed"] for r in substring.remove_repeats(docs, window, tree_bytes=5000).collect()} == n
     odd = spark.createDataFrame([(None, "a " * 20), (5, "a " * 20), (5, "a " * 20), (None, None)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in substring.remove_repeats(odd).collect()) == [0, 0, 0, 20]
 
