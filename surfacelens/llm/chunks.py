@@ -88,8 +88,11 @@ def unzip_table(data: bytes) -> pa.Table:
         return stream.read_all()
 
 
-def chunked(docs: DataFrame, name: str, target: int = CHUNK_BYTES) -> DataFrame:
-    """Write ``docs`` (with a ``text`` column) as chunks: (chunk, n_bytes, n_rows, body), bucketed by chunk."""
+def chunked(docs: DataFrame, name: str, target: int = CHUNK_BYTES, make: Callable[[pa.Table], bytes] = zip_table) -> DataFrame:
+    """Write ``docs`` (with a ``text`` column) as chunks: (chunk, n_bytes, n_rows, body), bucketed by chunk.
+
+    ``make`` turns a chunk's rows into its body; by default the body is the rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -98,7 +101,7 @@ def chunked(docs: DataFrame, name: str, target: int = CHUNK_BYTES) -> DataFrame:
         def flush() -> pa.RecordBatch:
             nonlocal made, held, size
             rows = pa.Table.from_batches(held).combine_chunks()
-            row = pa.RecordBatch.from_pydict({"chunk": [base + made], "n_bytes": [size], "n_rows": [len(rows)], "body": pa.array([zip_table(rows)], pa.binary())})
+            row = pa.RecordBatch.from_pydict({"chunk": [base + made], "n_bytes": [size], "n_rows": [len(rows)], "body": pa.array([make(rows)], pa.binary())})
             made, held, size = made + 1, [], 0
             return row
 

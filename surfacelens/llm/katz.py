@@ -1,23 +1,29 @@
-"""Katz backoff scores of texts by a bigram model of the corpus.
-
-Counts of words and word pairs come from all training documents. Counts up to ``K`` are
-discounted by Good-Turing's estimate, larger ones by half a count (so that every history leaves
-something over); what a history's seen followers leave over goes to its
-unseen ones, in proportion to their unigram probabilities:
-
-    P(w | v) = d(c(v w)) c(v w) / c(v)   if the pair was seen, else   a(v) P(w),
-    a(v) = (1 - sum of seen followers' P(w | v)) / (1 - sum of seen followers' P(w)).
-
-Every history's probabilities sum to exactly 1 over the vocabulary and one class of unknown
-words, which has what the discounted unigrams leave over. Count tables are partitioned by word,
-and by history for pairs; a history with more than a partition's share of all tokens is split by
-follower. Chunks of documents look up what they need of both tables, packed, and evaluate each
-token: the pair, or the backoff weight times the word below.
+"""Katz backoff scores of texts by an n-gram model of the corpus (order three by default).
+
+Counts of words and n-grams come from all training documents. Counts up to ``K`` are discounted
+by Good-Turing's estimate, larger ones are left whole; what the seen followers of a history leave
+over goes to its unseen ones, in proportion to the model of the next lower order:
+
+    P(w | h) = d(c(h w)) c(h w) / c(h)   if the n-gram was seen, else   a(h) P(w | h'),
+    a(h) = (1 - sum of seen followers' P(w | h)) / (1 - sum of seen followers' P(w | h')),
+
+where h' is h without its first word. A token is evaluated recursively down to single words.
+N-grams of three words and more count as seen from two occurrences on (``CUTOFF``): single ones
+are discounted to nothing, so their mass goes to the backoff too. A history whose followers all
+have counts above K would leave nothing over: it counts one more token than it has. So every
+history's probabilities sum to exactly 1 over the vocabulary and one class of unknown words, which
+has what the discounted single words leave over.
+
+Count tables are partitioned by word, and by history for n-grams; a history with more than a
+partition's share of all tokens is split by follower. A word is known by a number that its
+partition gives it, so different words never share a count. Before n-grams of an order above two
+are counted in full, a table of their fingerprints tells which of them occur twice at all.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +31,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import asked, chunk_rows, chunked, total_bytes, unzip_array, with_replies, zip_array
+from .chunks import asked, chunked, pack, runs, spread, total_bytes, unpack, with_replies
 from .common import stored
-from .textkernel import U64, mix, word_hashes
+from .textkernel import U64, as_bytes, mix, word_hashes
 
 #: Counts up to this one are discounted.
 K = 5
-#: What larger counts lose.
-LARGE = 0.5
-#: Bytes of text whose pairs make one partition.
+#: Least count of an n-gram of three words or more that counts as seen.
+CUTOFF = 2
+#: Bytes of text whose n-grams make one partition.
 BUCKET_BYTES = 6 << 20
-END, BEGIN = U64(0x5BD1E9955BD1E995), U64(0x2545F4914F6CDD1D)
+END = U64(0x5BD1E9955BD1E995)
 LOW40 = U64((1 << 40) - 1)
+_ODD = U64(0x9E3779B97F4A7C15)
 _ROW = "bucket long, chunk long, reply binary, counts array<long>"
 
 
@@ -54,12 +61,7 @@ def discounts(counts: list[int]) -> np.ndarray:
 
 def discounted(count: np.ndarray, d: np.ndarray) -> np.ndarray:
     """d(c) c of counts."""
-    return np.where(count <= K, d[np.minimum(count, K)] * count, count - LARGE)
-
-
-def taken(d: np.ndarray) -> np.ndarray:
-    """What discounting takes from a count of 1, ..., K and of more."""
-    return np.append((1 - d[1:]) * np.arange(1, K + 1), LARGE)
+    return np.where(count <= K, d[np.minimum(count, K)] * count, count)
 
 
 class Unigrams:
@@ -67,76 +69,205 @@ class Unigrams:
 
     def __init__(self, total: int, distinct: int, counts: list[int]) -> None:
         self.total, self.distinct, self.d = total, distinct, discounts(counts)
-        some = np.append(counts[:K], distinct - sum(counts[:K]))
-        self.unknown = float((taken(self.d) * some).sum() / total) if total else 1.0
+        left = float(((1 - self.d[1:]) * np.arange(1, K + 1) * np.array(counts[:K])).sum())
+        self.over = total if left else total + 1
+        self.unknown = (left or 1.0) / self.over
 
     def probability(self, count: np.ndarray) -> np.ndarray:
         """P of words with these counts (0: the unknown class)."""
-        return np.where(count > 0, discounted(count, self.d) / max(self.total, 1), self.unknown)
+        return np.where(count > 0, discounted(count, self.d) / self.over, self.unknown)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         """log10 of the add-half estimate."""
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
-class _Tokens:
-    """The tokens of a chunk: words and an end for each document."""
-
-    def __init__(self, body: bytes) -> None:
-        self.rows, _, texts = chunk_rows(body)
-        learn = self.rows["learn"].to_pylist()
-        words, owner = word_hashes(texts, lower=True)
-        n = np.bincount(owner, minlength=len(texts))
-        token = np.full(len(words) + len(texts), END, np.uint64)
-        token[np.arange(len(words)) + owner] = words
-        self.lengths = n + 1
-        self.of = np.repeat(np.arange(len(texts)), self.lengths)
-        self.learn = np.array([bool(x) for x in learn], bool)[self.of] if len(texts) else np.zeros(0, bool)
-        self.words, self.code = np.unique(token, return_inverse=True)
-        before = np.empty(len(token), np.int64)
-        before[1:] = self.code[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = len(self.words)  # the beginning
-        self.before = before
-
-    def asked(self, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(words by partition, runs of the partitions)."""
-        bucket = (mix(self.words + U64(3)) % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        return order, runs(bucket[order])
-
-    def counts(self, got: dict[int, bytes], buckets: int) -> np.ndarray:
-        """Count of each word in the training documents of the corpus."""
-        order, cuts = self.asked(buckets)
-        out = np.zeros(len(self.words), np.int64)
+def _body(rows: pa.Table) -> bytes:
+    """A chunk's tokens: distinct words, the word of each token (an end after each document), lengths, and which documents are learned from."""
+    words, owner = word_hashes([as_bytes(t) for t in rows["text"].to_pylist()], lower=True)
+    token = np.full(len(words) + len(rows), END, np.uint64)
+    token[np.arange(len(words)) + owner] = words
+    some, code = np.unique(token, return_inverse=True)
+    ids = rows["doc_id"].to_pylist()
+    null = np.array([i is None for i in ids], bool)
+    return pack(some, code, np.bincount(owner, minlength=len(rows)) + 1, np.array([bool(x) for x in rows["learn"].to_pylist()], bool), np.array([i or 0 for i in ids], np.int64), null)
+
+
+def _by_words(words: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(words by partition, runs of the partitions)."""
+    bucket = (mix(words + U64(3)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, runs(bucket[order])
+
+
+@dataclass
+class _Grams:
+    """The distinct n-grams of one order in a chunk."""
+
+    history: np.ndarray  # number of the (n - 1)-gram before the last word; single words: V is the beginning
+    word: np.ndarray
+    own: np.ndarray  # training count in the chunk
+    lower: np.ndarray  # number of the (n - 1)-gram it ends in
+    of: np.ndarray  # the n-gram that ends at each token, -1 if the text is too short there
+    key: np.ndarray  # 64 bits
+    history_key: np.ndarray
+    history_count: np.ndarray  # training count of each history, as far as it is known
+    total: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    p: np.ndarray = field(default_factory=lambda: np.zeros(0))
+
+
+@dataclass
+class _Model:
+    """What is known of the corpus after some stages."""
+
+    buckets: int
+    unigrams: Unigrams | None = None
+    d: dict[int, np.ndarray] = field(default_factory=dict)
+
+    def stage(self, n: int, final: bool) -> int:
+        """Where the replies of order n begin (fingerprints first, then counts)."""
+        return (2 * n - 3 + final) * self.buckets if n > 1 else 0
+
+
+class _Chunk:
+    """A chunk's tokens and the replies it got so far."""
+
+    def __init__(self, body: bytes, got: dict[int, bytes], model: _Model) -> None:
+        self.words, code, lengths, learn, self.ids, self.null = unpack(body)
+        self.code, self.lengths, self.got, self.model = code.astype(np.int64), lengths.astype(np.int64), got, model
+        n = len(self.lengths)
+        self.doc = np.repeat(np.arange(n), self.lengths)
+        self.place = spread(np.zeros(n, np.int64), self.lengths)
+        self.learn = learn[self.doc]
+        self.number, self.count = np.zeros(len(self.words), np.uint64), np.zeros(len(self.words), np.int64)
+        if model.unigrams:
+            order, cuts = _by_words(self.words, model.buckets)
+            for at, a, b in cuts:
+                rank, total = unpack(got[at])
+                self.number[order[a:b]] = rank.astype(np.uint64) * U64(model.buckets) + U64(at + 1)
+                self.count[order[a:b]] = total
+
+    def own_words(self) -> np.ndarray:
+        return np.bincount(self.code, self.learn, len(self.words)).astype(np.int64)
+
+    def first(self) -> _Grams:
+        """Order one: words. The beginning of a text is the last of them; texts begin as often as they end."""
+        begins = self.count[np.searchsorted(self.words, END)] if len(self.words) else 0
+        count = np.append(self.count, begins)
+        none = np.zeros(0, np.int64)
+        return _Grams(none, none, none, none, self.code, mix(np.append(self.number, U64(0)) + U64(1)), none, count, count, self.model.unigrams.probability(self.count))
+
+    def next(self, low: _Grams, n: int) -> _Grams:
+        """Order n, from order n - 1."""
+        v = len(self.words)
+        some = np.flatnonzero(self.place >= n - 2)
+        before = np.where(self.place[some] > 0, low.of[some - 1], v) if n == 2 else low.of[some - 1]
+        gram, first, code = np.unique(before * v + self.code[some], return_index=True, return_inverse=True)
+        of = np.full(len(self.code), -1, np.int64)
+        of[some] = code
+        history, word = gram // max(v, 1), gram % max(v, 1)
+        key = mix(low.key[history] * _ODD + self.number[word] + U64(n))
+        return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total)
+
+    def candidates(self, g: _Grams, low: _Grams, n: int) -> np.ndarray:
+        """N-grams that training may have seen, as far as their parts tell."""
+        if n == 2:
+            return (g.history_count[g.history] > 0) & (self.count[g.word] > 0)
+        return (g.history_count[g.history] >= CUTOFF) & (low.total[g.lower] >= CUTOFF)
+
+    def fingerprints(self, g: _Grams, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(candidates by partition and fingerprint, runs of the partitions)."""
+        bucket = (mix(g.key[some] + U64(7)) % U64(self.model.buckets)).astype(np.int64)
+        order = np.lexsort((g.key[some] & LOW40, bucket))
+        return some[order], runs(bucket[order])
+
+    def kept(self, g: _Grams, low: _Grams, n: int) -> np.ndarray:
+        """The n-grams whose counts are asked for."""
+        some = np.flatnonzero(self.candidates(g, low, n))
+        if n == 2:
+            return some
+        order, cuts = self.fingerprints(g, some)
+        twice = np.zeros(len(g.word), bool)
         for at, a, b in cuts:
-            out[order[a:b]] = unzip_array(got[at], np.int64)
+            twice[order[a:b]] = np.unpackbits(unpack(self.got[self.model.stage(n, False) + at])[0], count=b - a).view(bool)
+        return np.flatnonzero(twice)
+
+    def requests(self, g: _Grams, low: _Grams, n: int) -> _Requests:
+        return _Requests(self, g, self.kept(g, low, n), n)
+
+    def known(self, upto: int) -> list[_Grams]:
+        """Orders 1 to ``upto`` with their totals and probabilities."""
+        out = [self.first()]
+        for n in range(2, upto + 1):
+            g = self.next(out[-1], n)
+            self.requests(g, out[-1], n).read(self, g, out[-1], n)
+            out.append(g)
         return out
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(history, follower, training count in the chunk) of each distinct pair, and the pair of each token."""
-        n = len(self.words) + 1
-        some, code = np.unique(self.before * n + self.code, return_inverse=True)
-        return some // n, some % n, np.bincount(code, self.learn, len(some)).astype(np.int64), code
-
 
-def runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
-    """(value, begin, end) of the runs of an array."""
-    at = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
-    return [(int(bucket[a]), int(a), int(b)) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    parts = [zip_array(x) for x in arrays]
-    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
-
-
-def _unblob(blob: bytes, *kinds: object) -> list[np.ndarray]:
-    at, out = 0, []
-    for kind in kinds:
-        n = int.from_bytes(blob[at : at + 4], "little")
-        out.append(unzip_array(blob[at + 4 : at + 4 + n], kind))
-        at += 4 + n
-    return out
+class _Requests:
+    """What a chunk asks of one order's table, in sending order."""
+
+    def __init__(self, chunk: _Chunk, g: _Grams, kept: np.ndarray, n: int) -> None:
+        buckets, total = chunk.model.buckets, chunk.model.unigrams.total
+        # Into how many parts a history's followers are split.
+        self.salts = np.clip(-(-g.history_count * buckets // max(total, 1)), 1, buckets)
+        number = chunk.number[g.word[kept]]
+        history = g.history[kept]
+        target = self._bucket(g.history_key[history], mix(number) % self.salts[history].astype(np.uint64), buckets)
+        order = np.lexsort((history, target))
+        self.gram, self.bucket = kept[order], target[order]
+        # Histories whose weight may be needed: before an n-gram that training may not have seen; and all that are split.
+        least = 1 if n == 2 else CUTOFF
+        need = np.zeros(len(g.history_count), bool)
+        need[g.history[g.own < least]] = True
+        need[history[self.salts[history] > 1]] = True
+        need = np.flatnonzero(need & (g.history_count >= least))
+        of = np.repeat(need, self.salts[need])
+        target = self._bucket(g.history_key[of], spread(np.zeros(len(need), np.int64), self.salts[need]).astype(np.uint64), buckets)
+        # Two parts of a history may share a partition, which answers for both at once.
+        both = np.unique(target * len(g.history_count) + of)
+        self.need, self.need_bucket = both % max(len(g.history_count), 1), both // max(len(g.history_count), 1)
+        pairs, needs = {b: (a, e) for b, a, e in runs(self.bucket)}, {b: (a, e) for b, a, e in runs(self.need_bucket)}
+        self.places = [(b, slice(*pairs.get(b, (0, 0))), slice(*needs.get(b, (0, 0)))) for b in sorted(pairs.keys() | needs.keys())]
+
+    @staticmethod
+    def _bucket(key: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
+        return (mix(key + salt * _ODD) % U64(buckets)).astype(np.int64)
+
+    def messages(self, chunk: _Chunk, g: _Grams, low: _Grams, n: int) -> Iterator[tuple[int, bytes]]:
+        """Per partition: histories and their counts, followers, own counts, the followers' probabilities one order lower, histories whose weight is asked."""
+        for b, pairs, needs in self.places:
+            gram = self.gram[pairs]
+            cut = runs(g.history[gram])
+            history = np.array([c[0] for c in cut], np.int64)
+            word, code = np.unique(g.word[gram], return_inverse=True)
+            below = low.p[word] if n == 2 else low.p[g.lower[gram]]
+            yield b, pack(g.history_key[history], g.history_count[history], np.array([c[2] - c[1] for c in cut], np.int64), chunk.number[word], code, g.own[gram], below, g.history_key[self.need[needs]])
+
+    def read(self, chunk: _Chunk, g: _Grams, low: _Grams, n: int) -> None:
+        """Totals and probabilities of the order's n-grams, from the replies."""
+        size, d, least = len(g.history_count), chunk.model.d[n], 1 if n == 2 else CUTOFF
+        g.total = np.zeros(len(g.word), np.int64)
+        small, big, mass, whole = np.zeros((size, K)), np.zeros(size), np.zeros(size), np.zeros(size, bool)
+        at = chunk.model.stage(n, True)
+        for b, pairs, needs in self.places:
+            total, flags, parts, more, below = unpack(chunk.got[at + b])
+            gram, need = self.gram[pairs], self.need[needs]
+            g.total[gram] = total
+            cut = runs(g.history[gram])
+            history = np.array([c[0] for c in cut], np.int64)
+            whole[history] |= np.unpackbits(flags, count=len(history)).view(bool) & (self.salts[history] == 1)
+            np.add.at(small, need, parts.reshape(-1, K))
+            np.add.at(big, need, more)
+            np.add.at(mass, need, below)
+        known = np.zeros(size, bool)
+        known[self.need] = True
+        whole |= known & (big == g.history_count)
+        over = np.maximum(g.history_count + whole, 1)
+        left = (over - (small * d[1:] * np.arange(1, K + 1)).sum(1) - big) / over
+        weight = np.where(g.history_count >= least, left / np.maximum(1 - mass, 1e-300), 1.0)
+        g.p = np.where(g.total >= least, discounted(g.total, d) / over[g.history], weight[g.history] * low.p[g.lower])
 
 
 def _counts_of_counts(total: np.ndarray) -> list[int]:
@@ -150,155 +281,143 @@ def _replies(group: pa.Table, replies: list[bytes], counts: list[int]) -> pa.Tab
 
 def _word_table(group: pa.Table) -> pa.Table:
     """One partition of the word counts: replies to its chunks, and tokens, words and counts of counts."""
-    blobs = [_unblob(b, np.uint64, np.int64) for b in group["blob"].to_pylist()]
+    blobs = [unpack(b) for b in group["blob"].to_pylist()]
     _, code = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
     total = np.bincount(code, np.concatenate([b[1] for b in blobs])).astype(np.int64)
-    parts = np.split(total[code], np.cumsum([len(b[0]) for b in blobs])[:-1])
-    return _replies(group, [zip_array(p) for p in parts], [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total)])
-
-
-def _salts(count: np.ndarray, total: int, buckets: int) -> np.ndarray:
-    """Into how many parts a history's followers are split."""
-    return np.clip(-(-count * buckets // max(total, 1)), 1, buckets)
-
-
-def _bucket(history: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(history + salt.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) % U64(buckets)).astype(np.int64)
-
-
-class _Requests:
-    """What a chunk asks of the pair table, in sending order."""
-
-    def __init__(self, t: _Tokens, count: np.ndarray, total: int, begins: int, buckets: int) -> None:
-        v, w, self.own, self.code = t.pairs()
-        hashes = np.append(t.words, BEGIN)
-        self.count_v = np.append(count, begins)  # documents begin as often as they end
-        self.v, self.w = v, w
-        known = (self.count_v[v] > 0) & (count[w] > 0)
-        salts = _salts(self.count_v, total, buckets)
-        low = mix(t.words) & LOW40
-        pair = np.flatnonzero(known)
-        target = _bucket(hashes[v[pair]], (low[w[pair]] % salts[v[pair]].astype(np.uint64)), buckets)
-        order = np.lexsort((v[pair], target))
-        self.pair, self.pair_bucket = pair[order], target[order]
-        self.low = low
-        # Histories whose weight may be needed: they come before a pair that training may not have.
-        held = np.zeros(len(v), bool)
-        held[self.code[~t.learn]] = True
-        need = np.unique(v[held & (self.own == 0) & (self.count_v[v] > 0)])
-        n = salts[need]
-        of = np.repeat(need, n)
-        salt = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        target = _bucket(hashes[of], salt, buckets)
-        # Two parts of a history may share a partition, which answers for both at once.
-        both = np.unique(target * len(hashes) + of)
-        self.need, self.need_bucket = both % len(hashes), both // len(hashes)
-        self.hashes = hashes
-
-    def blobs(self, count: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        pairs, needs = {b: (a, e) for b, a, e in runs(self.pair_bucket)}, {b: (a, e) for b, a, e in runs(self.need_bucket)}
-        for b in sorted(pairs.keys() | needs.keys()):
-            some = self.pair[slice(*pairs.get(b, (0, 0)))]
-            histories = runs(self.v[some])
-            v = np.array([h[0] for h in histories], np.int64)
-            size = np.array([h[2] - h[1] for h in histories], np.uint32)
-            low = self.low[self.w[some]]
-            need = self.need[slice(*needs.get(b, (0, 0)))]
-            yield b, _blob(self.hashes[v], size, (low >> U64(8)).astype(np.uint32), (low & U64(255)).astype(np.uint8), count[self.w[some]], self.own[some].astype(np.uint32), self.hashes[need])
-
-
-def _pair_table(group: pa.Table, unigrams: Unigrams) -> pa.Table:
-    """One partition of the pair counts: replies with counts of pairs and the parts of the weights of histories."""
-    blobs = [_unblob(b, np.uint64, np.uint32, np.uint32, np.uint8, np.int64, np.uint32, np.uint64) for b in group["blob"].to_pylist()]
-    histories, code = np.unique(np.concatenate([np.repeat(b[0], b[1]) for b in blobs]), return_inverse=True)
-    low = np.concatenate([b[2].astype(np.uint64) << U64(8) | b[3] for b in blobs])
-    key, first, at = np.unique(code.astype(np.uint64) << U64(40) | low, return_index=True, return_inverse=True)
-    total = np.bincount(at, np.concatenate([b[5] for b in blobs]), len(key)).astype(np.int64)
-    word_count = np.concatenate([b[4] for b in blobs])[first]
-    of = (key >> U64(40)).astype(np.int64)
-    seen = total > 0
-    mass = np.bincount(of[seen], unigrams.probability(word_count[seen]), len(histories))
-    parts = np.bincount(of[seen] * (K + 1) + np.minimum(total[seen], K + 1) - 1, minlength=len(histories) * (K + 1)).reshape(-1, K + 1)
-    replies, start = [], 0
-    for b in blobs:
-        n = len(b[2])
-        need = np.searchsorted(histories, b[6])
-        here = np.minimum(need, max(len(histories) - 1, 0))
-        hit = histories[here] == b[6] if len(histories) else np.zeros(len(b[6]), bool)
-        p = np.zeros((len(b[6]), K + 1), np.uint32)
-        m = np.zeros(len(b[6]))
-        p[hit], m[hit] = parts[here[hit]], mass[here[hit]]
-        replies.append(_blob(total[at[start : start + n]], p, m))
-        start += n
-    return _replies(group, replies, _counts_of_counts(total))
-
-
-def score(docs: DataFrame, learn: Column, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Scores of all ``docs`` (doc_id, text) by the model of those for which ``learn`` is true.
+    parts = np.split(code, np.cumsum([len(b[0]) for b in blobs])[:-1])
+    return _replies(group, [pack(p, total[p]) for p in parts], [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total)])
+
+
+def _twice_table(group: pa.Table) -> pa.Table:
+    """One partition of fingerprints: which n-grams training has twice, and how many it has once."""
+    blobs = [unpack(b) for b in group["blob"].to_pylist()]
+    keys = [np.cumsum(b[0].astype(np.uint64), dtype=np.uint64) for b in blobs]
+    some, code = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(code, np.concatenate([b[1] for b in blobs]), len(some))
+    parts = np.split(n[code] >= CUTOFF, np.cumsum([len(k) for k in keys])[:-1])
+    return _replies(group, [pack(np.packbits(p)) for p in parts], [int((n == 1).sum()) + sum(int(b[2][0]) for b in blobs)])
+
+
+def _gram_table(n: int) -> Callable[[pa.Table], pa.Table]:
+    """What answers one partition of n-gram counts: replies with totals and with the parts of the weights of histories."""
+    least = 1 if n == 2 else CUTOFF
+
+    def answer(group: pa.Table) -> pa.Table:
+        blobs = [unpack(b) for b in group["blob"].to_pylist()]
+        histories, run = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blobs]), return_inverse=True)
+        count = np.zeros(len(histories), np.int64)
+        count[run] = np.concatenate([b[1].astype(np.int64) for b in blobs])
+        history = np.repeat(run, np.concatenate([b[2].astype(np.int64) for b in blobs]))
+        numbers, dense = np.unique(np.concatenate([b[3].astype(np.uint64) for b in blobs]), return_inverse=True)
+        first = np.cumsum([0] + [len(b[3]) for b in blobs[:-1]])
+        word = np.concatenate([dense[b[4].astype(np.int64) + f] for b, f in zip(blobs, first, strict=True)])
+        below = np.concatenate([b[6][b[4]] if n == 2 else b[6] for b in blobs])
+        gram, at_first, at = np.unique(history * max(len(numbers), 1) + word, return_index=True, return_inverse=True)
+        total = np.bincount(at, np.concatenate([b[5] for b in blobs]), len(gram)).astype(np.int64)
+        of = gram // max(len(numbers), 1)
+        seen = total >= least
+        mass = np.bincount(of[seen], below[at_first[seen]], len(histories))
+        low = seen & (total <= K)
+        parts = np.bincount(of[low] * K + total[low] - 1, minlength=len(histories) * K).reshape(-1, K)
+        big = np.bincount(of[total > K], total[total > K], len(histories)).astype(np.int64)
+        whole = big == count
+        replies, start, start_run = [], 0, 0
+        for b in blobs:
+            size, size_run = len(b[4]), len(b[0])
+            p, m, g = np.zeros((len(b[7]), K), np.int64), np.zeros(len(b[7])), np.zeros(len(b[7]), np.int64)
+            if len(histories):
+                need = np.minimum(np.searchsorted(histories, b[7].astype(np.uint64)), len(histories) - 1)
+                hit = histories[need] == b[7]
+                p[hit], m[hit], g[hit] = parts[need[hit]], mass[need[hit]], big[need[hit]]
+            replies.append(pack(total[at[start : start + size]], np.packbits(whole[run[start_run : start_run + size_run]]), p.ravel(), g, m))
+            start, start_run = start + size, start_run + size_run
+        return _replies(group, replies, _counts_of_counts(total * seen))
+
+    return answer
+
+
+def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Scores of all ``docs`` (doc_id, text) by the model, of ``order`` words, of those for which ``learn`` is true.
 
     Letters A-Z are lower-cased; a text's tokens are its white-space words and an end. Returns
     doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (sum of log10
     of the add-half unigram estimate) and score (sum of log10 of the model's probabilities).
     Null texts are empty: their only token is the end. Where ``learn`` is null the row is not
-    learned from. Without training rows every token is unknown, with probability 1.
+    learned from. Without training rows every token is unknown, with probability 1. Repeated rows
+    count and are scored as often as they come; an empty table gives no rows. A text is held in
+    one task whole, with about 100 bytes of working memory for each of its bytes.
     """
+    if order < 2:
+        raise ValueError("the order is two at least")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("learn"))
-    chunks = chunked(slim, "katz")
-    buckets = max(1, -(-total_bytes(chunks) // bucket_bytes))
+    chunks = chunked(slim, "katz", make=_body)
+    model = _Model(max(1, -(-total_bytes(chunks) // bucket_bytes)))
 
-    def ask_words(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        t = _Tokens(body)
-        n = np.bincount(t.code, t.learn, len(t.words)).astype(np.int64)
-        order, cuts = t.asked(buckets)
+    def ask_words(body: bytes, got: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+        c = _Chunk(body, got, _Model(model.buckets))
+        n = c.own_words()
+        by, cuts = _by_words(c.words, model.buckets)
         for at, a, b in cuts:
-            yield at, _blob(t.words[order[a:b]], n[order[a:b]])
-
-    words = stored(asked(chunks, ask_words).groupBy("bucket").applyInArrow(_word_table, _ROW), "word-counts")
-    sums = words.where("counts is not null").agg(*[F.sum(F.col("counts")[i]) for i in range(K + 3)]).first()
-    total, distinct, *of_counts = (int(x or 0) for x in sums)
-    unigrams = Unigrams(total, distinct, of_counts)
-    begins = slim.where("learn").count()
-
-    def ask_pairs(body: bytes, got: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
-        t = _Tokens(body)
-        count = t.counts(got, buckets)
-        return _Requests(t, count, total, begins, buckets).blobs(count)
-
-    word_replies = words.select("bucket", "chunk", "reply")
-    pairs = stored(asked(chunks, ask_pairs, word_replies).groupBy("bucket").applyInArrow(lambda g: _pair_table(g, unigrams), _ROW), "pair-counts")
-    d = discounts([int(x or 0) for x in pairs.where("counts is not null").agg(*[F.sum(F.col("counts")[i]) for i in range(K + 1)]).first()])
+            yield at, pack(c.words[by[a:b]], n[by[a:b]])
+
+    def sums(rows: DataFrame, n: int) -> list[int]:
+        return [int(x or 0) for x in rows.where("counts is not null").agg(*[F.sum(F.col("counts")[i]) for i in range(n)]).first()]
+
+    def stage(ask: Callable, table: Callable, at: int) -> tuple[DataFrame, DataFrame]:
+        rows = stored(asked(chunks, ask, told).groupBy("bucket").applyInArrow(table, _ROW), "katz-counts")
+        return rows, rows.select((F.col("bucket") + at).alias("bucket"), "chunk", "reply")
+
+    told = None
+    rows, told = stage(ask_words, _word_table, 0)
+    total, distinct, *of_counts = sums(rows, K + 3)
+    model.unigrams = Unigrams(total, distinct, of_counts)
+    for n in range(2, order + 1):
+        once = None
+        if n > 2:
+
+            def ask_twice(body: bytes, got: dict[int, bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
+                c = _Chunk(body, got, model)
+                low = c.known(n - 1)[-1]
+                g = c.next(low, n)
+                fine = c.candidates(g, low, n)
+                by, cuts = c.fingerprints(g, np.flatnonzero(fine))
+                # An n-gram with a part that occurs once occurs once itself, here.
+                once = int(((g.own == 1) & ~fine).sum())
+                for at, a, b in cuts or [(0, 0, 0)]:
+                    key = g.key[by[a:b]] & LOW40
+                    yield at, pack(np.diff(key, prepend=U64(0)), np.minimum(g.own[by[a:b]], CUTOFF), np.array([once]))
+                    once = 0
+
+            rows, more = stage(ask_twice, _twice_table, model.stage(n, False))
+            told = told.unionByName(more)
+            once = sums(rows, 1)[0]
+
+        def ask_grams(body: bytes, got: dict[int, bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
+            c = _Chunk(body, got, model)
+            low = c.known(n - 1)[-1]
+            g = c.next(low, n)
+            return c.requests(g, low, n).messages(c, g, low, n)
+
+        rows, more = stage(ask_grams, _gram_table(n), model.stage(n, True))
+        told = told.unionByName(more)
+        counts = sums(rows, K + 1)
+        model.d[n] = discounts(counts if once is None else [once, *counts[1:]])
 
     def read(body: bytes, got: dict[int, bytes]) -> pa.Table:
-        t = _Tokens(body)
-        count = t.counts(got, buckets)
-        r = _Requests(t, count, total, begins, buckets)
-        seen = np.zeros(len(r.v), np.int64)
-        parts, mass = np.zeros((len(r.count_v), K + 1)), np.zeros(len(r.count_v))
-        places = {b: (a, e) for b, a, e in runs(r.pair_bucket)}
-        needs = {b: (a, e) for b, a, e in runs(r.need_bucket)}
-        for b in sorted(places.keys() | needs.keys()):
-            n, p, m = _unblob(got[buckets + b], np.int64, np.uint32, np.float64)
-            seen[r.pair[slice(*places.get(b, (0, 0)))]] = n
-            some = r.need[slice(*needs.get(b, (0, 0)))]
-            np.add.at(parts, some, p.reshape(-1, K + 1))
-            np.add.at(mass, some, m)
-        history = np.maximum(r.count_v, 1)
-        left = (parts * taken(d)).sum(1) / history
-        weight = np.where(r.count_v > 0, left / np.maximum(1 - mass, 1e-300), 1.0)
-        direct = np.log10(np.maximum(discounted(seen, d), 1e-300) / history[r.v])
-        below = np.log10(np.maximum(weight[r.v], 1e-300)) + np.log10(unigrams.probability(count))[r.w]
-        value = np.where(seen > 0, direct, below)
-        n = len(t.lengths)
+        c = _Chunk(body, got, model)
+        value = np.zeros(len(c.code))
+        for g in c.known(order)[1:]:
+            value[g.of >= 0] = g.p[g.of[g.of >= 0]]
+        n = len(c.lengths)
         columns = {
-            "doc_id": t.rows["doc_id"],
-            "n_tokens": pa.array(t.lengths.astype(np.int64)),
-            "n_known": pa.array(np.bincount(t.of, count[t.code] > 0, n).astype(np.int64)),
+            "doc_id": pa.array(c.ids.astype(np.int64), mask=c.null),
+            "n_tokens": pa.array(c.lengths),
+            "n_known": pa.array(np.bincount(c.doc, c.count[c.code] > 0, n).astype(np.int64)),
             "train_tokens": pa.array(np.full(n, total, np.int64)),
-            "base_score": pa.array(np.bincount(t.of, unigrams.base(count)[t.code], n)),
-            "score": pa.array(np.bincount(t.of, value[r.code], n)),
+            "base_score": pa.array(np.bincount(c.doc, model.unigrams.base(c.count)[c.code], n)),
+            "score": pa.array(np.bincount(c.doc, np.log10(np.maximum(value, 1e-300)), n)),
         }
         return pa.table(columns)
 
-    told = word_replies.unionByName(pairs.select((F.col("bucket") + buckets).alias("bucket"), "chunk", "reply"))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(c, T.DoubleType()) for c in ("base_score", "score"))])
     return with_replies(chunks, told, read, schema)

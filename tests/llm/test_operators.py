@@ -111,39 +111,68 @@ def test_ngram_join(docs, empty, spark):
     assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(odd).collect()} == {None: None, 3: 2, 1: 1, 2: 2}
 
 
+class KatzByHand:
+    """The model of katz.score from dictionaries."""
+
+    def __init__(self, texts, order):
+        self.c = [None] + [Counter() for _ in range(order)]
+        for w in texts:
+            seq = [b"\0begin", *w]
+            for n in range(1, order + 1):
+                self.c[n].update(tuple(seq[i - n + 1 : i + 1]) for i in range(max(1, n - 1), len(seq)))
+        k = katz.K
+        self.d = [None] + [katz.discounts([sum(v == r for v in c.values()) for r in range(1, k + 2)]) for c in self.c[1:]]
+        self.total = sum(self.c[1].values())
+        left = sum((1 - self.d[1][n]) * n for n in self.c[1].values() if n <= k)
+        self.over, self.unknown = (self.total, left / self.total) if left else (self.total + 1, 1 / (self.total + 1))
+        self.weights = {}
+
+    def kept(self, gram):
+        n = self.c[len(gram)][gram]
+        least = 1 if len(gram) < 3 else 2
+        return 0 if n < least else self.d[len(gram)][n] * n if n <= katz.K else n
+
+    def history(self, h):
+        if h not in self.weights:
+            count = len(self.texts_begin) if h == (b"\0begin",) else self.c[len(h)][h]
+            seen = [g for g in self.c[len(h) + 1] if g[:-1] == h and self.kept(g)]
+            took = sum(map(self.kept, seen))
+            over = count + (took == count)
+            low = sum(self.p(g[1:]) for g in seen)
+            self.weights[h] = (over, (over - took) / over / (1 - low) if count else 1.0)
+        return self.weights[h]
+
+    def p(self, gram):
+        if len(gram) == 1:
+            return self.kept(gram) / self.over if self.c[1][gram] else self.unknown
+        over, weight = self.history(gram[:-1])
+        return self.kept(gram) / over if self.kept(gram) else weight * self.p(gram[1:])
+
+
 def test_katz(docs, empty):
     rows = [(i, [*split(t, True), b"\0end"], i % 5 != 1) for i, t in corpus()]
-    c, pairs = Counter(), Counter()
-    for _, w, learn in rows:
-        if learn:
-            c.update(w)
-            pairs.update(zip([b"\0begin", *w[:-1]], w, strict=True))
-    total, k = sum(c.values()), katz.K
-    discount = lambda counts: katz.discounts([sum(v == r for v in counts.values()) for r in range(1, k + 2)])
-    d1, d2 = discount(c), discount(pairs)
-    taken = lambda d, n: d[n] * n if n <= k else n - katz.LARGE
-    unknown = 1 - sum(taken(d1, n) for n in c.values()) / total
-    p1 = lambda w: taken(d1, c[w]) / total if c[w] else unknown
-    history, seen, below = Counter(), defaultdict(float), defaultdict(float)
-    for (v, _), n in pairs.items():
-        history[v] += n
-    for (v, w), n in pairs.items():
-        seen[v] += taken(d2, n) / history[v]
-        below[v] += p1(w)
-
-    def p2(v, w):
-        if pairs[v, w]:
-            return taken(d2, pairs[v, w]) / history[v]
-        return (1 - seen[v]) / (1 - below[v]) * p1(w) if history[v] else p1(w)
-
-    for v in list(history)[:20]:  # exactly normalised
-        assert abs(sum(p2(v, w) for w in c) + p2(v, b"\0none") - 1) < 1e-9
-    want = {i: (len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 0.5) / (total + 0.5 * (len(c) + 1))) for x in w), sum(math.log10(p2(v, x)) for v, x in zip([b"\0begin", *w[:-1]], w, strict=True))) for i, w, _ in rows}
-    for size in (1 << 30, 2000):
-        got = {r[0]: tuple(r)[1:] for r in katz.score(docs, F.col("doc_id") % 5 != 1, bucket_bytes=size).collect()}
-        assert {i: (got.get(i), want[i]) for i in want if got.get(i) != pytest.approx(want[i], rel=1e-9, abs=1e-9)} == {} and got.keys() == want.keys()
+    learned = [w for _, w, learn in rows if learn]
+    for order, sizes in ((2, (2000,)), (3, (1 << 30, 2000)), (4, (3000,))):
+        model = KatzByHand(learned, order)
+        model.texts_begin = learned
+        c = Counter({g[0]: n for g, n in model.c[1].items()})
+        total = model.total
+        for h in [*list(model.c[order - 1])[:12], *model.c[order - 1].most_common(3)]:  # exactly normalised
+            h = h[0] if isinstance(h[-1], int) else h
+            if h[-1] != b"\0end":
+                assert abs(sum(model.p((*h, w)) for w in c) + model.p((*h, b"\0none")) - 1) < 1e-9
+        want = {}
+        for i, w, _ in rows:
+            seq = [b"\0begin", *w]
+            score = sum(math.log10(model.p(tuple(seq[max(0, j - order + 1) : j + 1]))) for j in range(1, len(seq)))
+            want[i] = (len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 0.5) / (total + 0.5 * (len(c) + 1))) for x in w), score)
+        for size in sizes:
+            got = {r[0]: tuple(r)[1:] for r in katz.score(docs, F.col("doc_id") % 5 != 1, order, bucket_bytes=size).collect()}
+            assert {i: (got.get(i), want[i]) for i in want if got.get(i) != pytest.approx(want[i], rel=1e-9, abs=1e-9)} == {} and got.keys() == want.keys()
     assert katz.score(empty, F.lit(True)).count() == 0
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in katz.score(docs, F.lit(None).cast("boolean")).collect())
+    twice = katz.score(docs.union(docs), F.lit(True)).collect()
+    assert len(twice) == 2 * len(rows) and sum(r["n_tokens"] for r in twice) == twice[0]["train_tokens"]
 
 
 def test_packing_and_shards(docs, empty, spark):
