@@ -6,9 +6,11 @@ window is anchored at one of its words: where the short word group with the leas
 share their anchor, so only about one word in six is the root of a suffix.
 
 - A suffix carries the words of all windows that are anchored at its start: some words before it
-  and those behind it. It goes to the subtree of its prefix, whose length varies: the shortest
-  that does not hold more than a subtree's share of the corpus. Where even the whole group of
-  words is that common, every window goes by itself, and its prefix is all of it.
+  and those behind it. First the groups of words at the anchors are counted over the corpus; a
+  suffix whose group no other has goes no further.
+- The others go to the subtree of their prefix, whose length varies: the group of words, where
+  that does not hold more than a subtree's share of all windows; where it does, every window
+  goes by itself, and its prefix is all of it.
 - A subtree sorts its suffixes word by word. The lengths of the common prefixes of neighbours give
   the inner nodes: suffixes below one node of depth d share their first d words. The words
   before the anchors make a second tree, read backwards. A window with d words from its anchor on
@@ -36,14 +38,11 @@ from .chunks import answered, asked, chunk_rows, chunked, pack, runs, spread, to
 from .common import stored
 from .textkernel import U64, _power, mix, window_hash, word_hashes
 
-#: Words of the group whose rank anchors a window, at most: the longest prefix of a suffix.
-GRAM = 3
+#: Words of the group whose rank anchors a window: half of the window, at most so many.
+GRAM = 8
 #: Bytes of text whose suffixes make one subtree, about a million words.
 TREE_BYTES = 6 << 20
-#: Prefix classes that are counted for each subtree.
-CLASSES = 4
-#: Classes in one bitmap row of the plan.
-BITS = 1 << 20
+LOW40 = U64((1 << 40) - 1)
 
 
 def anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -60,11 +59,16 @@ def anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 
 class Suffixes:
-    """The anchored suffixes of one chunk: the first of equal ones, and which of them stands for each."""
+    """The anchored suffixes of one chunk: the first of equal ones, and which of them stands for each.
 
-    def __init__(self, texts: list[bytes], window: int, heavy: list[np.ndarray] | None = None, trees: int = 1) -> None:
+    With the counts of their groups (``heard``) those that nothing else can equal are left out of
+    ``sent``, and the windows of groups that hold more than ``share`` go by themselves.
+    """
+
+    def __init__(self, texts: list[bytes], window: int, trees: int, heard: dict[int, bytes] | None = None, share: float = 0.0) -> None:
         words, owner = word_hashes(texts)
-        self.words, self.owner, self.window, self.gram = words, owner, window, min(GRAM, window)
+        self.words, self.owner, self.window, self.trees = words, owner, window, trees
+        self.gram = min(GRAM, max(1, window // 2))
         self.n_words = np.bincount(owner, minlength=len(texts))
         n = max(0, len(words) - window + 1)
         start = np.flatnonzero(owner[:n] == owner[window - 1 :]) if n else np.zeros(0, np.int64)
@@ -72,30 +76,43 @@ class Suffixes:
         new = np.flatnonzero(np.concatenate(([True], (start[1:] != start[:-1] + 1) | (anchor[1:] != anchor[:-1])))) if len(start) else start
         # Windows lo, ..., lo + n - 1 are anchored at ``anchor``.
         self.lo, self.anchor, self.n = start[new], anchor[new], np.diff(np.append(new, len(start)))
-        tree = np.zeros(len(self.lo), np.uint64)
-        if heavy is not None:
-            open_ = np.ones(len(self.lo), bool)
-            for level, bits in enumerate(heavy, 1):
-                prefix = self.prefix(level, slice(None))
-                slot = prefix % U64(CLASSES * trees)
-                here = open_ & ((bits[slot >> U64(3)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 0)
-                tree[here] = mix(prefix[here] + U64(level)) % U64(trees)
-                open_ &= ~here
-            tree = self._split(tree, open_, trees)
-        key = self._fingerprint(self.lo, self.lo + self.n + window - 1)
+        self._stand()
+        group = window_hash(words, self.gram)[self.anchor[self.first]]
+        self.groups, code = np.unique(group, return_inverse=True)
+        self.windows = np.bincount(code, self.n[self.first], len(self.groups)).astype(np.int64)
+        self.alone = np.bincount(code, minlength=len(self.groups)) == 1
+        tree = mix(self.groups + U64(1)) % U64(trees)
+        if heard is None:
+            return
+        order, cuts = self.counted()
+        count, only = np.zeros(len(self.groups), np.int64), np.zeros(len(self.groups), bool)
+        for at, a, b in cuts:
+            total, single = unpack(heard[at])
+            count[order[a:b]], only[order[a:b]] = total, np.unpackbits(single, count=b - a)
+        group = np.empty(len(self.lo), np.int64)
+        group[:] = np.searchsorted(self.groups, window_hash(words, self.gram)[self.anchor]) if len(self.groups) else 0
+        heavy = (count > share)[group]
+        if heavy.any():
+            size = np.where(heavy, self.n, 1)
+            self.lo, heavy = spread(self.lo, size), np.repeat(heavy, size)
+            self.anchor, group, self.n = np.repeat(self.anchor, size), np.repeat(group, size), np.where(heavy, 1, np.repeat(self.n, size))
+            self._stand()
+        of = group[self.first]
+        whole = mix(self._fingerprint(self.lo[self.first], self.lo[self.first] + window) + U64(2)) % U64(trees)
+        self.tree = np.where(heavy[self.first], whole, tree[of] if len(tree) else whole).astype(np.int64)
+        self.open = ~only[of]
+
+    def _stand(self) -> None:
+        """Find the first of equal suffixes. Suffixes come in ascending doc_id order."""
+        key = self._fingerprint(self.lo, self.lo + self.n + self.window - 1)
         _, self.first, self.code = np.unique(key, return_index=True, return_inverse=True)
         self._keep_unequal()
-        self.tree = tree[self.first].astype(np.int64)
-
-    def _split(self, tree: np.ndarray, some: np.ndarray, trees: int) -> np.ndarray:
-        """Make each window of ``some`` a suffix of its own, in the tree of all its words."""
-        if some.any():
-            size = np.where(some, self.n, 1)
-            self.lo, alone = spread(self.lo, size), np.repeat(some, size)
-            self.anchor, self.n, tree = np.repeat(self.anchor, size), np.where(alone, 1, np.repeat(self.n, size)), np.repeat(tree, size)
-            whole = self._fingerprint(self.lo[alone], self.lo[alone] + self.window)
-            tree[alone] = mix(whole + U64(GRAM + 1)) % U64(trees)
-        return tree
+
+    def counted(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(groups by partition and fingerprint, runs of the partitions)."""
+        bucket = (mix(self.groups + U64(5)) % U64(self.trees)).astype(np.int64)
+        order = np.lexsort((self.groups & LOW40, bucket))
+        return order, runs(bucket[order])
 
     def _fingerprint(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         up, down = _power(len(self.words) + 1)
@@ -115,47 +132,22 @@ class Suffixes:
         self.code[lost] = len(self.first) + np.arange(len(lost))
         self.first = np.concatenate((self.first, lost))
 
-    def prefix(self, level: int, some: object) -> np.ndarray:
-        """Fingerprints of the first ``level`` words of suffixes."""
-        return window_hash(self.words, level)[self.anchor[some]]
-
     def sent(self) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """(the suffixes that are sent, in order; (subtree, begin, end) of their runs)."""
-        order = np.lexsort((self.first, self.tree))
+        some = np.flatnonzero(self.open)
+        order = some[np.lexsort((self.first[some], self.tree[some]))]
         return self.first[order], runs(self.tree[order])
 
 
-def _plan(chunks: DataFrame, trees: int, window: int) -> list[np.ndarray]:
-    """For each prefix length, a bitmap of the prefix classes that hold more than a subtree's share of the windows.
-
-    Equal suffixes of a chunk count once, as they are sent once. The bitmaps have CLASSES * trees
-    bits: 8 MB where there are 16 million trees. They are made in tasks, BITS bits a row.
-    """
-    classes, levels = CLASSES * trees, range(1, min(GRAM, window) + 1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for body in batch.column("body"):
-                suffixes = Suffixes(chunk_rows(body.as_py())[2], window)
-                for level in levels:
-                    slot, code = np.unique(suffixes.prefix(level, suffixes.first) % U64(classes), return_inverse=True)
-                    n = np.bincount(code, suffixes.n[suffixes.first], len(slot))
-                    yield pa.RecordBatch.from_pydict({"level": np.full(len(n), level, np.int32), "slot": slot.astype(np.int64), "n": n.astype(np.int64)})
-
-    def bitmap(group: pa.Table) -> pa.Table:
-        bits = np.zeros(BITS, bool)
-        slot = np.asarray(group["slot"])
-        bits[slot % BITS] = True
-        return pa.table({"level": group["level"][:1], "part": pa.array(slot[:1] // BITS), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    counts = stored(chunks.select("body").mapInArrow(count, "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n")), "prefixes")
-    share = (counts.where("level = 1").agg(F.sum("n")).first()[0] or 0) / trees
-    found = counts.where(F.col("n") > share).groupBy("level", F.floor(F.col("slot") / BITS).alias("part")).applyInArrow(bitmap, "level int, part long, bits binary").collect()
-    size = -(-classes // BITS)
-    out = [np.zeros(size * BITS // 8, np.uint8) for _ in levels]
-    for level, part, bits in found:
-        out[level - 1][part * BITS // 8 : (part + 1) * BITS // 8] = np.frombuffer(bits, np.uint8)
-    return out
+def _counts(blobs: list[bytes]) -> list[bytes]:
+    """For each group of words: the windows of all chunks at it, and whether it has only one suffix in all."""
+    parts = [unpack(b) for b in blobs]
+    keys = [np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts]
+    _, code = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(code, np.concatenate([p[1] for p in parts])).astype(np.int64)
+    suffixes = np.bincount(code, 2 - np.concatenate([np.unpackbits(p[2], count=len(k)) for p, k in zip(parts, keys, strict=True)]))
+    cut = np.cumsum([len(k) for k in keys])[:-1]
+    return [pack(n, np.packbits(s)) for n, s in zip(np.split(total[code], cut), np.split((suffixes == 1)[code], cut), strict=True)]
 
 
 def _message(suffixes: Suffixes, some: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -223,12 +215,20 @@ def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.
         raise ValueError("a window has one word at least")
     chunks = chunked(docs, "substring")
     trees = max(1, -(-total_bytes(chunks) // tree_bytes))
-    # The bitmaps' size is bounded by the number of subtrees: see _plan.
-    heavy = docs.sparkSession.sparkContext.broadcast(_plan(chunks, trees, window))
+    share = tree_bytes / 6  # windows: words of six bytes
+
+    def ask_counts(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+        s = Suffixes(chunk_rows(body)[2], window, trees)
+        order, cuts = s.counted()
+        for at, a, b in cuts:
+            some = order[a:b]
+            yield at, pack(np.diff(s.groups[some] & LOW40, prepend=U64(0)), s.windows[some], np.packbits(s.alone[some]))
+
+    counts = stored(answered(asked(chunks, ask_counts), _counts), "groups")
 
-    def ask(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
+    def ask(body: bytes, heard: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         _, ids, texts = chunk_rows(body)
-        suffixes = Suffixes(texts, window, heavy.value, trees)
+        suffixes = Suffixes(texts, window, trees, heard, share)
         suffixes.vocabulary, codes = np.unique(suffixes.words, return_inverse=True)
         order, cuts = suffixes.sent()
         for tree, a, b in cuts:
@@ -239,14 +239,15 @@ def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.
 
     def marked(body: bytes, replies: dict[int, bytes]) -> pa.Table:
         rows, ids, texts = chunk_rows(body)
-        s = Suffixes(texts, window, heavy.value, trees)
+        s = Suffixes(texts, window, trees, {k - trees: v for k, v in replies.items() if k >= trees}, share)
         order, cuts = s.sent()
         late = np.zeros(int(s.n[order].sum()), bool)
         begin = np.cumsum(s.n[order]) - s.n[order]
         for tree, a, b in cuts:
             upto = int(begin[b]) if b < len(begin) else len(late)
             late[begin[a] : upto] = np.unpackbits(unpack(replies[tree])[0], count=upto - int(begin[a])).view(bool)
-        place = np.empty(len(s.lo), np.int64)
+        # What is not sent has no equal elsewhere: its windows look at one more entry, which is false.
+        late, place = np.append(late, np.zeros(int(s.n.max(initial=0)), bool)), np.full(len(s.lo), len(late), np.int64)
         place[order] = begin
         stands = s.first[s.code]
         # A window repeats if the one that stands for it does, or if that is in a document with a smaller id.
@@ -254,7 +255,8 @@ def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.
         gone = late[spread(place[stands], s.n)] | np.repeat(doc > doc[stands], s.n)
         return read(rows, ids, texts, s, spread(s.lo, s.n)[gone])
 
-    return with_replies(chunks, answered(asked(chunks, ask), answer), marked, schema)
+    told = counts.select((F.col("bucket") + trees).alias("bucket"), "chunk", "reply")
+    return with_replies(chunks, answered(asked(chunks, ask, counts), answer).unionByName(told), marked, schema)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, tree_bytes: int = TREE_BYTES, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
