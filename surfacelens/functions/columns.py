@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -58,25 +59,41 @@ def status_rank(status: Column) -> Column:
     return F.coalesce(lookup({s: i for i, s in enumerate(rules.STATUS_ORDER)}, status), F.lit(0))
 
 
+def any_of(names: Iterable[str]) -> str:
+    """A pattern of alternatives."""
+    return "(" + "|".join(re.escape(n) for n in names) + ")"
+
+
+def unix(path: Column) -> Column:
+    """A path with forward slashes."""
+    return F.regexp_replace(path, r"\\", "/")
+
+
+def base_name(path: Column) -> Column:
+    """What follows the last slash."""
+    return F.substring_index(unix(path), "/", -1)
+
+
 def skip_reason(path: Column) -> Column:
-    """Why a path is no product source; '' if it is."""
-    clean = F.regexp_replace(path, r"\\", "/")
+    """Why a path is no product source; '' if it is: the first skipped folder, a test file, another program, or vendored code."""
+    clean = unix(path)
     parts = F.split(clean, "/")
     folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
     bad = F.filter(folders, lambda p: p.isin(*rules.SKIPPED_DIRS))
-    vendored = (clean.startswith("third_party/") & ~clean.startswith("third_party/blink/")) | clean.rlike(rules.VENDORED_INSIDE)
+    test = any_of(rules.TEST_ENDINGS) + r"\.[A-Za-z0-9]+$|(^|/)" + any_of(rules.TEST_STEMS) + r"\.[A-Za-z0-9]+$"
+    vendored = (clean.startswith(rules.VENDORED_ROOT) & ~clean.startswith(rules.OWN_VENDORED)) | clean.rlike("/third_party/" + any_of(rules.VENDORED_NAMES) + "/")
     return (
-        F.when(F.size(bad) > 0, F.concat(F.get(bad, F.lit(0)), F.lit("/ is not product code")))
-        .when(clean.rlike(rules.TEST_FILE), rules.SKIP_TEXTS[0])
-        .when(clean.rlike(rules.NOT_PRODUCT), rules.SKIP_TEXTS[1])
-        .when(vendored, rules.SKIP_TEXTS[2])
+        F.when(F.size(bad) > 0, F.concat(F.lit("folder "), F.get(bad, F.lit(0))))
+        .when(clean.rlike(test), "test file")
+        .when(clean.rlike("^" + any_of(rules.OTHER_PROGRAMS)), "other program")
+        .when(vendored, "vendored")
         .otherwise("")
     )
 
 
 def other_platform_dir(path: Column) -> Column:
     """Whether a path lies in a directory that our platform does not build."""
-    return path.rlike(r"(^|/)(android|ios|mac|linux|chromeos|ash|fuchsia|cros|posix|ozone|cocoa|x11|wayland|lacros)/")
+    return unix(path).rlike("^" + any_of(rules.OTHER_PLATFORM_ROOTS) + "/|/" + any_of(rules.OTHER_PLATFORM_FOLDERS) + "/")
 
 
 def feature_name_from_var(var: Column) -> Column:
@@ -112,7 +129,8 @@ def milestone_from_ref(ref: Column) -> Column:
 
 def share(candidates: Column, read: Column) -> Column:
     """Read share in [0, 1]; null without candidates or reading."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), read.cast("double") / F.when(candidates > 0, candidates)))
+    part = read.cast("double") / F.when(candidates > 0, candidates)
+    return F.when(part.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), part)))
 
 
 def read_percent(value: Column) -> Column:
@@ -135,14 +153,26 @@ def guard_platform_state(results: Column) -> Column:
     )
 
 
+def _resource(path: Column) -> Column:
+    """A path below the resources' root; other paths as they are."""
+    return F.regexp_replace(path, "^" + re.escape(rules.RESOURCES), "")
+
+
 def surface_of(path: Column) -> Column:
-    """The UI surface of a resource path: the folder after 'resources'."""
-    return F.regexp_extract(path, r"(?:^|/)resources/([^/]+)/", 1)
+    """The UI surface of a resource: the first folder below the resources' root."""
+    return F.substring_index(_resource(path), "/", 1)
 
 
 def stem_of(path: Column) -> Column:
-    """A file's name without its extensions."""
-    return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\..*$", "")
+    """A template's name without '.html' or '.html.ts'; another file's without its last extension."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.rlike(r"\.html(\.ts)?$"), F.regexp_replace(name, r"\.html(\.ts)?$", "")).otherwise(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""))
+
+
+def page_of(path: Column) -> Column:
+    """The page of a resource: the second folder below the root, else the file's stem."""
+    parts = F.split(_resource(path), "/")
+    return F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise(stem_of(path))
 
 
 def trim_location(where: Column, most: int = 52) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,123 +11,165 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-_OPEN, _CLOSE = "([{<", ")]}>"
+from . import rules
+
+_QUOTED = r'"(?:\\.|[^"\\])*(?:"|$)|\'(?:\\.|[^\'\\])*(?:\'|$)'
+_MARKS = re.compile(_QUOTED + r"|[()\[\]{}<>,;]", re.S)
+_COMMENT = re.compile(_QUOTED + r"|//[^\n]*|/\*.*?(?:\*/|$)", re.S)
+
+
+def collapse(text: str) -> str:
+    """White space collapsed and trimmed."""
+    return " ".join(text.split())
+
+
+def mask_comments(text: str) -> str:
+    """The text with C-like comments blanked, offsets and lines unchanged; quoted text stays."""
+    return _COMMENT.sub(lambda m: m[0] if m[0][0] in "\"'" else re.sub(r"[^\n]", " ", m[0]), text)
+
+
+def line_of(text: str, at: int) -> int:
+    """The line of an offset, from 1."""
+    return text.count("\n", 0, at) + 1
+
+
+def parts_at(text: str, mark: str = ",") -> list[tuple[int, str]]:
+    """(offset, part) between marks outside brackets and quotes, parts trimmed.
+
+    '<' is a bracket only after a letter, digit or underscore, '>' only where such a one is open.
+    """
+    cuts, depth, angle = [-1], 0, 0
+    for m in _MARKS.finditer(text):
+        c, i = m[0], m.start()
+        if c in ("(", "[", "{"):
+            depth += 1
+        elif c in (")", "]", "}"):
+            depth -= 1
+        elif c == "<":
+            angle += i > 0 and (text[i - 1].isalnum() or text[i - 1] == "_")
+        elif c == ">":
+            angle -= angle > 0
+        elif c == mark and not depth and not angle:
+            cuts.append(i)
+    out = []
+    for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+        part = text[a + 1 : b]
+        out.append((a + 1 + len(part) - len(part.lstrip()), part.strip()))
+    return out
 
 
 def split_top(text: str, mark: str = ",") -> list[str]:
     """Parts of a text between marks outside brackets and quotes."""
-    parts, depth, quote, begin = [], 0, "", 0
-    for i, c in enumerate(text):
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'":
-            quote = c
-        elif c in _OPEN:
+    return [p for _, p in parts_at(text, mark)]
+
+
+def closing(text: str, begin: int) -> int | None:
+    """The place of the bracket that closes the one at ``begin``; None if none does. Quoted brackets don't count."""
+    pair, depth = {"(": ")", "{": "}", "[": "]"}[text[begin]], 0
+    for m in _MARKS.finditer(text, begin):
+        if m[0] == text[begin]:
             depth += 1
-        elif c in _CLOSE:
+        elif m[0] == pair:
             depth -= 1
-        elif c == mark and depth <= 0:
-            parts.append(text[begin:i])
-            begin = i + 1
-    return [*parts, text[begin:]]
+            if not depth:
+                return m.start()
+    return None
 
 
 def arity_range(signature: str) -> tuple[int, int | None]:
-    """(required arguments, most arguments or None) of a signature."""
+    """(required arguments, most arguments or None) of a signature; commas inside (), [] and <> of any depth part nothing."""
     begin = signature.find("(")
     inner = signature[begin + 1 : signature.rfind(")")].strip() if begin >= 0 else ""
     if not inner:
         return 0, 0
-    parts = [p.strip() for p in split_top(inner)]
+    depth, text = 0, []
+    for c in inner:
+        depth += (c in "(<[") - (c in ")>]")
+        text.append("\x01" if c == "," and depth else c)
+    parts = [p.strip() for p in "".join(text).split(",")]
     fixed = [p for p in parts if "..." not in p]
     return sum(not p.startswith("optional ") for p in fixed), None if len(fixed) < len(parts) else len(parts)
 
 
 def arity_ranges(signatures: Column) -> Column:
-    """C6 of an array of signatures as structs (low, high), JVM-side: brackets up to six deep are emptied, then commas split."""
+    """C6 of an array of signatures as structs (low, high), JVM-side, for brackets of any depth."""
+
+    def step(state: Column, c: Column) -> Column:
+        depth = state["depth"] + F.when(c.isin("(", "<", "["), 1).when(c.isin(")", ">", "]"), -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.concat(state["text"], F.when((c == ",") & (depth != 0), "\x01").otherwise(c)).alias("text"))
 
     def one(signature: Column) -> Column:
         inner = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1))
-        for _ in range(6):
-            inner = F.regexp_replace(inner, r"[(\[<][^()\[\]<>]*[)\]>]", "")
-        parts = F.transform(F.split(inner, ","), lambda p: F.trim(p))
+        flat = F.when(inner.rlike(r"[(<\[]"), F.aggregate(F.split(inner, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"])).otherwise(inner)
+        parts = F.transform(F.split(flat, ","), lambda p: F.trim(p))
         fixed = F.filter(parts, lambda p: ~p.contains("..."))
-        empty = F.trim(F.regexp_extract(signature, r"(?s)\((.*)\)", 1)) == ""
-        low = F.when(empty, 0).otherwise(F.size(F.filter(fixed, lambda p: ~p.startswith("optional "))))
-        high = F.when(empty, 0).when(F.size(fixed) < F.size(parts), None).otherwise(F.size(parts))
+        low = F.when(inner == "", 0).otherwise(F.size(F.filter(fixed, lambda p: ~p.startswith("optional "))))
+        high = F.when(inner == "", 0).when(F.size(fixed) < F.size(parts), None).otherwise(F.size(parts))
         return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
 
     return F.transform(signatures, one)
 
 
 def normalize_signature(text: str) -> str:
-    """White space around brackets and commas in one form; quoted text stays."""
+    """White space inside brackets and around commas in one form; quoted text stays."""
     out = []
     for i, part in enumerate(re.split(r'("[^"]*"|\'[^\']*\')', text or "")):
         if i % 2 == 0:
             part = re.sub(r"\s+", " ", part)
-            part = re.sub(r"\s*([(\[<])\s*", r"\1", part)
-            part = re.sub(r"\s*([)\]>])", r"\1", part)
-            part = re.sub(r"\s*,\s*", ", ", part)
+            part = re.sub(r"([(<]) ", r"\1", part)
+            part = re.sub(r" ([)>,])", r"\1", part)
+            part = re.sub(r", ?", ", ", part)
         out.append(part)
     return "".join(out).strip()
 
 
 def normalize_params(text: str) -> str:
     """Parameters split at the top level, collapsed and joined by ', '."""
-    return ", ".join(p for p in (re.sub(r"\s+", " ", x).strip() for x in split_top(text or "")) if p)
+    return ", ".join(p for p in map(collapse, split_top(text or "")) if p)
 
 
-def parse_ext_attrs(text: str) -> dict[str, str]:
-    """X7: 'A=b, C' as a map; a bare name's value is 'true'."""
-    out = {}
+def parse_ext_attrs(text: str) -> dict[str, str | bool]:
+    """X7: 'A=b, C' as a map; a bare name's value is true."""
+    out: dict[str, str | bool] = {}
     for part in split_top(text or ""):
-        name, _, value = part.partition("=")
-        if name.strip():
-            out[name.strip()] = value.strip() or "true"
+        name, equals, value = part.partition("=")
+        if part:
+            out[name.strip()] = collapse(value) if equals else True
     return out
 
 
-#: Macros that are known for our platform. Fixed values.
-KNOWN = {"BUILDFLAG(IS_WIN)": True, "BUILDFLAG(IS_ANDROID)": False, "BUILDFLAG(IS_APPLE)": False, "BUILDFLAG(IS_CHROMEOS)": False, "BUILDFLAG(IS_FUCHSIA)": False, "BUILDFLAG(IS_IOS)": False, "BUILDFLAG(IS_LINUX)": False, "BUILDFLAG(IS_MAC)": False, "BUILDFLAG(IS_POSIX)": False}
-
-
 def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
     """A build condition for our platform: true, false, or None where it can't be known.
 
     Dialects: 'cpp' (&& || ! and macros), 'template' (and, or, not, is_win), 'attribute'
-    (EnableIf=a|b, EnableIfNot=a).
+    (EnableIf=a|b, EnableIfNot=a). Another platform's macro is false; any other name is unknown.
     """
     if dialect == "template":
-        text = re.sub(r"\bnot\b", "!", re.sub(r"\bor\b", "||", re.sub(r"\band\b", "&&", text)))
-        text = re.sub(r"\bis_(\w+)\b", lambda m: f"BUILDFLAG(IS_{m[1].upper()})", text)
+        words = {"not": "!", "and": "&&", "or": "||"} | {k: f"BUILDFLAG({v})" for k, v in rules.TEMPLATE_NAMES.items()}
+        text = re.sub(r"[A-Za-z_]\w*", lambda m: words.get(m[0], m[0]), text)
     elif dialect == "attribute":
-        name, _, value = text.partition("=")
-        names = " || ".join(f"BUILDFLAG({v.strip().upper()})" for v in value.split("|"))
-        text = f"!({names})" if name.strip() == "EnableIfNot" else f"({names})"
-    tokens = re.findall(r"&&|\|\||!|\w+\s*\(\s*\w+\s*\)|[()]|\w+", text)
+        m = re.match(r"EnableIf(Not)?=(.+)$", text.strip())
+        if not m:
+            return None
+        names = " || ".join(f"BUILDFLAG({rules.ATTRIBUTE_NAMES[n]})" if (n := v.strip()) in rules.ATTRIBUTE_NAMES else n for v in m[2].split("|"))
+        text = f"!({names})" if m[1] else names
+    tokens = re.findall(r"&&|\|\||!|(?:BUILDFLAG|defined)\s*\(\s*\w+\s*\)|[()]|\w+|\S", text)
     at = 0
 
+    def peek() -> str:
+        return tokens[at] if at < len(tokens) else ""
+
     def take() -> str:
         nonlocal at
         at += 1
         return tokens[at - 1] if at <= len(tokens) else ""
 
-    def either() -> bool | None:
-        value = both()
-        while at < len(tokens) and tokens[at] == "||":
-            take()
-            other = both()
-            value = True if value is True or other is True else False if value is False and other is False else None
-        return value
-
-    def both() -> bool | None:
-        value = one()
-        while at < len(tokens) and tokens[at] == "&&":
+    def chain(mark: str, part: Callable[[], bool | None], wins: bool) -> bool | None:
+        values = [part()]
+        while peek() == mark:
             take()
-            other = one()
-            value = False if value is False or other is False else True if value is True and other is True else None
-        return value
+            values.append(part())
+        return wins if wins in values else None if None in values else not wins
 
     def one() -> bool | None:
         token = take()
@@ -135,30 +178,42 @@ def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
             return None if value is None else not value
         if token == "(":
             value = either()
-            take()
+            if peek() == ")":
+                take()
             return value
-        return {"1": True, "0": False, "true": True, "false": False}.get(token, KNOWN.get(re.sub(r"\s+", "", token)))
+        if m := re.match(r"(?:BUILDFLAG|defined)\s*\(\s*(\w+)", token):
+            return True if m[1] in rules.OUR_MACROS else False if m[1] in rules.OTHER_MACROS else None
+        return {"1": True, "0": False, "true": True, "false": False}.get(token)
+
+    def either() -> bool | None:
+        return chain("||", lambda: chain("&&", one, False), True)
 
     return either() if tokens else None
 
 
+def platform_state(conditions: Iterable[str], dialect: str = "cpp") -> str | None:
+    """X13 for the extractors: not_compiled, conditional or compiled under conditions that all must hold; None without any."""
+    got = [evaluate_guard(c, dialect) for c in conditions]
+    return None if not got else "not_compiled" if False in got else "conditional" if None in got else "compiled"
+
+
 @pandas_udf(T.BooleanType())
 def _guard(text: pd.Series, dialect: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else evaluate_guard(t, d or "cpp") for t, d in zip(text, dialect, strict=True)], dtype=object)
 
 
 def resolve_guards(rows: DataFrame, text: str = "condition", dialect: str = "dialect") -> DataFrame:
-    """Adds ``holds`` to rows with conditions: each distinct one is evaluated once and joined back."""
+    """X11: adds ``holds`` to rows with conditions: each distinct one is evaluated once and joined back."""
     some = rows.select(text, dialect).distinct().withColumn("holds", _guard(text, dialect))
     return rows.join(some, [text, dialect], "left")
 
 
-def text_function(function, kind: str = "string"):  # noqa: ANN001, ANN201
-    """A one-column pandas UDF of a text function."""
+def text_function(function: Callable[[str], str], kind: T.DataType = T.StringType()) -> Callable[[Column], Column]:
+    """A one-column pandas UDF of a text function: each distinct text of a batch is read once."""
 
     @pandas_udf(kind)
     def run(batch: pd.Series) -> pd.Series:
         known = {t: function(t) for t in batch.dropna().unique()}
-        return batch.map(known)
+        return batch.map(lambda t: known.get(t))
 
     return run

@@ -5,34 +5,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import coverage_percent, other_platform_dir, skip_reason
-
-#: Extractors with the surface they read and the rule of their files. Fixed values.
-ROUTES = {
-    "base_features": ("feature flags", r"(_features|/features|_switches_and_features)\.(cc|h|mm)$"),
-    "blink_runtime": ("web platform flags", r"(^|/)runtime_enabled_features\.json5$"),
-    "web_idl": ("web API definitions", r"\.idl$"),
-    "mojom": ("process-boundary interfaces", r"\.mojom$"),
-    "constants": ("preference keys and switches", r"(pref_names|_prefs|_switches|/switches)\.(cc|h)$"),
-    "flags_metadata": ("chrome://flags entries", r"(^|/)flag-metadata\.json$"),
-    "webui_routes": ("chrome:// routes", r"(^|/)(route|routes|router)\.ts$"),
-    "webui_controls": ("chrome:// controls", r"/resources/.*\.html(\.ts)?$"),
-    "webui_gates": ("chrome:// visibility gates", r"(_handler|_ui|_provider)\.cc$"),
-}
-#: Directories in which only string constants are read.
-CONSTANTS_ONLY = r"(^|/)(chromeos|ash|ios|fuchsia)/"
-OURS_ONLY_EXTRACTOR = "constants"
+from ..functions import rules
+from ..functions.columns import any_of, base_name, coverage_percent, other_platform_dir, skip_reason, unix
+from .ranking import placed
+
+_SOURCE = r"\.(cc|h)$"
+
+
+def _holds(name: Column, parts: tuple[str, ...]) -> Column:
+    return name.rlike(any_of(parts))
+
+
+def _routes() -> dict[str, tuple[str, Column]]:
+    """Extractors with the surface they read and which files (by the column ``path``)."""
+    path, name = unix(F.col("path")), base_name(F.col("path"))
+    source = name.rlike(_SOURCE)
+    return {
+        "base_features": ("feature flags", source & _holds(name, rules.FEATURE_FILES) & ~_holds(name, rules.FEATURE_TEST_FILES)),
+        "blink_runtime": ("web platform flags", name == rules.RUNTIME_FLAGS_FILE),
+        "web_idl": ("web API definitions", path.endswith(".idl") & path.startswith(rules.WEB_IDL)),
+        "mojom": ("process-boundary interfaces", path.endswith(".mojom")),
+        "constants": ("preference keys and switches", source & _holds(name, (*rules.SWITCH_FILES, *rules.PREF_FILES))),
+        "flags_metadata": ("chrome://flags entries", name == rules.FLAG_METADATA_FILE),
+        "webui_routes": ("chrome:// routes", path.startswith(rules.RESOURCES) & name.isin(*rules.ROUTE_FILES)),
+        "webui_controls": ("chrome:// controls", path.startswith(rules.RESOURCES) & path.rlike(r"\.html(\.ts)?$")),
+        "webui_gates": ("chrome:// visibility gates", path.startswith(rules.HANDLERS) & path.endswith(".cc")),
+    }
+
+
+#: Routes that a caller adds: name to (surface, condition on the column ``path``).
+ADDED_ROUTES: dict[str, tuple[str, Column]] = {}
+CROSS_PLATFORM_EXTRACTOR = "constants"
 
 
 def extractors_of(path: Column) -> Column:
-    """names of the extractors that read a file."""
-    some = F.array_compact(F.array(*[F.when(path.rlike(rule), F.lit(name)) for name, (_, rule) in ROUTES.items()]))
-    return F.when(path.rlike(CONSTANTS_ONLY), F.filter(some, lambda x: x == OURS_ONLY_EXTRACTOR)).otherwise(some)
+    """names of the extractors that read the file of the column ``path``."""
+    some = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, (_, rule) in (_routes() | ADDED_ROUTES).items()]))
+    elsewhere = unix(path).rlike("(^|/)" + any_of(rules.CONSTANTS_ONLY) + "(/|$)")
+    return F.when(elsewhere, F.filter(some, lambda x: x == CROSS_PLATFORM_EXTRACTOR)).otherwise(some)
 
 
 def surfaces_of(path: Column) -> Column:
     """Surfaces whose extractors read a file."""
-    return F.transform(extractors_of(path), lambda x: F.element_at(F.create_map(*[F.lit(v) for k, (s, _) in ROUTES.items() for v in (k, s)]), x))
+    names = F.create_map(*[F.lit(v) for k, (s, _) in (_routes() | ADDED_ROUTES).items() for v in (k, s)])
+    return F.transform(extractors_of(path), lambda x: F.element_at(names, x))
 
 
 def in_scope(paths: DataFrame) -> DataFrame:
@@ -64,15 +80,41 @@ def reaches(paths: DataFrame, scope: DataFrame, how: str = "left_semi") -> DataF
 
 
 def partition_scope(scope: DataFrame, partitions: DataFrame, names: list[str]) -> DataFrame:
-    """F8: scope rows under a prefix of the named partitions or of the core that is always kept."""
+    """F8: scope rows whose path starts with a prefix of the named partitions or of the core that is always kept.
+
+    ``partitions`` (name, prefix) is a short list, as the scope is, and is broadcast.
+    """
     some = partitions.where(F.col("name").isin(*names, "core")).select("prefix")
     return scope.alias("s").join(F.broadcast(some).alias("p"), F.startswith(F.col("s.path"), F.col("p.prefix")), "left_semi")
 
 
-def complete_scope(roots: DataFrame) -> DataFrame:
-    """a scope of whole roots; a root that names a file stays a file."""
-    tree = ~F.element_at(F.split("root", "/"), -1).contains(".")
-    return roots.select("snapshot_id", F.col("root").alias("path"), tree.alias("is_tree"), F.lit(None).cast("array<string>").alias("suffixes")).dropDuplicates(["snapshot_id", "path"])
+def complete_scope(partitions: DataFrame, names: list[str]) -> DataFrame:
+    """(path, is_tree, suffixes): all readable files below the roots of the named partitions, and the core's files.
+
+    ``partitions`` has name, prefix and closable. A root that names a file (its last part has a dot)
+    stays one; below the handlers' root sources are read too. Partitions that are not closable, or
+    unknown, are refused.
+    """
+    some = partitions.where(F.col("name").isin(*names, "core"))
+    known = {r["name"]: r["closable"] for r in some.select("name", "closable").distinct().collect()}  # as many as names
+    bad = sorted(n for n in names if not known.get(n))
+    if bad:
+        raise ValueError(f"these partitions can't be read whole: {', '.join(bad)}")
+    root = F.regexp_replace("prefix", "/+$", "")
+    is_file = F.substring_index("root", "/", -1).contains(".") | (F.col("name") == "core")
+    handlers = rules.HANDLERS.rstrip("/")
+    below = (F.col("root") == handlers) | F.startswith("root", F.lit(handlers + "/"))
+    suffixes = F.when(below, F.array(*map(F.lit, (*rules.READABLE, ".cc")))).otherwise(F.array(*map(F.lit, rules.READABLE)))
+    rows = some.withColumn("root", root).groupBy("root").agg(F.min("name").alias("name"), F.max((F.col("name") == "core").cast("int")).alias("core"))
+    rows = rows.withColumn("name", F.when(F.col("core") == 1, "core").otherwise(F.col("name")))
+    path = F.when(is_file, F.col("root")).otherwise(F.concat("root", F.lit("/")))
+    return rows.select(path.alias("path"), (~is_file).alias("is_tree"), F.when(~is_file, suffixes).alias("suffixes"))
+
+
+def candidates_all(listing: DataFrame) -> DataFrame:
+    """Every file once that could declare something, with the surfaces that claim it in order of name."""
+    rows = could_declare(listing).select("snapshot_id", "path", F.explode("surfaces").alias("surface"))
+    return rows.groupBy("snapshot_id", "path").agg(F.array_sort(F.collect_set("surface")).alias("surfaces"))
 
 
 def scope_violations(facts: DataFrame, scope: DataFrame) -> DataFrame:
@@ -81,10 +123,16 @@ def scope_violations(facts: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def coverage_join(listing: DataFrame, scope: DataFrame) -> DataFrame:
-    """Candidates of a listing with whether the scope reads them."""
+    """Candidates of a listing with whether the scope reads them.
+
+    Every snapshot's scope is one row with its list, which candidates look through; the scopes
+    (hundreds of rows a snapshot) are broadcast, and candidates are neither moved nor joined twice.
+    """
     some = could_declare(listing)
-    read = reaches(some.select("snapshot_id", "path"), scope).distinct().withColumn("read", F.lit(True))
-    return some.join(read, ["snapshot_id", "path"], "left").withColumn("read", F.coalesce("read", F.lit(False)))
+    rows = scope.groupBy("snapshot_id").agg(F.collect_list(F.struct("path", "is_tree", "suffixes")).alias("__scope"))
+    joined = some.join(F.broadcast(rows), "snapshot_id", "left")
+    fits = lambda x: F.when(x["is_tree"], F.startswith(F.col("path"), x["path"]) & (x["suffixes"].isNull() | F.exists(x["suffixes"], lambda e: F.endswith(F.col("path"), e)))).otherwise(F.col("path") == x["path"])
+    return joined.withColumn("read", F.coalesce(F.exists("__scope", fits), F.lit(False))).drop("__scope")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -127,11 +175,11 @@ def violations_by_suffix(violations: DataFrame) -> DataFrame:
 
 def missed_paths(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """Unread candidates by path, with how many there are; ``limit`` rows a snapshot are listed."""
-    by = Window.partitionBy("snapshot_id")
-    out = rows.where(~F.col("read")).select("snapshot_id", "path").withColumns({"place": F.row_number().over(by.orderBy("path")), "of": F.count("*").over(by)})
-    return out if limit is None else out.where(F.col("place") <= limit)
+    some = rows.where(~F.col("read")).select("snapshot_id", "path")
+    of = some.groupBy("snapshot_id").agg(F.count("*").alias("of"))  # as many rows as snapshots
+    return placed(some, ["snapshot_id"], ["path"], limit).join(F.broadcast(of), "snapshot_id")
 
 
 def catalog_order(rows: DataFrame) -> DataFrame:
     """Candidates, unread ones first, then by path."""
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("snapshot_id").orderBy("read", "path")))
+    return placed(rows, ["snapshot_id"], ["read", "path"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import stored
 from ..functions import rules
 from ..functions.columns import attr, attr_text, lookup, our_status, platform_value
+from .ranking import placed
 from .signals import severity_of, signals_of
 
 _DELTAS = "array<struct<attr:string,old:string,new:string>>"
@@ -77,17 +78,18 @@ def resolve_gates(rows: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFr
     attrs = F.coalesce(F.col("n.attrs"), F.col("o.attrs"))
     web = F.col("kind").isin("idl_member", "idl_interface") & (F.col("n").isNull() | F.col("o").isNull())
     own = F.when(F.col("kind") == "idl_interface", F.coalesce(F.get_json_object(attr(attrs, "ext"), "$.RuntimeEnabled"), F.lit(""))).otherwise(attr_text(attrs, "runtime_enabled"))
-    keyed = rows.join(F.broadcast(pairs), "pair_id").withColumns({"web": web, "side": F.when(web, side), "own_gate": F.when(web, own), "interface": F.when(web & (F.col("kind") == "idl_member"), attr_text(attrs, "interface"))})
-    out = keyed.join(interfaces.withColumnRenamed("snapshot_id", "side"), ["side", "interface"], "left")
+    # Only rows that have a gate to look up are joined: no null key gathers the rest in one task.
+    some = rows.where(web).join(F.broadcast(pairs), "pair_id").withColumns({"side": side, "own_gate": own, "interface": F.when(F.col("kind") == "idl_member", attr_text(attrs, "interface")).otherwise("")})
+    out = some.join(interfaces.withColumnRenamed("snapshot_id", "side"), ["side", "interface"], "left")
     for name in ("own", "outer"):
-        some = status.select(F.col("snapshot_id").alias("side"), F.col("gate").alias(f"{name}_gate"), F.col("state").alias(f"{name}_state"))
-        out = out.join(some, ["side", f"{name}_gate"], "left")
+        states = status.select(F.col("snapshot_id").alias("side"), F.col("gate").alias(f"{name}_gate"), F.col("state").alias(f"{name}_state"))
+        out = out.join(states, ["side", f"{name}_gate"], "left")
     verdict = lambda gate, state: F.when(F.coalesce(gate, F.lit("")) == "", F.lit("open")).when(state.isNull(), "unknown").when(state == "stable", "open").otherwise("closed")
     first = verdict(F.col("own_gate"), F.col("own_state"))
     second = verdict(F.col("outer_gate"), F.col("outer_state"))
     decided = F.when(first != "open", first).otherwise(second)
-    reachable = F.when(F.col("web"), F.when(decided == "open", True).when(decided == "closed", False))
-    return out.withColumn("reachable", reachable).select(*rows.columns, "reachable")
+    known = out.select(*rows.columns, F.when(decided == "open", True).when(decided == "closed", False).alias("reachable"))
+    return rows.where(~web).withColumn("reachable", F.lit(None).cast("boolean")).unionByName(known)
 
 
 def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | None = None) -> DataFrame:
@@ -109,19 +111,21 @@ def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | N
 def _pair_up(changes: DataFrame, anchor: Column, keep: Column) -> tuple[DataFrame, DataFrame]:
     """(removed and added rows that are alone with one another under their anchor, all other rows).
 
-    Groups are counted first, so that a common anchor never meets itself in a join.
+    Anchors are counted on their keys alone, so that a common one never meets itself in a join;
+    the wide rows are fetched last, and only those of pairs.
     """
-    keyed = changes.withColumn("__anchor", F.when(F.col("change_type").isin(rules.ADDED, rules.REMOVED), anchor))
+    one_sided = changes.where(F.col("change_type").isin(rules.ADDED, rules.REMOVED)).withColumn("__anchor", anchor).where(F.col("__anchor").isNotNull())
+    added = F.col("change_type") == rules.ADDED
     alone = (
-        keyed.where(F.col("__anchor").isNotNull())
+        one_sided.select("pair_id", "kind", "__anchor", "change_type", "key")
         .groupBy("pair_id", "kind", "__anchor")
-        .agg(F.count_if(F.col("change_type") == rules.ADDED).alias("a"), F.count_if(F.col("change_type") == rules.REMOVED).alias("r"))
-        .where("a = 1 and r = 1")
-        .select("pair_id", "kind", "__anchor")
+        .agg(F.count_if(added).alias("n_added"), F.count_if(~added).alias("n_removed"), F.min(F.when(added, F.col("key"))).alias("ak"), F.min(F.when(~added, F.col("key"))).alias("rk"))
+        .where("n_added = 1 and n_removed = 1")
     )
-    some = keyed.join(alone, ["pair_id", "kind", "__anchor"], "left_semi")
-    side = lambda t: some.where(F.col("change_type") == t).select("pair_id", "kind", "__anchor", F.struct("key", "name", "before", "after", "paths", "locations").alias("r" if t == rules.REMOVED else "a"))
-    pairs = side(rules.REMOVED).join(side(rules.ADDED), ["pair_id", "kind", "__anchor"]).where(keep)
+    wide = F.struct("key", "name", "before", "after", "paths", "locations")
+    side = lambda t, k, c: one_sided.where(F.col("change_type") == t).select("pair_id", "kind", F.col("key").alias(k), wide.alias(c))
+    pairs = alone.join(side(rules.REMOVED, "rk", "r"), ["pair_id", "kind", "rk"]).join(side(rules.ADDED, "ak", "a"), ["pair_id", "kind", "ak"])
+    pairs = stored(pairs.select("pair_id", "kind", "r", "a").where(keep), "pairs")
     used = pairs.select("pair_id", "kind", F.explode(F.array("r.key", "a.key")).alias("key"))
     rest = changes.join(used.distinct(), ["pair_id", "kind", "key"], "left_anti")
     return pairs, rest
@@ -178,11 +182,6 @@ def lopsided(facts: DataFrame, pairs: DataFrame, least: int = 500, ratio: float
     return rows.select("pair_id", F.col("from_id_n").alias("from_facts"), F.col("to_id_n").alias("to_facts"), reason.alias("reason"))
 
 
-def rank_changes(changes: DataFrame) -> DataFrame:
-    """Severity descending, then kind and key."""
-    return changes.orderBy(F.desc("severity"), "kind", "key")
-
-
 def compare(facts: DataFrame, headers: DataFrame | None, pairs: DataFrame, target_milestone: int | None = None) -> DataFrame:
     """Changes of all comparable pairs, with renames and repoints paired."""
     good = lopsided(facts, pairs).where("reason is null").select("pair_id")
@@ -191,9 +190,9 @@ def compare(facts: DataFrame, headers: DataFrame | None, pairs: DataFrame, targe
     some = pairs.join(good, "pair_id", "left_semi")
     # Pairing reads the changes several times; written once, the join isn't repeated.
     changes = stored(diff_snapshots(facts, some, target_milestone), "changes")
-    return detect_repoints(stored(detect_renames(changes), "changes"))
+    return detect_repoints(detect_renames(changes))
 
 
-def changes_ranked(changes: DataFrame) -> DataFrame:
-    """Changes with their place within the pair."""
-    return changes.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("severity"), "kind", "key")))
+def rank_changes(changes: DataFrame) -> DataFrame:
+    """Changes with their place within the pair: severity descending, kind, key."""
+    return placed(changes, ["pair_id"], [F.desc("severity"), F.col("kind"), F.col("key")], name="rank")

@@ -10,10 +10,26 @@ from ..functions.columns import attr, attr_text, other_platform_dir
 from .diff import location
 
 KEY = ("snapshot_id", "kind", "key")
+#: Only these declare several argument lists under one identity.
+OVERLOADED = "idl_member"
+_OVERLOAD_ATTRS = ("signatures", "overload_traits", "overload_locations")
 
 
-def _json_list(items: Column) -> Column:
-    return F.to_json(items)
+def _empty_map() -> Column:
+    return F.create_map().cast("map<string,string>")
+
+
+def _not_compiled(attrs: Column) -> Column:
+    """The attributes with the platform's state merged in: not compiled."""
+    state = F.coalesce(F.from_json(attr(attrs, "platform_state"), "map<string,string>"), _empty_map())
+    rest = F.map_filter(state, lambda k, _: k != rules.PLATFORM)
+    merged = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, F.create_map(F.lit(rules.PLATFORM), F.lit("not_compiled")))))))
+    return F.map_concat(F.map_filter(attrs, lambda k, _: k != "platform_state"), F.create_map(F.lit("platform_state"), merged))
+
+
+def _turn() -> list[Column]:
+    """The order of one identity's declarations: path, line, name, attributes as text; so no result depends on partitioning."""
+    return [F.col("path"), F.col("line"), F.col("name"), F.to_json("attrs")]
 
 
 def stamp_platform_dirs(facts: DataFrame) -> DataFrame:
@@ -22,48 +38,50 @@ def stamp_platform_dirs(facts: DataFrame) -> DataFrame:
     The state is merged into what the fact says of other platforms.
     """
     elsewhere = F.bool_and(other_platform_dir(F.col("path"))).over(Window.partitionBy(*KEY))
-    state = F.coalesce(F.from_json(attr("attrs", "platform_state"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-    rest = F.map_filter(state, lambda k, _: k != rules.PLATFORM)
-    merged = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(rest, F.create_map(F.lit(rules.PLATFORM), F.lit("not_compiled")))))))
-    plain = F.map_filter("attrs", lambda k, _: k != "platform_state")
-    stamped = F.map_concat(plain, F.create_map(F.lit("platform_state"), merged))
-    return facts.withColumn("__e", F.coalesce(elsewhere, F.lit(False))).withColumn("attrs", F.when(F.col("__e"), stamped).otherwise(F.col("attrs"))).drop("__e")
+    return facts.withColumn("__e", F.coalesce(elsewhere, F.lit(False))).withColumn("attrs", F.when(F.col("__e"), _not_compiled(F.col("attrs"))).otherwise(F.col("attrs"))).drop("__e")
 
 
-def dedupe_facts(facts: DataFrame) -> DataFrame:
-    """A1 to A4 in one aggregation: the fact of the lowest (path, line) of each identity, with the overload attributes.
-
-    Ties go to the smaller name, then the smaller attributes as text, so the result doesn't
-    depend on partitioning.
-    """
-    text = F.to_json(F.array_sort(F.map_entries("attrs")))
-    order = F.struct("path", "line", "name", text)
-    ext = F.coalesce(F.from_json(attr("attrs", "ext"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+def _overloads(facts: DataFrame) -> DataFrame:
+    """A2 to A4: (snapshot_id, key, added): the overload attributes of members with several argument lists or traits."""
+    ext = F.coalesce(F.from_json(attr("attrs", "ext"), "map<string,string>"), _empty_map())
     traits = F.array_sort(F.transform(F.map_entries(ext), lambda e: F.when(e["value"] == "true", e["key"]).otherwise(F.concat_ws("=", e["key"], e["value"]))))
-    signature = attr_text("attrs", "signature")
-    entry = F.struct(signature.alias("sig"), attr_text("attrs", "runtime_enabled").alias("gate"), F.array_join(traits, ", ").alias("ext"), location(F.col("path"), F.col("line")).alias("place"))
-    overload = F.when((F.col("kind") == "idl_member") & (signature != ""), entry)
-    best = facts.groupBy(*KEY).agg(F.min_by(F.struct("name", "path", "line", "attrs"), order).alias("b"), F.collect_set(overload).alias("o"))
+    rows = facts.where(F.col("kind") == OVERLOADED).select("snapshot_id", "key", attr_text("attrs", "signature").alias("sig"), attr_text("attrs", "runtime_enabled").alias("gate"), F.array_join(traits, ", ").alias("ext"), location(F.col("path"), F.col("line")).alias("place"))
+    sets = rows.where("sig != ''").groupBy("snapshot_id", "key").agg(F.collect_set(F.struct("sig", "gate", "ext", "place")).alias("o"))
     signatures = F.array_sort(F.array_distinct(F.transform("o", lambda x: x["sig"])))
     kinds = F.array_distinct(F.transform("o", lambda x: F.struct(x["gate"], x["ext"])))
     label = lambda x: F.concat(x["sig"], F.lit(" ["), F.when(x["gate"] == "", "ungated").otherwise(x["gate"]), F.when(x["ext"] == "", "").otherwise(F.concat(F.lit("; "), x["ext"])), F.lit("]"))
+    several = F.size(signatures) > 1
     added = F.map_from_entries(
         F.array_compact(
             F.array(
-                F.when(F.size(signatures) > 1, F.struct(F.lit("signatures"), _json_list(signatures))),
-                F.when(F.size(kinds) > 1, F.struct(F.lit("overload_traits"), _json_list(F.array_sort(F.transform("o", label))))),
-                F.when(F.size(signatures) > 1, F.struct(F.lit("overload_locations"), _json_list(F.array_sort(F.transform("o", lambda x: F.concat_ws(" @ ", x["sig"], x["place"])))))),
+                F.when(several, F.struct(F.lit("signatures"), F.to_json(signatures))),
+                F.when(F.size(kinds) > 1, F.struct(F.lit("overload_traits"), F.to_json(F.array_sort(F.transform("o", label))))),
+                F.when(several, F.struct(F.lit("overload_locations"), F.to_json(F.array_sort(F.transform("o", lambda x: F.concat_ws(" @ ", x["sig"], x["place"])))))),
             )
         )
     )
-    fresh = F.map_filter("b.attrs", lambda k, _: ~k.isin("signatures", "overload_traits", "overload_locations") | (F.size("o") == 0))
-    return best.select(*KEY, "b.name", "b.path", "b.line", F.map_concat(fresh, added).alias("attrs"))
+    return sets.select("snapshot_id", F.lit(OVERLOADED).alias("kind"), "key", added.alias("added"))
+
+
+def dedupe_facts(facts: DataFrame) -> DataFrame:
+    """The first declaration of each identity, with the platform stamp of all and the overload attributes.
+
+    Rows are shuffled once by identity; one sorted pass picks the first declaration and sees
+    whether all lie elsewhere. Overload sets are gathered of web members alone, from a few narrow
+    columns, and joined to the result, which is partitioned by the same key already.
+    """
+    by = Window.partitionBy(*KEY)
+    first = facts.select(*KEY, "name", "path", "line", "attrs", other_platform_dir(F.col("path")).alias("__o")).withColumns({"__n": F.row_number().over(by.orderBy(*_turn())), "__e": F.bool_and("__o").over(by)}).where("__n = 1")
+    stamped = F.when(F.coalesce("__e", F.lit(False)), _not_compiled(F.col("attrs"))).otherwise(F.col("attrs"))
+    rows = first.select(*KEY, "name", "path", "line", stamped.alias("attrs"))
+    out = rows.join(_overloads(facts), list(KEY), "left")
+    fresh = F.map_filter("attrs", lambda k, _: ~k.isin(*_OVERLOAD_ATTRS))
+    return out.select(*KEY, "name", "path", "line", F.when(F.col("added").isNull(), F.col("attrs")).otherwise(F.map_concat(fresh, "added")).alias("attrs"))
 
 
 def keep_lowest(facts: DataFrame) -> DataFrame:
-    """A1 as a window."""
-    turn = Window.partitionBy(*KEY).orderBy("path", "line", "name", F.to_json(F.array_sort(F.map_entries("attrs"))))
-    return facts.withColumn("__n", F.row_number().over(turn)).where("__n = 1").drop("__n")
+    """A1 alone: the first declaration of each identity."""
+    return facts.withColumn("__n", F.row_number().over(Window.partitionBy(*KEY).orderBy(*_turn()))).where("__n = 1").drop("__n")
 
 
 def count_by_kind(facts: DataFrame) -> DataFrame:

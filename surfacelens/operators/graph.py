@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import stored
-from ..functions.columns import attr_list, attr_text, norm_identifier
+from ..functions.columns import attr_list, attr_text, feature_name_from_var, norm_identifier
+from .ranking import placed
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -38,17 +39,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def unresolved_references(facts: DataFrame) -> DataFrame:
-    """References whose target is absent from the snapshot: (snapshot_id, link, source_key, target)."""
+    """References whose target is absent from the snapshot: (snapshot_id, link, source_key, target).
+
+    Features that gates and runtime flags name by their identifier are looked up by name.
+    """
     of = lambda kind: facts.where(F.col("kind") == kind)
     many = lambda kind, name: of(kind).select("snapshot_id", "key", F.explode(attr_list("attrs", name)).alias("target"))
     one = lambda kind, name: of(kind).select("snapshot_id", "key", attr_text("attrs", name).alias("target"))
     keys = lambda kind: of(kind).select("snapshot_id", F.col("key").alias("target"))
-    gates = of("webui_gate").select("snapshot_id", attr_text("attrs", "data_key").alias("target"))
+    bare = lambda rows: rows.withColumn("target", feature_name_from_var(F.col("target")))
+    gate_key = attr_text("attrs", "data_key")
+    gates = of("webui_gate").select("snapshot_id", F.when(gate_key != "", gate_key).otherwise(F.col("name")).alias("target"))
     links = {
         "page guard": (many("webui_route", "guards"), gates),
-        "gate feature": (many("webui_gate", "features"), keys("base_feature")),
+        "gate feature": (bare(many("webui_gate", "features")), keys("base_feature")),
         "control preference": (one("webui_control", "pref"), keys("pref")),
-        "runtime flag feature": (one("blink_runtime_feature", "base_feature").where("target != 'none'"), keys("base_feature")),
+        "runtime flag feature": (bare(one("blink_runtime_feature", "base_feature").where("target != 'none'")), keys("base_feature")),
         "parameter feature": (one("feature_param", "feature"), keys("base_feature")),
     }
     out = None
@@ -59,10 +65,14 @@ def unresolved_references(facts: DataFrame) -> DataFrame:
 
 
 def closure_summary(unresolved: DataFrame, n: int = 8) -> DataFrame:
-    """Unresolved targets by link: how many, the first n by name, and how many more."""
-    names = F.array_sort(F.collect_set("target"))
-    out = unresolved.groupBy("snapshot_id", "link").agg(F.count("*").alias("n_references"), names.alias("names"))
-    return out.select("snapshot_id", "link", "n_references", F.array_join(F.slice("names", 1, n), ", ").alias("names"), F.greatest(F.size("names") - n, F.lit(0)).cast("long").alias("more"))
+    """Unresolved targets by link: how many references, the first n targets by name, and how many more.
+
+    Only the first n names of a link are ever gathered.
+    """
+    targets = unresolved.groupBy("snapshot_id", "link", "target").agg(F.count("*").alias("n"))
+    sums = targets.groupBy("snapshot_id", "link").agg(F.sum("n").alias("n_references"), F.greatest(F.count("*") - n, F.lit(0)).alias("more"))
+    first = placed(targets, ["snapshot_id", "link"], ["target"], n).groupBy("snapshot_id", "link").agg(F.array_join(F.array_sort(F.collect_list("target")), ", ").alias("names"))
+    return sums.join(first, ["snapshot_id", "link"]).select("snapshot_id", "link", "n_references", "names", "more")
 
 
 def _both(name: str) -> Column:
@@ -93,8 +103,8 @@ def link_findings(findings: DataFrame) -> DataFrame:
     named = F.array_distinct(F.filter(F.transform(F.concat(_both("label"), _both("element_id")), lambda x: norm_identifier(x)), lambda x: x != ""))
     out = edge(at("webui_route"), gates, _lists("guards"))
     for part in (
-        edge(at("webui_gate"), features, _lists("features")),
-        edge(at("blink_runtime_feature"), features, F.array_distinct(F.concat(F.filter(_both("base_feature"), lambda x: x != "none"), F.array("key")))),
+        edge(at("webui_gate"), features, F.transform(_lists("features"), feature_name_from_var)),
+        edge(at("blink_runtime_feature"), features, F.array_distinct(F.concat(F.transform(F.filter(_both("base_feature"), lambda x: x != "none"), feature_name_from_var), F.array("key")))),
         edge(at("feature_param"), features, _both("feature")),
         edge(at("webui_control"), routes, named),
     ):
@@ -110,12 +120,22 @@ def build_clusters(edges: DataFrame) -> DataFrame:
     return out.select(part("node", 1).alias("pair_id"), part("node", 2).alias("node"), part("component", 2).alias("cluster"))
 
 
-def cluster_summary(findings: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Per cluster: label (name of the highest score; then kind, key), size, score, kinds, buckets, members by score."""
+def cluster_summary(findings: DataFrame, clusters: DataFrame, members: int = 200) -> DataFrame:
+    """Per cluster: label (name of the highest score; then kind, key), size, score, kinds, buckets, and its first members by score.
+
+    ``size`` counts all; ``members`` bounds how many of a cluster are listed in its row (``build_clusters`` has them all).
+    """
     rows = findings.withColumn("node", F.concat_ws(":", "kind", "key")).join(clusters, ["pair_id", "node"])
     order = F.struct((-F.col("score")).alias("s"), "kind", "key", "name")
-    out = rows.groupBy("pair_id", "cluster").agg(F.min(order).alias("top"), F.count("*").alias("size"), F.max("score").alias("top_score"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set("bucket")).alias("buckets"), F.array_sort(F.collect_list(order)).alias("m"))
-    return out.select("pair_id", "cluster", F.col("top.name").alias("label"), "size", "top_score", "kinds", "buckets", F.transform("m", lambda x: F.concat_ws(":", x["kind"], x["key"])).alias("members"))
+    out = rows.groupBy("pair_id", "cluster").agg(F.min(order).alias("top"), F.count("*").alias("size"), F.max("score").alias("top_score"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set("bucket")).alias("buckets"))
+    first = placed(rows.select("pair_id", "cluster", "node", order.alias("o")), ["pair_id", "cluster"], ["o"], members)
+    listed = first.groupBy("pair_id", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda x: x["node"]).alias("members"))
+    return out.join(listed, ["pair_id", "cluster"]).select("pair_id", "cluster", F.col("top.name").alias("label"), "size", "top_score", "kinds", "buckets", "members")
+
+
+def order_clusters(summary: DataFrame, limit: int = 25) -> DataFrame:
+    """The first clusters of a pair by top score and size, then by id."""
+    return placed(summary, ["pair_id"], [F.desc("top_score"), F.desc("size"), F.col("cluster")], limit)
 
 
 def annotate(findings: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.columns import lookup, read_percent, share
+from .ranking import placed
 from .signals import bucket_of, group_of, leading_signal, not_in_build, owner_of
 
 
@@ -21,7 +22,7 @@ def evidence_direction() -> Column:
 def incomplete_reason(headers: DataFrame) -> DataFrame:
     """What a snapshot misses, in words; '' if nothing."""
     missing, failed = F.size(F.coalesce("missing_targets", F.array().cast("array<string>"))), F.coalesce("parse_errors", F.lit(0))
-    text = F.concat_ws(" and ", F.when(missing > 0, F.concat(missing, F.lit(" target(s) the source did not have"))), F.when(failed > 0, F.concat(failed, F.lit(" file(s) that would not parse"))))
+    text = F.concat_ws(" and ", F.when(missing > 0, F.concat(missing, F.lit(" absent target(s)"))), F.when(failed > 0, F.concat(failed, F.lit(" unreadable file(s)"))))
     return headers.select("snapshot_id", text.alias("gap"))
 
 
@@ -87,4 +88,9 @@ def score_changes(changes: DataFrame, coverage: DataFrame, headers: DataFrame, p
 
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Findings with their place within the pair: score descending, kind, key."""
-    return findings.withColumn("rank", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("score"), "kind", "key")))
+    return placed(findings, ["pair_id"], [F.desc("score"), F.col("kind"), F.col("key")], name="rank")
+
+
+def rank(changes: DataFrame, coverage: DataFrame, headers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Scored changes with their place within the pair."""
+    return rank_findings(score_changes(changes, coverage, headers, pairs))

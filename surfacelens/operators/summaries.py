@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.columns import attr_text, trim_location
+from ..functions.columns import trim_location
+from .ranking import placed
 from .signals import story_of
+from .words import describe, screen_of, where_of
 
 _TYPES = (rules.ADDED, rules.REMOVED, rules.MODIFIED)
 
@@ -22,23 +24,18 @@ def change_summary(changes: DataFrame) -> DataFrame:
 
 
 def finding_summary(findings: DataFrame) -> DataFrame:
-    """Counts by bucket, owner, group and leading signal, in all, and outside our build: (pair, what, value, n).
+    """Counts by bucket, owner, group and leading signal, in all, and outside our build: (pair_id, what, value, n).
 
-    Buckets and owners without findings come with 0. One pass of grouping sets.
+    Buckets and owners without findings come with 0. Every finding is spread over what it counts
+    for, so one partial aggregation gives all counts. A pair without findings has no rows.
     """
-    sets = findings.groupingSets([["pair_id", "bucket"], ["pair_id", "owner"], ["pair_id", "group"], ["pair_id", "lead"], ["pair_id"]], "pair_id", "bucket", "owner", "group", "lead")
-    agg = sets.agg(F.count("*").alias("n"), F.count_if("outside").alias("outside"), F.grouping_id().alias("g"))
-    # Bits of the grouping id: pair, bucket, owner, group, lead; 0 where the column is grouped by.
-    named = [(0b0111, "bucket", "bucket"), (0b1011, "owner", "owner"), (0b1101, "group", "group"), (0b1110, "signal", "lead")]
-    parts = [agg.where(F.col("g") == g).select("pair_id", F.lit(what).alias("what"), F.col(f"`{c}`").alias("value"), "n") for g, what, c in named]
-    total = agg.where(F.col("g") == 0b1111)
-    parts += [total.select("pair_id", F.lit("total").alias("what"), F.lit("").alias("value"), "n"), total.select("pair_id", F.lit("not_in_build").alias("what"), F.lit("").alias("value"), F.col("outside").alias("n"))]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    slots = F.array(*[F.struct(F.lit(w).alias("what"), F.lit(v).alias("value")) for w, vs in (("bucket", rules.BUCKETS), ("owner", rules.OWNERS)) for v in vs])
-    zero = total.select("pair_id", F.explode(slots).alias("s")).select("pair_id", "s.what", "s.value", F.lit(0).cast("long").alias("n"))
-    return out.unionByName(zero).where("value != '' or what in ('total', 'not_in_build')").groupBy("pair_id", "what", "value").agg(F.sum("n").alias("n"))
+    one = lambda what, value, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(what).alias("what"), value.alias("value")))
+    counted = [one("bucket", F.col("bucket")), one("owner", F.col("owner")), one("group", F.col("group"), F.col("group") != ""), one("signal", F.col("lead"), F.col("lead") != ""), one("total", F.lit("")), one("not_in_build", F.lit(""), F.col("outside"))]
+    rows = findings.select("pair_id", F.explode(F.array_compact(F.array(*counted))).alias("s"), F.lit(1).alias("n"))
+    slots = [("bucket", b) for b in rules.BUCKETS] + [("owner", o) for o in rules.OWNERS] + [("not_in_build", "")]
+    zero = F.array(*[F.struct(F.lit(w).alias("what"), F.lit(v).alias("value")) for w, v in slots])
+    none = findings.select("pair_id").distinct().select("pair_id", F.explode(zero).alias("s"), F.lit(0).alias("n"))
+    return rows.unionByName(none).groupBy("pair_id", "s.what", "s.value").agg(F.sum("n").alias("n"))
 
 
 def owner_bucket_matrix(findings: DataFrame) -> DataFrame:
@@ -56,17 +53,6 @@ def stories(findings: DataFrame) -> DataFrame:
     return findings.withColumn("story", story_of()).groupBy("pair_id", "group", "story").agg(F.count("*").alias("n"), *_directions(), F.max("severity").alias("severity"), F.max("score").alias("score"))
 
 
-def screen_of() -> Column:
-    """The screen that a UI change is on."""
-    side = F.coalesce("after", "before")
-    surface, page = attr_text(side, "surface"), attr_text(side, "page")
-    surface = F.when(surface != "", surface).otherwise(F.element_at(F.split("key", "/"), 1))
-    control = F.when((page != "") & (page != surface), F.concat_ws(" › ", surface, page)).otherwise(surface)
-    route = F.when(attr_text(side, "surface") != "", attr_text(side, "surface")).otherwise("settings")
-    gate = F.regexp_replace(F.when(attr_text(side, "handler") != "", attr_text(side, "handler")).otherwise(F.element_at(F.split("key", "/"), 1)), "(_handler|_ui|_provider)+$", "")
-    return F.when(F.col("kind") == "webui_control", control).when(F.col("kind") == "webui_route", route).when(F.col("kind") == "webui_gate", gate)
-
-
 def screens(findings: DataFrame) -> DataFrame:
     """UI findings by screen."""
     return findings.withColumn("screen", screen_of()).where("screen is not null").groupBy("pair_id", "screen").agg(F.count("*").alias("n"), *_directions(), F.max("score").alias("score"))
@@ -80,44 +66,51 @@ def screen_totals(findings: DataFrame) -> DataFrame:
 def top_n_per_group(findings: DataFrame, group: str, n: int, where: Column | None = None) -> DataFrame:
     """The first n findings of each group by score, kind and key, and how many remain."""
     rows = findings if where is None else findings.where(where)
-    by = Window.partitionBy("pair_id", group)
-    place = F.row_number().over(by.orderBy(F.desc("score"), "kind", "key"))
-    size = F.count("*").over(by)
-    return rows.withColumns({"place": place, "remaining": F.greatest(size - n, F.lit(0))}).where(F.col("place") <= n)
+    sizes = rows.groupBy("pair_id", group).agg(F.greatest(F.count("*") - n, F.lit(0)).alias("remaining"))
+    return placed(rows, ["pair_id", group], [F.desc("score"), F.col("kind"), F.col("key")], n).join(sizes, ["pair_id", group])
 
 
-def order_screen_items(findings: DataFrame) -> DataFrame:
+def order_screen_items(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """UI findings in reading order within their screen: added, modified, removed; then score, key."""
     turn = F.when(F.col("change_type") == rules.ADDED, 0).when(F.col("change_type") == rules.MODIFIED, 1).otherwise(2)
-    rows = findings.withColumn("screen", screen_of()).where("screen is not null")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("pair_id", "screen").orderBy(turn, F.desc("score"), "key")))
+    rows = findings.withColumn("screen", screen_of()).where("screen is not null").withColumn("turn", turn)
+    return placed(rows, ["pair_id", "screen"], [F.col("turn"), F.desc("score"), F.col("key"), F.col("kind")], limit).drop("turn")
 
 
 def order_stories(some: DataFrame) -> DataFrame:
-    """Stories with their place: severity, count, name."""
+    """Stories with their place: severity, count, name. A story is a row, and there are some dozens."""
     return some.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("severity"), F.desc("n"), "story", "group")))
 
 
+def order_screens(some: DataFrame) -> DataFrame:
+    """Screens with their place: count, score, name. A screen is a row, and there are some hundreds."""
+    return some.withColumn("place", F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("n"), F.desc("score"), "screen")))
+
+
 def filter_findings(findings: DataFrame, bucket: str | None = None, kind: str | None = None, group: str | None = None, owner: str | None = None, text: str | None = None) -> DataFrame:
-    """equality filters, and a text searched without regard to case in names, kinds, signals, reasons and paths."""
+    """equality filters, and a text searched without regard to case in names, kinds, places, words, signals, reasons and paths."""
     rows = findings
     for name, value in (("bucket", bucket), ("kind", kind), ("group", group), ("owner", owner)):
         rows = rows if value is None else rows.where(F.col(f"`{name}`") == value)
     if text:
-        everything = F.lower(F.concat_ws(" ", "name", "kind", "key", F.array_join("signals", " "), F.array_join("reasons", " "), F.array_join("paths", " ")))
+        everything = F.lower(F.concat_ws(" ", "name", "kind", "key", where_of(), describe(), F.array_join("signals", " "), F.array_join("reasons", " "), F.array_join("paths", " ")))
         rows = rows.where(F.contains(everything, F.lit(text.lower())))
     return rows
 
 
 def flatten_findings(findings: DataFrame) -> DataFrame:
-    """A flat row for a dashboard: the first six places and deltas, values cut at 90."""
+    """A flat row for a dashboard: where it is, what it is in words, why it is there, and the first six places and deltas, values cut at 90.
+
+    Deltas of platform attributes show our platform's entry and are left out where that did not move.
+    """
     name = F.when(F.col("kind").isin("idl_member", "mojo_method", "mojo_field"), F.col("key")).otherwise(F.col("name"))
-    cut = lambda v: F.coalesce(F.substring(v, 1, 90), F.lit("-"))
-    ours = lambda d, side: F.when(d["attr"].isin("platform_state", "platform_status"), F.get_json_object(d[side], "$.windows")).otherwise(d[side])
-    kept = F.filter("deltas", lambda d: ~d["attr"].isin("platform_state", "platform_status") | ~ours(d, "old").eqNullSafe(ours(d, "new")))
-    what = F.transform(F.slice(kept, 1, 6), lambda d: F.concat(d["attr"], F.lit(": "), cut(ours(d, "old")), F.lit(" -> "), cut(ours(d, "new"))))
-    where = F.transform(F.slice("locations", 1, 6), lambda p: trim_location(p))
+    platform = lambda d: d["attr"].isin("platform_state", "platform_status")
+    cut = lambda v: F.when(F.length(v) > 90, F.concat(F.substring(v, 1, 89), F.lit("…"))).otherwise(F.coalesce(v, F.lit("-")))
+    ours = lambda d, side: F.when(platform(d), F.coalesce(F.get_json_object(d[side], f"$.{rules.PLATFORM}"), F.lit("?"))).otherwise(cut(d[side]))
+    kept = F.filter("deltas", lambda d: ~platform(d) | (ours(d, "old") != ours(d, "new")))
+    moves = F.transform(F.slice(kept, 1, 6), lambda d: F.concat(d["attr"], F.when(platform(d), f" [{rules.PLATFORM}]").otherwise(""), F.lit(": "), ours(d, "old"), F.lit(" -> "), ours(d, "new")))
+    places = F.transform(F.slice(F.when(F.size("locations") > 0, F.col("locations")).otherwise(F.col("paths")), 1, 6), lambda p: trim_location(p))
     return findings.select(
-        "pair_id", F.concat_ws(":", "kind", "key").alias("id"), name.alias("name"), "kind", "group", "owner", "bucket", "score", "change_type",
-        F.array_join(where, "; ").alias("where"), F.array_join(what, "; ").alias("what"), F.array_join("reasons", "; ").alias("why"),
+        "pair_id", F.concat_ws(":", "kind", "key").alias("id"), name.alias("name"), "kind", "group", "owner", "bucket", "score", "change_type", where_of().alias("where"),
+        describe().alias("what"), story_of().alias("why"), F.array_join(places, "; ").alias("places"), F.array_join(moves, "; ").alias("deltas"), F.array_join("reasons", "; ").alias("reasons"),
     )

@@ -1,23 +1,24 @@
-"""The registered queries of the library's operators, over facts and listings derived from the whole given tables."""
+"""The registered queries of the library's operators, over facts, listings and corpora derived from the whole given tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import stored
 from ..functions.columns import attr, platform_value, skip_reason
-from ..operators import coverage, diff, facts, graph, scoring, signals, summaries
+from ..operators import coverage, diff, enrich, facts, graph, scoring, signals, summaries, words
 from ..sources import fixtures
+from . import corpus, report
 
 MILESTONE = 40
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _raw(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.stamp_platform_dirs(fixtures.raw_facts(spark, sf))
+    return fixtures.raw_facts(spark, sf)
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,15 +34,31 @@ def _covered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    changes = stored(_changes(spark, sf), "changes")
-    cov = stored(coverage.coverage(_covered(spark, sf)), "coverage")
-    return stored(scoring.score_changes(changes, cov, fixtures.headers(spark), fixtures.pairs(spark)), "findings")
+    return stored(scoring.score_changes(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
+
+
+def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    found = _findings(spark, sf)
+    return found, stored(graph.build_clusters(graph.link_findings(found)), "clusters")
+
+
+def _join(items: str | Column, mark: str = ",") -> Column:
+    return F.array_join(items, mark)
+
+
+def _long(name: str, alias: str | None = None) -> Column:
+    return F.col(name).cast("long").alias(alias or name)
+
+
+def _moves() -> Column:
+    return _join(F.transform("deltas", lambda d: F.concat(d["attr"], F.lit(": "), F.coalesce(d["old"], F.lit("-")), F.lit(" > "), F.coalesce(d["new"], F.lit("-")))), "; ")
 
 
 def dedupe_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """A1 to A4."""
+    """A1 to A4, J11."""
     text = lambda name: F.coalesce(attr("attrs", name), F.lit(""))
-    return facts.dedupe_facts(_raw(spark, sf)).select("snapshot_id", "kind", "key", "name", "path", "line", text("signatures").alias("signatures"), text("overload_traits").alias("traits"), text("overload_locations").alias("places"))
+    rows = facts.dedupe_facts(_raw(spark, sf))
+    return rows.select("snapshot_id", "kind", "key", "name", "path", "line", platform_value("attrs", "platform_state").alias("state"), text("signatures").alias("signatures"), text("overload_traits").alias("traits"), text("overload_locations").alias("places"))
 
 
 def keep_lowest(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,7 +68,7 @@ def keep_lowest(spark: SparkSession, sf: str) -> DataFrame:
 
 def overload_sets(spark: SparkSession, sf: str) -> DataFrame:
     """A2, A3."""
-    rows = facts.dedupe_facts(_raw(spark, sf).where("kind = 'idl_member'")).where(attr("attrs", "signatures").isNotNull())
+    rows = _facts(spark, sf).where(attr("attrs", "signatures").isNotNull())
     return rows.select("snapshot_id", "key", attr("attrs", "signatures").alias("signatures"), F.coalesce(attr("attrs", "overload_traits"), F.lit("")).alias("traits"))
 
 
@@ -61,31 +78,45 @@ def count_by_kind(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stamp_platform_dirs(spark: SparkSession, sf: str) -> DataFrame:
-    """J11."""
-    return _raw(spark, sf).groupBy("snapshot_id", "kind", platform_value("attrs", "platform_state").alias("state")).agg(F.count("*").alias("n_rows"))
+    """J11 on raw declarations."""
+    return facts.stamp_platform_dirs(_raw(spark, sf)).groupBy("snapshot_id", "kind", platform_value("attrs", "platform_state").alias("state")).agg(F.count("*").alias("n_rows"))
 
 
 def interface_shape(spark: SparkSession, sf: str) -> DataFrame:
     """A23."""
-    return facts.interface_shape(facts.dedupe_facts(_raw(spark, sf))).withColumn("members", F.array_join("members", ","))
+    return facts.interface_shape(facts.dedupe_facts(_raw(spark, sf))).withColumn("members", _join("members"))
 
 
 def meaningful_attrs(spark: SparkSession, sf: str) -> DataFrame:
-    """F11."""
-    rows = diff.meaningful_attrs(facts.dedupe_facts(_raw(spark, sf).where("kind = 'base_feature'")))
-    return rows.select("snapshot_id", "key", F.array_join(F.array_sort(F.map_keys("attrs")), ",").alias("names"))
+    """F11, all kinds."""
+    return diff.meaningful_attrs(_facts(spark, sf)).select("snapshot_id", "kind", "key", _join(F.array_sort(F.map_keys("attrs"))).alias("names"))
+
+
+def member_position(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as members of their order."""
+    rows = fixtures.read_sql(spark, sf, "SELECT DISTINCT 'v1' AS snapshot_id, l_orderkey AS declaration, l_partkey AS offset, concat('f', l_partkey) AS member, l_orderkey % 3 = 0 AS stable FROM {lineitem}")
+    return facts.member_position(rows).select("declaration", "member", _long("position"))
+
+
+def occurrence_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as elements of their order's page."""
+    rows = fixtures.read_sql(spark, sf, "SELECT DISTINCT 'v1' AS snapshot_id, concat('p', l_orderkey % 500) AS path, concat('tag-', l_suppkey % 7) AS tag, l_orderkey * 100000 + l_partkey AS offset, CASE WHEN l_partkey % 5 = 0 THEN 'id' ELSE '' END AS identity FROM {lineitem}")
+    return facts.occurrence_index(rows).select("path", "offset", "identity")
 
 
 def diff_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    """J1, J2."""
-    rows = diff.diff_snapshots(_facts(spark, sf), fixtures.pairs(spark), MILESTONE)
-    return rows.select("kind", "key", "change_type", F.array_join(F.transform("deltas", lambda d: d["attr"]), ",").alias("deltas"))
+    """Changes with the values that moved."""
+    return diff.diff_snapshots(_facts(spark, sf), fixtures.pairs(spark), MILESTONE).select("kind", "key", "change_type", _moves().alias("deltas"))
+
+
+def change_places(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths and places of paired changes."""
+    return _changes(spark, sf).select("kind", "key", "name", _join("paths").alias("paths"), _join("locations").alias("places"))
 
 
 def change_signals(spark: SparkSession, sf: str) -> DataFrame:
     """C1 to C20 on paired changes."""
-    rows = stored(_changes(spark, sf), "changes")
-    return rows.select("kind", "key", "change_type", F.array_join(F.array_sort("signals"), ",").alias("signals"), signals.leading_signal().alias("lead"), "severity", signals.bucket_of().alias("bucket"), signals.owner_of().alias("owner"), signals.group_of().alias("consequence"))
+    return _changes(spark, sf).select("kind", "key", "change_type", _join(F.array_sort("signals")).alias("signals"), signals.leading_signal().alias("lead"), "severity", signals.bucket_of().alias("bucket"), signals.owner_of().alias("owner"), signals.group_of().alias("consequence"))
 
 
 def detect_renames(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,7 +129,7 @@ def detect_repoints(spark: SparkSession, sf: str) -> DataFrame:
     """J6."""
     rows = stored(diff.diff_snapshots(_facts(spark, sf), fixtures.pairs(spark), MILESTONE), "changes")
     merged = diff.detect_repoints(rows).where((F.col("kind") == "webui_control") & F.col("name").contains(" -> "))
-    return merged.select("kind", "key", F.array_contains("signals", "ui_control_type_changed").alias("retyped"))
+    return merged.select("kind", "key", F.array_contains("signals", "ui_control_type_changed").alias("retyped"), _moves().alias("deltas"))
 
 
 def change_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,7 +139,7 @@ def change_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def rank_changes(spark: SparkSession, sf: str) -> DataFrame:
     """W8."""
-    return diff.changes_ranked(_changes(spark, sf)).select("kind", "key", F.col("rank").cast("long").alias("place"))
+    return diff.rank_changes(_changes(spark, sf)).select("kind", "key", _long("rank", "place"))
 
 
 def resolve_gates(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,14 +149,25 @@ def resolve_gates(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("kind", "key", F.when(F.col("o").isNull(), "added").otherwise("removed").alias("change_type"), F.coalesce(F.col("reachable").cast("string"), F.lit("unknown")).alias("reachable"))
 
 
+def comparable_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs, why they can't be compared, and what their newer side lacks."""
+    rows, pairs, headers = facts.dedupe_facts(_raw(spark, sf)), fixtures.pairs(spark, True), fixtures.headers(spark)
+    small = rows.where("snapshot_id = 'v2' and kind in ('mojo_enum', 'pref')").withColumn("snapshot_id", F.lit("v4"))
+    sizes = diff.lopsided(rows.unionByName(small), pairs).withColumnRenamed("reason", "lopsided")
+    gaps = scoring.incomplete_reason(headers).withColumnRenamed("snapshot_id", "to_id")
+    out = diff.comparable(headers, pairs).join(sizes, "pair_id").join(gaps, "to_id", "left")
+    return out.select("pair_id", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("lopsided", F.lit("")).alias("lopsided"), "from_facts", "to_facts", F.coalesce("gap", F.lit("")).alias("gap"))
+
+
 def score_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """R1 to R5."""
-    return _findings(spark, sf).select("kind", "key", "score", "bucket", "owner", "outside")
+    """Scores with their reasons."""
+    return _findings(spark, sf).select("kind", "key", "score", "bucket", "owner", "outside", _join("reasons", "; ").alias("reasons"))
 
 
 def rank_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """W9."""
-    return scoring.rank_findings(_findings(spark, sf)).select("kind", "key", F.col("rank").cast("long").alias("place"))
+    """Z2, W9."""
+    rows = scoring.rank(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark))
+    return rows.select("kind", "key", _long("rank", "place"))
 
 
 def finding_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -144,33 +186,77 @@ def measured_figures(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stories(spark: SparkSession, sf: str) -> DataFrame:
-    """A18, C21."""
-    return summaries.stories(_findings(spark, sf)).drop("pair_id").withColumnRenamed("group", "consequence")
+    """A18, C21, W11."""
+    return summaries.order_stories(summaries.stories(_findings(spark, sf))).drop("pair_id").withColumnRenamed("group", "consequence").withColumn("place", _long("place"))
 
 
 def screens(spark: SparkSession, sf: str) -> DataFrame:
-    """A19, C22."""
-    return summaries.screens(_findings(spark, sf))
+    """A19, C22, W11."""
+    return summaries.order_screens(summaries.screens(_findings(spark, sf))).drop("pair_id").withColumn("place", _long("place"))
+
+
+def screen_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """A20."""
+    return summaries.screen_totals(_findings(spark, sf)).drop("pair_id")
+
+
+def screen_items(spark: SparkSession, sf: str) -> DataFrame:
+    """The first twelve of each screen."""
+    return summaries.order_screen_items(_findings(spark, sf), 12).select("screen", "kind", "key", _long("place"))
+
+
+def describe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every finding in words, and where it is."""
+    return _findings(spark, sf).select("kind", "key", words.describe().alias("what"), words.where_of().alias("place"))
 
 
 def top_n_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    """W7."""
-    return summaries.top_n_per_group(_findings(spark, sf), "owner", 8).select("owner", "kind", "key", F.col("place").cast("long").alias("place"), "remaining")
+    """Eight of each owner that are no housekeeping, forty of each bucket."""
+    found = _findings(spark, sf)
+    some = [("owner", summaries.top_n_per_group(found, "owner", 8, F.col("bucket") != "housekeeping")), ("bucket", summaries.top_n_per_group(found, "bucket", 40))]
+    parts = [rows.select(F.lit(by).alias("by"), F.col(by).alias("value"), "kind", "key", _long("place"), "remaining") for by, rows in some]
+    return parts[0].unionByName(parts[1])
 
 
 def filter_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """F12."""
-    return summaries.filter_findings(_findings(spark, sf), bucket="breaking", owner="native").select("kind", "key")
+    """by fields and by text."""
+    found = _findings(spark, sf)
+    some = [("fields", summaries.filter_findings(found, bucket="breaking", owner="native")), ("text", summaries.filter_findings(found, text="PAGE7")), ("both", summaries.filter_findings(found, kind="base_feature", group="Behaviour switches", text="off → on"))]
+    parts = [rows.select(F.lit(by).alias("by"), "kind", "key") for by, rows in some]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def flatten_findings(spark: SparkSession, sf: str) -> DataFrame:
     """S7."""
-    return summaries.flatten_findings(_findings(spark, sf))
+    return summaries.flatten_findings(_findings(spark, sf)).drop("pair_id", "group", "places").withColumnRenamed("where", "spot")
+
+
+def enrich_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """The brief of each finding that has one."""
+    rows = enrich.enrich(_findings(spark, sf), fixtures.briefs(spark, sf)).where("brief is not null")
+    return rows.select("kind", "key", F.col("brief.id").alias("brief_id"), "brief.name", F.length("brief.summary").cast("long").alias("n_chars"), "brief.spec", F.coalesce("brief.shipping", F.lit("")).alias("shipping"), F.coalesce("brief.shipped_milestone", F.lit("")).alias("shipped"), "brief.ff_position", F.coalesce("brief.safari_position", F.lit("")).alias("safari_position"))
+
+
+def newest_briefs(spark: SparkSession, sf: str) -> DataFrame:
+    """W4, X15."""
+    return enrich.newest_feature_per_name(fixtures.briefs(spark, sf)).select("name", "id", "milestone", "summary")
+
+
+def versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest version of each milestone, of versions made of orders."""
+    rows = fixtures.read_sql(spark, sf, "SELECT concat(100 + o_orderkey % 40, '.0.', o_custkey % 300, CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE concat('.', o_orderkey % 120) END) AS version FROM {orders}")
+    return enrich.latest_version_per_milestone(rows)
+
+
+def milestone_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Spans between numbers made of orders."""
+    rows = fixtures.read_sql(spark, sf, "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderkey % 20 + 100 AS INT) END AS start, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 30 + 100 AS INT) END AS end FROM {orders}")
+    return enrich.milestone_span(rows).select("id", _join(F.transform("milestones", lambda x: x.cast("string"))).alias("milestones"))
 
 
 def skip_reasons(spark: SparkSession, sf: str) -> DataFrame:
     """F1."""
-    return fixtures.listing(spark, sf).groupBy("snapshot_id", skip_reason(F.col("path")).alias("reason")).agg(F.count("*").alias("n_paths"))
+    return fixtures.listing(spark, sf).select("snapshot_id", "path", skip_reason(F.col("path")).alias("reason"))
 
 
 def route_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,17 +266,36 @@ def route_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def could_declare(spark: SparkSession, sf: str) -> DataFrame:
     """F6, F2, F3."""
-    return coverage.could_declare(fixtures.listing(spark, sf)).select("snapshot_id", "path")
+    return coverage.could_declare(fixtures.listing(spark, sf)).select("snapshot_id", "path", F.col("surfaces")[0].alias("surface"))
+
+
+def candidates_all(spark: SparkSession, sf: str) -> DataFrame:
+    """U5."""
+    return coverage.candidates_all(fixtures.listing(spark, sf)).select("snapshot_id", "path", _join("surfaces").alias("surfaces"))
 
 
 def coverage_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A10, A11 over J14 and F7."""
+    """A10, A11 over J14."""
     return coverage.coverage(_covered(spark, sf)).select("snapshot_id", F.coalesce("surface", F.lit("")).alias("surface"), "candidates", F.col("read").alias("n_read"))
 
 
+def reaches(spark: SparkSession, sf: str) -> DataFrame:
+    """F7."""
+    return coverage.reaches(fixtures.listing(spark, sf), fixtures.scope(spark)).select("snapshot_id", "path")
+
+
+def partition_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """What a scope cut to a partition reads of the listings, and what a whole-root scope does."""
+    paths, parts = fixtures.listing(spark, sf), fixtures.partitions(spark)
+    cut = coverage.partition_scope(fixtures.scope(spark), parts, ["ui"])
+    whole = coverage.complete_scope(parts, ["ui"]).crossJoin(F.broadcast(spark.createDataFrame([("v1",), ("v2",)], "snapshot_id string")))
+    some = [coverage.reaches(paths, s).select(F.lit(n).alias("scope"), "snapshot_id", "path") for n, s in (("cut", cut), ("whole", whole))]
+    return some[0].unionByName(some[1])
+
+
 def missed_by_directory(spark: SparkSession, sf: str) -> DataFrame:
     """A12."""
-    return coverage.missed_by_directory(_covered(spark, sf)).withColumn("place", F.col("place").cast("long"))
+    return coverage.missed_by_directory(_covered(spark, sf)).withColumn("place", _long("place"))
 
 
 def missed_by_area(spark: SparkSession, sf: str) -> DataFrame:
@@ -204,13 +309,15 @@ def multi_surface_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def missed_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """U6."""
-    return coverage.missed_paths(_covered(spark, sf)).select("snapshot_id", "path", F.col("place").cast("long").alias("place"), F.col("of").alias("n_missed"))
+    """All unread candidates, and the first forty with how many there are."""
+    rows = stored(_covered(spark, sf), "read")
+    parts = [coverage.missed_paths(rows, n).select(F.lit(what).alias("listed"), "snapshot_id", "path", _long("place"), F.col("of").alias("n_missed")) for what, n in (("all", None), ("first", 40))]
+    return parts[0].unionByName(parts[1])
 
 
 def catalog_order(spark: SparkSession, sf: str) -> DataFrame:
     """W12."""
-    return coverage.catalog_order(_covered(spark, sf)).select("snapshot_id", "path", F.col("place").cast("long").alias("place"))
+    return coverage.catalog_order(stored(_covered(spark, sf), "read")).select("snapshot_id", "path", _long("place"))
 
 
 def scope_violations(spark: SparkSession, sf: str) -> DataFrame:
@@ -228,11 +335,59 @@ def closure_summary(spark: SparkSession, sf: str) -> DataFrame:
     return graph.closure_summary(graph.unresolved_references(_facts(spark, sf)))
 
 
+def link_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """J8."""
+    return graph.link_findings(_findings(spark, sf)).drop("pair_id")
+
+
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """J8, G1, A21."""
-    found = _findings(spark, sf)
-    return graph.cluster_summary(found, graph.build_clusters(graph.link_findings(found))).select("cluster", "label", "size", "top_score", F.array_join("members", ",").alias("members"))
+    """G1, A21."""
+    found, some = _clusters(spark, sf)
+    rows = graph.cluster_summary(found, some)
+    return rows.select("cluster", "label", "size", "top_score", _join("kinds").alias("kinds"), _join("buckets").alias("buckets"), _join("members").alias("members"))
+
+
+def order_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 25 clusters."""
+    found, some = _clusters(spark, sf)
+    return graph.order_clusters(graph.cluster_summary(found, some)).select("cluster", "size", _long("place"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (dedupe_facts, keep_lowest, overload_sets, count_by_kind, stamp_platform_dirs, interface_shape, meaningful_attrs, diff_snapshots, change_signals, detect_renames, detect_repoints, change_summary, rank_changes, resolve_gates, score_changes, rank_findings, finding_summary, owner_bucket_matrix, measured_figures, stories, screens, top_n_per_group, filter_findings, flatten_findings, route_files, could_declare, missed_by_directory, missed_by_area, multi_surface_files, missed_paths, catalog_order, scope_violations, unresolved_references, closure_summary, clusters)}
-QUERIES |= {"skip_reason": skip_reasons, "coverage": coverage_rows}
+def annotate(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings in clusters."""
+    found, some = _clusters(spark, sf)
+    rows = graph.annotate(found, some).where("cluster is not null")
+    return rows.select("kind", "key", F.col("cluster.id").alias("cluster"), "cluster.label", "cluster.size", _join("cluster.kinds").alias("kinds"), "cluster.top_score")
+
+
+def report_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Z3: rows of each table of the report."""
+    changes = stored(_changes(spark, sf), "changes")
+    found = stored(scoring.score_changes(changes, coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
+    return _sizes(report.report(changes, found))
+
+
+def audit_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of each table of the audit."""
+    return _sizes(report.audit(_facts(spark, sf), fixtures.listing(spark, sf), fixtures.scope(spark)))
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name, rows in tables.items():
+        one = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        dedupe_facts, keep_lowest, overload_sets, count_by_kind, stamp_platform_dirs, interface_shape, meaningful_attrs, member_position, occurrence_index, diff_snapshots, change_places,
+        change_signals, detect_renames, detect_repoints, change_summary, rank_changes, resolve_gates, comparable_pairs, score_changes, rank_findings, finding_summary, owner_bucket_matrix,
+        measured_figures, stories, screens, screen_totals, screen_items, describe, top_n_per_group, filter_findings, flatten_findings, enrich_findings, newest_briefs, versions, milestone_span,
+        route_files, could_declare, candidates_all, reaches, partition_scope, missed_by_directory, missed_by_area, multi_surface_files, missed_paths, catalog_order, scope_violations,
+        unresolved_references, closure_summary, link_findings, clusters, order_clusters, annotate, report_tables, audit_tables,
+    )
+}
+QUERIES |= {"skip_reason": skip_reasons, "coverage": coverage_rows} | corpus.QUERIES

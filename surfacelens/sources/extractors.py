@@ -4,65 +4,161 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import evaluate_guard
-from ..operators.coverage import route_files
+from ..functions import rules
+from ..functions.parsing import closing, collapse, line_of, mask_comments, normalize_params, normalize_signature, parse_ext_attrs, parts_at, platform_state, split_top
+from ..operators import coverage
+from ..operators.facts import dedupe_facts
 
 _SCHEMA = "snapshot_id string, extractor string, kind string, key string, name string, path string, line int, attrs map<string,string>, error string"
 Found = tuple[str, str, str, int, dict]  # kind, key, name, line, attributes
+_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(ifndef|ifdef|if|elif|else|endif)\b(.*)")
+_STATE = re.compile(r"FEATURE_(ENABLED|DISABLED)_BY_DEFAULT")
 
 
-def mask_comments(text: str, keep_strings: bool = True) -> str:
-    """The text with comments blanked, offsets and lines unchanged."""
-    blank = lambda m: m[0] if m[0][0] in "\"'`" and keep_strings else re.sub(r"[^\n]", " ", m[0])
-    return re.sub(r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|//[^\n]*|/\*.*?\*/', blank, text, flags=re.S)
+def _blank(text: str) -> str:
+    return re.sub(r"[^\n]", " ", text)
 
 
-def line_of(text: str, at: int) -> int:
-    """The line of an offset, from 1."""
-    return text.count("\n", 0, at) + 1
+class _Branches:
+    """The conditional blocks that are open at a line."""
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[list[str], list[str]]] = []  # (what holds, the branch conditions so far)
+
+    def read(self, line: str, include_guard: bool = False) -> bool:
+        """Take a line in; whether it is a directive."""
+        m = _DIRECTIVE.match(line)
+        if not m:
+            return False
+        word, rest = m[1], m[2].strip()
+        if word in ("if", "ifdef", "ifndef"):
+            own = {"if": rest, "ifdef": f"defined({rest})", "ifndef": f"!defined({rest})"}[word]
+            self.levels.append(([], []) if include_guard else ([own], [own]))
+        elif self.levels and word == "endif":
+            self.levels.pop()
+        elif self.levels:
+            # A later branch holds where all before it fail.
+            before = self.levels.pop()[1]
+            own = [rest] if word == "elif" else []
+            self.levels.append(([f"!({c})" for c in before] + own, before + own))
+        return True
+
+    def holding(self) -> list[str]:
+        """Conditions of the open branches, the innermost block first."""
+        return [c for held, _ in reversed(self.levels) for c in held]
 
 
 def guards_by_line(text: str) -> list[list[str]]:
-    """The build conditions that hold on each line; an else branch negates those before it. A header's own include guard is none."""
-    stack: list[list[str]] = []
-    out = []
-    for raw in text.split("\n"):
-        line = raw.strip()
-        if m := re.match(r"#\s*(ifndef|ifdef|if|elif|else|endif)\b(.*)", line):
-            word, rest = m[1], m[2].strip()
-            if word in ("if", "ifdef", "ifndef"):
-                stack.append(["" if word == "ifndef" and re.search(r"_H_?$", rest) else rest if word == "if" else f"defined({rest})" if word == "ifdef" else f"!defined({rest})"])
-            elif word == "endif":
-                if stack:
-                    stack.pop()
-            elif stack:
-                before = " && ".join(f"!({c})" for c in stack[-1] if c)
-                stack[-1].append(f"{before} && ({rest})" if word == "elif" else before)
-        out.append([s[-1] for s in stack if s[-1]])
+    """The build conditions that hold on each line. A header's own include guard (#ifndef X, then #define X) is none."""
+    lines = text.split("\n")
+    open_, out = _Branches(), []
+    for i, line in enumerate(lines):
+        m = re.match(r"\s*#\s*ifndef\s+(\w+)\s*$", line)
+        follower = next((x for x in lines[i + 1 : i + 4] if x.strip()), "") if m else ""
+        open_.read(line, bool(m and re.match(rf"\s*#\s*define\s+{m[1]}\b", follower)))
+        out.append(open_.holding())
     return out
 
 
-def platform_state(conditions: list[str]) -> str | None:
-    """not_compiled, conditional or compiled under these conditions; None without any."""
-    got = [evaluate_guard(c) for c in conditions]
-    return None if not got else "not_compiled" if False in got else "conditional" if None in got else "compiled"
+def _state_in_chain(block: str) -> dict[str, str]:
+    """A declaration's state for us where an inner conditional chain picks it; {} without a state."""
+    open_, found = _Branches(), []
+    for line in block.split("\n"):
+        if not open_.read(line):
+            found += [(open_.holding(), m[1].lower()) for m in _STATE.finditer(line)]
+    if not found:
+        return {}
+    for conditions, state in found:
+        if (platform_state(conditions) or "compiled") == "compiled":
+            return {rules.PLATFORM: state}
+    undecided = any(platform_state(c) == "conditional" for c, _ in found)
+    return {rules.PLATFORM: "conditional" if undecided else "not_compiled"}
+
+
+def _feature_state(block: str, conditions: list[str]) -> dict[str, str]:
+    """The state in a declaration, narrowed by the conditions around it."""
+    outer = platform_state(conditions)
+    return {rules.PLATFORM: outer} if outer in ("not_compiled", "conditional") else _state_in_chain(block)
+
+
+def _bare(var: str) -> str:
+    """A name without the k before a capital."""
+    return var[1:] if len(var) > 1 and var[0] == "k" and var[1].isupper() else var
+
+
+def _quoted(text: str) -> str | None:
+    m = re.match(r'"([^"]*)"$', text)
+    return m[1] if m else None
+
+
+def _calls(text: str, pattern: str) -> Iterator[tuple[re.Match, str]]:
+    """(match, text between the brackets) of each match that ends in an opening bracket which is closed."""
+    for m in re.finditer(pattern, text):
+        end = closing(text, m.end() - 1)
+        if end is not None:
+            yield m, text[m.end() : end]
+
+
+def feature_flags(text: str, path: str) -> Iterator[Found]:
+    """Feature flags in their three spellings, and their parameters."""
+    clean = mask_comments(text)
+    guards = guards_by_line(clean)
+    found = [(m, inner, split_top(inner), "macro") for m, inner in _calls(clean, r"\bBASE_FEATURE\s*\(")]
+    for m in re.finditer(r"\b(?:const\s+)?base::Feature\s+(k\w+)\s*\{", clean):
+        end = clean.find("}", m.end())
+        if end >= 0:
+            found.append((m, clean[m.end() : end], [m[1], *split_top(clean[m.end() : end])], "legacy"))
+    for m, inner, args, form in found:
+        if not re.match(r"k\w+$", args[0]):
+            continue
+        named = _quoted(args[1]) if len(args) >= (3 if form == "macro" else 2) else None
+        line, state = line_of(clean, m.start()), _STATE.search(inner)
+        conditions = guards[line - 1]
+        yield (
+            "base_feature", named or _bare(args[0]), named or _bare(args[0]), line,
+            {
+                "var": args[0], "default_state": state[1].lower() if state else "unknown", "platform_state": _feature_state(inner, conditions),
+                "declared_form": "legacy" if form == "legacy" else "macro3" if len(args) >= 3 else "macro2", "conditions": conditions,
+            },
+        )
+    params = []
+    for m in re.finditer(r"\bbase::FeatureParam\s*<\s*([^>]+?)\s*>\s*(k\w+)\s*\{", clean):
+        end = closing(clean, m.end() - 1)
+        if end is not None:
+            params.append((m, m[1], m[2], split_top(clean[m.end() : end])))
+    for m, inner in _calls(clean, r"\bBASE_FEATURE_PARAM\s*\("):
+        args = split_top(inner)
+        if len(args) >= 4:
+            params.append((m, args[0], args[1], args[2:]))
+    for m, kind, var, args in params:
+        owner = _bare(args[0].lstrip("&").split("::")[-1]) if args[0].startswith("&") else ""
+        rest = args[1:] if owner else args
+        # Without a name the variable gives it, and the value comes first.
+        name = _quoted(rest[0]) if rest else ""
+        value = (rest[1] if len(rest) > 1 else "") if name is not None else rest[0]
+        name = _bare(var) if name is None else name
+        if name:
+            key = f"{owner}/{name}" if owner else f"{path}:{name}"
+            yield "feature_param", key, name, line_of(clean, m.start()), {"feature": owner, "type": collapse(kind), "var": var, "default": collapse(value)}
 
 
 def string_constants(text: str, path: str) -> Iterator[Found]:
     """Preference keys and switches by their string."""
-    clean, kind = mask_comments(text), "pref" if "pref" in path.rsplit("/", 1)[-1] else "switch"
+    base = path.rsplit("/", 1)[-1]
+    clean, kind = mask_comments(text), "pref" if any(h in base for h in rules.PREF_FILES) else "switch"
     guards = guards_by_line(clean)
-    for m in re.finditer(r'\bchar\s+(k\w+)\s*\[\s*\]\s*=\s*"((?:\\.|[^"\\])*)"', clean):
+    for m in re.finditer(r'\b(?:const|constexpr)\s+(?:constexpr\s+)?(?:char\s+(k\w+)\s*\[\s*\]|std::string_view\s+(k\w+))\s*=\s*"([^"]+)"\s*;', clean):
         line = line_of(clean, m.start())
         some = guards[line - 1]
         state = platform_state(some)
-        yield kind, m[2], m[2], line, {"var": m[1]} | ({"conditions": some} if some else {}) | ({"platform_state": {"windows": state}} if state not in (None, "compiled") else {})
+        restricted = {"platform_state": {rules.PLATFORM: state}} if state not in (None, "compiled") else {}
+        yield kind, m[3], m[3], line, {"var": m[1] or m[2]} | ({"conditions": some} if some else {}) | restricted
 
 
 def read_json5(text: str) -> object:
@@ -81,76 +177,305 @@ def read_json5(text: str) -> object:
     return json.loads(re.sub("\x00(\\d+)\x00", lambda m: strings[int(m[1])], bare))
 
 
+def _entries(some: object, text: str, quoted: bool) -> Iterator[tuple[dict, int]]:
+    """(entry, its line) of a manifest's entries with a name."""
+    mark = '"' if quoted else ""
+    lines = {m[1]: line_of(text, m.start()) for m in re.finditer(rf'^[ \t]*\{{?[ \t]*{mark}name{mark}[ \t]*:[ \t]*"([^"]+)"', text, re.M)}
+    for entry in some if isinstance(some, list) else ():
+        if isinstance(entry, dict) and entry.get("name"):
+            yield entry, lines.get(entry["name"], 0)
+
+
 def runtime_flags(text: str, path: str) -> Iterator[Found]:
-    """Runtime flags of a manifest."""
-    for entry in read_json5(text)["data"]:
-        name, status = entry["name"], entry.get("status", "")
-        ours = status if isinstance(status, str) else status.get("Win", status.get("default", ""))
-        at = re.search(rf"name\s*:\s*[\"']{re.escape(name)}[\"']", text)
-        kept = {k: v for k, v in entry.items() if k not in ("name", "status")}
-        yield "blink_runtime_feature", name, name, line_of(text, at.start()) if at else 0, {"status": status, "windows_status": ours} | kept
+    """Runtime flags of a manifest. A status by platform that lists no default is empty elsewhere."""
+    manifest = read_json5(text)
+    for entry, line in _entries(manifest.get("data") if isinstance(manifest, dict) else None, text, False):
+        status = entry.get("status", "")
+        every = status if isinstance(status, dict) else {"default": status}
+        default = every.get("default", "")
+        ours = {rules.PLATFORM: every.get("Win", default), "default": default}
+        kept = {k: entry[k] for k in rules.WIRING if k in entry}
+        yield "blink_runtime_feature", entry["name"], entry["name"], line, {"status": "per-platform" if isinstance(status, dict) else status, "platform_status": ours, "windows_status": ours[rules.PLATFORM]} | kept
 
 
 def flag_metadata(text: str, path: str) -> Iterator[Found]:
     """E5: flags with the milestone of their removal."""
-    for entry in read_json5(text):
-        at = text.find(f'"{entry["name"]}"')
-        yield "flag_entry", entry["name"], entry["name"], line_of(text, max(at, 0)), {k: entry[k] for k in ("expiry_milestone", "owners") if k in entry}
+    for entry, line in _entries(read_json5(text), text, True):
+        yield "flag_entry", entry["name"], entry["name"], line, {"expiry_milestone": entry.get("expiry_milestone"), "owners": entry.get("owners", [])}
+
+
+_DEFINITION = re.compile(r"\b(partial\s+)?(callback\s+interface|interface\s+mixin|interface|dictionary|namespace|enum)\s+(\w+)(?:\s*:\s*(\w+))?\s*\{")
+
+
+def _leading_attrs(text: str, at: int) -> dict:
+    """The extended attributes in brackets right before a place."""
+    before = text[:at].rstrip()
+    if not before.endswith("]"):
+        return {}
+    depth = 0
+    for i in range(len(before) - 1, -1, -1):
+        depth += {"]": 1, "[": -1}.get(before[i], 0)
+        if not depth:
+            return parse_ext_attrs(before[i + 1 : -1])
+    return {}
+
+
+def member_of(text: str) -> tuple[str, str]:
+    """(name, type) of a member declaration without its extended attributes; '' where it has no name."""
+    line = collapse(text)
+    last = lambda pattern: (re.search(pattern, line) or ["", ""])[1]
+    if line.startswith("const "):
+        return last(r"\b(\w+)\s*="), "const"
+    if re.match(r"(readonly\s+)?(inherit\s+)?attribute\b", line):
+        return last(r"([\w-]+)$"), "attribute"
+    for word in ("async iterable", "iterable", "maplike", "setlike", "stringifier"):
+        if line.startswith(word):
+            return word, "declarative"
+    if line.startswith("constructor"):
+        return "constructor", "operation"
+    if "(" not in line:
+        return last(r"(\w+)(?:\s*=\s*.+)?$"), "field"
+    head = line[: line.index("(")].strip()
+    name, special = (re.search(r"(\w+)$", head) or ["", ""])[1], re.findall(r"\b(getter|setter|deleter)\b", head)
+    if name in ("getter", "setter", "deleter"):
+        return f"{name}()", "operation"
+    # Of several special words the latest of this order counts.
+    word = next((w for w in ("deleter", "setter", "getter") if w in special), "")
+    return (f"{word} {name}" if word and name else name), "operation"
+
+
+def web_definitions(text: str, path: str) -> Iterator[Found]:
+    """Web-API definitions and their members; a partial definition adds members only."""
+    clean, at = mask_comments(text), 0
+    while m := _DEFINITION.search(clean, at):
+        end = closing(clean, m.end() - 1)
+        if end is None:
+            return
+        at, kind, name, body = end + 1, collapse(m[2]), m[3], clean[m.end() : end]
+        attrs = {"idl_kind": kind, "partial": bool(m[1]), "inherits": m[4] or "", "ext": _leading_attrs(clean, m.start())}
+        if kind == "enum":
+            attrs["values"] = [v.strip("\"'") for v in split_top(body) if v]
+        if not m[1]:
+            yield "idl_interface", name, name, line_of(clean, m.start()), attrs
+        for offset, member in parts_at(body, ";") if kind != "enum" else ():
+            ext, own = {}, member
+            if own.startswith("[") and (close := closing(own, 0)) is not None:
+                ext, own = parse_ext_attrs(own[1:close]), own[close + 1 :].strip()
+            called, sort = member_of(own)
+            if called:
+                line = line_of(clean, m.end() + offset)
+                yield "idl_member", f"{name}.{called}", called, line, {"interface": name, "member_type": sort, "signature": normalize_signature(own), "ext": ext, "runtime_enabled": ext.get("RuntimeEnabled", ""), "from_partial": bool(m[1])}
+
+
+_DECLARATION = re.compile(r"(?:^|\n)\s*(?:\[([^\]]*)\]\s*)?(interface|struct|union|enum)\s+(\w+)\s*\{")
+
+
+class _Declared:
+    """One declaration of a message file and where it lies."""
+
+    def __init__(self, text: str, m: re.Match, end: int) -> None:
+        self.attrs = split_top(m[1] or "")
+        self.word, self.name, self.at, self.begin, self.end = m[2], m[3], m.start(2), m.end(), end
+        self.stable = "Stable" in self.attrs
+        self.conditions = [a for a in self.attrs if a.startswith("EnableIf")]
+        self.outer: list[_Declared] = []
+
+    def qualified(self, module: str) -> str:
+        return ".".join([*([module] if module else []), *(o.name for o in self.outer), self.name])
+
+    def all_conditions(self) -> list[str]:
+        return [c for d in (*self.outer, self) for c in d.conditions]
+
+
+def _restricted(conditions: list[str], inherited: int = 0) -> dict:
+    """Conditions, what they mean for us, and which of them are an outer declaration's."""
+    state = platform_state(conditions, "attribute")
+    if state is None:
+        return {}
+    return {"conditions": conditions, "platform_state": {rules.PLATFORM: state}} | ({"inherited_conditions": conditions[:inherited]} if inherited else {})
+
+
+def _call(text: str) -> dict | None:
+    """The parts of a call declaration; None if it is none."""
+    line = collapse(text)
+    lead = re.match(r"\[([^\]]*)\]\s*", line)
+    names = [k for k in (x.strip() for x in lead[1].split(",")) if k] if lead else []
+    m = re.match(r"(\w+)\s*(?:@(\d+))?\s*\(", rest := line[lead.end() :] if lead else line)
+    end = closing(rest, m.end() - 1) if m else None
+    if end is None:
+        return None
+    back = re.match(r"\s*=>\s*\(", rest[end + 1 :])
+    answer = ""
+    if back:
+        begin = end + 1 + back.end()
+        close = closing(rest, begin - 1)
+        answer = rest[begin:close] if close is not None else ""
+    return {"name": m[1], "ordinal": m[2], "params": normalize_params(rest[m.end() : end]), "response": normalize_params(answer), "attrs": names}
+
+
+def message_definitions(text: str, path: str) -> Iterator[Found]:
+    """Calls of interfaces, and the structs, unions and enums that travel along them."""
+    clean = mask_comments(text)
+    module = (re.search(r"^\s*(?:\[[^\]]*\]\s*)?module\s+([\w.]+)\s*;", clean, re.M) or ["", ""])[1]
+    found, at = [], 0
+    while m := _DECLARATION.search(clean, at):
+        end = closing(clean, m.end() - 1)
+        at = m.end()
+        if end is not None:
+            found.append(_Declared(clean, m, end))
+    for d in found:
+        d.outer = [o for o in found if o.begin <= d.at and d.end < o.end]
+    for d in found:
+        whole, line = d.qualified(module), line_of(clean, d.at)
+        stable = {"stable": True} if d.stable else {}
+        body = clean[d.begin : d.end]
+        if d.word != "interface":
+            # What is nested is told apart; its offsets stay.
+            for o in found:
+                if d in o.outer:
+                    body = body[: o.at - d.begin] + _blank(body[o.at - d.begin : o.end + 1 - d.begin]) + body[o.end + 1 - d.begin :]
+        if d.word == "interface":
+            yield from _calls_of(d, body, clean, module, stable)
+        elif d.word == "enum":
+            values = [collapse(v) for v in split_top(body)]
+            values = [f"{m[1]} = {m[2]}" if m[2] else m[1] for v in values if v and (m := re.match(r"(\w+)(?:\s*=\s*(.+))?$", v))]
+            yield "mojo_enum", whole, d.name, line, {"module": module, "values": values} | stable | _restricted(d.all_conditions())
+        else:
+            fields = list(_fields_of(d, body, clean, module, whole))
+            yield from fields
+            names = [f[2] for f in fields]
+            yield "mojo_struct", whole, d.name, line, {"module": module, "mojo_kind": d.word, "field_count": len(names), "fields": sorted(names)} | stable | _restricted(d.all_conditions())
+
+
+def _calls_of(d: _Declared, body: str, clean: str, module: str, stable: dict) -> Iterator[Found]:
+    whole, names = f"{module}.{d.name}" if module else d.name, []
+    for offset, text in parts_at(body, ";"):
+        call = _call(text)
+        if not call:
+            continue
+        own = [a for a in split_top(",".join(call["attrs"])) if a.startswith("EnableIf")]
+        signature = f"{call['name']}({call['params']})" + (f" => ({call['response']})" if call["response"] else "")
+        attrs = {"interface": whole, "module": module, "signature": signature, "params": call["params"], "response": call["response"], "attrs": dict.fromkeys(call["attrs"], True)}
+        attrs |= ({"ordinal": call["ordinal"]} if call["ordinal"] is not None else {}) | _restricted(d.conditions + own, len(d.conditions))
+        attrs |= {"position": len(names), "stable": True} if d.stable else {}
+        names.append(call["name"])
+        yield "mojo_method", f"{whole}.{call['name']}", call["name"], line_of(clean, d.begin + offset), attrs
+    yield "mojo_interface", whole, d.name, line_of(clean, d.at), {"module": module, "method_count": len(names), "methods": sorted(names)} | stable | _restricted(d.conditions)
+
+
+def _fields_of(d: _Declared, body: str, clean: str, module: str, whole: str) -> Iterator[Found]:
+    outer, n = d.all_conditions(), 0
+    for offset, text in parts_at(body, ";"):
+        line = collapse(text)
+        lead = re.match(r"\[([^\]]*)\]\s*", line)
+        given = lead[1].strip() if lead else ""
+        what, _, default = line[lead.end() if lead else 0 :].partition("=")
+        m = re.match(r"(.+)\s+(\w+)(?:@(\d+))?$", what.strip())
+        if not m:
+            continue
+        version = re.search(r"\bMinVersion\s*=\s*(\d+)", given)
+        attrs = {"struct": whole, "module": module, "type": collapse(m[1]), "ordinal": m[3], "default": default.strip() or None, "attrs": given or None, "min_version": version[1] if version else None}
+        attrs |= _restricted(outer + [a for a in split_top(given) if a.startswith("EnableIf")], len(outer)) | ({"stable": True, "position": n} if d.stable else {})
+        n += 1
+        yield "mojo_field", f"{whole}.{m[2]}", m[2], line_of(clean, d.begin + offset), attrs
+
+
+def _below_resources(path: str) -> list[str]:
+    return path.removeprefix(rules.RESOURCES).split("/")
 
 
 def page_routes(text: str, path: str) -> Iterator[Found]:
-    """Pages with their route, parent and the visibility keys they stand under."""
-    clean, surface = mask_comments(text), (re.search(r"resources/([^/]+)/", path) or [None, "settings"])[1]
-    stack: list[str | None] = []
-    event = re.compile(r"if\s*\(\s*loadTimeData\.getBoolean\(\s*['\"](\w+)['\"]\s*\)\s*\)\s*\{|(\{)|(\})|\br\.(\w+)\s*=\s*(?:new Route\(\s*|r\.(\w+)\.createChild\(\s*|r\.(\w+)\.createSection\(\s*)['\"]([^'\"]*)['\"]")
+    """Pages with their route, parent and the visibility keys whose blocks they stand in."""
+    clean, surface = mask_comments(text), _below_resources(path)[0]
+    depth, guards = 0, []  # (depth inside the block, key)
+    event = re.compile(
+        r"\bif\b[^\n]*?loadTimeData\.getBoolean\(\s*['\"](\w+)['\"][^\n]*"
+        r"|\b\w+\.([A-Z][A-Z0-9_]*)\s*=\s*(?:\w+\.([A-Z][A-Z0-9_]*)\.)?create(Child|Section)\(\s*['\"]([^'\"]+)['\"]"
+        r"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[{}]",
+        re.S,
+    )
     for m in event.finditer(clean):
-        if m[1]:
-            stack.append(m[1])
-        elif m[2]:
-            stack.append(None)
-        elif m[3]:
-            if stack:
-                stack.pop()
-        else:
-            guards = [g for g in stack if g]
-            yield "webui_route", f"{surface}/{m[4]}", m[4], line_of(clean, m.start()), {"surface": surface, "route": m[7], "parent": m[5] or m[6] or "", "guards": guards}
+        if m[2]:
+            yield "webui_route", f"{surface}/{m[2]}", m[2], line_of(clean, m.start()), {"surface": surface, "route": m[5], "parent": m[3] or "", "route_kind": m[4].lower(), "guards": [k for _, k in guards]}
+            continue
+        if m[1] and "{" in m[0]:
+            guards.append((depth + 1, m[1]))
+        for brace in re.findall(r"[{}]", m[0]) if m[1] or m[0] in "{}" else ():
+            depth += 1 if brace == "{" else -1
+            guards = [g for g in guards if g[0] <= depth] if brace == "}" else guards
+
+
+_TAG = re.compile(r"<([a-z][a-z0-9]*(?:-[a-z0-9]+)+)(?=[\s/>])([^>]*)>", re.S)
+_PREF = re.compile(r"(?:\{\{|\[\[)\s*prefs\.([\w.]+?)(?:\.value)?\s*(?:\}\}|\]\])|\$\{\s*(?:this\.)?prefs\.([\w.]+?)(?:\.value)?\s*\}")
+
+
+def is_control(tag: str, pref: str, element_id: str, label: str) -> bool:
+    """Whether an element is a control: it writes a preference, is a unit of a page, or has an interactive part in its tag and an id or label."""
+    return bool(pref) or tag in rules.PAGE_UNITS or bool(element_id or label) and not set(tag.split("-")).isdisjoint(rules.CONTROL_PARTS)
+
+
+def _template(text: str, path: str) -> str:
+    """The markup of a template: all of an HTML file; of a script what lies between html` and the last backtick, the rest blanked."""
+    if path.endswith(".html.ts"):
+        m = re.search(r"\bhtml`", text)
+        end = text.rfind("`")
+        text = "" if not m else _blank(text[: m.end()]) + text[m.end() : end if end > m.end() else len(text)]
+    return re.sub(r"<!--.*?-->", lambda c: _blank(c[0]), text, flags=re.S)
 
 
 def page_controls(text: str, path: str) -> Iterator[Found]:
-    """Controls of a template: hyphenated tags with a preference, label or id; others by their place."""
-    surface = (re.search(r"resources/([^/]+)/", path) or [None, ""])[1]
-    file = path.rsplit("/", 1)[-1]
-    page, seen = file.split(".")[0], {}
-    for m in re.finditer(r"<([a-z]+(?:-[a-z0-9]+)+)\b((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.sub(r"<!--.*?-->", lambda c: re.sub(r"[^\n]", " ", c[0]), text, flags=re.S)):
-        attrs = {a[1]: a[2] for a in re.finditer(r"([\w.$?-]+)=[\"']([^\"']*)[\"']", m[2])}
-        pref = next((p[1] for v in (attrs.get("pref", ""),) if (p := re.match(r"\{\{\s*prefs\.([\w.]+)\s*\}\}", v))), "")
-        label = (re.search(r"\$i18n(?:Raw)?\{(\w+)\}", attrs.get("label", "")) or [None, attrs.get("label", "")])[1]
-        ident = attrs.get("id", "")
-        identity = f"{pref}#{ident}" if pref and ident else pref or ident or label
-        if not identity:
-            n = seen[m[1]] = seen.get(m[1], -1) + 1
-            identity = f"{m[1]}#{n}"
-        yield "webui_control", f"{surface}/{page}/{file}/{identity}", identity, line_of(text, m.start()), {"surface": surface, "page": page, "file": file, "control": m[1], "pref": pref, "label": label, "element_id": ident}
+    """Controls of a template, each by preference and id, preference, id, label, or its place among those of its tag."""
+    clean, folders, name = _template(text, path), _below_resources(path), path.rsplit("/", 1)[-1]
+    file = re.sub(r"\.html(\.ts)?$", "", name) if re.search(r"\.html(\.ts)?$", name) else name.rsplit(".", 1)[0]
+    surface, page = folders[0], folders[1] if len(folders) >= 3 else file
+    spans, open_ = [], []
+    for m in re.finditer(r'<if\s+expr="([^"]*)"\s*>|</if>', clean):
+        if m[1] is not None:
+            open_.append((m.end(), m[1]))
+        elif open_:
+            begin, condition = open_.pop()
+            spans.append((begin, m.start(), condition))
+    seen: dict[str, int] = {}
+    for m in _TAG.finditer(clean):
+        tag, given = m[1], {a[1]: a[2] for a in re.finditer(r'[?.@]?([\w-]+)\s*=\s*"([^"]*)"', m[2])}
+        bound = _PREF.search(given.get("pref", ""))
+        pref = given.get("pref-key", "").strip() or (bound and (bound[1] or bound[2])) or ""
+        labels = [re.search(r"\$i18n(?:Polymer|Raw)?\{(\w+)\}", given.get(k, "")) for k in ("label", "page-title", "sub-label", "aria-label")]
+        label, ident = next((x[1] for x in labels if x), ""), given.get("id", "")
+        if not is_control(tag, pref, ident, label):
+            continue
+        if pref or ident or label:
+            known = f"pref:{pref}#{ident}" if pref and ident else f"pref:{pref}" if pref else f"id:{ident}" if ident else f"label:{label}"
+        else:
+            seen[tag] = seen.get(tag, -1) + 1
+            known = f"{tag}#{seen[tag]}"
+        conditions = [c for a, b, c in spans if a <= m.start() < b]
+        state = platform_state(conditions, "template")
+        restricted = {"platform_state": {rules.PLATFORM: state}} if state not in (None, "compiled") else {}
+        yield "webui_control", f"{surface}/{page}/{file}/{known}", known, line_of(clean, m.start()), {"surface": surface, "page": page, "file": file, "control": tag, "pref": pref, "label": label, "element_id": ident, "build_conditions": conditions} | restricted
 
 
 def visibility_gates(text: str, path: str) -> Iterator[Found]:
     """Visibility keys that a handler sets, with the features and checks in the expression."""
     clean, handler = mask_comments(text), path.rsplit("/", 1)[-1].removesuffix(".cc")
-    for m in re.finditer(r"\bAddBoolean\(\s*\"(\w+)\"\s*,", clean):
-        depth, at = 1, m.end()
-        while at < len(clean) and depth:
-            depth += {"(": 1, ")": -1}.get(clean[at], 0)
-            at += 1
-        expression = re.sub(r"\s+", " ", clean[m.end() : at - 1]).strip()[:400]
-        features = list(dict.fromkeys(re.findall(r"IsEnabled\(\s*(?:\w+::)*k(\w+)", expression)))
-        checks = sorted(set(re.findall(r"\b(Is\w*Enabled\w*)\(", expression)) - {"IsEnabled"})
-        yield "webui_gate", f"{handler}/{m[1]}", m[1], line_of(clean, m.start()), {"data_key": m[1], "handler": handler, "expression": expression, "features": features, "enabled_checks": checks}
-
-
-#: Extractors by the name that routing gives a file; a caller may add its own.
-EXTRACTORS: dict[str, Callable[[str, str], Iterator[Found]]] = {
-    "constants": string_constants,
+    for m, inner in _calls(clean, r"\bAdd(Boolean|Integer|String|Double)\s*\("):
+        args = split_top(inner)
+        key = re.match(r'"([\w.-]+)"$', args[0])
+        if key and len(args) > 1:
+            whole = collapse(",".join(args[1:]))
+            features = list(dict.fromkeys(re.findall(r"features::(k\w+)", whole)))
+            checks = sorted(set(re.findall(r"IsEnabled\s*\(\s*(?:\w+::)*features::(k\w+)", whole)))
+            yield "webui_gate", f"{handler}/{key[1]}", key[1], line_of(clean, m.start()), {"data_key": key[1], "handler": handler, "value_type": m[1].lower(), "expression": whole[:400], "features": features, "enabled_checks": checks}
+
+
+Extractor = Callable[[str, str], Iterable[Found]]
+#: Extractors by the name that routing gives a file.
+EXTRACTORS: dict[str, Extractor] = {
+    "base_features": feature_flags,
     "blink_runtime": runtime_flags,
+    "web_idl": web_definitions,
+    "mojom": message_definitions,
+    "constants": string_constants,
     "flags_metadata": flag_metadata,
     "webui_routes": page_routes,
     "webui_controls": page_controls,
@@ -158,21 +483,35 @@ EXTRACTORS: dict[str, Callable[[str, str], Iterator[Found]]] = {
 }
 
 
-def extract(corpus: DataFrame, extractors: dict[str, Callable[[str, str], Iterator[Found]]] | None = None) -> DataFrame:
+def register_extractor(name: str, applies: Column, surface: str, function: Extractor) -> None:
+    """Add an extractor: which files (a condition on the column ``path``), the surface they are, and what reads one."""
+    if name in EXTRACTORS:
+        raise ValueError(f"an extractor is called {name} already")
+    coverage.ADDED_ROUTES[name] = (surface, applies)
+    EXTRACTORS[name] = function
+
+
+def extract(corpus: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """Facts of a corpus (snapshot_id, path, text), with the extractor; a failed file's row has an error and no kind.
 
-    Files are routed by path before their text is read. Values become canonical JSON; nulls are dropped.
+    Files are routed by path before their text is read; those that are no product source are
+    left out. A null text is a file that could not be read. Values become canonical JSON; nulls
+    are dropped.
     """
-    known = EXTRACTORS if extractors is None else extractors
+    known = dict(EXTRACTORS if extractors is None else extractors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 try:
-                    for kind, key, name, line, attrs in known[r["extractor"]](r["text"] or "", r["path"]):
-                        values = [(k, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for k, v in attrs.items() if v is not None]
-                        rows.append((r["snapshot_id"], r["extractor"], kind, key, name, r["path"], line, values, None))
+                    if r["text"] is None:
+                        raise OSError("not readable")
+                    made = []
+                    for kind, key, name, line, attrs in known[r["extractor"]](r["text"], r["path"]):
+                        values = [(k, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for k, v in sorted(attrs.items()) if v is not None]
+                        made.append((r["snapshot_id"], r["extractor"], kind, key, name, r["path"], line, values, None))
+                    rows += made
                 except Exception as e:  # one bad file must not fail the job; its error is a row
                     rows.append((r["snapshot_id"], r["extractor"], None, None, None, r["path"], None, None, f"{type(e).__name__}: {e}"))
             kinds = [pa.string()] * 6 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
@@ -180,10 +519,16 @@ def extract(corpus: DataFrame, extractors: dict[str, Callable[[str, str], Iterat
             names = ["snapshot_id", "extractor", "kind", "key", "name", "path", "line", "attrs", "error"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    routed = route_files(corpus).where(F.col("extractor").isin(*known)).select("snapshot_id", "extractor", "path", "text")
+    routed = coverage.route_files(coverage.in_scope(corpus)).where(F.col("extractor").isin(*known)).select("snapshot_id", "extractor", "path", "text")
     return routed.mapInArrow(run, _SCHEMA)
 
 
 def extract_stats(found: DataFrame) -> DataFrame:
-    """Facts and failed files by extractor."""
+    """Facts before deduplication and failed files, by extractor."""
     return found.groupBy("snapshot_id", "extractor").agg(F.count("kind").alias("n_facts"), F.count("error").alias("n_errors"))
+
+
+def build_snapshot(corpus: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(facts, statistics) of a corpus: E1 to E11, then J11 and A1 to A4; with a scope only its files are read."""
+    found = extract(corpus if scope is None else coverage.reaches(corpus, scope))
+    return dedupe_facts(found.where("error is null").drop("extractor", "error")), extract_stats(found)

@@ -1,66 +1,112 @@
 """Two versions of a surface, derived from the given tables by integer arithmetic.
 
-``FLAT`` is SQL that Spark and DuckDB both run: a row per raw declaration, its attributes in flat
-columns (null: missing). Version 1 lacks ids divisible by 11, version 2 those divisible by 13;
-version 2 changes states, paths, keys and identifiers at other divisors.
+Every kind is one SELECT that Spark and DuckDB both run: a row per raw declaration. For DuckDB the
+attributes lie in flat columns (null: missing); for Spark they are the attribute map. Version 1
+lacks ids divisible by 11, version 2 those divisible by 13; version 2 changes states, paths,
+keys and identifiers at other divisors.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+
+#: Flat attribute columns whose value is a JSON string of the same name; a JSON number or truth value; and a list or object around it.
+PLAIN = (
+    "var", "default_state", "status", "windows_status", "base_feature", "origin_trial_feature_name", "depends_on", "runtime_enabled", "interface", "struct", "signature", "member_type",
+    "idl_kind", "inherits", "type", "route", "parent", "control", "pref", "label", "surface", "page", "data_key", "handler", "expression", "feature", "default", "mojo_kind", "attrs", "min_version",
+)
+NUMBERS = ("ordinal", "expiry_milestone", "position", "stable", "field_count", "method_count")
+WRAPPED = {
+    "windows": ("platform_state", '{"windows":"', '"}'), "status_windows": ("platform_status", '{"windows":"', '"}'), "ext_gate": ("ext", '{"RuntimeEnabled":"', '"}'),
+    "guard": ("guards", '["', '"]'), "gate_feature": ("features", '["', '"]'), "condition": ("conditions", '["', '"]'), "build_condition": ("build_conditions", '["', '"]'),
+    "check": ("enabled_checks", '["', '"]'), "value": ("values", '["kNone","', '"]'),
+}
+COLUMNS = (*PLAIN, *NUMBERS, *WRAPPED)
+
+
+def attribute(column: str) -> str:
+    """The attribute that a flat column holds."""
+    return WRAPPED[column][0] if column in WRAPPED else column
+
+
+def json_text(column: str, value: str) -> str:
+    """SQL for the attribute's JSON text; null where the value is."""
+    before, after = WRAPPED[column][1:] if column in WRAPPED else ('"', '"') if column in PLAIN else ("", "")
+    return f"('{before}' || {value} || '{after}')"
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "pages")
-#: Flat attribute columns; those of PLAIN become JSON strings of the same name.
-PLAIN = ("var", "default_state", "windows_status", "base_feature", "runtime_enabled", "interface", "struct", "signature", "type", "route", "parent", "control", "pref", "label", "surface", "page", "data_key", "handler", "expression", "feature", "default")
-NUMBERS = ("ordinal", "expiry_milestone")
-OTHER = ("windows", "ext_gate", "guard", "gate_feature")
-COLUMNS = (*PLAIN, *NUMBERS, *OTHER)
 
 _DIR = "CASE ({0}) % 6 WHEN 0 THEN 'chrome/browser/ui' WHEN 1 THEN 'components/prefs/android' WHEN 2 THEN 'content/public' WHEN 3 THEN 'ash/system' WHEN 4 THEN 'third_party/blink/common' ELSE 'chrome/browser/resources/settings' END"
 
 
-def _select(v: int, kind: str, source: str, id_: str, key: str, name: str, file: str, line: str, attrs: dict[str, str], where: str = "") -> str:
-    """One kind's rows of version v."""
-    moved = f"({id_}) + (CASE WHEN {v} = 2 AND ({id_}) % 17 = 0 THEN 1 ELSE 0 END)"
-    cells = [f"{attrs.get(c, 'CAST(NULL AS STRING)')} AS a_{c}" for c in COLUMNS]
-    path = f"concat({_DIR.format(moved)}, '/', {file})"
-    kept = f"({id_}) % {11 if v == 1 else 13} <> 0" + (f" AND {where}" if where else "")
-    return f"SELECT 'v{v}' AS snapshot_id, '{kind}' AS kind, {key} AS key, {name} AS name, {path} AS path, CAST({line} AS INT) AS line, {', '.join(cells)} FROM {{{source}}} WHERE {kept}"
+@dataclass
+class Kind:
+    """One kind's rows of one version."""
+
+    version: int
+    kind: str
+    source: str
+    id: str
+    key: str
+    name: str
+    file: str
+    line: str
+    attrs: dict[str, str]
+    where: str = ""
+
+    def sql(self, flat: bool) -> str:
+        v = self.version
+        moved = f"({self.id}) + (CASE WHEN {v} = 2 AND ({self.id}) % 17 = 0 THEN 1 ELSE 0 END)"
+        path = f"concat({_DIR.format(moved)}, '/', {self.file})"
+        kept = f"({self.id}) % {11 if v == 1 else 13} <> 0" + (f" AND {self.where}" if self.where else "")
+        if flat:
+            cells = ", ".join(f"{self.attrs.get(c, 'CAST(NULL AS STRING)')} AS a_{c}" for c in COLUMNS)
+        else:
+            entries = ", ".join(f"'{attribute(c)}', {json_text(c, f'({x})')}" for c, x in sorted(self.attrs.items(), key=lambda e: attribute(e[0])))
+            cells = f"map_filter(map({entries}), (k, x) -> x IS NOT NULL) AS attrs"
+        return f"SELECT 'v{v}' AS snapshot_id, '{self.kind}' AS kind, {self.key} AS key, {self.name} AS name, {path} AS path, CAST({self.line} AS INT) AS line, {cells} FROM {{{self.source}}} WHERE {kept}"
 
 
 def _text(number: str) -> str:
     return f"concat('', {number})"
 
 
-def _version(v: int) -> list[str]:
+def _version(v: int) -> list[Kind]:
     new = v == 2
-    part, lines = "p_partkey", "l_orderkey"
-    renamed = lambda id_, a, b: f"CASE WHEN {id_} % 19 = 0 THEN {b} ELSE {a} END" if new else a
+    part, flag, member = "p_partkey", "s_suppkey", "(l_suppkey % 25 * 300 + l_partkey % 300)"
+    renamed = lambda id_, by, a, b: f"CASE WHEN {id_} % {by} = 0 THEN {b} ELSE {a} END" if new else a
+    step = lambda id_, by: f"CASE WHEN {id_} % {by} = 0 THEN {v} ELSE 0 END"
     flip = f"(p_size + CASE WHEN {part} % 7 = 0 THEN {int(new)} ELSE 0 END)"
-    windows = f"CASE {part} % 10 WHEN 0 THEN 'not_compiled' WHEN 1 THEN 'enabled' WHEN 2 THEN {chr(39)}{'conditional' if new else 'disabled'}{chr(39)} WHEN 3 THEN 'compiled' END"
-    feature_key = renamed(part, f"concat('F', {part})", f"concat('F', {part}, 'R')")
+    windows = f"CASE {part} % 10 WHEN 0 THEN 'not_compiled' WHEN 1 THEN 'enabled' WHEN 2 THEN '{'conditional' if new else 'disabled'}' WHEN 3 THEN 'compiled' END"
     symbol = f"concat('k{'G' if new else 'F'}', {part})"
-    return [
-        _select(v, "base_feature", "part", part, feature_key, f"concat('F', {part})", f"concat('f', {part} % 50, '_features.cc')", f"{part} % 900", {"var": f"CASE WHEN {part} % 23 = 0 THEN {symbol} ELSE concat('kF', {part}) END", "default_state": f"CASE WHEN {flip} % 2 = 0 THEN 'enabled' ELSE 'disabled' END", "windows": windows}),
-        _select(v, "feature_param", "part", part, f"concat('F', {part}, '/p')", "'p'", f"concat('f', {part} % 50, '_features.cc')", f"{part} % 900 + 1", {"feature": f"concat('F', {part} - {part} % 3)", "type": "'int'", "default": f"concat('', p_size + CASE WHEN {part} % 9 = 1 THEN {v} ELSE 0 END)", "var": f"concat('kP', {part})"}, f"{part} % 4 = 1"),
-        _select(v, "flag_entry", "part", part, f"concat('flag-', {part})", f"concat('flag-', {part})", "'flag-metadata.json'", f"{part} % 500", {"expiry_milestone": _text(f"{part} % 40 + {v} * ({part} % 3)")}, f"{part} % 5 = 0"),
-        _select(v, "webui_control", "part", part, f"concat('settings/page', {part} % 20, '/c', {part})", f"concat('c', {part})", f"concat('page', {part} % 20, '.html')", f"{part} % 300", {"surface": "'settings'", "page": f"concat('page', {part} % 20)", "control": f"CASE WHEN {part} % 29 = 0 THEN 'dropdown{v}' ELSE 'toggle' END", "pref": f"concat('pref.s', {part} % 120)", "label": f"CASE WHEN {part} % 8 = 0 THEN concat('Route', {part} % 25) ELSE concat('label', {part}) END"}, f"{part} % 3 = 0"),
-        _select(v, "pref", "supplier", "s_suppkey", renamed("s_suppkey", "concat('pref.s', s_suppkey)", "concat('pref.s', s_suppkey, 'r')"), "concat('pref.s', s_suppkey)", "'pref_names.cc'", "s_suppkey", {"var": "concat('kPrefS', s_suppkey)", "windows": "CASE WHEN s_suppkey % 5 = 0 THEN 'not_compiled' END"}),
-        _select(v, "switch", "customer", "c_custkey", renamed("c_custkey", "concat('switch-', c_custkey)", "concat('switch-', c_custkey, '-r')"), "concat('switch-', c_custkey)", f"concat('s', c_custkey % 9, '_switches.cc')", "c_custkey % 2000", {"var": f"CASE WHEN c_custkey % 23 = 0 THEN concat('kS{v}x', c_custkey) ELSE concat('kS', c_custkey) END"}),
-        _select(v, "mojo_method", "orders", "o_orderkey", "concat('m.I', o_orderkey % 97, '.M', o_orderkey)", "concat('M', o_orderkey)", "concat('m', o_orderkey % 97, '.mojom')", "o_orderkey % 700", {"interface": "concat('m.I', o_orderkey % 97)", "signature": f"concat('M(int a', o_custkey % 3 + CASE WHEN o_orderkey % 7 = 0 THEN {v} ELSE 0 END, ')')", "ordinal": f"CASE WHEN o_orderkey % 5 = 0 THEN concat('', o_orderkey % 50 + CASE WHEN o_orderkey % 25 = 0 THEN {v} ELSE 0 END) END"}),
-        _select(v, "mojo_field", "lineitem", lines, "concat('m.S', l_orderkey, '.f', l_linenumber)", "concat('f', l_linenumber)", "concat('d', l_suppkey % 40, '.mojom')", "l_partkey", {"struct": "concat('m.S', l_orderkey)", "type": f"concat('t', l_partkey % 4 + CASE WHEN l_orderkey % 7 = 0 THEN {v} ELSE 0 END)", "default": "CASE WHEN l_partkey % 6 = 0 THEN concat('', l_suppkey % 3) END"}),
-        _select(v, "idl_member", "lineitem", lines, "concat('I', l_suppkey % 25, '.m', l_partkey % 300)", "concat('m', l_partkey % 300)", "concat('i', l_suppkey % 25, '.idl')", f"l_linenumber + {v}", {"interface": "concat('I', l_suppkey % 25)", "signature": f"CASE l_linenumber + CASE WHEN l_partkey % 7 = 0 THEN {v} ELSE 0 END WHEN 1 THEN 'void m()' WHEN 2 THEN 'void m(long a)' WHEN 3 THEN 'void m(long a, optional long b)' WHEN 4 THEN 'void m(long... c)' ELSE 'void m(DOMString d)' END", "runtime_enabled": "CASE WHEN l_partkey % 5 = 0 THEN concat('Gate', l_partkey % 7) END"}, "l_partkey % 3 = 0"),
-        _select(v, "idl_interface", "nation", "n_nationkey + 1", "concat('I', n_nationkey)", "n_name", "concat('i', n_nationkey, '.idl')", "n_nationkey", {"ext_gate": f"CASE WHEN n_nationkey % 4 = 0 THEN concat('Gate', n_regionkey + {v} - 1) END"}),
-        _select(v, "blink_runtime_feature", "region", "r_regionkey + 1", "concat('Gate', r_regionkey)", "r_name", "'runtime_enabled_features.json5'", "r_regionkey", {"windows_status": f"CASE (r_regionkey + {v}) % 3 WHEN 0 THEN 'stable' WHEN 1 THEN 'experimental' ELSE 'test' END", "base_feature": "CASE WHEN r_regionkey % 2 = 0 THEN concat('F', r_regionkey * 7 + 1) ELSE 'none' END"}),
-        _select(v, "webui_route", "nation", "n_nationkey + 1", "concat('settings/ROUTE', n_nationkey)", "concat('Route', n_nationkey)", "'route.ts'", "n_nationkey", {"surface": "'settings'", "route": "concat('/', n_name)", "guard": f"concat('show', n_nationkey + CASE WHEN n_nationkey % 6 = 0 THEN {v} ELSE 0 END)"}),
-        _select(v, "webui_gate", "nation", "n_nationkey + 1", "concat('settings_ui/show', n_nationkey)", "concat('show', n_nationkey)", "'settings_ui.cc'", "n_nationkey", {"data_key": "concat('show', n_nationkey)", "handler": "'settings_ui'", "expression": f"concat('IsEnabled(', n_regionkey + CASE WHEN n_nationkey % 5 = 0 THEN {v} ELSE 0 END, ')')", "gate_feature": "concat('F', n_nationkey * 3 + 1)"}, "n_nationkey % 9 <> 4"),
-    ]
-
-
-FLAT = " UNION ALL ".join(_version(1) + _version(2))
+    status = f"CASE ({flag} + {step(flag, 3)}) % 4 WHEN 0 THEN '' WHEN 1 THEN 'test' WHEN 2 THEN 'experimental' ELSE 'stable' END"
+    stable = lambda id_, by: f"CASE WHEN ({id_} + {step(id_, by)}) % 4 = 1 THEN 'true' END"
+    rows = [
+        ("base_feature", "part", part, renamed(part, 19, f"concat('F', {part})", f"concat('F', {part}, 'R')"), f"concat('F', {part})", f"concat('f', {part} % 50, '_features.cc')", f"{part} % 900", {"var": f"CASE WHEN {part} % 23 = 0 THEN {symbol} ELSE concat('kF', {part}) END", "default_state": f"CASE WHEN {flip} % 2 = 0 THEN 'enabled' ELSE 'disabled' END", "windows": windows, "condition": f"CASE WHEN {part} % 12 = 5 THEN concat('BUILDFLAG(B', {part} % 5 + {step(part, 5)}, ')') END"}, ""),
+        ("feature_param", "part", part, f"concat('F', {part}, '/p')", "'p'", f"concat('f', {part} % 50, '_features.cc')", f"{part} % 900 + 1", {"feature": f"concat('F', {part} - {part} % 3 + {step(part, 31)})", "type": f"CASE WHEN {part} % 27 = 1 THEN 'int{v}' ELSE 'int' END", "default": f"concat('', p_size + CASE WHEN {part} % 9 = 1 THEN {v} ELSE 0 END)", "var": f"CASE WHEN {part} % 35 = 5 THEN 'kQ{v}' ELSE concat('kP', {part}) END"}, f"{part} % 4 = 1"),
+        ("flag_entry", "part", part, f"concat('flag-', {part})", f"concat('flag-', {part})", "'flag-metadata.json'", f"{part} % 500", {"expiry_milestone": _text(f"{part} % 60 + {v} * ({part} % 3)")}, f"{part} % 5 = 0"),
+        ("webui_control", "part", part, renamed(part, 5, f"concat('settings/page', {part} % 20, '/c', {part})", f"concat('settings/page', {part} % 20, '/d', {part})"), f"concat('c', {part})", f"concat('page', {part} % 20, '.html')", f"{part} % 300", {"surface": f"CASE WHEN {part} % 41 <> 0 THEN 'settings' END", "page": f"concat('page', {part} % 20)", "control": f"CASE WHEN {part} % 29 = 0 THEN 'settings-dropdown{v}' WHEN {part} % 15 = 5 THEN 'cr-link-row{v}' ELSE 'cr-toggle' END", "pref": f"concat('pref.s', ({part} + {int(new)} * CASE WHEN {part} % 5 = 0 OR {part} % 33 = 1 THEN 1 ELSE 0 END) % 120)", "label": f"CASE WHEN {part} % 8 = 0 THEN concat('Route', {part} % 25) WHEN {part} % 37 = 1 THEN concat('label', {part}, 'v{v}') ELSE concat('label', {part}) END", "build_condition": f"CASE WHEN {part} % 6 = 1 THEN concat('not is_x', {step(part, 7)}) END"}, ""),
+        ("pref", "supplier", flag, renamed(flag, 19, f"concat('pref.s', {flag})", f"concat('pref.s', {flag}, 'r')"), f"concat('pref.s', {flag})", "'pref_names.cc'", flag, {"var": f"concat('kPrefS', {flag} + 1000 * {step(flag, 29)})", "windows": f"CASE WHEN ({flag} + {step(flag, 9)}) % 5 = 0 THEN 'not_compiled' END"}, ""),
+        ("switch", "customer", "c_custkey", renamed("c_custkey", 19, "concat('switch-', c_custkey)", "concat('switch-', c_custkey, '-r')"), "concat('switch-', c_custkey)", "concat('s', c_custkey % 9, '_switches.cc')", "c_custkey % 2000", {"var": f"CASE WHEN c_custkey % 23 = 0 THEN concat('kS{v}x', c_custkey) ELSE concat('kS', c_custkey) END"}, ""),
+        ("mojo_method", "orders", "o_orderkey", "concat('m.I', o_orderkey % 97, '.M', o_orderkey)", "concat('M', o_orderkey)", "concat('m', o_orderkey % 97, '.mojom')", "o_orderkey % 700", {"interface": "concat('m.I', o_orderkey % 97)", "signature": f"concat('M(int a', o_custkey % 3 + {step('o_orderkey', 7)}, ')')", "ordinal": f"CASE WHEN o_orderkey % 5 = 0 THEN concat('', o_orderkey % 50 + {step('o_orderkey', 25)}) END", "position": f"CASE WHEN o_orderkey % 6 = 0 THEN concat('', o_orderkey % 9 + {step('o_orderkey', 12)}) WHEN {v} = 1 AND o_orderkey % 6 = 1 THEN '3' END", "attrs": f"CASE WHEN o_orderkey % 8 = 1 THEN concat('Sync', {step('o_orderkey', 3)}) END", "windows": f"CASE WHEN o_orderkey % 40 = {v} THEN 'not_compiled' END"}, ""),
+        ("mojo_interface", "supplier", flag, f"concat('m.I', {flag})", f"concat('I', {flag})", f"concat('m', {flag}, '.mojom')", flag, {"stable": stable(flag, 5), "method_count": _text(f"{flag} % 4"), "windows": f"CASE WHEN ({flag} + {step(flag, 7)}) % 9 = 0 THEN 'not_compiled' END"}, ""),
+        ("mojo_struct", "customer", "c_custkey", "concat('m.S', c_custkey)", "concat('S', c_custkey)", "concat('d', c_custkey % 40, '.mojom')", "c_custkey % 800", {"mojo_kind": f"CASE WHEN (c_custkey + {step('c_custkey', 16)}) % 3 = 0 THEN 'union' ELSE 'struct' END", "stable": stable("c_custkey", 10), "field_count": _text("c_custkey % 5"), "windows": f"CASE WHEN (c_custkey + {step('c_custkey', 14)}) % 20 = 0 THEN 'conditional' END"}, ""),
+        ("mojo_enum", "customer", "c_custkey", "concat('m.E', c_custkey)", "concat('E', c_custkey)", "concat('d', c_custkey % 40, '.mojom')", "c_custkey % 800", {"value": f"concat('kV', c_custkey % 7 + {step('c_custkey', 6)})", "stable": stable("c_custkey", 15)}, "c_custkey % 2 = 0"),
+        ("mojo_field", "lineitem", "l_orderkey", "concat('m.S', l_orderkey, '.f', l_linenumber)", "concat('f', l_linenumber)", "concat('d', l_suppkey % 40, '.mojom')", "l_partkey", {"struct": "concat('m.S', l_orderkey)", "type": f"concat('t', l_partkey % 4 + {step('l_orderkey', 7)})", "default": f"CASE WHEN l_partkey % 6 = 0 THEN concat('', l_suppkey % 3 + {step('l_orderkey', 10)}) END", "attrs": f"CASE WHEN l_partkey % 9 = 1 THEN concat('MinVersion=', {step('l_orderkey', 4)}) END", "min_version": f"CASE WHEN l_partkey % 9 = 1 THEN concat('', {step('l_orderkey', 4)}) END", "position": f"CASE WHEN l_orderkey % 15 = 0 THEN concat('', l_linenumber + {step('l_orderkey', 30)}) END"}, ""),
+        ("idl_member", "lineitem", member, "concat('I', l_suppkey % 25, '.m', l_partkey % 300)", "concat('m', l_partkey % 300)", "concat('i', l_suppkey % 25, '.idl')", f"l_linenumber + {v}", {"interface": "concat('I', l_suppkey % 25)", "signature": f"CASE l_linenumber + {step('l_partkey', 7)} WHEN 1 THEN 'void m()' WHEN 2 THEN 'void m(long a)' WHEN 3 THEN 'void m(long a, optional long b)' WHEN 4 THEN 'void m(long... c)' WHEN 5 THEN 'void m((long or D) a, optional sequence<long> b = [1, 2])' ELSE 'void m(DOMString d)' END", "runtime_enabled": f"CASE WHEN l_partkey % 5 = 0 THEN concat('Gate', (l_partkey + {step('l_partkey', 6)}) % 7) END", "member_type": f"CASE WHEN {member} % 21 = 0 THEN 'attribute{v}' ELSE 'operation' END"}, "l_partkey % 3 = 0"),
+        ("idl_interface", "supplier", flag, f"concat('I', {flag})", f"concat('I', {flag})", f"concat('i', {flag}, '.idl')", flag, {"ext_gate": f"CASE WHEN {flag} % 4 = 0 THEN concat('Gate', {flag} % 5 + {v} - 1) END", "idl_kind": f"CASE WHEN {flag} % 10 = 3 THEN 'dictionary{v}' ELSE 'interface' END", "inherits": f"concat('J', {step(flag, 8)})", "value": f"CASE WHEN {flag} % 9 = 2 THEN concat('x', {step(flag, 2)}) END"}, ""),
+        ("blink_runtime_feature", "region", "r_regionkey + 1", "concat('Gate', r_regionkey)", "r_name", "'runtime_enabled_features.json5'", "r_regionkey", {"windows_status": f"CASE (r_regionkey + {v}) % 3 WHEN 0 THEN 'stable' WHEN 1 THEN 'experimental' ELSE 'test' END", "base_feature": "CASE WHEN r_regionkey % 2 = 0 THEN concat('kF', r_regionkey * 7 + 1) ELSE 'none' END"}, ""),
+        ("blink_runtime_feature", "supplier", flag, f"concat('Flag', {flag})", f"concat('Flag', {flag})", "'runtime_enabled_features.json5'", flag, {"windows_status": status, "status": f"CASE WHEN {flag} % 10 = 5 THEN 'per-platform{v}' WHEN {flag} % 10 = 6 THEN 'per-platform' END", "status_windows": f"CASE WHEN {flag} % 10 = 6 THEN CASE WHEN {flag} % 4 = {v} THEN 'stable' ELSE 'test' END END", "base_feature": f"CASE WHEN {flag} % 2 = 0 THEN concat('kF', {flag} * 7 + {step(flag, 14)}) ELSE 'none' END", "origin_trial_feature_name": f"CASE WHEN {flag} % 16 = 1 THEN 'Trial{v}' END", "depends_on": f"CASE WHEN {flag} % 18 = 1 THEN 'Flag{v}' END"}, ""),
+        ("webui_route", "nation", "n_nationkey + 1", "concat('settings/ROUTE', n_nationkey)", "concat('Route', n_nationkey)", "'route.ts'", "n_nationkey", {"surface": "'settings'", "route": f"concat('/', n_name, CASE WHEN n_nationkey % 7 = 0 THEN '{v}' ELSE '' END)", "parent": f"CASE WHEN n_nationkey % 5 = 0 THEN 'BASIC{v}' ELSE 'BASIC' END", "guard": f"concat('show', n_nationkey + {step('n_nationkey', 6)})"}, ""),
+        ("webui_gate", "nation", "n_nationkey + 1", "concat('settings_ui/show', n_nationkey)", "concat('show', n_nationkey)", "'settings_ui.cc'", "n_nationkey", {"data_key": "concat('show', n_nationkey)", "handler": "CASE WHEN n_nationkey % 2 = 0 THEN 'settings_ui' ELSE 'history_util' END", "expression": f"concat('IsEnabled(', n_regionkey + {step('n_nationkey', 5)}, ')')", "gate_feature": f"concat('kF', n_nationkey * 3 + 1 + {step('n_nationkey', 4)})", "check": f"CASE WHEN n_nationkey % 3 = 0 THEN 'kX{v}' END"}, "n_nationkey % 9 <> 4"),
+    ]
+    return [Kind(v, *r) for r in rows]
+
+
+KINDS = [*_version(1), *_version(2)]
+FLAT = " UNION ALL ".join(k.sql(True) for k in KINDS)
 
 
 def duckdb_sql(text: str) -> str:
@@ -69,55 +115,61 @@ def duckdb_sql(text: str) -> str:
     return out.replace("AS STRING)", "AS VARCHAR)")
 
 
-def flat_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw declarations of both versions, attributes flat."""
-    used = sorted(set(re.findall(r"\{(\w+)\}", FLAT)))
-    return spark.sql(FLAT, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
-
-
-def _json(text: Column) -> Column:
-    return F.concat(F.lit('"'), text, F.lit('"'))
+def read_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """SQL over the given tables, named in braces."""
+    return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
 def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw declarations in the fact schema."""
-    flat = flat_facts(spark, sf_dir)
-    entries = [F.struct(F.lit(c).alias("k"), _json(F.col(f"a_{c}")).alias("v")) for c in PLAIN]
-    entries += [F.struct(F.lit(c).alias("k"), F.col(f"a_{c}").alias("v")) for c in NUMBERS]
-    entries += [
-        F.struct(F.lit("platform_state").alias("k"), F.concat(F.lit('{"windows":"'), F.col("a_windows"), F.lit('"}')).alias("v")),
-        F.struct(F.lit("ext").alias("k"), F.concat(F.lit('{"RuntimeEnabled":"'), F.col("a_ext_gate"), F.lit('"}')).alias("v")),
-        F.struct(F.lit("guards").alias("k"), F.concat(F.lit('["'), F.col("a_guard"), F.lit('"]')).alias("v")),
-        F.struct(F.lit("features").alias("k"), F.concat(F.lit('["'), F.col("a_gate_feature"), F.lit('"]')).alias("v")),
-    ]
-    attrs = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["v"].isNotNull()))
-    return flat.select("snapshot_id", "kind", "key", "name", "path", "line", attrs.alias("attrs"))
+    """Raw declarations of both versions in the fact schema."""
+    return read_sql(spark, sf_dir, " UNION ALL ".join(k.sql(False) for k in KINDS))
 
 
 def headers(spark: SparkSession) -> DataFrame:
-    """Snapshot headers of both versions and of one that can't be compared."""
-    rows = [("v1", "151.0.1.1", 151, "default", ["a"], True, [], 0), ("v2", "152.0.2.9", 152, "default", ["a"], True, ["x"], 2), ("v3", "153.0.0.1", 153, "wide", ["a", "b"], True, [], 0)]
+    """Snapshot headers of both versions and of ones that can't be compared."""
+    rows = [("v1", "151.0.1.1", 151, "default", ["a"], True, [], 0), ("v2", "152.0.2.9", 152, "default", ["a"], True, ["x"], 2), ("v3", "153.0.0.1", 153, "wide", ["a", "b"], True, [], 0), ("v4", "154.0.0.1", 154, "default", ["a"], True, ["x", "y"], 0)]
     return spark.createDataFrame(rows, "snapshot_id string, ref string, milestone int, target_set string, partitions array<string>, complete boolean, missing_targets array<string>, parse_errors int")
 
 
-def pairs(spark: SparkSession) -> DataFrame:
-    """The pairs that are compared."""
-    return spark.createDataFrame([("v1-v2", "v1", "v2")], "pair_id string, from_id string, to_id string")
+def pairs(spark: SparkSession, every: bool = False) -> DataFrame:
+    """The pair that is compared; with ``every`` also pairs that can't be."""
+    rows = [("v1-v2", "v1", "v2")] + [(f"v1-{x}", "v1", x) for x in ("v3", "v4", "v9")] * every
+    return spark.createDataFrame(rows, "pair_id string, from_id string, to_id string")
 
 
 #: Paths of both versions' listings: made of document ids and sources, in product and other folders.
 LISTING = " UNION ALL ".join(
-    f"SELECT 'v{v}' AS snapshot_id, concat(CASE doc_id % 9 WHEN 0 THEN 'chrome/browser/ui/' WHEN 1 THEN 'components/prefs/android/' WHEN 2 THEN 'content/test/' WHEN 3 THEN 'third_party/zlib/' WHEN 4 THEN 'third_party/blink/public/' WHEN 5 THEN 'tools/gen/' WHEN 6 THEN 'ash/system/' WHEN 7 THEN 'chrome/browser/resources/settings/' ELSE 'services/network/' END, source, '/', CASE doc_id % 7 WHEN 0 THEN concat('a', doc_id, '_features.cc') WHEN 1 THEN concat('a', doc_id, '.mojom') WHEN 2 THEN concat('a', doc_id, '.idl') WHEN 3 THEN concat('a', doc_id, '_unittest.cc') WHEN 4 THEN concat('a', doc_id, '_switches.cc') WHEN 5 THEN concat('page', doc_id, '.html.ts') ELSE concat('a', doc_id, '_switches_and_features.h') END) AS path FROM {{documents}} WHERE doc_id % {11 if v == 1 else 13} <> 0"
+    f"SELECT 'v{v}' AS snapshot_id, concat(CASE doc_id % 14 WHEN 0 THEN 'chrome/browser/ui/' WHEN 1 THEN 'components/prefs/android/' WHEN 2 THEN 'content/test/' WHEN 3 THEN 'third_party/zlib/' WHEN 4 THEN 'third_party/blink/renderer/' WHEN 5 THEN 'tools/gen/' WHEN 6 THEN 'ash/system/' WHEN 7 THEN 'chrome/browser/resources/settings/' WHEN 8 THEN 'chrome/browser/ui/webui/' WHEN 9 THEN 'components/chromeos/' WHEN 10 THEN 'base/third_party/opus/' WHEN 11 THEN 'android/' WHEN 12 THEN 'chrome/browser/resources/settings/a_page/' ELSE 'services/network/' END, source, '/', CASE doc_id % 11 WHEN 0 THEN concat('a', doc_id, '_features.cc') WHEN 1 THEN concat('a', doc_id, '.mojom') WHEN 2 THEN concat('a', doc_id, '.idl') WHEN 3 THEN concat('a', doc_id, '_unittest.cc') WHEN 4 THEN concat('a', doc_id, '_switches.cc') WHEN 5 THEN concat('page', doc_id, '.html.ts') WHEN 6 THEN concat('a', doc_id, '_util.cc') WHEN 7 THEN 'route.ts' WHEN 8 THEN concat('a', doc_id, '_prefs.h') WHEN 9 THEN concat('a', doc_id, '_test_util.cc') ELSE concat('a', doc_id, '_switches_and_features.h') END) AS path FROM {{documents}} WHERE doc_id % {11 if v == 1 else 13} <> 0"
     for v in (1, 2)
 )
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both versions' path listings."""
-    return spark.sql(LISTING, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return read_sql(spark, sf_dir, LISTING)
+
+
+SCOPE = (("chrome/browser/", True, None), ("services/", True, [".mojom"]), ("third_party/blink/", True, [".idl", ".cc"]), ("components/prefs/android/pref_names.cc", False, None), ("content/public/", True, None))
 
 
 def scope(spark: SparkSession) -> DataFrame:
     """What both versions read."""
-    rows = [(f"v{v}", p, t, s) for v in (1, 2) for p, t, s in (("chrome/browser/", True, None), ("services/", True, [".mojom"]), ("third_party/blink/", True, [".idl", ".cc"]), ("components/prefs/android/pref_names.cc", False, None), ("content/public/", True, None))]
-    return spark.createDataFrame(rows, "snapshot_id string, path string, is_tree boolean, suffixes array<string>")
+    return spark.createDataFrame([(f"v{v}", *row) for v in (1, 2) for row in SCOPE], "snapshot_id string, path string, is_tree boolean, suffixes array<string>")
+
+
+PARTITIONS = (("core", "chrome/common/pref_names.h", True), ("core", "services/network/", True), ("ui", "chrome/browser/", True), ("ui", "chrome/browser/ui/webui", True), ("ui", "chrome/common/chrome_features.cc", True), ("engine", "third_party/blink/", False))
+
+
+def partitions(spark: SparkSession) -> DataFrame:
+    """Named parts of a tree, and whether they can be read whole."""
+    return spark.createDataFrame(PARTITIONS, "name string, prefix string, closable boolean")
+
+
+#: Feature briefs, made of parts: some names are those of features, some summaries are long.
+BRIEFS = "SELECT CAST(140 + p_partkey % 9 AS INT) AS milestone, CASE WHEN p_partkey % 4 = 0 THEN concat('F-', p_partkey) WHEN p_partkey % 50 = 1 THEN '' ELSE concat('flag ', p_partkey % 300) END AS name, CASE WHEN p_partkey % 3 = 0 THEN concat('Flag', p_partkey) END AS feature_name, CAST(p_partkey AS BIGINT) AS id, concat(p_name, CASE WHEN p_partkey % 2 = 0 THEN repeat(concat('  some\n words ', p_partkey), 60) ELSE '' END) AS summary, p_brand AS category, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'Enabled by default' END AS shipping_type, concat('https://spec/', p_partkey) AS spec, CASE WHEN p_partkey % 3 = 1 THEN concat('', 100 + p_partkey % 60) END AS desktop FROM {part}"
+
+
+def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature briefs in the upstream shape."""
+    rows = read_sql(spark, sf_dir, BRIEFS)
+    return rows.selectExpr("milestone", "name", "feature_name", "cast(null as string) shortname", "id", "summary", "category", "shipping_type", "struct(spec) standards", "struct(struct(desktop, cast(null as string) windows) chrome, struct(struct('Neutral' text) view) ff, struct(struct(cast(null as string) text) view) safari) browsers")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..schema import SCHEMA_VERSION
 
 _FACT = "struct<kind:string,key:string,name:string,path:string,line:int,attrs:map<string,string>>"
 _SNAPSHOT = f"snapshot_id string, ref string, milestone int, created string, schema int, meta struct<target_set:string,partitions:array<string>,complete:boolean,missing_targets:array<string>,parse_errors:int>, facts array<{_FACT}>"
+_BRIEF = "struct<name:string,feature_name:string,shortname:string,id:bigint,summary:string,category:string,standards:struct<spec:string>,browsers:struct<chrome:struct<desktop:string,windows:string>,ff:struct<view:struct<text:string>>,safari:struct<view:struct<text:string>>>>"
 
 
 def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -16,23 +19,36 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 
     Attribute values stay the JSON text that the file has.
     """
-    rows = spark.read.schema(_SNAPSHOT).option("multiLine", True).json(path)
+    rows = spark.read.schema(_SNAPSHOT).option("multiLine", False).json(path)
     headers = rows.select("snapshot_id", "ref", "milestone", F.try_to_timestamp("created").alias("created"), "meta.target_set", "meta.partitions", "meta.complete", "meta.missing_targets", "meta.parse_errors", "schema")
     some = rows.select("snapshot_id", F.explode("facts").alias("f"))
     facts = some.select("snapshot_id", "f.kind", "f.key", F.coalesce("f.name", "f.key").alias("name"), F.coalesce("f.path", F.lit("")).alias("path"), F.coalesce("f.line", F.lit(0)).alias("line"), F.coalesce("f.attrs", F.create_map().cast("map<string,string>")).alias("attrs"))
     return headers, facts
 
 
-def write_snapshot(facts: DataFrame, path: str) -> None:
-    """Facts by snapshot; only the snapshots in ``facts`` are replaced, each at once."""
-    facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
-
-
 def snapshot_key(headers: DataFrame) -> DataFrame:
     """What a stored snapshot may stand in for: reference, target set, sorted partitions, completeness."""
     return headers.withColumn("cache_key", F.concat_ws("|", "ref", "target_set", F.array_join(F.array_sort(F.coalesce("partitions", F.array().cast("array<string>"))), ","), F.coalesce("complete", F.lit(False)).cast("string")))
 
 
+def write_snapshot(facts: DataFrame, headers: DataFrame, path: str) -> None:
+    """Facts by what their snapshot covers (``cache_key``) and by snapshot; only those in ``facts`` are replaced, each at once.
+
+    A snapshot of a part of the tree never takes the place of a wider one, as its key differs.
+    """
+    keys = snapshot_key(headers).select("snapshot_id", "cache_key").distinct()
+    some = facts.join(F.broadcast(keys), "snapshot_id")  # as many rows as snapshots
+    some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key", "snapshot_id").parquet(path)
+
+
+def read_facts(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Stored facts; with ``wanted`` (headers) only those whose stored snapshot covers exactly the same."""
+    rows = spark.read.parquet(path)
+    if wanted is not None:
+        rows = rows.join(F.broadcast(snapshot_key(wanted).select("snapshot_id", "cache_key").distinct()), ["snapshot_id", "cache_key"], "left_semi")
+    return rows.drop("cache_key")
+
+
 def fresh_snapshots(headers: DataFrame, version: int = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
     """S3: (snapshots written at this schema version, ids of those to build again)."""
     good = headers.where(F.col("schema") == version)
@@ -40,11 +56,16 @@ def fresh_snapshots(headers: DataFrame, version: int = SCHEMA_VERSION) -> tuple[
 
 
 def read_corpus(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    """(snapshot_id, path, text) of all files below ``path``; bytes that are no UTF-8 are replaced."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/") + "/")
-    place = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return rows.select(F.lit(snapshot_id).alias("snapshot_id"), F.substring_index(place, F.regexp_replace(root, "^[a-z]+:/*", "/"), -1).alias("path"), F.decode("content", "UTF-8").alias("text"))
+    """(snapshot_id, path, text, error) of all files below ``path``; bytes that are no UTF-8 are replaced.
+
+    A file that can't be read has a null text and an error, and is counted rather than fatal:
+    files that vanish or are cut short while they are read are such rows.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
+    root = re.sub("^[a-z]+:/*", "/", path.rstrip("/") + "/")
+    place = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), root, -1)
+    broken = F.col("content").isNull() | (F.length("content") != F.col("length"))
+    return rows.select(F.lit(snapshot_id).alias("snapshot_id"), place.alias("path"), F.when(~broken, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.when(broken, "not readable").alias("error"))
 
 
 def read_listing(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
@@ -53,14 +74,17 @@ def read_listing(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
 
 
 def write_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Changes or findings, nested, as Parquet or JSON."""
+    """Changes, findings or documents, nested, as Parquet or JSON."""
     rows.write.mode("overwrite").format(kind).save(path)
 
 
-def read_feature_briefs(spark: SparkSession, path: str, milestone: int) -> DataFrame:
-    """Feature briefs of a JSON text that is a flat array or a map of shipping type to array, after an anti-inclusion prefix."""
-    brief = "struct<name:string,id:bigint,summary:string,category:string>"
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\)\]\}'\s*", "").alias("t"))
-    nested = text.where(F.col("t").rlike(r"^\s*\{")).select(F.explode(F.from_json(F.coalesce(F.get_json_object("t", "$.features_by_type"), F.col("t")), f"map<string,array<{brief}>>")).alias("shipping_type", "some")).select("shipping_type", F.explode("some").alias("b"))
-    flat = text.where(F.col("t").rlike(r"^\s*\[")).select(F.lit("").alias("shipping_type"), F.explode(F.from_json("t", f"array<{brief}>")).alias("b"))
+def read_feature_briefs(spark: SparkSession, path: str, milestone: int, between: str | None = None) -> DataFrame:
+    """Feature briefs of JSON texts, each a flat array or a map of shipping type to array, after an anti-inclusion prefix.
+
+    A file is one text; with ``between`` files hold several, with that text between them.
+    """
+    read = spark.read.text(path, wholetext=True) if between is None else spark.read.text(path, lineSep=between)
+    text = read.select(F.regexp_replace("value", r"^\)\]\}'\s*", "").alias("t"))
+    nested = text.where(F.col("t").rlike(r"^\s*\{")).select(F.explode(F.from_json(F.coalesce(F.get_json_object("t", "$.features_by_type"), F.col("t")), f"map<string,array<{_BRIEF}>>")).alias("shipping_type", "some")).select("shipping_type", F.explode("some").alias("b"))
+    flat = text.where(F.col("t").rlike(r"^\s*\[")).select(F.lit("").alias("shipping_type"), F.explode(F.from_json("t", f"array<{_BRIEF}>")).alias("b"))
     return nested.unionByName(flat).select(F.lit(milestone).alias("milestone"), "b.*", "shipping_type")

@@ -10,13 +10,13 @@ from surfacelens.operators import enrich
 from surfacelens.sources import extractors, snapshots
 
 FILES = {
-    "chrome/common/pref_names.cc": '// char kNo[] = "no";\nconst char kA[] = "a.b";\n#if BUILDFLAG(IS_MAC)\ninline constexpr char kM[] = "m";\n#else\nchar kW[] = "w";\n#endif\n',
+    "chrome/common/pref_names.cc": '// char kNo[] = "no";\nconst char kA[] = "a.b";\n#if BUILDFLAG(IS_MAC)\ninline constexpr char kM[] = "m";\n#else\nconst char kW[] = "w";\n#endif\n',
     "x/y_switches.cc": '#if BUILDFLAG(USE_X)\nconst char kS[] =\n    "s";\n#endif\n',
-    "third/runtime_enabled_features.json5": "{ data: [ // c\n {name: 'One', status: {'Win': 'stable', 'default': 'test',},},\n {name: \"Two\", status: 'experimental', base_feature: 'none'},] }",
+    "base/runtime_enabled_features.json5": "{ data: [ // c\n {name: 'One', status: {'Win': 'stable', 'default': 'test',},},\n {name: \"Two\", status: 'experimental', base_feature: 'none'},] }",
     "chrome/flag-metadata.json": '[ {"name": "f1", "expiry_milestone": 150, "owners": ["o"]}, ]',
     "chrome/browser/resources/settings/route.ts": "r.BASIC = new Route('/');\nif (loadTimeData.getBoolean('showP')) {\n  r.P = r.BASIC.createSection('/p', 'p');\n}\nr.Q = r.P.createChild('/q');",
     "chrome/browser/resources/settings/a_page.html": '<!-- <x-y id="no"> --><cr-toggle id="t" pref="{{prefs.a.b}}" label="$i18n{lab}"></cr-toggle><cr-line></cr-line><cr-line></cr-line><div id="d">',
-    "chrome/browser/ui/b_handler.cc": 'source->AddBoolean("showP", base::FeatureList::IsEnabled(features::kFoo) && (IsThingEnabled(p) ||\n  base::FeatureList::IsEnabled(kBar)));',
+    "chrome/browser/ui/webui/b_handler.cc": 'source->AddBoolean("showP", base::FeatureList::IsEnabled(features::kFoo) && (IsThingEnabled(p) ||\n  x::features::kBar.Get()));',
     "chrome/bad/flag-metadata.json": "[ {",
 }
 
@@ -29,10 +29,10 @@ def test_extractors(spark):
     assert got["switch", "s"][1]["platform_state"] == {"windows": "conditional"}
     assert got["blink_runtime_feature", "One"][1]["windows_status"] == "stable" and got["blink_runtime_feature", "Two"][0] == 3
     assert got["flag_entry", "f1"][1] == {"expiry_milestone": 150, "owners": ["o"]}
-    assert got["webui_route", "settings/P"][1]["guards"] == ["showP"] and got["webui_route", "settings/Q"][1] == {"surface": "settings", "route": "/q", "parent": "P", "guards": []}
-    assert {k for t, k in got if t == "webui_control"} == {f"settings/a_page/a_page.html/{i}" for i in ("a.b#t", "cr-line#0", "cr-line#1")}
+    assert got["webui_route", "settings/P"][1]["guards"] == ["showP"] and got["webui_route", "settings/Q"][1] == {"surface": "settings", "route": "/q", "parent": "P", "route_kind": "child", "guards": []}
+    assert {k for t, k in got if t == "webui_control"} == {"settings/a_page/a_page/pref:a.b#t"}
     gate = got["webui_gate", "b_handler/showP"][1]
-    assert gate["features"] == ["Foo", "Bar"] and gate["enabled_checks"] == ["IsThingEnabled"]
+    assert gate["features"] == ["kFoo", "kBar"] and gate["enabled_checks"] == ["kFoo"]
     stats = {r["extractor"]: (r["n_facts"], r["n_errors"]) for r in extractors.extract_stats(extractors.extract(corpus)).collect()}
     assert stats["flags_metadata"] == (1, 1)
 
@@ -43,9 +43,16 @@ def test_snapshot_files(spark, tmp_path):
     assert facts.first()[:6] == ("v1", "pref", "k", "k", "", 0)
     good, again = snapshots.fresh_snapshots(headers, 41)
     assert good.count() == 0 and again.count() == 1
-    snapshots.write_snapshot(facts, str(tmp_path / "out"))
-    snapshots.write_snapshot(facts.withColumn("snapshot_id", F.lit("v2")), str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    wide, narrow = headers, headers.withColumn("partitions", F.array(F.lit("ui")))
+    for some in (wide, narrow, wide):
+        snapshots.write_snapshot(facts, some, str(tmp_path / "out"))
+    snapshots.write_snapshot(facts.withColumn("snapshot_id", F.lit("v2")), headers.withColumn("snapshot_id", F.lit("v2")), str(tmp_path / "out"))
+    assert snapshots.read_facts(spark, str(tmp_path / "out")).count() == 3 and snapshots.read_facts(spark, str(tmp_path / "out"), narrow).count() == 1
+    (tmp_path / "tree" / "a").mkdir(parents=True)
+    (tmp_path / "tree" / "a" / "b.txt").write_bytes(b"x\xff")
+    assert [tuple(r) for r in snapshots.read_corpus(spark, str(tmp_path / "tree"), "v1").collect()] == [("v1", "a/b.txt", "x\ufffd", None)]
+    unread = spark.createDataFrame([("v1", "a/b.mojom", None)], "snapshot_id string, path string, text string")
+    assert extractors.extract(unread).first()["error"] == "OSError: not readable"
     (tmp_path / "l.txt").write_text("a/b\n\nc\n")
     assert snapshots.read_listing(spark, str(tmp_path / "l.txt"), "v1").count() == 2
     (tmp_path / "b.json").write_text(")]}'\n" + json.dumps({"Enabled": [{"name": "New Thing", "id": 1, "summary": "word " * 100}]}))
