@@ -17,7 +17,8 @@ has what the discounted single words leave over.
 Count tables are partitioned by word, and by history for n-grams; a history with more than a
 partition's share of all tokens is split by follower. A word is known by a number that its
 partition gives it, so different words never share a count. Before n-grams of an order above two
-are counted in full, a table of their fingerprints tells which of them occur twice at all.
+are counted in full, a table of their fingerprints (40 bits within a partition) tells which of them
+may occur twice at all.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ K = 5
 #: Least count of an n-gram of three words or more that counts as seen.
 CUTOFF = 2
 #: Bytes of text whose n-grams make one partition.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 12 << 20
 END = U64(0x5BD1E9955BD1E995)
 LOW40 = U64((1 << 40) - 1)
 _ODD = U64(0x9E3779B97F4A7C15)
@@ -82,15 +83,33 @@ class Unigrams:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values, a place of each, number of each element)."""
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    code = np.empty(len(key), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], code
+
+
 def _body(rows: pa.Table) -> bytes:
-    """A chunk's tokens: distinct words, the word of each token (an end after each document), lengths, and which documents are learned from."""
+    """A chunk's tokens: distinct words (the end first, then the most frequent), the word of each token by bytes, lengths, and which documents are learned from."""
     words, owner = word_hashes([as_bytes(t) for t in rows["text"].to_pylist()], lower=True)
     token = np.full(len(words) + len(rows), END, np.uint64)
     token[np.arange(len(words)) + owner] = words
-    some, code = np.unique(token, return_inverse=True)
+    some, _, code = distinct(token)
+    often = np.bincount(code)
+    often[some == END] = len(token) + 1
+    order = np.argsort(-often, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    code = place[code]
     ids = rows["doc_id"].to_pylist()
     null = np.array([i is None for i in ids], bool)
-    return pack(some, code, np.bincount(owner, minlength=len(rows)) + 1, np.array([bool(x) for x in rows["learn"].to_pylist()], bool), np.array([i or 0 for i in ids], np.int64), null)
+    planes = [(code >> k & 255).astype(np.uint8) for k in (0, 8, 16)] + [code >> 24]
+    return pack(some[order], *planes, np.bincount(owner, minlength=len(rows)) + 1, np.array([bool(x) for x in rows["learn"].to_pylist()], bool), np.array([i or 0 for i in ids], np.int64), null)
 
 
 def _by_words(words: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -109,7 +128,7 @@ class _Grams:
     own: np.ndarray  # training count in the chunk
     lower: np.ndarray  # number of the (n - 1)-gram it ends in
     of: np.ndarray  # the n-gram that ends at each token, -1 if the text is too short there
-    key: np.ndarray  # 64 bits
+    key: np.ndarray  # 64 bits; of a word its number
     history_key: np.ndarray
     history_count: np.ndarray  # training count of each history, as far as it is known
     total: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -124,17 +143,22 @@ class _Model:
     unigrams: Unigrams | None = None
     d: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def stage(self, n: int, final: bool) -> int:
-        """Where the replies of order n begin (fingerprints first, then counts)."""
-        return (2 * n - 3 + final) * self.buckets if n > 1 else 0
+    def counts_at(self, n: int) -> int:
+        """Where the replies with counts of order n begin, among a chunk's replies."""
+        return (2 * n - 3) * self.buckets
+
+    def twice_at(self, n: int) -> int:
+        """Where those begin that tell which n-grams occur twice; they come with the counts of order n - 1."""
+        return (2 * n - 4) * self.buckets
 
 
 class _Chunk:
     """A chunk's tokens and the replies it got so far."""
 
     def __init__(self, body: bytes, got: dict[int, bytes], model: _Model) -> None:
-        self.words, code, lengths, learn, self.ids, self.null = unpack(body)
-        self.code, self.lengths, self.got, self.model = code.astype(np.int64), lengths.astype(np.int64), got, model
+        self.words, *planes, lengths, learn, self.ids, self.null = unpack(body)
+        self.code = sum(x.astype(np.int64) << 8 * k for k, x in enumerate(planes))
+        self.lengths, self.got, self.model = lengths.astype(np.int64), got, model
         n = len(self.lengths)
         self.doc = np.repeat(np.arange(n), self.lengths)
         self.place = spread(np.zeros(n, np.int64), self.lengths)
@@ -152,55 +176,44 @@ class _Chunk:
 
     def first(self) -> _Grams:
         """Order one: words. The beginning of a text is the last of them; texts begin as often as they end."""
-        begins = self.count[np.searchsorted(self.words, END)] if len(self.words) else 0
-        count = np.append(self.count, begins)
+        count = np.append(self.count, self.count[0] if len(self.count) else 0)
         none = np.zeros(0, np.int64)
-        return _Grams(none, none, none, none, self.code, mix(np.append(self.number, U64(0)) + U64(1)), none, count, count, self.model.unigrams.probability(self.count))
+        return _Grams(none, none, none, none, self.code, np.append(self.number, U64(0)), none, count, count, self.model.unigrams.probability(self.count))
 
     def next(self, low: _Grams, n: int) -> _Grams:
         """Order n, from order n - 1."""
-        v = len(self.words)
+        v = max(len(self.words), 1)
         some = np.flatnonzero(self.place >= n - 2)
         before = np.where(self.place[some] > 0, low.of[some - 1], v) if n == 2 else low.of[some - 1]
-        gram, first, code = np.unique(before * v + self.code[some], return_index=True, return_inverse=True)
+        gram, first, code = distinct(before * v + self.code[some])
         of = np.full(len(self.code), -1, np.int64)
         of[some] = code
-        history, word = gram // max(v, 1), gram % max(v, 1)
+        history, word = gram // v, gram % v
         key = mix(low.key[history] * _ODD + self.number[word] + U64(n))
         return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total)
 
-    def candidates(self, g: _Grams, low: _Grams, n: int) -> np.ndarray:
-        """N-grams that training may have seen, as far as their parts tell."""
-        if n == 2:
-            return (g.history_count[g.history] > 0) & (self.count[g.word] > 0)
-        return (g.history_count[g.history] >= CUTOFF) & (low.total[g.lower] >= CUTOFF)
-
-    def fingerprints(self, g: _Grams, some: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(candidates by partition and fingerprint, runs of the partitions)."""
-        bucket = (mix(g.key[some] + U64(7)) % U64(self.model.buckets)).astype(np.int64)
-        order = np.lexsort((g.key[some] & LOW40, bucket))
-        return some[order], runs(bucket[order])
-
-    def kept(self, g: _Grams, low: _Grams, n: int) -> np.ndarray:
-        """The n-grams whose counts are asked for."""
-        some = np.flatnonzero(self.candidates(g, low, n))
+    def fingerprints(self, g: _Grams) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(n-grams by partition and fingerprint, runs of the partitions). Partitions are ranges of the keys' upper bits."""
+        high = (g.key >> U64(40)) * U64(self.model.buckets) >> U64(24)
+        order = np.argsort(high << U64(40) | g.key & LOW40)
+        return order, runs(high[order].astype(np.int64))
+
+    def kept(self, g: _Grams, n: int) -> np.ndarray:
+        """The n-grams whose counts are asked for: pairs of known words, longer ones that occur twice."""
         if n == 2:
-            return some
-        order, cuts = self.fingerprints(g, some)
+            return np.flatnonzero((g.history_count[g.history] > 0) & (self.count[g.word] > 0))
+        order, cuts = self.fingerprints(g)
         twice = np.zeros(len(g.word), bool)
         for at, a, b in cuts:
-            twice[order[a:b]] = np.unpackbits(unpack(self.got[self.model.stage(n, False) + at])[0], count=b - a).view(bool)
+            twice[order[a:b]] = np.unpackbits(unpack(self.got[self.model.twice_at(n) + at])[0], count=b - a).view(bool)
         return np.flatnonzero(twice)
 
-    def requests(self, g: _Grams, low: _Grams, n: int) -> _Requests:
-        return _Requests(self, g, self.kept(g, low, n), n)
-
     def known(self, upto: int) -> list[_Grams]:
         """Orders 1 to ``upto`` with their totals and probabilities."""
         out = [self.first()]
         for n in range(2, upto + 1):
             g = self.next(out[-1], n)
-            self.requests(g, out[-1], n).read(self, g, out[-1], n)
+            _Requests(self, g, n).read(self, g, out[-1])
             out.append(g)
         return out
 
@@ -208,26 +221,33 @@ class _Chunk:
 class _Requests:
     """What a chunk asks of one order's table, in sending order."""
 
-    def __init__(self, chunk: _Chunk, g: _Grams, kept: np.ndarray, n: int) -> None:
+    def __init__(self, chunk: _Chunk, g: _Grams, n: int) -> None:
+        self.n, self.least = n, 1 if n == 2 else CUTOFF
+        kept = chunk.kept(g, n)
         buckets, total = chunk.model.buckets, chunk.model.unigrams.total
         # Into how many parts a history's followers are split.
         self.salts = np.clip(-(-g.history_count * buckets // max(total, 1)), 1, buckets)
-        number = chunk.number[g.word[kept]]
         history = g.history[kept]
-        target = self._bucket(g.history_key[history], mix(number) % self.salts[history].astype(np.uint64), buckets)
-        order = np.lexsort((history, target))
+        target = self._bucket(g.history_key[history], mix(chunk.number[g.word[kept]]) % self.salts[history].astype(np.uint64), buckets)
+        # N-grams come by history already; their keys are sorted for the sake of small differences.
+        rank = np.empty(len(g.history_key), np.int64)
+        rank[np.argsort(g.history_key)] = np.arange(len(g.history_key))
+        order = np.argsort(target * len(rank) + rank[history], kind="stable")
         self.gram, self.bucket = kept[order], target[order]
-        # Histories whose weight may be needed: before an n-gram that training may not have seen; and all that are split.
-        least = 1 if n == 2 else CUTOFF
+        # Histories whose weight is asked: before an n-gram that is not asked, and all that are split. Of the others the table tells where it is needed.
         need = np.zeros(len(g.history_count), bool)
-        need[g.history[g.own < least]] = True
+        out = np.ones(len(g.history), bool)
+        out[kept] = False
+        need[g.history[out]] = True
         need[history[self.salts[history] > 1]] = True
-        need = np.flatnonzero(need & (g.history_count >= least))
+        self.asked = need & (g.history_count >= self.least)
+        need = np.flatnonzero(self.asked)
         of = np.repeat(need, self.salts[need])
         target = self._bucket(g.history_key[of], spread(np.zeros(len(need), np.int64), self.salts[need]).astype(np.uint64), buckets)
         # Two parts of a history may share a partition, which answers for both at once.
-        both = np.unique(target * len(g.history_count) + of)
-        self.need, self.need_bucket = both % max(len(g.history_count), 1), both // max(len(g.history_count), 1)
+        both = np.unique(target * len(rank) + rank[of])
+        back = np.argsort(rank)
+        self.need, self.need_bucket = back[both % max(len(rank), 1)], both // max(len(rank), 1)
         pairs, needs = {b: (a, e) for b, a, e in runs(self.bucket)}, {b: (a, e) for b, a, e in runs(self.need_bucket)}
         self.places = [(b, slice(*pairs.get(b, (0, 0))), slice(*needs.get(b, (0, 0)))) for b in sorted(pairs.keys() | needs.keys())]
 
@@ -235,39 +255,54 @@ class _Requests:
     def _bucket(key: np.ndarray, salt: np.ndarray, buckets: int) -> np.ndarray:
         return (mix(key + salt * _ODD) % U64(buckets)).astype(np.int64)
 
-    def messages(self, chunk: _Chunk, g: _Grams, low: _Grams, n: int) -> Iterator[tuple[int, bytes]]:
-        """Per partition: histories and their counts, followers, own counts, the followers' probabilities one order lower, histories whose weight is asked."""
+    def messages(self, chunk: _Chunk, g: _Grams, low: _Grams) -> Iterator[tuple[int, bytes]]:
+        """Per partition: histories and their counts, followers, own counts, the followers' probabilities one order lower (of words their counts), histories whose weight is asked."""
         for b, pairs, needs in self.places:
             gram = self.gram[pairs]
-            cut = runs(g.history[gram])
-            history = np.array([c[0] for c in cut], np.int64)
-            word, code = np.unique(g.word[gram], return_inverse=True)
-            below = low.p[word] if n == 2 else low.p[g.lower[gram]]
-            yield b, pack(g.history_key[history], g.history_count[history], np.array([c[2] - c[1] for c in cut], np.int64), chunk.number[word], code, g.own[gram], below, g.history_key[self.need[needs]])
+            history, size = _runs_of(g.history[gram])
+            number, first, code = distinct(chunk.number[g.word[gram]])
+            below = chunk.count[g.word[gram[first]]] if self.n == 2 else low.p[g.lower[gram]]
+            yield b, pack(_steps(g.history_key[history]), g.history_count[history], size, _steps(number), code, g.own[gram], below, _steps(g.history_key[self.need[needs]]))
 
-    def read(self, chunk: _Chunk, g: _Grams, low: _Grams, n: int) -> None:
+    def read(self, chunk: _Chunk, g: _Grams, low: _Grams) -> None:
         """Totals and probabilities of the order's n-grams, from the replies."""
-        size, d, least = len(g.history_count), chunk.model.d[n], 1 if n == 2 else CUTOFF
+        size, d = len(g.history_count), chunk.model.d[self.n]
         g.total = np.zeros(len(g.word), np.int64)
-        small, big, mass, whole = np.zeros((size, K)), np.zeros(size), np.zeros(size), np.zeros(size, bool)
-        at = chunk.model.stage(n, True)
+        small, big, mass, whole, known = np.zeros((size, K)), np.zeros(size), np.zeros(size), np.zeros(size, bool), self.asked.copy()
+        at = chunk.model.counts_at(self.n)
         for b, pairs, needs in self.places:
-            total, flags, parts, more, below = unpack(chunk.got[at + b])
-            gram, need = self.gram[pairs], self.need[needs]
+            total, flags, parts, more, below, runs_told = unpack(chunk.got[at + b])
+            gram = self.gram[pairs]
             g.total[gram] = total
-            cut = runs(g.history[gram])
-            history = np.array([c[0] for c in cut], np.int64)
+            history, _ = _runs_of(g.history[gram])
             whole[history] |= np.unpackbits(flags, count=len(history)).view(bool) & (self.salts[history] == 1)
-            np.add.at(small, need, parts.reshape(-1, K))
-            np.add.at(big, need, more)
-            np.add.at(mass, need, below)
-        known = np.zeros(size, bool)
-        known[self.need] = True
+            told = np.concatenate((self.need[needs], history[runs_told.astype(np.int64)]))
+            fresh = np.concatenate((np.ones(len(self.need[needs]), bool), ~self.asked[history[runs_told.astype(np.int64)]]))
+            some = told[fresh]  # each once in a partition
+            small[some] += parts.reshape(-1, K)[fresh]
+            big[some] += more[fresh]
+            mass[some] += below[fresh]
+            known[told] = True
         whole |= known & (big == g.history_count)
         over = np.maximum(g.history_count + whole, 1)
         left = (over - (small * d[1:] * np.arange(1, K + 1)).sum(1) - big) / over
-        weight = np.where(g.history_count >= least, left / np.maximum(1 - mass, 1e-300), 1.0)
-        g.p = np.where(g.total >= least, discounted(g.total, d) / over[g.history], weight[g.history] * low.p[g.lower])
+        weight = np.where(g.history_count >= self.least, left / np.maximum(1 - mass, 1e-300), 1.0)
+        g.p = np.where(g.total >= self.least, discounted(g.total, d) / over[g.history], weight[g.history] * low.p[g.lower])
+
+
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, length) of the runs of an array."""
+    at = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if len(x) else np.zeros(0, np.int64)
+    return x[at], np.diff(np.append(at, len(x)))
+
+
+def _steps(key: np.ndarray) -> np.ndarray:
+    """Ascending keys as differences."""
+    return np.diff(key, prepend=U64(0))
+
+
+def _keys(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.astype(np.uint64), dtype=np.uint64)
 
 
 def _counts_of_counts(total: np.ndarray) -> list[int]:
@@ -282,7 +317,7 @@ def _replies(group: pa.Table, replies: list[bytes], counts: list[int]) -> pa.Tab
 def _word_table(group: pa.Table) -> pa.Table:
     """One partition of the word counts: replies to its chunks, and tokens, words and counts of counts."""
     blobs = [unpack(b) for b in group["blob"].to_pylist()]
-    _, code = np.unique(np.concatenate([b[0] for b in blobs]), return_inverse=True)
+    _, _, code = distinct(np.concatenate([b[0] for b in blobs]))
     total = np.bincount(code, np.concatenate([b[1] for b in blobs])).astype(np.int64)
     parts = np.split(code, np.cumsum([len(b[0]) for b in blobs])[:-1])
     return _replies(group, [pack(p, total[p]) for p in parts], [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total)])
@@ -291,47 +326,57 @@ def _word_table(group: pa.Table) -> pa.Table:
 def _twice_table(group: pa.Table) -> pa.Table:
     """One partition of fingerprints: which n-grams training has twice, and how many it has once."""
     blobs = [unpack(b) for b in group["blob"].to_pylist()]
-    keys = [np.cumsum(b[0].astype(np.uint64), dtype=np.uint64) for b in blobs]
-    some, code = np.unique(np.concatenate(keys), return_inverse=True)
-    n = np.bincount(code, np.concatenate([b[1] for b in blobs]), len(some))
+    keys = [_keys(b[0]) for b in blobs]
+    _, _, code = distinct(np.concatenate(keys))
+    n = np.bincount(code, np.concatenate([b[1] for b in blobs]))
     parts = np.split(n[code] >= CUTOFF, np.cumsum([len(k) for k in keys])[:-1])
-    return _replies(group, [pack(np.packbits(p)) for p in parts], [int((n == 1).sum()) + sum(int(b[2][0]) for b in blobs)])
+    return _replies(group, [pack(np.packbits(p)) for p in parts], [0] * (K + 1) + [int((n == 1).sum())])
 
 
-def _gram_table(n: int) -> Callable[[pa.Table], pa.Table]:
-    """What answers one partition of n-gram counts: replies with totals and with the parts of the weights of histories."""
+def _gram_table(group: pa.Table, n: int, unigrams: Unigrams) -> pa.Table:
+    """One partition of n-gram counts: replies with totals and with the parts of the weights of histories."""
     least = 1 if n == 2 else CUTOFF
+    blobs = [unpack(b) for b in group["blob"].to_pylist()]
+    asked = [_keys(b[7]) for b in blobs]
+    histories, _, run = distinct(np.concatenate([_keys(b[0]) for b in blobs]))
+    count = np.zeros(len(histories), np.int64)
+    count[run] = np.concatenate([b[1].astype(np.int64) for b in blobs])
+    history = np.repeat(run, np.concatenate([b[2].astype(np.int64) for b in blobs]))
+    numbers, _, dense = distinct(np.concatenate([_keys(b[3]) for b in blobs]))
+    first = np.cumsum([0] + [len(b[3]) for b in blobs[:-1]])
+    word = np.concatenate([dense[b[4].astype(np.int64) + f] for b, f in zip(blobs, first, strict=True)])
+    below = np.concatenate([unigrams.probability(b[6].astype(np.int64))[b[4]] if n == 2 else b[6] for b in blobs])
+    gram, place, at = distinct(history * max(len(numbers), 1) + word)
+    total = np.bincount(at, np.concatenate([b[5] for b in blobs]), len(gram)).astype(np.int64)
+    of = gram // max(len(numbers), 1)
+    seen = total >= least
+    mass = np.bincount(of[seen], below[place[seen]], len(histories))
+    low = seen & (total <= K)
+    parts = np.bincount(of[low] * K + total[low] - 1, minlength=len(histories) * K).reshape(-1, K)
+    big = np.bincount(of[total > K], total[total > K], len(histories)).astype(np.int64)
+    whole = big == count
+    replies, start, start_run = [], 0, 0
+    for b, keys in zip(blobs, asked, strict=True):
+        size, size_run = len(b[4]), len(b[0])
+        own, own_run = total[at[start : start + size]], run[start_run : start_run + size_run]
+        # Histories of n-grams that were asked for and that training does not have: their weight is needed.
+        missed = np.unique(np.repeat(np.arange(size_run), b[2].astype(np.int64))[own < least])
+        p, m, g = np.zeros((len(keys), K), np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
+        if len(histories):
+            need = np.minimum(np.searchsorted(histories, keys), len(histories) - 1)
+            hit = histories[need] == keys
+            p[hit], m[hit], g[hit] = parts[need[hit]], mass[need[hit]], big[need[hit]]
+        extra = own_run[missed]
+        replies.append(pack(own, np.packbits(whole[own_run]), np.concatenate((p, parts[extra])).ravel(), np.concatenate((g, big[extra])), np.concatenate((m, mass[extra])), missed))
+        start, start_run = start + size, start_run + size_run
+    return _replies(group, replies, [*_counts_of_counts(total * seen), 0])
+
+
+def _table_of(n: int, model: _Model) -> Callable[[pa.Table], pa.Table]:
+    """What answers a partition of order n's stage: counts of order n, and after them fingerprints of the next order."""
 
     def answer(group: pa.Table) -> pa.Table:
-        blobs = [unpack(b) for b in group["blob"].to_pylist()]
-        histories, run = np.unique(np.concatenate([b[0].astype(np.uint64) for b in blobs]), return_inverse=True)
-        count = np.zeros(len(histories), np.int64)
-        count[run] = np.concatenate([b[1].astype(np.int64) for b in blobs])
-        history = np.repeat(run, np.concatenate([b[2].astype(np.int64) for b in blobs]))
-        numbers, dense = np.unique(np.concatenate([b[3].astype(np.uint64) for b in blobs]), return_inverse=True)
-        first = np.cumsum([0] + [len(b[3]) for b in blobs[:-1]])
-        word = np.concatenate([dense[b[4].astype(np.int64) + f] for b, f in zip(blobs, first, strict=True)])
-        below = np.concatenate([b[6][b[4]] if n == 2 else b[6] for b in blobs])
-        gram, at_first, at = np.unique(history * max(len(numbers), 1) + word, return_index=True, return_inverse=True)
-        total = np.bincount(at, np.concatenate([b[5] for b in blobs]), len(gram)).astype(np.int64)
-        of = gram // max(len(numbers), 1)
-        seen = total >= least
-        mass = np.bincount(of[seen], below[at_first[seen]], len(histories))
-        low = seen & (total <= K)
-        parts = np.bincount(of[low] * K + total[low] - 1, minlength=len(histories) * K).reshape(-1, K)
-        big = np.bincount(of[total > K], total[total > K], len(histories)).astype(np.int64)
-        whole = big == count
-        replies, start, start_run = [], 0, 0
-        for b in blobs:
-            size, size_run = len(b[4]), len(b[0])
-            p, m, g = np.zeros((len(b[7]), K), np.int64), np.zeros(len(b[7])), np.zeros(len(b[7]), np.int64)
-            if len(histories):
-                need = np.minimum(np.searchsorted(histories, b[7].astype(np.uint64)), len(histories) - 1)
-                hit = histories[need] == b[7]
-                p[hit], m[hit], g[hit] = parts[need[hit]], mass[need[hit]], big[need[hit]]
-            replies.append(pack(total[at[start : start + size]], np.packbits(whole[run[start_run : start_run + size_run]]), p.ravel(), g, m))
-            start, start_run = start + size, start_run + size_run
-        return _replies(group, replies, _counts_of_counts(total * seen))
+        return _twice_table(group) if group["bucket"][0].as_py() >= model.buckets else _gram_table(group, n, model.unigrams)
 
     return answer
 
@@ -369,39 +414,27 @@ def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BU
 
     told = None
     rows, told = stage(ask_words, _word_table, 0)
-    total, distinct, *of_counts = sums(rows, K + 3)
-    model.unigrams = Unigrams(total, distinct, of_counts)
+    total, distinct_words, *of_counts = sums(rows, K + 3)
+    model.unigrams = Unigrams(total, distinct_words, of_counts)
+    once = None
     for n in range(2, order + 1):
-        once = None
-        if n > 2:
-
-            def ask_twice(body: bytes, got: dict[int, bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
-                c = _Chunk(body, got, model)
-                low = c.known(n - 1)[-1]
-                g = c.next(low, n)
-                fine = c.candidates(g, low, n)
-                by, cuts = c.fingerprints(g, np.flatnonzero(fine))
-                # An n-gram with a part that occurs once occurs once itself, here.
-                once = int(((g.own == 1) & ~fine).sum())
-                for at, a, b in cuts or [(0, 0, 0)]:
-                    key = g.key[by[a:b]] & LOW40
-                    yield at, pack(np.diff(key, prepend=U64(0)), np.minimum(g.own[by[a:b]], CUTOFF), np.array([once]))
-                    once = 0
-
-            rows, more = stage(ask_twice, _twice_table, model.stage(n, False))
-            told = told.unionByName(more)
-            once = sums(rows, 1)[0]
-
-        def ask_grams(body: bytes, got: dict[int, bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
+
+        def ask(body: bytes, got: dict[int, bytes], n: int = n) -> Iterator[tuple[int, bytes]]:
             c = _Chunk(body, got, model)
             low = c.known(n - 1)[-1]
             g = c.next(low, n)
-            return c.requests(g, low, n).messages(c, g, low, n)
-
-        rows, more = stage(ask_grams, _gram_table(n), model.stage(n, True))
+            yield from _Requests(c, g, n).messages(c, g, low)
+            if n < order:
+                longer = c.next(g, n + 1)
+                by, cuts = c.fingerprints(longer)
+                for at, a, b in cuts:
+                    yield model.buckets + at, pack(_steps(longer.key[by[a:b]] & LOW40), np.minimum(longer.own[by[a:b]], CUTOFF))
+
+        rows, more = stage(ask, _table_of(n, model), model.counts_at(n))
         told = told.unionByName(more)
-        counts = sums(rows, K + 1)
+        *counts, now = sums(rows, K + 2)
         model.d[n] = discounts(counts if once is None else [once, *counts[1:]])
+        once = now
 
     def read(body: bytes, got: dict[int, bytes]) -> pa.Table:
         c = _Chunk(body, got, model)
