@@ -18,6 +18,7 @@ lost.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import SIDE, answered, asked, chunk_rows, chunked, total_bytes, unzip_array, with_replies, zip_array
+from .chunks import SIDE, answered, asked, chunk_rows, chunked, pack, total_bytes, unpack, unzip_array, with_replies, zip_array
 from .common import stored
 from .components import connected_components
 from .textkernel import U64, mix, window_hash, word_hashes
@@ -40,6 +41,8 @@ SKETCH = 256
 NEAR, NEAREST = 64, 3
 #: Members of one leader that are verified in one task.
 LEADER_MEMBERS = 512
+#: Documents in one block of a group.
+GROUP_BLOCK = 512
 _NONE = np.iinfo(np.int64).max
 
 
@@ -122,7 +125,7 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _count(blobs: list[bytes]) -> list[bytes]:
-    """How many documents have each shingle, up to 255."""
+    """How many documents have each shingle."""
     keys, counts, sizes = [], [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
@@ -130,9 +133,8 @@ def _count(blobs: list[bytes]) -> list[bytes]:
         counts.append(unzip_array(blob[4 + 4 * n :], np.uint32).astype(np.int64))
         sizes.append(n)
     _, code = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(code, np.concatenate(counts))[code]
-    got = np.minimum(total, 255).astype(np.uint8)
-    return [zip_array(x) for x in np.split(got, np.cumsum(sizes)[:-1])]
+    total = np.bincount(code, np.concatenate(counts)).astype(np.int64)[code]
+    return [pack(x) for x in np.split(total, np.cumsum(sizes)[:-1])]
 
 
 def _posting(doc: np.ndarray, n: np.ndarray, place: np.ndarray, ranges: np.ndarray, key: np.ndarray) -> bytes:
@@ -149,8 +151,8 @@ def _read_posting(blob: bytes) -> list[np.ndarray]:
     return [np.cumsum(unzip_array(parts[0], np.int64)), unzip_array(parts[1], np.uint32), unzip_array(parts[2], np.uint32), unzip_array(parts[3], np.uint8).reshape(-1, RANGES), np.frombuffer(parts[4], np.uint64)]
 
 
-def _candidates(group: pa.Table, percent: int) -> pa.Table:
-    """Pairs of each shingle's documents with its smallest doc_id, and the groups of three or more."""
+def _candidates(group: pa.Table, percent: int, block: int) -> pa.Table:
+    """Pairs of each shingle's documents with its smallest doc_id, and the groups of three or more, in blocks."""
     doc, n, place, ranges, key = (np.concatenate(x) for x in zip(*map(_read_posting, group["blob"].to_pylist()), strict=True))
     order = np.lexsort((doc, key))
     doc, n, place, ranges, key = doc[order], n[order], place[order], ranges[order], key[order]
@@ -159,48 +161,87 @@ def _candidates(group: pa.Table, percent: int) -> pa.Table:
     lead = np.repeat(begin, size)
     fine = passes(n, n[lead], place, place[lead], ranges, ranges[lead], percent) & (doc != doc[lead])
     pairs = np.unique(np.stack([doc[lead][fine], doc[fine]], 1), axis=0) if fine.any() else np.zeros((0, 2), np.int64)
-    seen: dict[bytes, int] = {}
+    # Shingles with the same documents are one group: any shared shingle bounds what a pair can have in common.
+    seen: dict[int, tuple[int, int]] = {}
     for b, k in zip(begin[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        seen.setdefault(doc[b : b + k].tobytes(), b)
-    groups = [(b, len(members) // 8) for members, b in seen.items()]
+        seen.setdefault(int.from_bytes(hashlib.blake2b(doc[b : b + k].tobytes(), digest_size=8).digest(), "little", signed=True), (b, k))
+    facts = np.concatenate((n[:, None], place[:, None], ranges.astype(np.uint32)), 1).astype("<u4")
+    rows = [(gid, at // block, -(-k // block), b + at, b + min(at + block, k)) for gid, (b, k) in seen.items() for at in range(0, k, block)]
+    none = [None] * len(pairs)
     return pa.table(
         {
-            "a": pa.array(np.concatenate((pairs[:, 0], np.full(len(groups), -1, np.int64))).astype(np.int64)),
-            "b": pa.array(np.concatenate((pairs[:, 1], np.zeros(len(groups), np.int64))).astype(np.int64)),
-            "members": pa.array([None] * len(pairs) + [doc[b : b + k].tolist() for b, k in groups], pa.list_(pa.int64())),
-            "facts": pa.array([None] * len(pairs) + [np.concatenate((n[b : b + k, None], place[b : b + k, None], ranges[b : b + k].astype(np.uint32)), 1).astype("<u4").tobytes() for b, k in groups], pa.binary()),
+            "a": pa.array([*pairs[:, 0].tolist(), *[None] * len(rows)], pa.int64()),
+            "b": pa.array([*pairs[:, 1].tolist(), *[None] * len(rows)], pa.int64()),
+            "gid": pa.array([*none, *[r[0] for r in rows]], pa.int64()),
+            "blk": pa.array([*none, *[r[1] for r in rows]], pa.int32()),
+            "blocks": pa.array([*none, *[r[2] for r in rows]], pa.int32()),
+            "members": pa.array([*none, *[doc[r[3] : r[4]].tolist() for r in rows]], pa.list_(pa.int64())),
+            "facts": pa.array([*none, *[facts[r[3] : r[4]].tobytes() for r in rows]], pa.binary()),
         }
     )
 
 
-def _across(batches: Iterator[pa.RecordBatch], percent: int, some: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a group's documents in different components, without those of the leader, that pass the filters.
+_FOUND = "a long, b long, gid long, blk int, blocks int, members array<long>, facts binary"
 
-    With ``some`` only the nearest few of each document, by sketch, among those next to it.
+
+class _Block:
+    """Documents of one block of a group, in order."""
+
+    def __init__(self, row: dict, block: int) -> None:
+        self.doc = np.array(row["members"], np.int64)
+        self.at = row["blk"] * block + np.arange(len(self.doc))
+        nodes = sorted(row["nodes"], key=lambda x: x["pos"])
+        self.component = np.array([x["component"] for x in nodes], np.int64)
+        self.sketch = np.frombuffer(b"".join(x["sketch"] for x in nodes), np.uint8).reshape(-1, SKETCH).astype(np.int16)
+        self.fact = np.frombuffer(row["facts"], "<u4").reshape(len(self.doc), -1)
+
+
+def _across(group: pa.Table, percent: int, near: int | None, block: int) -> pa.Table:
+    """Pairs between one block's documents, or two blocks', in different components, without those of the leader, that pass the filters.
+
+    With ``near`` only the nearest few of each document, by sketch, among so many next to it.
+    """
+    rows = sorted(group.to_pylist(), key=lambda r: r["blk"])
+    x, y = _Block(rows[0], block), _Block(rows[-1], block)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(len(x.doc)):
+        if not x.at[i]:
+            continue  # the leader's pairs are known
+        far = y.at - x.at[i]
+        j = np.flatnonzero((far > 0) & (y.component != x.component[i]) & (y.doc != x.doc[i]) & ((far <= near) if near else True))
+        if not len(j):
+            continue
+        own = np.broadcast_to(x.fact[i], (len(j), x.fact.shape[1]))
+        j = j[passes(own[:, 0], y.fact[j, 0], own[:, 1], y.fact[j, 1], own[:, 2:], y.fact[j, 2:], percent)]
+        both = x.fact[i, 0].astype(np.int64) + y.fact[j, 0]
+        apart = np.abs(y.sketch[j] - x.sketch[i]).sum(1)
+        close = apart <= both - 2 * least_overlap(both, percent)
+        j, apart = j[close], apart[close]
+        if near:
+            j = j[np.argsort(apart, kind="stable")[:NEAREST]]
+        found.append((np.full(len(j), x.doc[i]), y.doc[j]))
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _group_pairs(groups: DataFrame, linked: DataFrame, marks: DataFrame, percent: int, near: int | None, block: int) -> DataFrame:
+    """Candidates (a, b) within groups whose documents are not all linked yet.
+
+    A group lies in blocks, and every pair of blocks is a unit of its own (with ``near``, of a
+    block at most, only neighbours are paired): no join or task is keyed by a group alone.
     """
-    for batch in batches:
-        for members, facts, nodes in zip(batch.column("members"), batch.column("facts"), batch.column("nodes").to_pylist(), strict=True):
-            doc = np.asarray(members.values)
-            at = {x["node"]: i for i, x in enumerate(nodes)}
-            place = np.array([at[d] for d in doc.tolist()])
-            component = np.array([x["component"] for x in nodes])[place]
-            sketch = np.frombuffer(b"".join(x["sketch"] for x in nodes), np.uint8).reshape(-1, SKETCH)[place].astype(np.int16)
-            fact = np.frombuffer(facts.as_py(), "<u4").reshape(len(doc), -1)
-            for i in range(1, len(doc) - 1):
-                j = i + 1 + np.flatnonzero(component[i + 1 : i + 1 + NEAR if some else None] != component[i])
-                j = j[doc[j] != doc[i]]
-                if not len(j):
-                    continue
-                one = np.full(len(j), i)
-                j = j[passes(fact[one, 0], fact[j, 0], fact[one, 1], fact[j, 1], fact[one, 2:], fact[j, 2:], percent)]
-                both = fact[i, 0].astype(np.int64) + fact[j, 0]
-                apart = np.abs(sketch[j] - sketch[i]).sum(1)
-                close = apart <= both - 2 * least_overlap(both, percent)
-                j, apart = j[close], apart[close]
-                if some:
-                    j = j[np.argsort(apart, kind="stable")[:NEAREST]]
-                if len(j):
-                    yield pa.RecordBatch.from_pydict({"a": np.full(len(j), doc[i]), "b": doc[j]})
+    spread = groups.select("gid", "blk", "blocks", F.posexplode("members").alias("pos", "node")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = spread.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("blocks").alias("n")).where("low != high")
+    keys = open_.select("gid", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("blk"))
+    nodes = spread.join(keys, ["gid", "blk"], "left_semi").join(marks, "node").groupBy("gid", "blk").agg(F.collect_list(F.struct("pos", "component", "sketch")).alias("nodes"))
+    other = F.sequence(F.greatest(F.col("blk") - 1, F.lit(0)), F.least(F.col("blk") + 1, F.col("blocks") - 1)) if near else F.sequence(F.lit(0), F.col("blocks") - 1)
+    rows = groups.join(nodes, ["gid", "blk"]).select("*", F.explode(other).alias("other"))
+    sent = rows.select("gid", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "blk", "members", "facts", "nodes")
+
+    def across(group: pa.Table) -> pa.Table:
+        return _across(group, percent, near, block)
+
+    return sent.groupBy("gid", "i", "j").applyInArrow(across, "a long, b long")
 
 
 def _verified(pairs: DataFrame, chunks: DataFrame, places: DataFrame, n: int, percent: int) -> DataFrame:
@@ -247,13 +288,16 @@ def _verified(pairs: DataFrame, chunks: DataFrame, places: DataFrame, n: int, pe
     return sent.groupBy("a", "part").applyInArrow(check, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85, bucket_bytes: int = BUCKET_BYTES, group_block: int = GROUP_BLOCK, near: int = NEAR) -> DataFrame:
     """Component of every document in the graph of links 100 * intersection >= percent * union.
 
     ``docs`` has doc_id (integer) and text; letters A-Z are lower-cased. Returns doc_id,
     n_shingles (size of the set) and component_id (the smallest doc_id reachable). Texts without
     words (null ones too) have an empty set and link with nothing. Rows with a null doc_id get a
-    null component_id and link with nothing; rows that share a doc_id are one node.
+    null component_id and link with nothing; rows that share a doc_id are one
+    node. An empty table gives no rows. ``group_block`` and ``near`` bound what one task compares and
+    how many neighbours are tried before all; neither changes the result. A text is held in one
+    task whole, with about 100 bytes of working memory for each of its bytes.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = chunked(slim, "ngrams")
@@ -286,9 +330,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85,
     def post(body: bytes, got: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         sets = _Sets(body, got.get(SIDE), shingle_words)
         _, _, bucket, place = sets.spelled(buckets)
-        seen = np.zeros(len(bucket), np.uint8)
+        seen = np.zeros(len(bucket), np.int64)
         for at, a, b in _cuts(bucket):
-            seen[a:b] = unzip_array(got[at], np.uint8)
+            seen[a:b] = unpack(got[at])[0]
         often = seen[place]
         order = np.argsort(often, kind="stable")  # sets come in ascending order of their shingles
         order = order[by_text(sets.of[order], len(sets.ids))]
@@ -309,19 +353,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 4, percent: int = 85,
             yield at, _posting(sets.ids[of], sets.counts[of], rank[a:b], ranges[of], sets.key[e[a:b]])
 
     told = side.unionByName(counts.select("bucket", "chunk", "reply"))
-    found = stored(asked(chunks, post, told).groupBy("bucket").applyInArrow(lambda g: _candidates(g, percent), "a long, b long, members array<long>, facts binary"), "candidates")
-    first = stored(_verified(found.where("members is null"), chunks, places, shingle_words, percent), "links")
+    found = stored(asked(chunks, post, told).groupBy("bucket").applyInArrow(lambda g: _candidates(g, percent, group_block), _FOUND), "candidates")
+    first = stored(_verified(found.where("gid is null"), chunks, places, shingle_words, percent), "links")
     linked = stored(connected_components(first), "linked")
-    groups = found.where("members is not null").select("members", "facts").dropDuplicates(["members"]).withColumn("gid", F.xxhash64("members", "facts"))
-    groups = stored(groups, "groups")
+    groups = stored(found.where("gid is not null").select("gid", "blk", "blocks", "members", "facts").dropDuplicates(["gid", "blk"]), "groups")
     marks = classes.select(F.col("r.doc_id").alias("node"), "sketch").dropDuplicates(["node"])
     links = first
     # A few near ones of each document first; then all that are still apart. The second round leaves no pair of different components unchecked.
-    for some in (True, False):
-        spread = groups.select("gid", F.explode("members").alias("node")).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = spread.groupBy("gid").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("gid")
-        nodes = spread.join(mixed, "gid", "left_semi").join(marks, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "component", "sketch")).alias("nodes"))
-        pairs = groups.join(nodes, "gid").select("members", "facts", "nodes").mapInArrow(lambda b, some=some: _across(b, percent, some), "a long, b long")
+    for n in (min(near, group_block), None):
+        pairs = _group_pairs(groups, linked, marks, percent, n, group_block)
         links = stored(links.union(_verified(stored(pairs.distinct(), "more-candidates"), chunks, places, shingle_words, percent)), "links")
         linked = stored(connected_components(links), "linked")
     own = rows.join(classes.select("s1", "s2", "n", F.col("r.doc_id").alias("least")), ["s1", "s2", "n"], "left")

@@ -129,7 +129,8 @@ def window_hash(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = words[:n] * _POS[0]
+    place = _POS[:k] if k <= len(_POS) else np.concatenate((_POS, mix(np.arange(len(_POS), k, dtype=np.uint64)) | U64(1)))
+    out = words[:n] * place[0]
     for j in range(1, k):
-        out += words[j : j + n] * _POS[j]
+        out += words[j : j + n] * place[j]
     return mix(out + U64(k))

@@ -149,6 +149,28 @@ class KatzByHand:
         return self.kept(gram) / over if self.kept(gram) else weight * self.p(gram[1:])
 
 
+def test_near_copies_in_large_groups(spark):
+    """Near copies of several originals with much in common, in blocks of a few documents: links as by comparing all pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        some = base[:]
+        for k in rng.sample(range(0, 120, 6), 1 + i % 5):
+            some[k] = f"x{rng.randrange(6)}"
+        texts.append(" ".join(some))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(118)} for t in texts]
+    least = list(range(60))
+    for _ in range(60):
+        for a in range(60):
+            for b in range(60):
+                if 100 * len(sets[a] & sets[b]) >= 88 * len(sets[a] | sets[b]):
+                    least[a] = min(least[a], least[b])
+    assert len(set(least)) > 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, 3, 88, group_block=4, near=3).collect()} == dict(enumerate(least))
+
+
 def test_katz(docs, empty):
     rows = [(i, [*split(t, True), b"\0end"], i % 5 != 1) for i, t in corpus()]
     learned = [w for _, w, learn in rows if learn]
