@@ -264,6 +264,20 @@ def test_nearest_among_copies(spark):
             hits += len(set(best) & set(got[q]))
             assert got[q] == best or not (equal and (q == 3 or (m[q] == m[0]).all()))
         assert hits / (5 * len(asked)) >= 0.9
+    # Far more vectors than are reranked: the index itself must find them; with share 1.0 nothing is missed.
+    m = np.random.default_rng(13).normal(size=(6000, 24))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>").repartition(3)
+    for share, least_recall in ((0.1, 0.9), (1.0, 1.0)):
+        got = defaultdict(list)
+        for r in permutation_index.search(table, F.col("vec_id") % 100 == 0, k=5, block=3000, least=16, share=share).orderBy("rank").collect():
+            got[r["query_id"]].append(r["vec_id"])
+        hits = 0
+        for q in range(0, 6000, 100):
+            near = unit @ unit[q]
+            near[q] = -9
+            hits += len(set(np.argsort(-near)[:5].tolist()) & set(got[q]))
+        assert hits / 300 >= least_recall
     twice = spark.createDataFrame([(i, [1.0, 2.0]) for i in (1, 1, 1, 2, 2, 3)], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in permutation_index.search(twice, F.col("vec_id") == 3, k=5).orderBy("rank").collect()] == [1, 1, 1, 2, 2]
 
