@@ -83,9 +83,18 @@ class Unigrams:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
 
+def ordered(key: np.ndarray) -> np.ndarray:
+    """The stable ascending order of non-negative integers: places are sorted with them where both fit 64 bits, which is the fastest way."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 64:
+        return np.argsort(key, kind="stable")
+    both = np.sort(key.astype(np.uint64) << U64(bits) | np.arange(len(key), dtype=np.uint64))
+    return (both & U64((1 << bits) - 1)).astype(np.int64)
+
+
 def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct values, a place of each, number of each element)."""
-    order = np.argsort(key)
+    order = ordered(key) if key.dtype.kind == "i" else np.argsort(key)
     ranked = key[order]
     new = np.ones(len(key), bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -115,7 +124,7 @@ def _body(rows: pa.Table) -> bytes:
 def _by_words(words: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """(words by partition, runs of the partitions)."""
     bucket = (mix(words + U64(3)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = ordered(bucket)
     return order, runs(bucket[order])
 
 
@@ -232,7 +241,7 @@ class _Requests:
         # N-grams come by history already; their keys are sorted for the sake of small differences.
         rank = np.empty(len(g.history_key), np.int64)
         rank[np.argsort(g.history_key)] = np.arange(len(g.history_key))
-        order = np.argsort(target * len(rank) + rank[history], kind="stable")
+        order = ordered(target * len(rank) + rank[history])
         self.gram, self.bucket = kept[order], target[order]
         # Histories whose weight is asked: before an n-gram that is not asked, and all that are split. Of the others the table tells where it is needed.
         need = np.zeros(len(g.history_count), bool)
@@ -245,8 +254,9 @@ class _Requests:
         of = np.repeat(need, self.salts[need])
         target = self._bucket(g.history_key[of], spread(np.zeros(len(need), np.int64), self.salts[need]).astype(np.uint64), buckets)
         # Two parts of a history may share a partition, which answers for both at once.
-        both = np.unique(target * len(rank) + rank[of])
-        back = np.argsort(rank)
+        both = distinct(target * len(rank) + rank[of])[0]
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
         self.need, self.need_bucket = back[both % max(len(rank), 1)], both // max(len(rank), 1)
         pairs, needs = {b: (a, e) for b, a, e in runs(self.bucket)}, {b: (a, e) for b, a, e in runs(self.need_bucket)}
         self.places = [(b, slice(*pairs.get(b, (0, 0))), slice(*needs.get(b, (0, 0)))) for b in sorted(pairs.keys() | needs.keys())]
@@ -268,7 +278,9 @@ class _Requests:
         """Totals and probabilities of the order's n-grams, from the replies."""
         size, d = len(g.history_count), chunk.model.d[self.n]
         g.total = np.zeros(len(g.word), np.int64)
-        small, big, mass, whole, known = np.zeros((size, K)), np.zeros(size), np.zeros(size), np.zeros(size, bool), self.asked.copy()
+        # What followers of a history take, how much of it by large counts, and what they would have one order lower.
+        took, big, mass, whole, known = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(size, bool), self.asked.copy()
+        worth = d[1:] * np.arange(1, K + 1)
         at = chunk.model.counts_at(self.n)
         for b, pairs, needs in self.places:
             total, flags, parts, more, below, runs_told = unpack(chunk.got[at + b])
@@ -279,15 +291,18 @@ class _Requests:
             told = np.concatenate((self.need[needs], history[runs_told.astype(np.int64)]))
             fresh = np.concatenate((np.ones(len(self.need[needs]), bool), ~self.asked[history[runs_told.astype(np.int64)]]))
             some = told[fresh]  # each once in a partition
-            small[some] += parts.reshape(-1, K)[fresh]
+            took[some] += parts.reshape(-1, K)[fresh] @ worth + more[fresh]
             big[some] += more[fresh]
             mass[some] += below[fresh]
             known[told] = True
         whole |= known & (big == g.history_count)
         over = np.maximum(g.history_count + whole, 1)
-        left = (over - (small * d[1:] * np.arange(1, K + 1)).sum(1) - big) / over
-        weight = np.where(g.history_count >= self.least, left / np.maximum(1 - mass, 1e-300), 1.0)
-        g.p = np.where(g.total >= self.least, discounted(g.total, d) / over[g.history], weight[g.history] * low.p[g.lower])
+        weight = np.ones(size)
+        some = np.flatnonzero(known & (g.history_count >= self.least))
+        weight[some] = (over[some] - took[some]) / over[some] / np.maximum(1 - mass[some], 1e-300)
+        g.p = weight[g.history] * low.p[g.lower]
+        seen = np.flatnonzero(g.total >= self.least)
+        g.p[seen] = discounted(g.total[seen], d) / over[g.history[seen]]
 
 
 def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +375,7 @@ def _gram_table(group: pa.Table, n: int, unigrams: Unigrams) -> pa.Table:
         size, size_run = len(b[4]), len(b[0])
         own, own_run = total[at[start : start + size]], run[start_run : start_run + size_run]
         # Histories of n-grams that were asked for and that training does not have: their weight is needed.
-        missed = np.unique(np.repeat(np.arange(size_run), b[2].astype(np.int64))[own < least])
+        missed = np.flatnonzero(np.bincount(np.repeat(np.arange(size_run), b[2].astype(np.int64)), own < least, size_run))
         p, m, g = np.zeros((len(keys), K), np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
         if len(histories):
             need = np.minimum(np.searchsorted(histories, keys), len(histories) - 1)

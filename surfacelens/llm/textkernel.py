@@ -20,7 +20,7 @@ import pyarrow as pa
 
 # Workers are reused: arrays of a megabyte or more go back to the system when they are freed.
 with contextlib.suppress(OSError, AttributeError):
-    ctypes.CDLL(None).mallopt(-3, 1 << 20)
+    ctypes.CDLL(None).mallopt(-3, 32 << 20)
 pa.set_memory_pool(pa.system_memory_pool())
 
 U64 = np.uint64
