@@ -276,11 +276,11 @@ class Lexicon:
         stems = [word[:n] + "*" for n in STEM_LENGTHS if word[:n] in self.stem_set]
         if stems:
             return [(stems[-1], 0)]
-        if len(word) < FUZZY_LENGTH - 1 or len(word) > 40:
-            return []
+        if not self.lengths[0] <= len(word) <= self.lengths[1]:
+            return []  # no long term is within reach
         near = [(self.terms[i], d) for i, d in self.trie.intersect(word, self.most, True) if len(self.terms[i]) >= FUZZY_LENGTH]
         least = min((d for _, d in near), default=0)
-        return sorted(x for x in near if x[1] == least)[:3]
+        return sorted(x for x in near if x[1] == least)
 
 
 def nearness(marks: int, report: int) -> tuple[float, float]:

@@ -99,14 +99,27 @@ class WaveletMatrix:
         a, b = self._span(token, lo, self.n if hi is None else hi)
         return b - a
 
+    def _select(self, level: int, one: int, nth: np.ndarray) -> np.ndarray:
+        """Places of the nth (from 0) ones, or zeros, of a plane: the block by the rank directory, the place by its bits."""
+        starts = np.arange(len(self.directory[level])) * BLOCK
+        before = self.directory[level].astype(np.int64) if one else np.minimum(starts, self.n) - self.directory[level]
+        out = np.empty(len(nth), np.int64)
+        plane = np.append(self.planes[level], np.zeros(BLOCK // 8, np.uint8))
+        for i in range(0, len(nth), 4096):
+            k = nth[i : i + 4096]
+            block = np.searchsorted(before, k, side="right") - 1
+            at = np.minimum(block[:, None] * (BLOCK // 8) + np.arange(BLOCK // 8), len(plane) - 1)
+            bits = np.unpackbits(plane[at], axis=1, bitorder="little") == one
+            out[i : i + 4096] = block * BLOCK + (np.cumsum(bits, axis=1) > (k - before[block])[:, None]).argmax(1)
+        return out
+
     def occurrences(self, token: int) -> np.ndarray:
-        """All positions of an id, ascending: select from the last plane up."""
+        """All positions of an id, ascending: select from the last plane up, which reads only the blocks they lie in."""
         a, b = self._span(token, 0, self.n)
         at = np.arange(a, b)
         for level in range(len(self.planes) - 1, -1, -1):
             one = token >> (len(self.planes) - 1 - level) & 1
-            bits = np.unpackbits(self.planes[level], bitorder="little", count=self.n)
-            at = np.flatnonzero(bits == one)[at - self.zeros[level] * one]
+            at = self._select(level, one, at - self.zeros[level] * one)
         return at
 
     def decode(self) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import random
 
 import numpy as np
@@ -207,7 +208,7 @@ def test_exponents():
 
 def test_footrule():
     near = np.array([[0, 1, 2], [2, 1, 0], [3, 4, 5]])
-    d = permutation_index.InvertedFiles(near, 6).footrule(np.array([0, 1, 2]))
+    d = permutation_index.InvertedFiles.of(near).footrule(np.array([0, 1, 2]))
     assert d[0] < d[1] < d[2]
 
 
@@ -222,3 +223,74 @@ def test_filters_never_lose_a_link():
             if i != j and 100 * len(both) >= 85 * (len(a) + len(b) - len(both)):
                 one = lambda x: np.array([x])
                 assert ngram_join.passes(one(len(a)), one(len(b)), one(np.searchsorted(a, both[0])), one(np.searchsorted(b, both[0])), bins[i][None], bins[j][None], 85)[0]
+
+
+def test_written_transforms():
+    """The writer takes a palette or less green where they help, and what it writes reads back."""
+    rng = np.random.default_rng(3)
+    few = rng.choice(rng.choice(np.array([0x20202020, 0x2D2D2D2D, 0x3D2D3D2D, 0x20202D2D, 0x61206120]), 5, replace=False), 64 * 16).astype("<u4").tobytes()
+    grey = np.repeat(rng.integers(0, 13, 64 * 16).astype(np.uint8)[:, None], 4, 1)
+    grey[:, 3] = rng.integers(0, 13, 64 * 16)
+    grey = grey.tobytes()
+    text = " ".join(f"word{i * 37 % 101}" for i in range(400)).encode()
+    for payload, kinds in ((few, (webp.PALETTE,)), (grey, (webp.SUBTRACT_GREEN,)), (webp.payload_of(text), ()), (webp.payload_of(b""), ()), (b"a" * 640, ())):
+        pixels = np.frombuffer(payload, "<u4").astype(np.uint32).reshape(-1, 16)
+        assert webp.chosen_transforms(pixels) == kinds
+        media = webp.encode_payload(payload)
+        assert webp.decode_payload(media) == payload and len(media) <= len(webp.encode(pixels, copies=True)) + 2
+
+
+def test_public_file():
+    """A lossless file of one transparent pixel that browsers' feature tests have long used, not made by this writer."""
+    data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    assert webp.decode(data).shape == (1, 1)
+
+
+def test_hinge_objective():
+    """Ratios by counting, and the least objective, as projected gradient steps on the whole dual find it."""
+    rng = np.random.default_rng(17)
+    rows = [np.unique(rng.integers(0, 12, 5)) for _ in range(24)]
+    y = np.array([int((2 in r) ^ (i % 9 == 0)) for i, r in enumerate(rows)])
+    ratio = quality.log_count_ratios(rows, y, 12)
+    p = np.array([1 + sum(f in r for r, t in zip(rows, y, strict=True) if t) for f in range(12)])
+    q = np.array([1 + sum(f in r for r, t in zip(rows, y, strict=True) if not t) for f in range(12)])
+    assert np.allclose(ratio, np.log((p / p.sum()) / (q / q.sum())))
+    x = np.zeros((24, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = ratio[r] / np.sqrt(len(r)), 1.0
+    sign = np.where(y > 0, 1.0, -1.0)
+    cost = 24 / (2.0 * np.where(y > 0, y.sum(), 24 - y.sum()))
+    gram = (x * sign[:, None]) @ (x * sign[:, None]).T
+    alpha, step = np.zeros(24), 1 / np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, cost)
+    objective = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    found, bias = quality.fit_hinge(rows, y, ratio, epochs=400, tolerance=1e-7)
+    mine = np.append(np.divide(found, ratio, out=np.zeros(12), where=ratio != 0), bias)
+    assert objective(mine) <= objective((alpha * sign) @ x) * (1 + 1e-4) + 1e-6
+
+
+def test_packing_takes_the_cheapest_sequence_with_room():
+    rng = np.random.default_rng(23)
+    lengths = np.concatenate((rng.integers(0, 300, 60), [1024, 2100, 5]))
+    got = list(zip(*(c.tolist() for c in packing.assign(lengths, 256, 1.0, 1 / 256)), strict=True))
+    whole = [(d, at * 256, 256, 0) for d, n in enumerate(lengths.tolist()) for at in range(n // 256)]
+    rest = [n % 256 for n in lengths.tolist()]
+    left = sum(rest)
+    size = [256] * (left // 256) + [1 << b for b in range(8, -1, -1) if left % 256 >> b & 1]
+    room, price, want = size[:], [0.0] * len(size), []
+    for d in sorted(range(len(rest)), key=lambda d: (-rest[d], d)):
+        n, at = rest[d], lengths[d] // 256 * 256
+        while n:
+            fits = [k for k in range(len(room)) if room[k] >= n]
+            k = min(fits, key=lambda k: (price[k], k)) if fits else max(range(len(room)), key=lambda k: (room[k], -k))
+            take = min(n, room[k])
+            want.append((d, int(at), take, len(whole) + k, size[k] - room[k]))
+            room[k], price[k], n, at = room[k] - take, price[k] + take + take * take / 256, n - take, at + take
+    assert [(d, a, n, 0) for d, a, n, _, o in got[: len(whole)]] == whole and got[len(whole) :] == want and not any(room)
+
+
+def test_all_tied_terms_count():
+    lexicon = toxicity.Lexicon(["grumpa", "grumpb", "grumpc", "grumpd", "z" * 60], [], 1)
+    assert [t for t, _ in lexicon.match(b"grumpx")] == ["grumpa", "grumpb", "grumpc", "grumpd"]
+    assert lexicon.match(b"z" * 59 + b"q") == [("z" * 60, 1)] and lexicon.match(b"z" * 200) == []

@@ -282,7 +282,7 @@ def test_nearest_among_copies(spark):
     assert [r["vec_id"] for r in permutation_index.search(twice, F.col("vec_id") == 3, k=5).orderBy("rank").collect()] == [1, 1, 1, 2, 2]
 
 
-def test_mixing(docs, empty):
+def test_mixing(docs, empty, spark):
     got = mixing.mix(docs, max_passes=3.0).collect()
     seen = Counter(r["doc_id"] for r in got)
     assert set(seen) == {i for i, _ in corpus()} and max(seen.values()) <= 3
@@ -290,6 +290,41 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_meets_its_budgets(spark, monkeypatch):
+    """Realised tokens against budgets worked out here, for a limit on passes, an entropy and a budget; passes are whole permutations of blocks."""
+    monkeypatch.setattr(mixing, "MIN_BLOCK_TOKENS", 200)
+    rng = random.Random(31)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), "abc"[0 if i % 10 < 7 else 1 if i % 10 < 9 else 2]) for i in range(900)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s] += len(t.split())
+    share = {s: n / sum(tokens.values()) for s, n in tokens.items()}
+    weights = lambda a: {s: x**a / sum(y**a for y in share.values()) for s, x in share.items()}
+    passes = lambda a: {s: max(n / weights(a)[k] for k, n in tokens.items()) * weights(a)[s] / tokens[s] for s in tokens}
+    entropy = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+    least = lambda holds: next(a for a in (k / 20000 for k in range(20001)) if holds(a))
+    cases = [({"max_passes": 2.5}, passes(least(lambda a: max(passes(a).values()) <= 2.5)))]
+    cases += [({"target_entropy": 1.0}, passes(least(lambda a: entropy(a) <= 1.0)))]
+    a = least(lambda a: max(passes(a).values()) <= 2.0)
+    cases += [({"max_passes": 2.0, "budget": 6000}, {s: 6000 * weights(a)[s] / tokens[s] for s in tokens})]
+    for options, want in cases:
+        got = mixing.mix(table, **options).collect()
+        real, blocks = Counter(), defaultdict(set)
+        for r in got:
+            real[r["source"]] += r["mix_tokens"]
+            blocks[r["source"], r["mix_pass"]].add(r["mix_block"])
+        size = Counter()
+        for r in mixing.mix(table, max_passes=1.0).collect():
+            size[r["source"], r["mix_block"]] += r["mix_tokens"]
+        for s, n in tokens.items():
+            half = max(v for (k, _), v in size.items() if k == s) / 2
+            assert abs(real[s] - want[s] * n) <= half + 0.01 * n
+            assert all(blocks[s, p] == {b for k, b in size if k == s} for p in range(int(want[s] - 1e-6)))
+        places = [r["mix_order"] for r in got]
+        assert len(set(places)) > 0.9 * len(places)
+
+
 def test_classifiers(spark, empty):
     rng = random.Random(10)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
