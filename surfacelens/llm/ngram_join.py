@@ -42,7 +42,7 @@ NEAR, NEAREST = 64, 3
 #: Members of one leader that are verified in one task.
 LEADER_MEMBERS = 512
 #: Documents in one block of a group.
-GROUP_BLOCK = 512
+GROUP_BLOCK = 128
 _NONE = np.iinfo(np.int64).max
 
 
