@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests on one machine, a new local one.
+
+    On a cluster the setting is needed: other machines don't see a local folder.
+    """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(sc, "_surfacelens_dir", None) or tempfile.mkdtemp(prefix="spark-surfacelens-")
         sc._surfacelens_dir = base
     return base.rstrip("/")

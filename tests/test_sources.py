@@ -60,7 +60,9 @@ def test_snapshot_files(spark, tmp_path):
     findings = spark.createDataFrame([("NewThing", "k", "new"), ("x", "new-thing", "new"), ("NewThing", "q", "housekeeping")], "name string, key string, bucket string")
     out = enrich.enrich(findings, briefs).collect()
     assert [r["brief"] is not None for r in sorted(out, key=lambda r: r["key"])] == [True, True, False]
-    assert all(len(r["brief"]["summary"]) <= 223 and r["brief"]["summary"].endswith("...") for r in out if r["brief"])
+    assert all(r["brief"]["summary"] == ("word " * 100).strip() for r in out if r["brief"])
+    newest = enrich.newest_feature_per_name(briefs).first()
+    assert newest["milestone"] == 151 and newest["summary"] == ("word " * 44).strip() + "..."
 
 
 def test_versions(spark):
