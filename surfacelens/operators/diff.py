@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import stored
 from ..functions import rules
-from ..functions.columns import attr, attr_text, lookup, our_status, platform_value
+from ..functions.columns import attr, attr_text, lookup, our_status
 from .ranking import placed
 from .signals import severity_of, signals_of
 
@@ -18,8 +18,8 @@ def meaningful(kind: Column, attrs: Column) -> Column:
     """The attributes that a comparison reads: the kind's (all of an unknown kind's), without a platform state that is absent or 'compiled'."""
     table = F.create_map(*[x for k, names in rules.MEANINGFUL.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
     names = F.try_element_at(table, kind)
-    state = platform_value(attrs, "platform_state")
-    return F.map_filter(attrs, lambda k, v: (names.isNull() | F.array_contains(names, k)) & ((k != "platform_state") | ~state.isin("", "compiled")))
+    state = lambda v: F.coalesce(F.get_json_object(v, f"$.{rules.PLATFORM}"), F.lit(""))
+    return F.map_filter(attrs, lambda k, v: (names.isNull() | F.array_contains(names, k)) & ((k != "platform_state") | ~state(v).isin("", "compiled")))
 
 
 def meaningful_attrs(facts: DataFrame) -> DataFrame:
@@ -97,7 +97,10 @@ def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | N
     before, after = meaningful(F.col("kind"), F.col("o.attrs")), meaningful(F.col("kind"), F.col("n.attrs"))
     kind_of = F.when(F.col("o").isNull(), rules.ADDED).when(F.col("n").isNull(), rules.REMOVED).otherwise(rules.MODIFIED)
     deltas = F.when(kind_of == rules.MODIFIED, attr_deltas(before, after, F.col("o.path"), F.col("n.path"))).otherwise(F.array().cast(_DELTAS))
-    rows = join_pair(facts, pairs).withColumns({"change_type": kind_of, "deltas": deltas}).where((F.col("change_type") != rules.MODIFIED) | (F.size("deltas") > 0))
+    # Most facts stay as they are: what is equal entry by entry goes before anything is worked out for it.
+    equal = F.map_entries("o.attrs").eqNullSafe(F.map_entries("n.attrs")) & F.col("o.path").eqNullSafe(F.col("n.path"))
+    joined = join_pair(facts, pairs).where(F.col("o").isNull() | F.col("n").isNull() | ~equal)
+    rows = joined.withColumns({"change_type": kind_of, "deltas": deltas}).where((F.col("change_type") != rules.MODIFIED) | (F.size("deltas") > 0))
     rows = resolve_gates(rows, facts, pairs)
     paths = F.array_sort(F.array_distinct(F.filter(F.array_compact(F.array("o.path", "n.path")), lambda p: p != "")))
     flat = rows.select(

@@ -28,8 +28,8 @@ def _not_compiled(attrs: Column) -> Column:
 
 
 def _turn() -> list[Column]:
-    """The order of one identity's declarations: path, line, name, attributes as text; so no result depends on partitioning."""
-    return [F.col("path"), F.col("line"), F.col("name"), F.to_json("attrs")]
+    """The order of one identity's declarations: path, line, name, attributes entry by entry; so no result depends on partitioning."""
+    return [F.col("path"), F.col("line"), F.col("name"), F.map_entries("attrs")]
 
 
 def stamp_platform_dirs(facts: DataFrame) -> DataFrame:
