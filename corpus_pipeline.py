@@ -61,10 +61,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are sorted by range, so the written table's files hold them in that order and packing
     meets the sources interleaved. A null source is one of its own; repeated rows count each.
     """
-    mixed = mixing.mix(docs, "source", max_passes=2.0)
+    # Columns of the documents that are called like those of the mixture step aside meanwhile.
+    aside = {c: f"__own_{c}" for c in docs.columns if c.startswith("mix_")}
+    mixed = mixing.mix(docs.withColumnsRenamed(aside), "source", max_passes=2.0)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = mixed.repartitionByRange(parts, "mix_order").sortWithinPartitions("mix_order")
-    return ordered.select(*[f"`{c}`" for c in docs.columns])
+    return ordered.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
