@@ -105,7 +105,8 @@ def mix(docs: DataFrame, source: str = "source", target_entropy: float | None =
     turn = Window.partitionBy(name).orderBy(F.xxhash64(name, block_col, "whole", F.lit(seed)), block_col)
     upto = F.sum("n").over(turn.rowsBetween(Window.unboundedPreceding, 0))
     chosen = sums.withColumn("copies", F.col("whole") + F.when((F.col("rest") > 0) & (upto - F.col("n") / 2 <= F.col("rest")), 1).otherwise(0))
-    rows = keyed.join(sources, name).withColumn(block_col, block).join(chosen.select(name, block_col, "copies"), [name, block_col])
+    # At most MAX_BLOCKS rows a source: broadcast, so that no text is shuffled for it.
+    rows = keyed.join(sources, name).withColumn(block_col, block).join(F.broadcast(chosen.select(name, block_col, "copies")), [name, block_col])
     rows = rows.where("copies > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     place = F.pmod(F.xxhash64(name, block_col, "mix_pass", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     inside = F.pmod(F.xxhash64("doc_id", "mix_pass", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 60))
