@@ -140,6 +140,7 @@ class _Grams:
     key: np.ndarray  # 64 bits; of a word its number
     history_key: np.ndarray
     history_count: np.ndarray  # training count of each history, as far as it is known
+    rarest: np.ndarray  # training count of the rarest word in it
     total: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     p: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
@@ -187,7 +188,7 @@ class _Chunk:
         """Order one: words. The beginning of a text is the last of them; texts begin as often as they end."""
         count = np.append(self.count, self.count[0] if len(self.count) else 0)
         none = np.zeros(0, np.int64)
-        return _Grams(none, none, none, none, self.code, np.append(self.number, U64(0)), none, count, count, self.model.unigrams.probability(self.count))
+        return _Grams(none, none, none, none, self.code, np.append(self.number, U64(0)), none, count, count, count, self.model.unigrams.probability(self.count))
 
     def next(self, low: _Grams, n: int) -> _Grams:
         """Order n, from order n - 1."""
@@ -199,13 +200,17 @@ class _Chunk:
         of[some] = code
         history, word = gram // v, gram % v
         key = mix(low.key[history] * _ODD + self.number[word] + U64(n))
-        return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total)
+        return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total, np.minimum(low.rarest[history], self.count[word]))
 
     def fingerprints(self, g: _Grams) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """(n-grams by partition and fingerprint, runs of the partitions). Partitions are ranges of the keys' upper bits."""
-        high = (g.key >> U64(40)) * U64(self.model.buckets) >> U64(24)
-        order = np.argsort(high << U64(40) | g.key & LOW40)
-        return order, runs(high[order].astype(np.int64))
+        """(n-grams by partition and fingerprint, runs of the partitions). Partitions are ranges of the keys' upper bits.
+
+        What has a word that occurs once occurs once itself, and is left out.
+        """
+        some = np.flatnonzero(g.rarest >= CUTOFF)
+        high = (g.key[some] >> U64(40)) * U64(self.model.buckets) >> U64(24)
+        order = np.argsort(high << U64(40) | g.key[some] & LOW40)
+        return some[order], runs(high[order].astype(np.int64))
 
     def kept(self, g: _Grams, n: int) -> np.ndarray:
         """The n-grams whose counts are asked for: pairs of known words, longer ones that occur twice."""
@@ -345,7 +350,7 @@ def _twice_table(group: pa.Table) -> pa.Table:
     _, _, code = distinct(np.concatenate(keys))
     n = np.bincount(code, np.concatenate([b[1] for b in blobs]))
     parts = np.split(n[code] >= CUTOFF, np.cumsum([len(k) for k in keys])[:-1])
-    return _replies(group, [pack(np.packbits(p)) for p in parts], [0] * (K + 1) + [int((n == 1).sum())])
+    return _replies(group, [pack(np.packbits(p)) for p in parts], [0] * (K + 1) + [int((n == 1).sum()) + sum(int(b[2][0]) for b in blobs)])
 
 
 def _gram_table(group: pa.Table, n: int, unigrams: Unigrams) -> pa.Table:
@@ -442,8 +447,10 @@ def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BU
             if n < order:
                 longer = c.next(g, n + 1)
                 by, cuts = c.fingerprints(longer)
-                for at, a, b in cuts:
-                    yield model.buckets + at, pack(_steps(longer.key[by[a:b]] & LOW40), np.minimum(longer.own[by[a:b]], CUTOFF))
+                once = int(((longer.own == 1) & (longer.rarest < CUTOFF)).sum())
+                for at, a, b in cuts or [(0, 0, 0)]:
+                    yield model.buckets + at, pack(_steps(longer.key[by[a:b]] & LOW40), np.minimum(longer.own[by[a:b]], CUTOFF), np.array([once]))
+                    once = 0
 
         rows, more = stage(ask, _table_of(n, model), model.counts_at(n))
         told = told.unionByName(more)
