@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, mixing, ngram_join, packing, permutation_index, quality, substring, toxicity, wavelet, webp
-from .common import fold, table
+from . import katz, merkle, mixing, ngram_join, oracles, packing, permutation_index, prefix_trie, quality, substring, toxicity, url_filter, wavelet, webp
+from .common import fold, stored, table
 
 
 def tokenizer_path() -> str:
@@ -79,6 +79,40 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=85)
 
 
+#: Hosts and paths with what the contract says of them.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages' hosts and paths under five rules; what none of them fits is allowed."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules).drop("url")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of rebuilt conversations: each takes the first turns of its hundred's first one."""
+    own = stored(prefix_trie.turn_rows(table(spark, sf_dir, "conversations")), "places")
+    ids = own.where("place = 0").select("conv_id", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h"), (F.col("conv_id") - F.col("conv_id") % 100).alias("base"))
+    # A hundred's first conversation gives five turns at most to a hundred others at most.
+    first = own.where("place < 5 and conv_id % 100 = 0").select(F.col("conv_id").alias("base"), "place", "turn", "chars")
+    taken = ids.join(first, "base").where("place < h").select("conv_id", "place", "turn", "chars")
+    kept = own.where(F.col("place") >= F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6)
+    trie = prefix_trie.build(kept.unionByName(taken), ids.select("conv_id"))
+    out = trie.nodes.join(prefix_trie.end_digests(trie), "key", "left")
+    return out.select(*(F.col(c).cast("long").alias(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")), F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' proofs in a manifest of trees by source, and whether they hold after some texts were lower-cased."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    fields = ("doc_id", "source", "lang", "n_chars")
+    rows = docs.select("doc_id", "source", merkle.leaf_hash(*fields, "text").alias("leaf"), merkle.leaf_hash(*fields, tampered).alias("shown"))
+    proofs = merkle.prove(rows, "source", ["doc_id"], "leaf")
+    folded = merkle.fold(F.col("shown"), F.col("proof"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -90,5 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": op9_mixing,
     "op10_ngram_join": op10_ngram_join,
     "op8_token_output": op8_token_output,
+    "op11_url_rules": op11_url_rules,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_merkle": op13_merkle,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.SQL
