@@ -15,6 +15,8 @@ from . import rules
 
 _QUOTED = r'"(?:\\.|[^"\\])*(?:"|$)|\'(?:\\.|[^\'\\])*(?:\'|$)'
 _MARKS = re.compile(_QUOTED + r"|[()\[\]{}<>,;]", re.S)
+#: Words that name a build macro in brackets.
+_MACRO_WORDS = ("BUILDFLAG", "defined")
 _COMMENT = re.compile(_QUOTED + r"|//[^\n]*|/\*.*?(?:\*/|$)", re.S)
 
 
@@ -28,11 +30,6 @@ def mask_comments(text: str) -> str:
     return _COMMENT.sub(lambda m: m[0] if m[0][0] in "\"'" else re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def line_of(text: str, at: int) -> int:
-    """The line of an offset, from 1."""
-    return text.count("\n", 0, at) + 1
-
-
 def parts_at(text: str, mark: str = ",") -> list[tuple[int, str]]:
     """(offset, part) between marks outside brackets and quotes, parts trimmed.
 
@@ -63,19 +60,6 @@ def split_top(text: str, mark: str = ",") -> list[str]:
     return [p for _, p in parts_at(text, mark)]
 
 
-def closing(text: str, begin: int) -> int | None:
-    """The place of the bracket that closes the one at ``begin``; None if none does. Quoted brackets don't count."""
-    pair, depth = {"(": ")", "{": "}", "[": "]"}[text[begin]], 0
-    for m in _MARKS.finditer(text, begin):
-        if m[0] == text[begin]:
-            depth += 1
-        elif m[0] == pair:
-            depth -= 1
-            if not depth:
-                return m.start()
-    return None
-
-
 def arity_range(signature: str) -> tuple[int, int | None]:
     """(required arguments, most arguments or None) of a signature; commas inside (), [] and <> of any depth part nothing."""
     begin = signature.find("(")
@@ -153,7 +137,7 @@ def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
             return None
         names = " || ".join(f"BUILDFLAG({rules.ATTRIBUTE_NAMES[n]})" if (n := v.strip()) in rules.ATTRIBUTE_NAMES else n for v in m[2].split("|"))
         text = f"!({names})" if m[1] else names
-    tokens = re.findall(r"&&|\|\||!|(?:BUILDFLAG|defined)\s*\(\s*\w+\s*\)|[()]|\w+|\S", text)
+    tokens = re.findall(r"\w+|&&|\|\||\S", text)
     at = 0
 
     def peek() -> str:
@@ -181,8 +165,11 @@ def evaluate_guard(text: str, dialect: str = "cpp") -> bool | None:
             if peek() == ")":
                 take()
             return value
-        if m := re.match(r"(?:BUILDFLAG|defined)\s*\(\s*(\w+)", token):
-            return True if m[1] in rules.OUR_MACROS else False if m[1] in rules.OTHER_MACROS else None
+        if token in _MACRO_WORDS and peek() == "(":
+            name = tokens[at + 1] if tokens[at + 2 : at + 3] == [")"] else ""
+            for _ in range(3 if name else 0):
+                take()
+            return True if name in rules.OUR_MACROS else False if name in rules.OTHER_MACROS else None
         return {"1": True, "0": False, "true": True, "false": False}.get(token)
 
     def either() -> bool | None:

@@ -38,9 +38,9 @@ ADDED_ROUTES: dict[str, tuple[str, Column]] = {}
 CROSS_PLATFORM_EXTRACTOR = "constants"
 
 
-def extractors_of(path: Column) -> Column:
-    """names of the extractors that read the file of the column ``path``."""
-    some = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, (_, rule) in (_routes() | ADDED_ROUTES).items()]))
+def extractors_of(path: Column, added: dict[str, tuple[str, Column]] | None = None) -> Column:
+    """names of the extractors that read the file of the column ``path``; ``added`` are routes besides the library's own (else those registered)."""
+    some = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, (_, rule) in (_routes() | (ADDED_ROUTES if added is None else added)).items()]))
     elsewhere = unix(path).rlike("(^|/)" + any_of(rules.CONSTANTS_ONLY) + "(/|$)")
     return F.when(elsewhere, F.filter(some, lambda x: x == CROSS_PLATFORM_EXTRACTOR)).otherwise(some)
 
@@ -56,9 +56,9 @@ def in_scope(paths: DataFrame) -> DataFrame:
     return paths.where(skip_reason(F.col("path")) == "")
 
 
-def route_files(paths: DataFrame) -> DataFrame:
+def route_files(paths: DataFrame, added: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     """a row for each extractor that reads a file."""
-    return paths.withColumn("extractor", F.explode(extractors_of(F.col("path"))))
+    return paths.withColumn("extractor", F.explode(extractors_of(F.col("path"), added)))
 
 
 def could_declare(paths: DataFrame, all_platforms: bool = False) -> DataFrame:
@@ -67,16 +67,54 @@ def could_declare(paths: DataFrame, all_platforms: bool = False) -> DataFrame:
     return rows if all_platforms else rows.where(~other_platform_dir(F.col("path")))
 
 
-def reaches(paths: DataFrame, scope: DataFrame, how: str = "left_semi") -> DataFrame:
-    """paths that a scope row of their snapshot names or lies over; with 'left_anti' those none does.
+def _folder(path: Column) -> Column:
+    """A tree's path with one slash at its end; the whole tree's is empty."""
+    bare = F.regexp_replace(path, "/+$", "")
+    return F.when(bare == "", "").otherwise(F.concat(bare, F.lit("/")))
+
+
+def _levels(scope: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(a row for each snapshot and tree with its suffixes, null for all; the depths at which there are trees)."""
+    trees = scope.where("is_tree").select("snapshot_id", _folder(F.col("path")).alias("tree"), "suffixes")
+    rows = trees.groupBy("snapshot_id", "tree").agg(F.max(F.col("suffixes").isNull()).alias("all"), F.flatten(F.collect_set("suffixes")).alias("some"))
+    rows = rows.select("snapshot_id", "tree", (F.length("tree") - F.length(F.replace("tree", F.lit("/"), F.lit("")))).alias("depth"), F.struct(F.when(~F.col("all"), F.col("some")).alias("suffixes")).alias("hit"))
+    return rows, sorted(r[0] for r in rows.select("depth").distinct().collect())  # as many as levels of folders
+
 
-    The scope is a short list (hundreds of rows) and is broadcast; paths never move.
+def marked(paths: DataFrame, scope: DataFrame, name: str) -> DataFrame:
+    """``paths`` with whether a scope row of their snapshot names them or lies over them (all that do are tried).
+
+    A path is looked up by each of its folders at the depths at which the scope has trees: as many
+    hash lookups as levels, whatever the scope's length. The scope has a row a target and is
+    broadcast; paths don't move and no row is repeated.
     """
-    p, s = paths.alias("p"), F.broadcast(scope).alias("s")
-    exact = ~F.col("s.is_tree") & (F.col("p.path") == F.col("s.path"))
-    suffix = F.col("s.suffixes").isNull() | F.exists("s.suffixes", lambda x: F.endswith(F.col("p.path"), x))
-    under = F.col("s.is_tree") & F.startswith(F.col("p.path"), F.col("s.path")) & suffix
-    return p.join(s, (F.col("p.snapshot_id") == F.col("s.snapshot_id")) & (exact | under), how)
+    trees, depths = _levels(scope)
+    columns, reached = [F.col(f"`{c}`") for c in paths.columns], F.lit(False)
+    files = scope.where("not is_tree").select(F.col("snapshot_id").alias("__s"), F.col("path").alias("__p")).distinct().withColumn("__f", F.lit(True))
+    out = paths.join(F.broadcast(files), (F.col("snapshot_id") == F.col("__s")) & (F.col("path") == F.col("__p")), "left").drop("__s", "__p")
+    for d in depths:
+        over = F.concat(F.substring_index("path", "/", d), F.lit("/")) if d else F.lit("")
+        some = trees.where(F.col("depth") == d).select(F.col("snapshot_id").alias("__s"), F.col("tree").alias("__p"), F.col("hit").alias(f"__h{d}"))
+        out = out.join(F.broadcast(some), (F.col("snapshot_id") == F.col("__s")) & (over == F.col("__p")), "left").drop("__s", "__p")
+        hit = F.col(f"__h{d}")
+        fits = hit["suffixes"].isNull() | F.exists(hit["suffixes"], lambda x: F.endswith(F.col("path"), x))
+        reached = reached | (hit.isNotNull() & F.startswith(F.col("path"), over) & fits)
+    return out.select(*columns, (F.coalesce("__f", F.lit(False)) | F.coalesce(reached, F.lit(False))).alias(name))
+
+
+def reaches(paths: DataFrame, scope: DataFrame, how: str = "left_semi") -> DataFrame:
+    """paths that a scope row of their snapshot names or lies over; with 'left_anti' those none does. See ``marked``."""
+    hit = F.col("__reached")
+    return marked(paths, scope, "__reached").where(~hit if how == "left_anti" else hit).drop("__reached")
+
+
+def absent_targets(scope: DataFrame, paths: DataFrame) -> DataFrame:
+    """Scope rows that no path is, or lies below."""
+    place = F.when(F.col("is_tree"), _folder(F.col("path"))).otherwise(F.col("path"))
+    folders = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(folders) - 1), lambda k: F.when(k == 0, "").otherwise(F.concat(F.array_join(F.slice(folders, F.lit(1), k), "/"), F.lit("/"))))
+    there = paths.select("snapshot_id", F.explode(F.concat(above, F.array("path"))).alias("__place")).distinct()
+    return scope.withColumn("__place", place).join(there, ["snapshot_id", "__place"], "left_anti").drop("__place")
 
 
 def partition_scope(scope: DataFrame, partitions: DataFrame, names: list[str]) -> DataFrame:
@@ -123,16 +161,8 @@ def scope_violations(facts: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def coverage_join(listing: DataFrame, scope: DataFrame) -> DataFrame:
-    """Candidates of a listing with whether the scope reads them.
-
-    Every snapshot's scope is one row with its list, which candidates look through; the scopes
-    (hundreds of rows a snapshot) are broadcast, and candidates are neither moved nor joined twice.
-    """
-    some = could_declare(listing)
-    rows = scope.groupBy("snapshot_id").agg(F.collect_list(F.struct("path", "is_tree", "suffixes")).alias("__scope"))
-    joined = some.join(F.broadcast(rows), "snapshot_id", "left")
-    fits = lambda x: F.when(x["is_tree"], F.startswith(F.col("path"), x["path"]) & (x["suffixes"].isNull() | F.exists(x["suffixes"], lambda e: F.endswith(F.col("path"), e)))).otherwise(F.col("path") == x["path"])
-    return joined.withColumn("read", F.coalesce(F.exists("__scope", fits), F.lit(False))).drop("__scope")
+    """Candidates of a listing with whether the scope reads them. See ``marked``."""
+    return marked(could_declare(listing), scope, "read")
 
 
 def coverage(rows: DataFrame) -> DataFrame:

@@ -54,15 +54,27 @@ def locations(old: str, new: str) -> Column:
 
 
 def join_pair(facts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The full outer join of both sides of every pair on (pair, kind, key): o and n are structs.
+    """Both sides of every pair by (pair, kind, key), with o and n as structs; null where a side lacks the identity.
 
-    ``facts`` has one row per (snapshot, kind, key); see ``operators.facts.dedupe_facts``. The
-    pair list is small and broadcast.
+    ``facts`` has one row per (snapshot, kind, key); see ``operators.facts.dedupe_facts``. All
+    versions of an identity are brought together once, whatever the number of pairs they are in:
+    one shuffle of the facts by (kind, key), and none where they are bucketed by it (see
+    ``sources.store``). Pairs are then read off these versions within their row. The pair
+    list is short and read by the driver.
     """
+    some = [tuple(r) for r in pairs.select("pair_id", "from_id", "to_id").distinct().collect()]
+    if not some:
+        side = "struct<name:string,path:string,line:int,attrs:map<string,string>>"
+        return facts.sparkSession.createDataFrame([], f"pair_id string, kind string, key string, o {side}, n {side}")
+    number = {v: f"__v{i}" for i, v in enumerate(sorted({v for _, *sides in some for v in sides}))}
     fields = F.struct("name", "path", "line", "attrs")
-    old = facts.join(F.broadcast(pairs), facts.snapshot_id == pairs.from_id).select("pair_id", "kind", "key", fields.alias("o"))
-    new = facts.join(F.broadcast(pairs), facts.snapshot_id == pairs.to_id).select("pair_id", "kind", "key", fields.alias("n"))
-    return old.join(new, ["pair_id", "kind", "key"], "full_outer")
+    version = lambda v: F.first(F.when(F.col("snapshot_id") == v, fields), ignorenulls=True)
+    # The number is sorted by first: it settles nearly all comparisons of the identity.
+    rows = facts.where(F.col("snapshot_id").isin(*number)).withColumn("__h", F.xxhash64("kind", "key"))
+    rows = rows.groupBy("__h", "kind", "key").agg(*[version(v).alias(c) for v, c in number.items()])
+    sides = F.array(*[F.struct(F.lit(p).alias("pair_id"), F.col(number[a]).alias("o"), F.col(number[b]).alias("n")) for p, a, b in some])
+    out = rows.select("kind", "key", F.explode(F.filter(sides, lambda x: x["o"].isNotNull() | x["n"].isNotNull())).alias("p"))
+    return out.select("p.pair_id", "kind", "key", "p.o", "p.n")
 
 
 def resolve_gates(rows: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -100,6 +112,8 @@ def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | N
     # Most facts stay as they are: what is equal entry by entry goes before anything is worked out for it.
     equal = F.map_entries("o.attrs").eqNullSafe(F.map_entries("n.attrs")) & F.col("o.path").eqNullSafe(F.col("n.path"))
     joined = join_pair(facts, pairs).where(F.col("o").isNull() | F.col("n").isNull() | ~equal)
+    # Gates are looked up for some of these rows; written once, the join isn't repeated for the others.
+    joined = stored(joined, "joined")
     rows = joined.withColumns({"change_type": kind_of, "deltas": deltas}).where((F.col("change_type") != rules.MODIFIED) | (F.size("deltas") > 0))
     rows = resolve_gates(rows, facts, pairs)
     paths = F.array_sort(F.array_distinct(F.filter(F.array_compact(F.array("o.path", "n.path")), lambda p: p != "")))
@@ -111,59 +125,64 @@ def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | N
     return flat.withColumn("severity", severity_of())
 
 
-def _pair_up(changes: DataFrame, anchor: Column, keep: Column) -> tuple[DataFrame, DataFrame]:
-    """(removed and added rows that are alone with one another under their anchor, all other rows).
+def _anchor(renames: bool, repoints: bool) -> Column:
+    """What ties a removed to an added row: the identifier of a preference, switch or flag, the place of a control; null for other rows.
 
-    Anchors are counted on their keys alone, so that a common one never meets itself in a join;
-    the wide rows are fetched last, and only those of pairs.
+    A kind has one of the two, so that both are paired in one pass.
     """
-    one_sided = changes.where(F.col("change_type").isin(rules.ADDED, rules.REMOVED)).withColumn("__anchor", anchor).where(F.col("__anchor").isNotNull())
+    attrs = F.when(F.col("change_type") == rules.ADDED, F.col("after")).otherwise(F.col("before"))
+    one_sided = F.col("change_type").isin(rules.ADDED, rules.REMOVED)
+    var, ident = attr_text(attrs, "var"), F.when(attr_text(attrs, "element_id") != "", attr_text(attrs, "element_id")).otherwise(attr_text(attrs, "label"))
+    place = F.to_json(F.struct(attr_text(attrs, "surface").alias("s"), attr_text(attrs, "page").alias("p"), ident.alias("i")))
+    named = F.lit(renames) & F.col("kind").isin(*rules.RENAMES) & (var != "")
+    return F.when(one_sided & named, var).when(one_sided & F.lit(repoints) & (F.col("kind") == rules.CONTROL) & (ident != ""), place)
+
+
+def detect_moves(changes: DataFrame, renames: bool = True, repoints: bool = True) -> DataFrame:
+    """A removed and an added row that are alone with one another under their anchor become one modified row.
+
+    Renames: a kind and ``var``, the name ``old -> new``, the delta ``value``. Repoints: a control's
+    surface, page and element id or label, where the preferences differ. Anchors are counted
+    on their keys alone, so that a common one never meets itself in a join; wide rows are fetched last, and only those of
+    pairs. Rows without an anchor pass by all joins.
+    """
+    marked = changes.withColumn("__anchor", _anchor(renames, repoints))
+    sided = marked.where(F.col("__anchor").isNotNull())
     added = F.col("change_type") == rules.ADDED
     alone = (
-        one_sided.select("pair_id", "kind", "__anchor", "change_type", "key")
+        sided.select("pair_id", "kind", "__anchor", "change_type", "key")
         .groupBy("pair_id", "kind", "__anchor")
         .agg(F.count_if(added).alias("n_added"), F.count_if(~added).alias("n_removed"), F.min(F.when(added, F.col("key"))).alias("ak"), F.min(F.when(~added, F.col("key"))).alias("rk"))
         .where("n_added = 1 and n_removed = 1")
     )
     wide = F.struct("key", "name", "before", "after", "paths", "locations")
-    side = lambda t, k, c: one_sided.where(F.col("change_type") == t).select("pair_id", "kind", F.col("key").alias(k), wide.alias(c))
+    side = lambda t, k, c: sided.where(F.col("change_type") == t).select("pair_id", "kind", F.col("key").alias(k), wide.alias(c))
     pairs = alone.join(side(rules.REMOVED, "rk", "r"), ["pair_id", "kind", "rk"]).join(side(rules.ADDED, "ak", "a"), ["pair_id", "kind", "ak"])
-    pairs = stored(pairs.select("pair_id", "kind", "r", "a").where(keep), "pairs")
-    used = pairs.select("pair_id", "kind", F.explode(F.array("r.key", "a.key")).alias("key"))
-    rest = changes.join(used.distinct(), ["pair_id", "kind", "key"], "left_anti")
-    return pairs, rest
-
-
-def _merged(pairs: DataFrame, name: Column, deltas: Column, signals: Column, columns: list[str]) -> DataFrame:
-    out = pairs.select(
-        "pair_id", F.lit(rules.MODIFIED).alias("change_type"), "kind", F.col("r.key").alias("key"), name.alias("name"), F.col("r.before").alias("before"),
-        F.col("a.after").alias("after"), deltas.alias("deltas"), F.array_sort(F.array_union("r.paths", "a.paths")).alias("paths"),
-        F.array_distinct(F.concat("r.locations", "a.locations")).alias("locations"), signals.alias("signals"),
-    )
-    return out.withColumn("severity", severity_of()).select(*columns)
+    old, new, control = F.col("r.before"), F.col("a.after"), F.col("kind") == rules.CONTROL
+    pairs = stored(pairs.select("pair_id", "kind", "r", "a").where(~control | (attr_text(old, "pref") != attr_text(new, "pref"))), "pairs")
+    used = pairs.select("pair_id", "kind", F.explode(F.array("r.key", "a.key")).alias("key")).distinct()
+    rest = marked.where(F.col("__anchor").isNull()).unionByName(sided.join(used, ["pair_id", "kind", "key"], "left_anti")).drop("__anchor")
+    moved = lambda a: F.when((F.lit(a) == "pref") | ~attr(old, a).eqNullSafe(attr(new, a)), F.struct(F.lit(a).alias("attr"), attr(old, a).alias("old"), attr(new, a).alias("new")))
+    value = F.array(F.struct(F.lit("value").alias("attr"), F.col("r.key").alias("old"), F.col("a.key").alias("new"))).cast(_DELTAS)
+    retyped = F.when(~attr(old, "control").eqNullSafe(attr(new, "control")), F.lit("ui_control_type_changed"))
+    merged = pairs.select(
+        "pair_id", F.lit(rules.MODIFIED).alias("change_type"), "kind", F.col("r.key").alias("key"),
+        F.when(control, F.concat_ws(" -> ", "r.name", "a.name")).otherwise(F.concat_ws(" -> ", "r.key", "a.key")).alias("name"), old.alias("before"), new.alias("after"),
+        F.when(control, F.array_compact(F.array(moved("control"), moved("label"), moved("pref"))).cast(_DELTAS)).otherwise(value).alias("deltas"),
+        F.array_sort(F.array_union("r.paths", "a.paths")).alias("paths"), F.array_distinct(F.concat("r.locations", "a.locations")).alias("locations"),
+        F.when(control, F.array_compact(F.array(F.lit("ui_control_repointed"), retyped))).otherwise(F.array(lookup(rules.RENAMES, F.col("kind")))).alias("signals"),
+    ).withColumn("severity", severity_of())
+    return rest.unionByName(merged.select(*changes.columns))
 
 
 def detect_renames(changes: DataFrame) -> DataFrame:
-    """One removed and one added row of a kind with the same ``var`` become one modified row."""
-    var = F.coalesce(attr_text("before", "var"), F.lit(""))
-    var = F.when(F.col("change_type") == rules.ADDED, attr_text("after", "var")).otherwise(var)
-    anchor = F.when(F.col("kind").isin(*rules.RENAMES) & (var != ""), var)
-    pairs, rest = _pair_up(changes, anchor, F.lit(True))
-    delta = F.array(F.struct(F.lit("value").alias("attr"), F.col("r.key").alias("old"), F.col("a.key").alias("new"))).cast(_DELTAS)
-    return rest.unionByName(_merged(pairs, F.concat_ws(" -> ", "r.key", "a.key"), delta, F.array(lookup(rules.RENAMES, F.col("kind"))), changes.columns))
+    """One removed and one added row of a kind with the same ``var`` become one modified row. See ``detect_moves``."""
+    return detect_moves(changes, repoints=False)
 
 
 def detect_repoints(changes: DataFrame) -> DataFrame:
-    """A removed and an added control on one anchor that write different preferences become one modified row."""
-    attrs = F.when(F.col("change_type") == rules.ADDED, F.col("after")).otherwise(F.col("before"))
-    ident = F.when(attr_text(attrs, "element_id") != "", attr_text(attrs, "element_id")).otherwise(attr_text(attrs, "label"))
-    anchor = F.when((F.col("kind") == "webui_control") & (ident != ""), F.to_json(F.struct(attr_text(attrs, "surface").alias("s"), attr_text(attrs, "page").alias("p"), ident.alias("i"))))
-    old, new = F.col("r.before"), F.col("a.after")
-    pairs, rest = _pair_up(changes, anchor, attr_text(old, "pref") != attr_text(new, "pref"))
-    delta = lambda a: F.when((F.lit(a) == "pref") | ~attr(old, a).eqNullSafe(attr(new, a)), F.struct(F.lit(a).alias("attr"), attr(old, a).alias("old"), attr(new, a).alias("new")))
-    deltas = F.array_compact(F.array(delta("control"), delta("label"), delta("pref"))).cast(_DELTAS)
-    signals = F.array_compact(F.array(F.lit("ui_control_repointed"), F.when(~attr(old, "control").eqNullSafe(attr(new, "control")), F.lit("ui_control_type_changed"))))
-    return rest.unionByName(_merged(pairs, F.concat_ws(" -> ", "r.name", "a.name"), deltas, signals, changes.columns))
+    """A removed and an added control on one anchor that write different preferences become one modified row. See ``detect_moves``."""
+    return detect_moves(changes, renames=False)
 
 
 def comparable(headers: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,7 +212,7 @@ def compare(facts: DataFrame, headers: DataFrame | None, pairs: DataFrame, targe
     some = pairs.join(good, "pair_id", "left_semi")
     # Pairing reads the changes several times; written once, the join isn't repeated.
     changes = stored(diff_snapshots(facts, some, target_milestone), "changes")
-    return detect_repoints(detect_renames(changes))
+    return detect_moves(changes)
 
 
 def rank_changes(changes: DataFrame) -> DataFrame:

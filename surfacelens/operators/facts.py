@@ -66,15 +66,18 @@ def _overloads(facts: DataFrame) -> DataFrame:
 def dedupe_facts(facts: DataFrame) -> DataFrame:
     """The first declaration of each identity, with the platform stamp of all and the overload attributes.
 
-    Rows are shuffled once by identity; one sorted pass picks the first declaration and sees
-    whether all lie elsewhere. Overload sets are gathered of web members alone, from a few narrow
-    columns, and joined to the result, which is partitioned by the same key already.
+    One aggregation picks the first declaration and sees whether all lie elsewhere. It runs on
+    every partition before the one shuffle by identity, so an identity that much of the table
+    declares sends a row a partition. Rows are sorted by a number made of the identity first:
+    comparing numbers settles nearly all comparisons. Overload sets are gathered of web members alone,
+    from a few narrow columns.
     """
-    by = Window.partitionBy(*KEY)
-    first = facts.select(*KEY, "name", "path", "line", "attrs", other_platform_dir(F.col("path")).alias("__o")).withColumns({"__n": F.row_number().over(by.orderBy(*_turn())), "__e": F.bool_and("__o").over(by)}).where("__n = 1")
-    stamped = F.when(F.coalesce("__e", F.lit(False)), _not_compiled(F.col("attrs"))).otherwise(F.col("attrs"))
-    rows = first.select(*KEY, "name", "path", "line", stamped.alias("attrs"))
-    out = rows.join(_overloads(facts), list(KEY), "left")
+    number = F.xxhash64(*KEY).alias("__h")
+    rows = facts.select(number, *KEY, "name", "path", "line", "attrs", other_platform_dir(F.col("path")).alias("__o"))
+    first = rows.groupBy("__h", *KEY).agg(F.min_by(F.struct("name", "path", "line", "attrs"), F.struct(*_turn())).alias("f"), F.bool_and("__o").alias("__e"))
+    stamped = F.when(F.coalesce("__e", F.lit(False)), _not_compiled(F.col("f.attrs"))).otherwise(F.col("f.attrs"))
+    # Joined by what the rows are partitioned and sorted by already.
+    out = first.select("__h", *KEY, "f.name", "f.path", "f.line", stamped.alias("attrs")).join(_overloads(facts).select(number, *KEY, "added"), ["__h", *KEY], "left")
     fresh = F.map_filter("attrs", lambda k, _: ~k.isin(*_OVERLOAD_ATTRS))
     return out.select(*KEY, "name", "path", "line", F.when(F.col("added").isNull(), F.col("attrs")).otherwise(F.map_concat(fresh, "added")).alias("attrs"))
 

@@ -23,44 +23,76 @@ def change_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("pair_id", "kind").agg(*_directions())
 
 
+_WHOLE = ("owner", "bucket", "group", "lead", "outside", "story")
+
+
+def condensed(findings: DataFrame) -> DataFrame:
+    """Findings counted by all that A7 to A9 and A18 to A20 tell apart, in one scan and one aggregation.
+
+    Two grouping sets: owner, bucket, group, leading signal, outside and story (``by_screen`` is
+    false), some thousand rows a pair at most; and the screen. Each of those tables sums up these
+    rows. What is condensed already stays as it is, so that a stored result serves all of them.
+    """
+    if "by_screen" in findings.columns:
+        return findings
+    rows = findings.select("pair_id", *_WHOLE[:-1], story_of().alias("story"), screen_of().alias("screen"), "change_type", "severity", "score")
+    by = lambda *names: [F.col("pair_id"), *[F.col(f"`{n}`") for n in names]]
+    some = rows.groupingSets([by(*_WHOLE), by("screen")], *by(*_WHOLE, "screen"))
+    return some.agg((F.grouping("screen") == 0).alias("by_screen"), F.count("*").alias("n"), *_directions(), F.max("severity").alias("severity"), F.max("score").alias("score"))
+
+
+def _whole(findings: DataFrame) -> DataFrame:
+    return condensed(findings).where("not by_screen")
+
+
+def _number(when: Column | None = None) -> Column:
+    """How many findings the condensed rows stand for, of those with a property."""
+    return F.sum(F.col("n") if when is None else F.when(when, F.col("n")).otherwise(0))
+
+
+def _sums() -> list[Column]:
+    return [F.sum("n").alias("n"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in _TYPES]]
+
+
 def finding_summary(findings: DataFrame) -> DataFrame:
     """Counts by bucket, owner, group and leading signal, in all, and outside our build: (pair_id, what, value, n).
 
-    Buckets and owners without findings come with 0. Every finding is spread over what it counts
-    for, so one partial aggregation gives all counts. A pair without findings has no rows.
+    Buckets and owners without findings come with 0. A pair without findings has no rows.
     """
     one = lambda what, value, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(what).alias("what"), value.alias("value")))
     counted = [one("bucket", F.col("bucket")), one("owner", F.col("owner")), one("group", F.col("group"), F.col("group") != ""), one("signal", F.col("lead"), F.col("lead") != ""), one("total", F.lit("")), one("not_in_build", F.lit(""), F.col("outside"))]
-    rows = findings.select("pair_id", F.explode(F.array_compact(F.array(*counted))).alias("s"), F.lit(1).alias("n"))
+    rows = _whole(findings).select("pair_id", F.explode(F.array_compact(F.array(*counted))).alias("s"), "n").groupBy("pair_id", "s").agg(F.sum("n").alias("n"))
     slots = [("bucket", b) for b in rules.BUCKETS] + [("owner", o) for o in rules.OWNERS] + [("not_in_build", "")]
-    zero = F.array(*[F.struct(F.lit(w).alias("what"), F.lit(v).alias("value")) for w, v in slots])
-    none = findings.select("pair_id").distinct().select("pair_id", F.explode(zero).alias("s"), F.lit(0).alias("n"))
-    return rows.unionByName(none).groupBy("pair_id", "s.what", "s.value").agg(F.sum("n").alias("n"))
+    zero = F.array(*[F.struct(F.struct(F.lit(w).alias("what"), F.lit(v).alias("value")).alias("s"), F.lit(0).cast("long").alias("n")) for w, v in slots])
+    every = rows.groupBy("pair_id").agg(F.collect_list(F.struct("s", "n")).alias("got"))  # some dozens a pair
+    missing = F.filter(zero, lambda z: ~F.exists("got", lambda g: g["s"] == z["s"]))
+    return every.select("pair_id", F.explode(F.concat("got", missing)).alias("r")).select("pair_id", "r.s.what", "r.s.value", "r.n")
 
 
 def owner_bucket_matrix(findings: DataFrame) -> DataFrame:
     """Findings of each owner by bucket, and in all; owners without any are left out."""
-    return findings.groupBy("pair_id", "owner").agg(*[F.count_if(F.col("bucket") == b).alias(b) for b in rules.BUCKETS], F.count("*").alias("total"))
+    return _whole(findings).groupBy("pair_id", "owner").agg(*[_number(F.col("bucket") == b).alias(b) for b in rules.BUCKETS], _number().alias("total"))
 
 
 def measured_figures(findings: DataFrame) -> DataFrame:
     """Breaking findings by owner, and findings without a signal."""
-    return findings.groupBy("pair_id", "owner").agg(F.count_if(F.col("bucket") == rules.BREAKING).alias("breaking"), F.count_if(F.col("lead") == "").alias("no_signal"))
+    return _whole(findings).groupBy("pair_id", "owner").agg(_number(F.col("bucket") == rules.BREAKING).alias("breaking"), _number(F.col("lead") == "").alias("no_signal"))
 
 
 def stories(findings: DataFrame) -> DataFrame:
     """Findings by group and story, with counts by direction and the highest severity and score."""
-    return findings.withColumn("story", story_of()).groupBy("pair_id", "group", "story").agg(F.count("*").alias("n"), *_directions(), F.max("severity").alias("severity"), F.max("score").alias("score"))
+    return _whole(findings).groupBy("pair_id", "group", "story").agg(*_sums(), F.max("severity").alias("severity"), F.max("score").alias("score"))
 
 
 def screens(findings: DataFrame) -> DataFrame:
     """UI findings by screen."""
-    return findings.withColumn("screen", screen_of()).where("screen is not null").groupBy("pair_id", "screen").agg(F.count("*").alias("n"), *_directions(), F.max("score").alias("score"))
+    rows = condensed(findings).where("by_screen and screen is not null")
+    return rows.select("pair_id", "screen", "n", *[f"n_{t}" for t in _TYPES], "score")
 
 
 def screen_totals(findings: DataFrame) -> DataFrame:
     """How many screens changed, and by how much."""
-    return screens(findings).groupBy("pair_id").agg(F.count("*").alias("n_screens"), *[F.sum(f"n_{t}").alias(f"n_{t}") for t in _TYPES])
+    return screens(findings).groupBy("pair_id").agg(F.count("*").alias("n_screens"), *_sums()[1:])
 
 
 def top_n_per_group(findings: DataFrame, group: str, n: int, where: Column | None = None) -> DataFrame:

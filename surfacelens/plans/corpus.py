@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..common import stored, work_path
 from ..functions import columns
 from ..functions.parsing import arity_range, normalize_params, normalize_signature, parse_ext_attrs, resolve_guards, text_function
+from ..operators import diff, scoring
 from ..operators import facts as fact_operators
-from ..sources import extractors, fixtures, snapshots
+from ..sources import extractors, fixtures, snapshots, store
 
 _IDL = "third_party/blink/renderer/m/i@n.idl"
 _RES = "chrome/browser/resources/s@n"
@@ -85,14 +86,23 @@ FILES: list[tuple[str, str, str, list[tuple]]] = [
      [("webui_gate", "h@n_ui/show@n", "show@n", 2, {"data_key": "show@n", "handler": "h@n_ui", "value_type": "boolean", "expression": "base::FeatureList::IsEnabled(features::kA@n) && (x(1, 2) || blink::features::kB)", "features": ["kA@n", "kB"], "enabled_checks": ["kA@n"]}),
       ("webui_gate", "h@n_ui/size", "size", 4, {"data_key": "size", "handler": "h@n_ui", "value_type": "integer", "expression": "@s", "features": [], "enabled_checks": []})]),
 ]
-#: Files that can't be parsed, for parts divisible by 50, and test files, which are not read.
-_BROKEN = "SELECT concat('chrome/browser/bad', p_partkey, '/flag-metadata.json') AS path, '[ { ' AS text FROM {part} WHERE p_partkey % 50 = 0 UNION ALL SELECT concat('chrome/test/t', p_partkey, '_features.cc'), 'BASE_FEATURE(kT, \"T\", base::FEATURE_ENABLED_BY_DEFAULT);' FROM {part}"
+#: Files that can't be parsed, test files, which are out of scope, empty files, and files that could not be read.
+_BROKEN = (
+    "SELECT p_partkey, concat('chrome/browser/bad', p_partkey, '/flag-metadata.json') AS path, '[ { ' AS text FROM {part} WHERE p_partkey % 50 = 0"
+    " UNION ALL SELECT p_partkey, concat('chrome/test/t', p_partkey, '_features.cc'), 'BASE_FEATURE(kT, \"T\", base::FEATURE_ENABLED_BY_DEFAULT);' FROM {part}"
+    " UNION ALL SELECT p_partkey, concat('chrome/browser/empty', p_partkey, '_features.cc'), '' FROM {part} WHERE p_partkey % 40 = 0"
+    " UNION ALL SELECT p_partkey, concat('chrome/browser/unread', p_partkey, '_features.cc'), CAST(NULL AS STRING) FROM {part} WHERE p_partkey % 40 = 1"
+)
+
 
+#: (snapshot, condition on the part, its size) of two versions of the corpus.
+VERSIONS = (("v1", "p_partkey % 11 <> 0", "p_size"), ("v2", "p_partkey % 13 <> 0", "p_size + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END"))
 
-def filled(text: str) -> str:
+
+def filled(text: str, size: str = "p_size") -> str:
     """SQL for a template. '@(3)' is '@3', '@@' an at sign."""
     parts = re.split(r"(@n|@s|@\(|@@)", text)
-    cells = {"@n": "p_partkey", "@s": "p_size", "@(": "'@'", "@@": "'@'"}
+    cells = {"@n": "p_partkey", "@s": size, "@(": "'@'", "@@": "'@'"}
     out, close = [], False
     for p in parts:
         if close:  # the bracket of '@(' goes
@@ -107,7 +117,10 @@ def filled(text: str) -> str:
     return f"replace(concat('', {', '.join(out)}), '~', chr(10))"
 
 
-FILES_SQL = " UNION ALL ".join(f"SELECT {filled(path)} AS path, {filled(text)} AS text FROM {{part}}" for _, path, text, _ in FILES) + " UNION ALL " + _BROKEN
+def files_sql(where: str = "true", size: str = "p_size") -> str:
+    """SQL for the files (path, text) of some parts."""
+    rows = [f"SELECT p_partkey, {filled(path)} AS path, {filled(text, size)} AS text FROM {{part}} WHERE {where}" for _, path, text, _ in FILES]
+    return " UNION ALL ".join([*rows, f"SELECT * FROM ({_BROKEN}) WHERE {where}"])
 
 
 def written(attrs: dict) -> str:
@@ -116,17 +129,17 @@ def written(attrs: dict) -> str:
     return ";".join(f"{k}={number(json.dumps(v, sort_keys=True, separators=(',', ':')))}" for k, v in sorted(attrs.items()))
 
 
-def expected_sql() -> str:
-    """SQL for the facts in all files: extractor, path, kind, key, name, line, attrs."""
+def expected_sql(where: str = "true", size: str = "p_size") -> str:
+    """SQL for the facts in the files of some parts: extractor, path, kind, key, name, line, attrs."""
     rows = [
-        f"SELECT '{e}' AS extractor, {filled(path)} AS path, '{kind}' AS kind, {filled(key)} AS key, {filled(name)} AS name, {line} AS line, {filled(written(attrs))} AS attrs FROM part"
+        f"SELECT '{e}' AS extractor, {filled(path)} AS path, '{kind}' AS kind, {filled(key)} AS key, {filled(name)} AS name, {line} AS line, {filled(written(attrs), f'({size})')} AS attrs FROM part WHERE {where}"
         for e, path, _, some in FILES for kind, key, name, line, attrs in some
     ]
     return " UNION ALL ".join(rows)
 
 
-def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.read_sql(spark, sf, FILES_SQL).withColumn("snapshot_id", F.lit("v1"))
+def _corpus(spark: SparkSession, sf: str, snapshot_id: str = "v1", where: str = "true", size: str = "p_size") -> DataFrame:
+    return fixtures.read_sql(spark, sf, files_sql(where, f"({size})")).select(F.lit(snapshot_id).alias("snapshot_id"), "path", "text", F.octet_length("text").cast("long").alias("size"))
 
 
 def _flat_attrs() -> F.Column:
@@ -135,12 +148,23 @@ def _flat_attrs() -> F.Column:
 
 def extract_facts(spark: SparkSession, sf: str) -> DataFrame:
     """All facts of the corpus."""
-    return extractors.extract(_corpus(spark, sf)).where("error is null").select("extractor", "path", "kind", "key", "name", "line", _flat_attrs())
+    found = extractors.extract(_corpus(spark, sf))
+    return found.where("kind is not null").select("extractor", "path", "kind", "key", "name", "line", _flat_attrs())
+
+
+def _unused(text: str, path: str) -> list:
+    return []
 
 
 def extract_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts and failed files by extractor."""
-    return extractors.extract_stats(extractors.extract(_corpus(spark, sf))).drop("snapshot_id")
+    """Facts, files and failures by extractor, with one that reads no file."""
+    known = extractors.EXTRACTORS | {"unused": _unused}
+    return extractors.extract_stats(extractors.file_status(extractors.extract(_corpus(spark, sf), known)), known).drop("snapshot_id")
+
+
+def _wanted(spark: SparkSession, *snapshots_: str) -> DataFrame:
+    rows = [(v, f"15{v[1:]}.0.1.2", "default", ["ui"], True) for v in snapshots_]
+    return spark.createDataFrame(rows, "snapshot_id string, ref string, target_set string, partitions array<string>, complete boolean")
 
 
 def build_snapshot(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,8 +172,29 @@ def build_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     rows = _corpus(spark, sf)
     copies = rows.where("path like 'components/%'").withColumn("path", F.regexp_replace("path", "^components/x/", "components/x/android/"))
     lone = rows.where("path like 'services/%'").withColumn("path", F.regexp_replace("path", "^services/m/m", "services/mac/n")).withColumn("text", F.regexp_replace("text", "module m", "module n"))
-    built, _ = extractors.build_snapshot(rows.unionByName(copies).unionByName(lone))
-    return built.select("kind", "key", "path", columns.platform_value("attrs", "platform_state").alias("state"))
+    built = extractors.build_snapshot(rows.unionByName(copies).unionByName(lone), _wanted(spark, "v1"))
+    return built.facts.select("kind", "key", "path", columns.platform_value("attrs", "platform_state").alias("state"))
+
+
+#: What both versions of the corpus should have: one target is absent.
+TARGETS = (("chrome", True, None), ("components/", True, None), ("services/", True, [".mojom"]), ("third_party/blink/", True, None), ("media/absent/", True, None))
+
+
+def snapshot_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    """E12, S2, Z1, Z2 from end to end: two versions of a corpus become committed snapshots, which are read back, compared and ranked.
+
+    Headers come from what was read: unreadable files, files that can't be parsed, and a target that isn't there.
+    """
+    path = work_path(spark, "snapshots")
+    scope = spark.createDataFrame([(v, *row) for v, _, _ in VERSIONS for row in TARGETS], "snapshot_id string, path string, is_tree boolean, suffixes array<string>")
+    for v, where, size in VERSIONS:
+        built = extractors.build_snapshot(_corpus(spark, sf, v, where, size), _wanted(spark, v), scope)
+        store.write_snapshot(built.facts, built.header, path)
+    facts, headers, pairs = store.read_facts(spark, path), store.read_headers(spark, path), fixtures.pairs(spark)
+    changes = diff.compare(facts, headers, pairs, 200)
+    found = scoring.rank(changes, spark.createDataFrame([], "snapshot_id string, surface string, candidates long, read long"), headers, pairs)
+    gap = scoring.incomplete_reason(headers).where("snapshot_id = 'v2'").select("gap")  # one row
+    return found.select("kind", "key", "change_type", F.exists("reasons", lambda r: r.contains("unconfirmed")).alias("unconfirmed")).join(F.broadcast(gap))
 
 
 def path_functions(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,8 +268,8 @@ def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     made = made.select("snapshot_id", F.concat(F.lit("15"), F.substring("snapshot_id", 2, 1), F.lit(".0.1.2")).alias("ref"), F.lit(151).alias("milestone"), F.lit("2026-01-01T00:00:00").alias("created"), F.when(F.col("part") < 60, 40).otherwise(39).alias("schema"), F.struct(F.lit("default").alias("target_set"), F.lit(True).alias("complete")).alias("meta"), "facts")
     snapshots.write_table(made, path, "json")
     headers, read = snapshots.read_snapshots(spark, path)
-    snapshots.write_snapshot(read, headers.select("snapshot_id", "ref", "target_set", "partitions", "complete", "schema").distinct(), table)
-    back = snapshots.read_facts(spark, table)
+    store.write_snapshot(read, headers.select("snapshot_id", "ref", "target_set", "partitions", "complete").distinct(), table)
+    back = store.read_facts(spark, table)
     fresh, stale = snapshots.fresh_snapshots(headers)
     sizes = back.groupBy("snapshot_id", "kind").agg(F.count("*").alias("n_facts"), F.sum("line").alias("lines"), F.sum(F.size("attrs")).cast("long").alias("n_attrs"))
     kept = fresh.groupBy("snapshot_id").agg(F.count("*").alias("n_fresh"))
@@ -233,10 +278,13 @@ def snapshot_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def listing_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """A listing written as text and read back."""
-    path = work_path(spark, "listing")
-    fixtures.listing(spark, sf).where("snapshot_id = 'v1'").select(F.concat("path", F.when(F.xxhash64("path") % 5 == 0, "\n").otherwise("")).alias("value")).write.text(path)
-    return snapshots.read_listing(spark, path, "v1")
+    """Both versions' listings written as texts and read back."""
+    path, out = work_path(spark, "listing"), []
+    rows = fixtures.listing(spark, sf).select("snapshot_id", F.concat("path", F.when(F.xxhash64("path") % 5 == 0, "\n").otherwise("")).alias("value"))
+    for v in ("v1", "v2"):
+        rows.where(F.col("snapshot_id") == v).select("value").write.text(f"{path}/{v}")
+        out.append(snapshots.read_listing(spark, f"{path}/{v}", v))
+    return out[0].unionByName(out[1])
 
 
 def briefs_round_trip(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,14 +299,34 @@ def briefs_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("id", "name", F.coalesce("feature_name", F.lit("")).alias("feature_name"), "category", "shipping_type", "standards.spec", F.coalesce("browsers.chrome.desktop", F.lit("")).alias("desktop"), F.length("summary").cast("long").alias("n_chars"))
 
 
+def spoil(spark: SparkSession, path: str) -> list[str]:
+    """Put three odd files below a folder and return their names: one whose checksum is wrong, an empty one, and one that is gone.
+
+    Checksums are the local file system's, where tests run; on another one the first is emptied and stays readable.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/odd")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in ("broken.cc", "empty.cc"):
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
+        out.write(b"const char kA[] = 'x';" if name == "broken.cc" else b"")
+        out.close()
+    raw = fs.getRawFileSystem() if hasattr(fs, "getRawFileSystem") else fs
+    out = raw.create(spark._jvm.org.apache.hadoop.fs.Path(root, "broken.cc"), True)
+    out.write(b"const char kB[] = 'y';")
+    out.close()
+    return ["odd/broken.cc", "odd/empty.cc", "odd/gone.cc"]
+
+
 def corpus_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as files and read back."""
+    """Documents written as files and read back by a listing, with a broken, an empty and a missing file."""
     path = work_path(spark, "corpus")
     docs = fixtures.read_sql(spark, sf, "SELECT doc_id, text, source FROM {documents}")
     docs.select("source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n]+", " ").alias("value")).write.partitionBy("source").text(path)
-    read = snapshots.read_corpus(spark, path, "v1")
-    lines = read.select(F.regexp_extract("path", "^source=([^/]+)/", 1).alias("source"), F.length("text").cast("long").alias("n"), "error")
-    return lines.groupBy("source").agg(F.sum("n").alias("n_chars"), F.count("error").alias("n_errors"))
+    odd = spark.createDataFrame([(n,) for n in spoil(spark, path)], "path string")
+    listing = snapshots.list_files(spark, path, "v1").where("path like 'source=%'").select("path").unionByName(odd).distinct()
+    read = snapshots.read_corpus(spark, path, "v1", listing)
+    place = F.when(F.col("path").startswith("odd/"), F.col("path")).otherwise(F.regexp_extract("path", "^source=([^/]+)/", 1))
+    return read.groupBy(place.alias("place")).agg(F.sum(F.length("text").cast("long")).alias("n_chars"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
 
 
-QUERIES = {f.__name__: f for f in (extract_facts, extract_stats, build_snapshot, path_functions, name_functions, shares, build_guards, signatures, snapshot_round_trip, listing_round_trip, briefs_round_trip, corpus_round_trip)}
+QUERIES = {f.__name__: f for f in (extract_facts, extract_stats, build_snapshot, snapshot_pipeline, path_functions, name_functions, shares, build_guards, signatures, snapshot_round_trip, listing_round_trip, briefs_round_trip, corpus_round_trip)}

@@ -7,7 +7,7 @@ from the library's tables.
 from __future__ import annotations
 
 from ..functions import rules
-from ..sources.fixtures import BRIEFS, COLUMNS, FLAT, LISTING, attribute, duckdb_sql, json_text
+from ..sources.fixtures import BRIEFS, CHAIN_FLAT, CHAIN_PAIRS, COLUMNS, FLAT, LISTING, attribute, duckdb_sql, json_text
 from . import corpus
 
 _ELSEWHERE = r"regexp_matches(path, '^(ash|chromeos|ios|android_webview|fuchsia|fuchsia_web|chromecast)/|/(ash|chromeos|ios|android|mac|linux)/')"
@@ -332,19 +332,21 @@ SQL: dict[str, str] = {
     "clusters": _recursive(f"{FINDINGS}, {_GROUPED} SELECT * FROM clusters"),
     "order_clusters": _recursive(f"{FINDINGS}, {_GROUPED} SELECT cluster, size, place FROM (SELECT *, row_number() OVER (ORDER BY top_score DESC, size DESC, cluster) AS place FROM clusters) WHERE place <= 25"),
     "annotate": _recursive(f"{FINDINGS}, {_GROUPED} SELECT m.kind, m.key, m.cluster, c.label, c.size, c.kinds, c.top_score FROM clustered m JOIN clusters c USING (cluster)"),
-    "report_tables": _recursive(f"{TOLD}, {_GROUPED}, {_SCREENS}, {_STORIES}, {_SUMMARY}, {_TOPS} ")
-    + _rows(("changes", "(SELECT DISTINCT kind FROM changes)"), ("findings", "summary"), ("owners", "(SELECT DISTINCT owner FROM findings)"), ("figures", "(SELECT DISTINCT owner FROM findings)"), ("stories", "stories"), ("screens", "screens"), ("screen_totals", "(SELECT 1)"), ("screen_items", "(SELECT 1 FROM (SELECT row_number() OVER (PARTITION BY screen) AS p FROM told WHERE screen IS NOT NULL) WHERE p <= 12)"), ("clusters", "(SELECT 1 FROM clusters LIMIT 25)"), ("by_owner", "by_owner"), ("by_bucket", "by_bucket"), ("flat", "findings")),
-    "audit_tables": f"{FACTS}, {LISTED.removeprefix('WITH ')}, {_REFS}, {_CLOSURE}, {_VIOLATIONS}, {_BY_DIRECTORY}, {_MISSED}, {_SHARED} "
-    + _rows(("coverage", "coverage"), ("directories", "(SELECT 1 FROM by_directory WHERE place <= 12)"), ("areas", "(SELECT DISTINCT snapshot_id, string_split(path, '/')[1] FROM candidates)"), ("shared", "shared_files"), ("missed", "(SELECT 1 FROM missed WHERE place <= 400)"), ("unresolved", "refs"), ("closure", "closure"), ("violations", "violations")),
 }
 
 _found = f"found AS MATERIALIZED ({corpus.expected_sql()})"
+_count = lambda d, r: f"(SELECT count(*) FROM part WHERE p_partkey % {d} = {r})"
+#: Files by extractor: a file a part and template; those that can't be parsed, can't be read, or are empty; and an extractor that reads none.
+_files = "files AS (" + " UNION ALL ".join(
+    f"SELECT '{e}' AS extractor, {len([1 for x, *_ in corpus.FILES if x == e])} * (SELECT count(*) FROM part)" + {"flags_metadata": f" + {_count(50, 0)}", "base_features": f" + {_count(40, 0)}"}.get(e, "") + f" AS n_files, {dict(flags_metadata=_count(50, 0), base_features=_count(40, 1)).get(e, '0')} AS n_errors"
+    for e in (*dict.fromkeys(x for x, *_ in corpus.FILES), "unused")
+) + ")"
 _three = lambda dialect, l, r: {"cpp": f"({l}) AND NOT ({r})", "template": f"NOT ({l}) OR ({r})", "attribute": f"NOT (({l}) OR ({r}))"}[dialect]
 _L, _R = "CASE WHEN p_size % 2 = 0 THEN true WHEN p_size % 5 = 0 THEN false END", "CASE WHEN p_size % 3 = 0 THEN true WHEN p_size % 7 = 0 THEN false END"
 _HELD = "held AS (" + " UNION ALL ".join(f"SELECT p_partkey AS id, '{d}' AS dialect, {_three(d, _L, _R)} AS holds FROM part" for d in ("cpp", "template", "attribute")) + ")"
 SQL |= {
     "extract_facts": f"WITH {_found} SELECT * FROM found",
-    "extract_stats": f"WITH {_found} SELECT extractor, count(*) AS n_facts, 0 AS n_errors FROM found WHERE extractor <> 'flags_metadata' GROUP BY ALL UNION ALL SELECT 'flags_metadata', count(*), (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) FROM found WHERE extractor = 'flags_metadata'",
+    "extract_stats": f"WITH {_found}, {_files}, n AS (SELECT extractor, count(*) AS n_facts FROM found GROUP BY 1) SELECT f.extractor, CAST(coalesce(n_facts, 0) AS BIGINT) AS n_facts, CAST(n_files AS BIGINT) AS n_files, CAST(n_errors AS BIGINT) AS n_errors FROM files f LEFT JOIN n USING (extractor)",
     "build_snapshot": f"WITH {_found}, stated AS (SELECT kind, key, path, coalesce(nullif(regexp_extract(attrs, 'platform_state=.\"windows\":\"([a-z_]+)\"', 1), ''), nullif(regexp_extract(attrs, 'platform_status=.*\"windows\":\"zzz', 0), ''), '') AS state FROM found), every_one AS (SELECT kind, key, CASE WHEN path LIKE 'components/x/%' THEN replace(path, 'components/x/', 'components/x/android/') ELSE path END AS path, state FROM stated UNION ALL SELECT kind, regexp_replace(key, '^m\\.', 'n.'), replace(path, 'services/m/m', 'services/mac/n'), 'not_compiled' FROM stated WHERE path LIKE 'services/%') SELECT kind, key, path, state FROM every_one",
     "path_functions": f"{LISTED}, r AS (SELECT *, regexp_replace(path, '^chrome/browser/resources/', '') AS below, regexp_extract(path, '[^/]*$') AS name, 'some/far/away/folder/' || path AS far FROM listing), s AS (SELECT *, CASE WHEN regexp_matches(name, '\\.html(\\.ts)?$') THEN regexp_replace(name, '\\.html(\\.ts)?$', '') ELSE regexp_replace(name, '\\.[^.]*$', '') END AS stem FROM r) SELECT snapshot_id, path, string_split(below, '/')[1] AS surface, CASE WHEN len(string_split(below, '/')) >= 3 THEN string_split(below, '/')[2] ELSE stem END AS page, stem, {_trimmed('far')} AS trimmed FROM s",
     "name_functions": f"WITH r AS ({duckdb_sql(corpus.NAMES)}) SELECT id, CASE WHEN regexp_matches(name, '^k[A-Z]') THEN substr(name, 2) ELSE name END AS bare, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS identifier, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS ascii, name AS line, CASE WHEN regexp_matches(regexp_extract(ref, '[^/]*$'), '^\\d+(\\.\\d+){{3}}$') THEN replace(regexp_extract(ref, '[^/]*$'), '.', '-') ELSE '' END AS version, CAST(100 + id % 60 AS INT) AS milestone, CASE status WHEN 'test' THEN 1 WHEN 'experimental' THEN 2 WHEN 'stable' THEN 3 ELSE 0 END AS rank FROM r",
@@ -352,7 +354,56 @@ SQL |= {
     "build_guards": f"WITH {_HELD}, states AS (SELECT id, CASE WHEN count(*) FILTER (holds = false) > 0 THEN 'not_compiled' WHEN count(*) FILTER (holds IS NULL) > 0 THEN 'conditional' ELSE 'compiled' END AS state FROM held GROUP BY id) SELECT id, dialect, coalesce(CAST(holds AS VARCHAR), 'unknown') AS holds, state FROM held JOIN states USING (id)",
     "signatures": "SELECT p_partkey AS id, concat('Promise<long> m', p_partkey, '(long a, optional sequence<', p_size, '> b = \"x, ,(y\"', CASE WHEN p_partkey % 3 = 0 THEN ', (long or map<K, V>)... rest' ELSE '' END, ')') AS signature, concat('long a, optional sequence<', p_size, CASE WHEN true THEN ' > b = \"x, ,(y\"' END, CASE WHEN p_partkey % 3 = 0 THEN ', (long or map<K, V>)... rest' ELSE '' END) AS params, concat('A', p_partkey, '=(x,y);B=', p_size, ';C=True') AS ext, CASE WHEN p_partkey % 3 = 0 THEN '(1, None)' ELSE '(1, 2)' END AS arity FROM part",
     "snapshot_round_trip": f"{FACTS}, n AS (SELECT snapshot_id, kind, count(*) AS n_facts, CAST(sum(line) AS BIGINT) AS lines, CAST(sum({' + '.join(f'(a_{c} IS NOT NULL)::INT' for c in COLUMNS)} + (signatures IS NOT NULL)::INT + (traits IS NOT NULL)::INT + (places IS NOT NULL)::INT) AS BIGINT) AS n_attrs FROM facts GROUP BY ALL) SELECT *, CAST(64 AS BIGINT) AS n_documents FROM n",
-    "listing_round_trip": f"{LISTED} SELECT snapshot_id, path FROM listing WHERE snapshot_id = 'v1'",
+    "listing_round_trip": f"{LISTED} SELECT snapshot_id, path FROM listing",
     "briefs_round_trip": f"WITH b AS ({duckdb_sql(BRIEFS)}) SELECT id, name, coalesce(feature_name, '') AS feature_name, category, CASE WHEN id % 2 = 0 THEN '' ELSE shipping_type END AS shipping_type, spec, coalesce(desktop, '') AS desktop, length(summary) AS n_chars FROM b",
-    "corpus_round_trip": "SELECT source, CAST(sum(length(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_chars, CAST(0 AS BIGINT) AS n_errors FROM documents GROUP BY source",
+    "corpus_round_trip": "SELECT source AS place, CAST(sum(length(regexp_replace(coalesce(text, ''), '[\\r\\n]+', ' ', 'g')) + 1) AS BIGINT) AS n_chars, '' AS error FROM documents GROUP BY source UNION ALL VALUES ('odd/broken.cc', NULL, 'not readable'), ('odd/empty.cc', 0, ''), ('odd/gone.cc', NULL, 'missing')",
+    "snapshot_pipeline": f"""WITH o AS (SELECT * FROM ({corpus.expected_sql(*corpus.VERSIONS[0][1:])})), n AS (SELECT * FROM ({corpus.expected_sql(*corpus.VERSIONS[1][1:])})),
+j AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.key, n.key) AS key, CASE WHEN o.kind IS NULL THEN 'added' WHEN n.kind IS NULL THEN 'removed' ELSE 'modified' END AS change_type,
+  coalesce(regexp_matches(o.attrs, 'platform_state=.{{1,3}}windows":"not_compiled'), true) AND coalesce(regexp_matches(n.attrs, 'platform_state=.{{1,3}}windows":"not_compiled'), true) AS outside FROM o FULL JOIN n USING (kind, key) WHERE o.attrs IS DISTINCT FROM n.attrs)
+SELECT kind, key, change_type, change_type <> 'modified' AND NOT outside AS unconfirmed, '1 absent target(s) and ' || (SELECT count(*) FILTER (p_partkey % 50 = 0) + count(*) FILTER (p_partkey % 40 = 1) FROM part WHERE p_partkey % 13 <> 0) || ' unreadable file(s)' AS gap FROM j""",
 }
+
+_pair_columns = ["kind", "key", "path", "signatures", "traits", *(f"a_{c}" for c in COLUMNS)]
+_CHAINED = f"""{FACTS.replace(duckdb_sql(FLAT), duckdb_sql(CHAIN_FLAT))},
+joined AS ({" UNION ALL ".join(f"SELECT '{p}' AS pair_id, coalesce(o.kind, n.kind) AS kind, coalesce(o.key, n.key) AS key, o.kind AS was, n.kind AS now, " + ", ".join(f"{s}.{c} AS {s}_{c}" for s in ("o", "n") for c in _pair_columns[2:]) + f" FROM (SELECT * FROM facts WHERE snapshot_id = '{a}') o FULL JOIN (SELECT * FROM facts WHERE snapshot_id = '{b}') n ON o.kind = n.kind AND o.key = n.key" for p, a, b in CHAIN_PAIRS)}),
+moved AS (SELECT pair_id, kind, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'modified' END AS change_type, CASE WHEN was IS NULL OR now IS NULL THEN [] ELSE list_filter([{", ".join(_VALUES)}], lambda x: x IS NOT NULL) END AS moves FROM joined)"""
+SQL["compare_versions"] = f"{_CHAINED} SELECT pair_id, kind, change_type, count(*) AS n, CAST(sum(len(moves)) AS BIGINT) AS n_moves, CAST(sum(length(array_to_string(moves, '; '))) AS BIGINT) AS n_chars FROM moved WHERE change_type <> 'modified' OR len(moves) > 0 GROUP BY ALL"
+
+
+def _rest(query: str, common: str) -> str:
+    """A query's SQL behind the tables that it has in common with others."""
+    whole, first = SQL[query].replace("WITH RECURSIVE ", "WITH ", 1), common.replace("WITH RECURSIVE ", "WITH ", 1)
+    assert whole.startswith(first), query
+    return whole[len(first) :]
+
+
+def _lines(**tables: tuple[str, str]) -> str:
+    """All rows of some tables, each as a line of its columns."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS name, concat_ws('|', {columns}) AS line FROM ({sql})" for name, (sql, columns) in tables.items())
+
+
+_N = "n_added, n_removed, n_modified"
+SQL["report_tables"] = _recursive(f"{TOLD}, {_GROUPED}, {_SCREENS}, {_STORIES}, {_SUMMARY}, {_TOPS} ") + _lines(
+    changes=(_rest("change_summary", CHANGES), f"kind, {_N}"),
+    findings=("SELECT * FROM summary", "what, value, n"),
+    owners=(_rest("owner_bucket_matrix", FINDINGS), "owner, breaking, behaviour, new, housekeeping, total"),
+    figures=(_rest("measured_figures", FINDINGS), "owner, breaking, no_signal"),
+    stories=(_rest("stories", f"{FINDINGS}, {_STORIES}"), f"consequence, story, n, {_N}, severity, score, place"),
+    screens=(_rest("screens", f"{TOLD}, {_SCREENS}"), f"screen, n, {_N}, score, place"),
+    screen_totals=(_rest("screen_totals", f"{TOLD}, {_SCREENS}"), f"n_screens, {_N}"),
+    screen_items=(_rest("screen_items", TOLD), "screen, kind, key, place"),
+    clusters=(_rest("order_clusters", f"{FINDINGS}, {_GROUPED}"), "cluster, size, place"),
+    by_owner=("SELECT * FROM by_owner", "value, kind, key, place, remaining"),
+    by_bucket=("SELECT * FROM by_bucket", "value, kind, key, place, remaining"),
+    flat=(_rest("flatten_findings", TOLD), "id, name, kind, owner, bucket, score, change_type, spot, what, why, deltas, reasons"),
+)
+SQL["audit_tables"] = f"{FACTS}, {LISTED.removeprefix('WITH ')}, {_REFS}, {_CLOSURE}, {_VIOLATIONS}, {_BY_DIRECTORY}, {_MISSED}, {_SHARED} " + _lines(
+    coverage=(_rest("coverage", LISTED), "snapshot_id, nullif(surface, ''), candidates, n_read"),
+    directories=(_rest("missed_by_directory", f"{LISTED}, {_BY_DIRECTORY}"), "snapshot_id, directory, missed, place"),
+    areas=(_rest("missed_by_area", LISTED), "snapshot_id, area, candidates, missed, percent"),
+    shared=("SELECT * FROM shared_files", "snapshot_id, n_files"),
+    missed=("SELECT * FROM missed WHERE place <= 400", "snapshot_id, path, place, n_missed"),
+    unresolved=("SELECT * FROM refs", "snapshot_id, link, source_key, target"),
+    closure=("SELECT * FROM closure", "snapshot_id, link, n_references, names, more"),
+    violations=("SELECT * FROM violations", "snapshot_id, suffix, n_files"),
+)

@@ -34,11 +34,17 @@ def _covered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(scoring.score_changes(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
+    """Findings for a query that reads them once: only the columns that it needs are worked out."""
+    return scoring.score_changes(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark))
+
+
+def _stored_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings for a query that reads them several times."""
+    return stored(_findings(spark, sf), "findings")
 
 
 def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     return found, stored(graph.build_clusters(graph.link_findings(found)), "clusters")
 
 
@@ -109,6 +115,13 @@ def diff_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     return diff.diff_snapshots(_facts(spark, sf), fixtures.pairs(spark), MILESTONE).select("kind", "key", "change_type", _moves().alias("deltas"))
 
 
+def compare_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """J1, J2 of five pairs of four versions in one pass: changes by pair, kind and direction, how many values moved, and how long they are."""
+    rows = stored(facts.dedupe_facts(fixtures.raw_facts(spark, sf, True)), "facts")
+    moves = diff.diff_snapshots(rows, fixtures.chain_pairs(spark), MILESTONE).select("pair_id", "kind", "change_type", F.size("deltas").cast("long").alias("moves"), F.length(_moves()).cast("long").alias("chars"))
+    return moves.groupBy("pair_id", "kind", "change_type").agg(F.count("*").alias("n"), F.sum("moves").alias("n_moves"), F.sum("chars").alias("n_chars"))
+
+
 def change_places(spark: SparkSession, sf: str) -> DataFrame:
     """Paths and places of paired changes."""
     return _changes(spark, sf).select("kind", "key", "name", _join("paths").alias("paths"), _join("locations").alias("places"))
@@ -212,7 +225,7 @@ def describe(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_n_per_group(spark: SparkSession, sf: str) -> DataFrame:
     """Eight of each owner that are no housekeeping, forty of each bucket."""
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     some = [("owner", summaries.top_n_per_group(found, "owner", 8, F.col("bucket") != "housekeeping")), ("bucket", summaries.top_n_per_group(found, "bucket", 40))]
     parts = [rows.select(F.lit(by).alias("by"), F.col(by).alias("value"), "kind", "key", _long("place"), "remaining") for by, rows in some]
     return parts[0].unionByName(parts[1])
@@ -220,7 +233,7 @@ def top_n_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 def filter_findings(spark: SparkSession, sf: str) -> DataFrame:
     """by fields and by text."""
-    found = _findings(spark, sf)
+    found = _stored_findings(spark, sf)
     some = [("fields", summaries.filter_findings(found, bucket="breaking", owner="native")), ("text", summaries.filter_findings(found, text="PAGE7")), ("both", summaries.filter_findings(found, kind="base_feature", group="Behaviour switches", text="off → on"))]
     parts = [rows.select(F.lit(by).alias("by"), "kind", "key") for by, rows in some]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -337,7 +350,7 @@ def closure_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def link_findings(spark: SparkSession, sf: str) -> DataFrame:
     """J8."""
-    return graph.link_findings(_findings(spark, sf)).drop("pair_id")
+    return graph.link_findings(_stored_findings(spark, sf)).drop("pair_id")
 
 
 def clusters(spark: SparkSession, sf: str) -> DataFrame:
@@ -360,30 +373,46 @@ def annotate(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("kind", "key", F.col("cluster.id").alias("cluster"), "cluster.label", "cluster.size", _join("cluster.kinds").alias("kinds"), "cluster.top_score")
 
 
+def _lines(tables: dict[str, DataFrame], columns: dict[str, tuple[str, ...]]) -> DataFrame:
+    """All rows of some tables, each as a line of its columns."""
+    out = None
+    for name, chosen in columns.items():
+        one = tables[name].select(F.lit(name).alias("name"), F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in chosen]).alias("line"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def report_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Z3: rows of each table of the report."""
+    """Z3: every row of the report's tables."""
     changes = stored(_changes(spark, sf), "changes")
     found = stored(scoring.score_changes(changes, coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
-    return _sizes(report.report(changes, found))
+    return _lines(report.report(changes, found), REPORT)
 
 
 def audit_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of each table of the audit."""
-    return _sizes(report.audit(_facts(spark, sf), fixtures.listing(spark, sf), fixtures.scope(spark)))
+    """Every row of the audit's tables."""
+    return _lines(report.audit(_facts(spark, sf), fixtures.listing(spark, sf), fixtures.scope(spark)), AUDIT)
 
 
-def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
-    out = None
-    for name, rows in tables.items():
-        one = rows.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
-        out = one if out is None else out.unionByName(one)
-    return out
+_TURNS = ("n_added", "n_removed", "n_modified")
+#: The tables of the report and the audit by the columns that are told.
+REPORT = {
+    "changes": ("kind", *_TURNS), "findings": ("what", "value", "n"), "owners": ("owner", "breaking", "behaviour", "new", "housekeeping", "total"), "figures": ("owner", "breaking", "no_signal"),
+    "stories": ("group", "story", "n", *_TURNS, "severity", "score", "place"), "screens": ("screen", "n", *_TURNS, "score", "place"), "screen_totals": ("n_screens", *_TURNS),
+    "screen_items": ("screen", "kind", "key", "place"), "clusters": ("cluster", "size", "place"), "by_owner": ("owner", "kind", "key", "place", "remaining"), "by_bucket": ("bucket", "kind", "key", "place", "remaining"),
+    "flat": ("id", "name", "kind", "owner", "bucket", "score", "change_type", "where", "what", "why", "deltas", "reasons"),
+}
+AUDIT = {
+    "coverage": ("snapshot_id", "surface", "candidates", "read"), "directories": ("snapshot_id", "directory", "missed", "place"), "areas": ("snapshot_id", "area", "candidates", "missed", "percent"),
+    "shared": ("snapshot_id", "n_files"), "missed": ("snapshot_id", "path", "place", "of"), "unresolved": ("snapshot_id", "link", "source_key", "target"),
+    "closure": ("snapshot_id", "link", "n_references", "names", "more"), "violations": ("snapshot_id", "suffix", "n_files"),
+}
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dedupe_facts, keep_lowest, overload_sets, count_by_kind, stamp_platform_dirs, interface_shape, meaningful_attrs, member_position, occurrence_index, diff_snapshots, change_places,
+        dedupe_facts, keep_lowest, overload_sets, count_by_kind, stamp_platform_dirs, interface_shape, meaningful_attrs, member_position, occurrence_index, diff_snapshots, compare_versions, change_places,
         change_signals, detect_renames, detect_repoints, change_summary, rank_changes, resolve_gates, comparable_pairs, score_changes, rank_findings, finding_summary, owner_bucket_matrix,
         measured_figures, stories, screens, screen_totals, screen_items, describe, top_n_per_group, filter_findings, flatten_findings, enrich_findings, newest_briefs, versions, milestone_span,
         route_files, could_declare, candidates_all, reaches, partition_scope, missed_by_directory, missed_by_area, multi_surface_files, missed_paths, catalog_order, scope_violations,

@@ -12,18 +12,20 @@ from ..operators import coverage, graph, summaries
 def report(changes: DataFrame, findings: DataFrame) -> dict[str, DataFrame]:
     """Z3: the summary tables of ranked findings, and a flat row for each.
 
-    A6 to A9, A18 to A21, G2, W7, W10, W11, S7. Findings are read several times: give a written table.
+    A6 to A9, A18 to A21, G2, W7, W10, W11, S7. One scan of the findings gives the counts of six
+    tables; they are read for links, lists and flat rows besides: give a written table.
     """
     edges = graph.link_findings(findings)
     clusters = stored(graph.build_clusters(edges), "clusters")
+    counts = stored(summaries.condensed(findings), "counts")
     return {
         "changes": summaries.change_summary(changes),
-        "findings": summaries.finding_summary(findings),
-        "owners": summaries.owner_bucket_matrix(findings),
-        "figures": summaries.measured_figures(findings),
-        "stories": summaries.order_stories(summaries.stories(findings)),
-        "screens": summaries.order_screens(summaries.screens(findings)),
-        "screen_totals": summaries.screen_totals(findings),
+        "findings": summaries.finding_summary(counts),
+        "owners": summaries.owner_bucket_matrix(counts),
+        "figures": summaries.measured_figures(counts),
+        "stories": summaries.order_stories(summaries.stories(counts)),
+        "screens": summaries.order_screens(summaries.screens(counts)),
+        "screen_totals": summaries.screen_totals(counts),
         "screen_items": summaries.order_screen_items(findings, 12),
         "clusters": graph.order_clusters(graph.cluster_summary(findings, clusters)),
         "by_owner": summaries.top_n_per_group(findings, "owner", 8, F.col("bucket") != "housekeeping"),

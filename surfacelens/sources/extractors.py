@@ -4,87 +4,90 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..functions import rules
-from ..functions.parsing import closing, collapse, line_of, mask_comments, normalize_params, normalize_signature, parse_ext_attrs, parts_at, platform_state, split_top
+from ..functions.columns import milestone_from_ref
+from ..functions.lexer import Lines, Part, Source
+from ..functions.parsing import collapse, mask_comments, normalize_params, normalize_signature, parse_ext_attrs, platform_state, split_top
 from ..operators import coverage
 from ..operators.facts import dedupe_facts
+from ..schema import SCHEMA_VERSION
 
-_SCHEMA = "snapshot_id string, extractor string, kind string, key string, name string, path string, line int, attrs map<string,string>, error string"
+_SCHEMA = "snapshot_id string, extractor string, kind string, key string, name string, path string, line int, attrs map<string,string>, n_facts int, size long, error string"
+#: The error of a file without a text whose row has none of its own.
+UNREADABLE = "not readable"
 Found = tuple[str, str, str, int, dict]  # kind, key, name, line, attributes
-_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(ifndef|ifdef|if|elif|else|endif)\b(.*)")
-_STATE = re.compile(r"FEATURE_(ENABLED|DISABLED)_BY_DEFAULT")
-
-
-def _blank(text: str) -> str:
-    return re.sub(r"[^\n]", " ", text)
+_STATES = {"FEATURE_ENABLED_BY_DEFAULT": "enabled", "FEATURE_DISABLED_BY_DEFAULT": "disabled"}
 
 
 class _Branches:
-    """The conditional blocks that are open at a line."""
+    """The conditional blocks that are open after the directives taken in so far."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[list[str], list[str]]] = []  # (what holds, the branch conditions so far)
 
-    def read(self, line: str, include_guard: bool = False) -> bool:
-        """Take a line in; whether it is a directive."""
-        m = _DIRECTIVE.match(line)
-        if not m:
-            return False
-        word, rest = m[1], m[2].strip()
-        if word in ("if", "ifdef", "ifndef"):
-            own = {"if": rest, "ifdef": f"defined({rest})", "ifndef": f"!defined({rest})"}[word]
+    def read(self, directive: str, include_guard: bool = False) -> None:
+        """Take a directive in."""
+        word, _, rest = directive.lstrip("# \t").partition(" ")
+        split = next((i for i, c in enumerate(word) if not c.isalnum()), len(word))  # '#if(X)', a tab
+        word, rest = word[:split], (word[split:] + " " + rest).strip()
+        own = {"if": rest, "ifdef": f"defined({rest})", "ifndef": f"!defined({rest})"}.get(word)
+        if own is not None:
             self.levels.append(([], []) if include_guard else ([own], [own]))
         elif self.levels and word == "endif":
             self.levels.pop()
-        elif self.levels:
+        elif self.levels and word in ("elif", "else"):
             # A later branch holds where all before it fail.
             before = self.levels.pop()[1]
-            own = [rest] if word == "elif" else []
-            self.levels.append(([f"!({c})" for c in before] + own, before + own))
-        return True
+            mine = [rest] if word == "elif" else []
+            self.levels.append(([f"!({c})" for c in before] + mine, before + mine))
 
     def holding(self) -> list[str]:
         """Conditions of the open branches, the innermost block first."""
         return [c for held, _ in reversed(self.levels) for c in held]
 
 
-def guards_by_line(text: str) -> list[list[str]]:
-    """The build conditions that hold on each line. A header's own include guard (#ifndef X, then #define X) is none."""
-    lines = text.split("\n")
-    open_, out = _Branches(), []
-    for i, line in enumerate(lines):
-        m = re.match(r"\s*#\s*ifndef\s+(\w+)\s*$", line)
-        follower = next((x for x in lines[i + 1 : i + 4] if x.strip()), "") if m else ""
-        open_.read(line, bool(m and re.match(rf"\s*#\s*define\s+{m[1]}\b", follower)))
-        out.append(open_.holding())
-    return out
+class _Guards:
+    """The build conditions that hold at each token. A header's own include guard (#ifndef X, then #define X) is none."""
 
+    def __init__(self, source: Source) -> None:
+        self.since, self.held = [-1], [[]]
+        open_ = _Branches()
+        for i in (i for i, sort in enumerate(source.sort) if sort == "directive"):
+            words, then = source.said[i].lstrip("# \t").split(), source.said[i + 1].lstrip("# \t").split() if i + 1 < len(source) and source.sort[i + 1] == "directive" else []
+            near = bool(then) and source.line(i + 1) - source.line(i) <= 3
+            open_.read(source.said[i], len(words) == 2 and words[0] == "ifndef" and near and then[:2] == ["define", words[1]])
+            self.since.append(i)
+            self.held.append(open_.holding())
 
-def _state_in_chain(block: str) -> dict[str, str]:
-    """A declaration's state for us where an inner conditional chain picks it; {} without a state."""
-    open_, found = _Branches(), []
-    for line in block.split("\n"):
-        if not open_.read(line):
-            found += [(open_.holding(), m[1].lower()) for m in _STATE.finditer(line)]
-    if not found:
-        return {}
-    for conditions, state in found:
-        if (platform_state(conditions) or "compiled") == "compiled":
-            return {rules.PLATFORM: state}
-    undecided = any(platform_state(c) == "conditional" for c, _ in found)
-    return {rules.PLATFORM: "conditional" if undecided else "not_compiled"}
+    def at(self, i: int) -> list[str]:
+        return self.held[bisect_right(self.since, i) - 1]
 
 
-def _feature_state(block: str, conditions: list[str]) -> dict[str, str]:
-    """The state in a declaration, narrowed by the conditions around it."""
+def _feature_state(source: Source, begin: int, end: int, conditions: list[str]) -> dict[str, str]:
+    """A declaration's state for us: what the conditions around it leave of the one that its own conditional chain picks; {} without a state."""
     outer = platform_state(conditions)
-    return {rules.PLATFORM: outer} if outer in ("not_compiled", "conditional") else _state_in_chain(block)
+    if outer in ("not_compiled", "conditional"):
+        return {rules.PLATFORM: outer}
+    open_, found = _Branches(), []
+    for i in range(begin, end):
+        if source.sort[i] == "directive":
+            open_.read(source.said[i])
+        elif source.said[i] in _STATES:
+            found.append((platform_state(open_.holding()) or "compiled", _STATES[source.said[i]]))
+    picked = [state for held, state in found if held == "compiled"]
+    if picked or not found:
+        return {rules.PLATFORM: picked[0]} if picked else {}
+    return {rules.PLATFORM: "conditional" if any(held == "conditional" for held, _ in found) else "not_compiled"}
 
 
 def _bare(var: str) -> str:
@@ -92,73 +95,97 @@ def _bare(var: str) -> str:
     return var[1:] if len(var) > 1 and var[0] == "k" and var[1].isupper() else var
 
 
-def _quoted(text: str) -> str | None:
-    m = re.match(r'"([^"]*)"$', text)
-    return m[1] if m else None
+def _string(text: str) -> str | None:
+    """What a text between double quotes holds; None for any other text."""
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] == '"' and '"' not in text[1:-1] else None
+
 
+def _is_symbol(text: str) -> bool:
+    """A constant's name: k and more."""
+    return len(text) > 1 and text[0] == "k" and text.replace("_", "a").isalnum()
 
-def _calls(text: str, pattern: str) -> Iterator[tuple[re.Match, str]]:
-    """(match, text between the brackets) of each match that ends in an opening bracket which is closed."""
-    for m in re.finditer(pattern, text):
-        end = closing(text, m.end() - 1)
-        if end is not None:
-            yield m, text[m.end() : end]
+
+def _braced(source: Source, *lead: str) -> Iterator[tuple[int, int, int]]:
+    """(first token, name, opening brace) of initialised constants of a type: its words, what is in angle brackets, a name and braces that close."""
+    for i in source.words(lead[0]):
+        k = i + len(lead)
+        if not source.is_at(i, *lead):
+            continue
+        if source.is_at(k, "<"):
+            depth = 0
+            while k < len(source) and source.said[k] not in ";{":
+                depth += (source.said[k] == "<") - (source.said[k] == ">")
+                k += 1
+                if not depth:
+                    break
+        if k + 1 in source.close and _is_symbol(source.said[k]) and source.said[k + 1] == "{":
+            yield i, k, k + 1
 
 
 def feature_flags(text: str, path: str) -> Iterator[Found]:
     """Feature flags in their three spellings, and their parameters."""
-    clean = mask_comments(text)
-    guards = guards_by_line(clean)
-    found = [(m, inner, split_top(inner), "macro") for m, inner in _calls(clean, r"\bBASE_FEATURE\s*\(")]
-    for m in re.finditer(r"\b(?:const\s+)?base::Feature\s+(k\w+)\s*\{", clean):
-        end = clean.find("}", m.end())
-        if end >= 0:
-            found.append((m, clean[m.end() : end], [m[1], *split_top(clean[m.end() : end])], "legacy"))
-    for m, inner, args, form in found:
-        if not re.match(r"k\w+$", args[0]):
+    source = Source(text)
+    guards = _Guards(source)
+    inside = lambda bracket: source.parts(bracket + 1, source.close[bracket])
+    # (place, bracket, symbol, where its string would be, how it is declared)
+    found = []
+    for i, bracket in source.calls("BASE_FEATURE"):
+        args = inside(bracket)
+        found.append((i, bracket, args[0].said, args[1].said if len(args) > 2 else "", "macro3" if len(args) > 2 else "macro2"))
+    for i, name, bracket in _braced(source, "base", "::", "Feature"):
+        found.append((i - source.is_at(i - 1, "const"), bracket, source.said[name], inside(bracket)[0].said, "legacy"))
+    for i, bracket, symbol, given, form in found:
+        if not _is_symbol(symbol):
             continue
-        named = _quoted(args[1]) if len(args) >= (3 if form == "macro" else 2) else None
-        line, state = line_of(clean, m.start()), _STATE.search(inner)
-        conditions = guards[line - 1]
+        name, end = _string(given) or _bare(symbol), source.close[bracket]
+        state = next((_STATES[t] for t in source.said[bracket:end] if t in _STATES), "unknown")
+        conditions = guards.at(i)
         yield (
-            "base_feature", named or _bare(args[0]), named or _bare(args[0]), line,
-            {
-                "var": args[0], "default_state": state[1].lower() if state else "unknown", "platform_state": _feature_state(inner, conditions),
-                "declared_form": "legacy" if form == "legacy" else "macro3" if len(args) >= 3 else "macro2", "conditions": conditions,
-            },
+            "base_feature", name, name, source.line(i),
+            {"var": symbol, "default_state": state, "platform_state": _feature_state(source, bracket, end, conditions), "declared_form": form, "conditions": conditions},
         )
-    params = []
-    for m in re.finditer(r"\bbase::FeatureParam\s*<\s*([^>]+?)\s*>\s*(k\w+)\s*\{", clean):
-        end = closing(clean, m.end() - 1)
-        if end is not None:
-            params.append((m, m[1], m[2], split_top(clean[m.end() : end])))
-    for m, inner in _calls(clean, r"\bBASE_FEATURE_PARAM\s*\("):
-        args = split_top(inner)
-        if len(args) >= 4:
-            params.append((m, args[0], args[1], args[2:]))
-    for m, kind, var, args in params:
-        owner = _bare(args[0].lstrip("&").split("::")[-1]) if args[0].startswith("&") else ""
-        rest = args[1:] if owner else args
-        # Without a name the variable gives it, and the value comes first.
-        name = _quoted(rest[0]) if rest else ""
-        value = (rest[1] if len(rest) > 1 else "") if name is not None else rest[0]
-        name = _bare(var) if name is None else name
-        if name:
-            key = f"{owner}/{name}" if owner else f"{path}:{name}"
-            yield "feature_param", key, name, line_of(clean, m.start()), {"feature": owner, "type": collapse(kind), "var": var, "default": collapse(value)}
+    for i, name, bracket in _braced(source, "base", "::", "FeatureParam"):
+        yield from _parameter(source.span(i + 4, name - 1), source.said[name], [p.said for p in inside(bracket)], path, source.line(i))
+    for i, bracket in source.calls("BASE_FEATURE_PARAM"):
+        args = [p.said for p in inside(bracket)]
+        if len(args) > 3:
+            yield from _parameter(args[0], args[1], args[2:], path, source.line(i))
+
+
+def _parameter(kind: str, var: str, values: list[str], path: str, line: int) -> Iterator[Found]:
+    """A parameter from what initialises it: the address of its flag, its name in quotes, its default; each of the first two may be missing."""
+    owner = ""
+    if values[0].startswith("&"):
+        owner, values = _bare(values[0].rpartition(":")[2].lstrip("&")), values[1:] or [""]
+    given = _string(values[0])
+    # Without a name the variable gives it, and the value comes first.
+    name, default = (_bare(var), values[0]) if given is None else (given, values[1] if values[1:] else "")
+    if name:
+        yield "feature_param", f"{owner}/{name}" if owner else f"{path}:{name}", name, line, {"feature": owner, "type": collapse(kind), "var": var, "default": collapse(default)}
 
 
 def string_constants(text: str, path: str) -> Iterator[Found]:
-    """Preference keys and switches by their string."""
-    base = path.rsplit("/", 1)[-1]
-    clean, kind = mask_comments(text), "pref" if any(h in base for h in rules.PREF_FILES) else "switch"
-    guards = guards_by_line(clean)
-    for m in re.finditer(r'\b(?:const|constexpr)\s+(?:constexpr\s+)?(?:char\s+(k\w+)\s*\[\s*\]|std::string_view\s+(k\w+))\s*=\s*"([^"]+)"\s*;', clean):
-        line = line_of(clean, m.start())
-        some = guards[line - 1]
-        state = platform_state(some)
+    """Preference keys and switches by their string: a constant of characters that is set to one quoted text."""
+    source, base = Source(text), path.rsplit("/", 1)[-1]
+    guards, kind = _Guards(source), "pref" if any(h in base for h in rules.PREF_FILES) else "switch"
+    for i in (i for i, sort in enumerate(source.sort) if sort == "text"):
+        value = _string(source.said[i])
+        if not value or not source.is_at(i - 1, "=") or not source.is_at(i + 1, ";"):
+            continue
+        if source.is_at(i - 3, "[", "]") and source.is_at(i - 5, "char"):
+            name, first = i - 4, i - 5
+        elif source.is_at(i - 5, "std", "::", "string_view"):
+            name, first = i - 2, i - 5
+        else:
+            continue
+        first -= 1
+        if first < 0 or source.said[first] not in ("const", "constexpr") or not _is_symbol(source.said[name]):
+            continue
+        first -= source.is_at(first, "constexpr") and first > 0 and source.said[first - 1] in ("const", "constexpr")
+        conditions = guards.at(first)
+        state = platform_state(conditions)
         restricted = {"platform_state": {rules.PLATFORM: state}} if state not in (None, "compiled") else {}
-        yield kind, m[3], m[3], line, {"var": m[1] or m[2]} | ({"conditions": some} if some else {}) | restricted
+        yield kind, value, value, source.line(first), {"var": source.said[name]} | ({"conditions": conditions} if conditions else {}) | restricted
 
 
 def read_json5(text: str) -> object:
@@ -178,9 +205,13 @@ def read_json5(text: str) -> object:
 
 
 def _entries(some: object, text: str, quoted: bool) -> Iterator[tuple[dict, int]]:
-    """(entry, its line) of a manifest's entries with a name."""
-    mark = '"' if quoted else ""
-    lines = {m[1]: line_of(text, m.start()) for m in re.finditer(rf'^[ \t]*\{{?[ \t]*{mark}name{mark}[ \t]*:[ \t]*"([^"]+)"', text, re.M)}
+    """(entry, its line) of a manifest's entries with a name; the line is that on which the name is the first thing, 0 where there is none."""
+    key, lines = '"name"' if quoted else "name", {}
+    for number, line in enumerate(text.split("\n"), 1):
+        bare, colon, value = line.lstrip(" \t{").partition(":")
+        parts = value.lstrip().split('"')
+        if colon and bare.rstrip() == key and len(parts) > 2 and not parts[0]:
+            lines[parts[1]] = number
     for entry in some if isinstance(some, list) else ():
         if isinstance(entry, dict) and entry.get("name"):
             yield entry, lines.get(entry["name"], 0)
@@ -204,81 +235,111 @@ def flag_metadata(text: str, path: str) -> Iterator[Found]:
         yield "flag_entry", entry["name"], entry["name"], line, {"expiry_milestone": entry.get("expiry_milestone"), "owners": entry.get("owners", [])}
 
 
-_DEFINITION = re.compile(r"\b(partial\s+)?(callback\s+interface|interface\s+mixin|interface|dictionary|namespace|enum)\s+(\w+)(?:\s*:\s*(\w+))?\s*\{")
+#: Words that define something of the web's surface, each with the words before or behind that make it another thing.
+_DEFINERS = {"interface": {"before": ("callback",), "behind": ("mixin",)}, "dictionary": {}, "namespace": {}, "enum": {}}
 
 
-def _leading_attrs(text: str, at: int) -> dict:
-    """The extended attributes in brackets right before a place."""
-    before = text[:at].rstrip()
-    if not before.endswith("]"):
-        return {}
-    depth = 0
-    for i in range(len(before) - 1, -1, -1):
-        depth += {"]": 1, "[": -1}.get(before[i], 0)
-        if not depth:
-            return parse_ext_attrs(before[i + 1 : -1])
-    return {}
-
-
-def member_of(text: str) -> tuple[str, str]:
-    """(name, type) of a member declaration without its extended attributes; '' where it has no name."""
-    line = collapse(text)
-    last = lambda pattern: (re.search(pattern, line) or ["", ""])[1]
-    if line.startswith("const "):
-        return last(r"\b(\w+)\s*="), "const"
-    if re.match(r"(readonly\s+)?(inherit\s+)?attribute\b", line):
-        return last(r"([\w-]+)$"), "attribute"
-    for word in ("async iterable", "iterable", "maplike", "setlike", "stringifier"):
-        if line.startswith(word):
-            return word, "declarative"
-    if line.startswith("constructor"):
-        return "constructor", "operation"
-    if "(" not in line:
-        return last(r"(\w+)(?:\s*=\s*.+)?$"), "field"
-    head = line[: line.index("(")].strip()
-    name, special = (re.search(r"(\w+)$", head) or ["", ""])[1], re.findall(r"\b(getter|setter|deleter)\b", head)
-    if name in ("getter", "setter", "deleter"):
-        return f"{name}()", "operation"
-    # Of several special words the latest of this order counts.
-    word = next((w for w in ("deleter", "setter", "getter") if w in special), "")
-    return (f"{word} {name}" if word and name else name), "operation"
+def _bracketed_before(source: Source, i: int) -> int | None:
+    """The opening bracket of the list in square brackets that ends right before a token."""
+    return source.open.get(i - 1) if source.is_at(i - 1, "]") else None
 
 
 def web_definitions(text: str, path: str) -> Iterator[Found]:
     """Web-API definitions and their members; a partial definition adds members only."""
-    clean, at = mask_comments(text), 0
-    while m := _DEFINITION.search(clean, at):
-        end = closing(clean, m.end() - 1)
-        if end is None:
+    source, behind = Source(text), 0
+    for i in source.words(*_DEFINERS):
+        if i < behind:
+            continue  # inside the last definition
+        shape, first, name = _DEFINERS[source.said[i]], i, i + 1
+        kind = [source.said[i]]
+        if i and source.said[i - 1] in shape.get("before", ()):
+            first, kind = i - 1, [source.said[i - 1], *kind]
+        elif name + 1 < len(source) and source.said[name] in shape.get("behind", ()) and source.sort[name + 1] == "word":
+            kind, name = [*kind, source.said[name]], name + 1
+        brace = name + 3 if source.is_at(name + 1, ":") else name + 1
+        if name >= len(source) or source.sort[name] != "word" or not source.is_at(brace, "{"):
+            continue
+        if brace not in source.close:
             return
-        at, kind, name, body = end + 1, collapse(m[2]), m[3], clean[m.end() : end]
-        attrs = {"idl_kind": kind, "partial": bool(m[1]), "inherits": m[4] or "", "ext": _leading_attrs(clean, m.start())}
-        if kind == "enum":
-            attrs["values"] = [v.strip("\"'") for v in split_top(body) if v]
-        if not m[1]:
-            yield "idl_interface", name, name, line_of(clean, m.start()), attrs
-        for offset, member in parts_at(body, ";") if kind != "enum" else ():
-            ext, own = {}, member
-            if own.startswith("[") and (close := closing(own, 0)) is not None:
-                ext, own = parse_ext_attrs(own[1:close]), own[close + 1 :].strip()
-            called, sort = member_of(own)
-            if called:
-                line = line_of(clean, m.end() + offset)
-                yield "idl_member", f"{name}.{called}", called, line, {"interface": name, "member_type": sort, "signature": normalize_signature(own), "ext": ext, "runtime_enabled": ext.get("RuntimeEnabled", ""), "from_partial": bool(m[1])}
+        partial, end, what = source.is_at(first - 1, "partial"), source.close[brace], source.said[name]
+        first, behind = first - partial, end + 1
+        listed = _bracketed_before(source, first)
+        attrs = {"idl_kind": " ".join(kind), "partial": partial, "inherits": source.said[name + 2] if brace == name + 3 else "", "ext": parse_ext_attrs(source.span(listed + 1, first - 1)) if listed is not None else {}}
+        if kind == ["enum"]:
+            attrs["values"] = [p.said.strip("\"'") for p in source.parts(brace + 1, end) if p.said]
+        if not partial:
+            yield "idl_interface", what, what, source.line(first), attrs
+        for part in source.parts(brace + 1, end, ";") if kind != ["enum"] else ():
+            yield from _member(source, part, what, partial)
+
+
+def _member(source: Source, part: Part, owner: str, partial: bool) -> Iterator[Found]:
+    begin, ext = part.begin, {}
+    if source.is_at(begin, "[") and source.close.get(begin, part.end) < part.end:
+        ext, begin = parse_ext_attrs(source.span(begin + 1, source.close[begin])), source.close[begin] + 1
+    name, sort = member_of(_hyphenated(source, begin, part.end))
+    if name:
+        attrs = {"interface": owner, "member_type": sort, "signature": normalize_signature(source.span(begin, part.end)), "ext": ext, "runtime_enabled": ext.get("RuntimeEnabled", ""), "from_partial": partial}
+        yield "idl_member", f"{owner}.{name}", name, source.lines.of(part.at), attrs
+
+
+def _hyphenated(source: Source, begin: int, end: int) -> list[str]:
+    """Tokens, with those that touch a hyphen made one: 'margin-top'."""
+    out: list[str] = []
+    for i in range(begin, end):
+        touches = i > begin and source.end_of(i - 1) == source.at[i] and "-" in (source.said[i], source.said[i - 1])
+        if touches and out:
+            out[-1] += source.said[i]
+        else:
+            out.append(source.said[i])
+    return out
 
 
-_DECLARATION = re.compile(r"(?:^|\n)\s*(?:\[([^\]]*)\]\s*)?(interface|struct|union|enum)\s+(\w+)\s*\{")
+#: Members that have no name of their own are called by their leading words.
+_DECLARATIVE = ("iterable", "maplike", "setlike", "stringifier")
+_SPECIAL = ("getter", "setter", "deleter")
 
 
-class _Declared:
-    """One declaration of a message file and where it lies."""
+def member_of(tokens: list[str]) -> tuple[str, str]:
+    """(name, type) of a member's tokens without its extended attributes; '' where it has no name."""
+    lead = next((t for t in tokens if t not in ("readonly", "inherit", "async")), "")
+    before = tokens[: tokens.index(lead)] if lead else []
+    named = lambda some: some[-1] if some and some[-1].replace("_", "a").replace("-", "a").isalnum() else ""
+    if not before and lead == "const":
+        return named(tokens[: tokens.index("=")]) if "=" in tokens else "", "const"
+    if lead == "attribute" and "async" not in before:
+        return named(tokens), "attribute"
+    if lead in _DECLARATIVE and before in ([], ["async"]):
+        return " ".join([*before, lead]), "declarative"
+    if lead == "constructor" and not before:
+        return "constructor", "operation"
+    if "(" not in tokens:
+        return named(tokens[: tokens.index("=")] if "=" in tokens else tokens), "field"
+    head = tokens[: tokens.index("(")]
+    name, special = named(head), [t for t in _SPECIAL if t in head]
+    if name in _SPECIAL:
+        return f"{name}()", "operation"
+    # Of several special words the latest of their order counts.
+    return (f"{special[-1]} {name}" if special and name else name), "operation"
+
 
-    def __init__(self, text: str, m: re.Match, end: int) -> None:
-        self.attrs = split_top(m[1] or "")
-        self.word, self.name, self.at, self.begin, self.end = m[2], m[3], m.start(2), m.end(), end
-        self.stable = "Stable" in self.attrs
+@dataclass
+class _Declared:
+    """One declaration of a message file: its keyword's place, its brackets, and those around it."""
+
+    source: Source
+    word: int
+    outer: list[_Declared]
+
+    def __post_init__(self) -> None:
+        listed = _bracketed_before(self.source, self.word)
+        self.first = self.word if listed is None else listed
+        self.attrs = [] if listed is None else split_top(self.source.span(listed + 1, self.word - 1))
+        self.name, self.brace = self.source.said[self.word + 1], self.word + 2
+        self.end = self.source.close[self.brace]
         self.conditions = [a for a in self.attrs if a.startswith("EnableIf")]
-        self.outer: list[_Declared] = []
+        self.stable = {"stable": True} if "Stable" in self.attrs else {}
+        self.inner: list[_Declared] = []
 
     def qualified(self, module: str) -> str:
         return ".".join([*([module] if module else []), *(o.name for o in self.outer), self.name])
@@ -286,6 +347,33 @@ class _Declared:
     def all_conditions(self) -> list[str]:
         return [c for d in (*self.outer, self) for c in d.conditions]
 
+    def parts(self, mark: str) -> list[Part]:
+        """Parts of the body, without the declarations in it."""
+        return [p for p in self.source.parts(self.brace + 1, self.end, mark, {d.word: d.end + 1 for d in self.inner}) if p.said]
+
+
+def _declarations(source: Source) -> list[_Declared]:
+    found: list[_Declared] = []
+    around: list[_Declared] = []
+    for i in source.words("interface", "struct", "union", "enum"):
+        if not source.is_at(i + 2, "{") or i + 2 not in source.close or source.sort[i + 1] != "word" or (i and source.said[i - 1] not in "]{};"):
+            continue
+        while around and around[-1].end < i:
+            around.pop()
+        found.append(_Declared(source, i, list(around)))
+        if around:
+            around[-1].inner.append(found[-1])
+        around.append(found[-1])
+    return found
+
+
+def _module(source: Source) -> str:
+    for i in source.words("module"):
+        end = next((k for k in range(i + 1, len(source)) if source.said[k] == ";"), None)
+        if end is not None and (i == 0 or source.said[i - 1] in "];"):
+            return source.span(i + 1, end)
+    return ""
+
 
 def _restricted(conditions: list[str], inherited: int = 0) -> dict:
     """Conditions, what they mean for us, and which of them are an outer declaration's."""
@@ -295,89 +383,76 @@ def _restricted(conditions: list[str], inherited: int = 0) -> dict:
     return {"conditions": conditions, "platform_state": {rules.PLATFORM: state}} | ({"inherited_conditions": conditions[:inherited]} if inherited else {})
 
 
-def _call(text: str) -> dict | None:
-    """The parts of a call declaration; None if it is none."""
-    line = collapse(text)
-    lead = re.match(r"\[([^\]]*)\]\s*", line)
-    names = [k for k in (x.strip() for x in lead[1].split(",")) if k] if lead else []
-    m = re.match(r"(\w+)\s*(?:@(\d+))?\s*\(", rest := line[lead.end() :] if lead else line)
-    end = closing(rest, m.end() - 1) if m else None
-    if end is None:
-        return None
-    back = re.match(r"\s*=>\s*\(", rest[end + 1 :])
-    answer = ""
-    if back:
-        begin = end + 1 + back.end()
-        close = closing(rest, begin - 1)
-        answer = rest[begin:close] if close is not None else ""
-    return {"name": m[1], "ordinal": m[2], "params": normalize_params(rest[m.end() : end]), "response": normalize_params(answer), "attrs": names}
-
-
 def message_definitions(text: str, path: str) -> Iterator[Found]:
     """Calls of interfaces, and the structs, unions and enums that travel along them."""
-    clean = mask_comments(text)
-    module = (re.search(r"^\s*(?:\[[^\]]*\]\s*)?module\s+([\w.]+)\s*;", clean, re.M) or ["", ""])[1]
-    found, at = [], 0
-    while m := _DECLARATION.search(clean, at):
-        end = closing(clean, m.end() - 1)
-        at = m.end()
-        if end is not None:
-            found.append(_Declared(clean, m, end))
-    for d in found:
-        d.outer = [o for o in found if o.begin <= d.at and d.end < o.end]
-    for d in found:
-        whole, line = d.qualified(module), line_of(clean, d.at)
-        stable = {"stable": True} if d.stable else {}
-        body = clean[d.begin : d.end]
-        if d.word != "interface":
-            # What is nested is told apart; its offsets stay.
-            for o in found:
-                if d in o.outer:
-                    body = body[: o.at - d.begin] + _blank(body[o.at - d.begin : o.end + 1 - d.begin]) + body[o.end + 1 - d.begin :]
-        if d.word == "interface":
-            yield from _calls_of(d, body, clean, module, stable)
-        elif d.word == "enum":
-            values = [collapse(v) for v in split_top(body)]
-            values = [f"{m[1]} = {m[2]}" if m[2] else m[1] for v in values if v and (m := re.match(r"(\w+)(?:\s*=\s*(.+))?$", v))]
-            yield "mojo_enum", whole, d.name, line, {"module": module, "values": values} | stable | _restricted(d.all_conditions())
+    source = Source(text)
+    module = _module(source)
+    for d in _declarations(source):
+        whole, kind, line = d.qualified(module), source.said[d.word], source.line(d.word)
+        if kind == "interface":
+            calls = list(_calls_of(d, module))
+            yield from calls
+            names = [c[2] for c in calls]
+            yield "mojo_interface", f"{module}.{d.name}" if module else d.name, d.name, line, {"module": module, "method_count": len(names), "methods": sorted(names)} | d.stable | _restricted(d.conditions)
+        elif kind == "enum":
+            values = [" = ".join(filter(None, map(collapse, p.said.partition("=")[::2]))) for p in d.parts(",") if source.sort[p.begin] == "word" and (p.end == p.begin + 1 or source.is_at(p.begin + 1, "="))]
+            yield "mojo_enum", whole, d.name, line, {"module": module, "values": values} | d.stable | _restricted(d.all_conditions())
         else:
-            fields = list(_fields_of(d, body, clean, module, whole))
+            fields = list(_fields_of(d, module, whole))
             yield from fields
             names = [f[2] for f in fields]
-            yield "mojo_struct", whole, d.name, line, {"module": module, "mojo_kind": d.word, "field_count": len(names), "fields": sorted(names)} | stable | _restricted(d.all_conditions())
+            yield "mojo_struct", whole, d.name, line, {"module": module, "mojo_kind": kind, "field_count": len(names), "fields": sorted(names)} | d.stable | _restricted(d.all_conditions())
+
+
+def _listed(source: Source, part: Part) -> tuple[str, int]:
+    """(what a declaration's list in square brackets holds, its first token behind that list)."""
+    if source.is_at(part.begin, "[") and source.close.get(part.begin, part.end) < part.end:
+        end = source.close[part.begin]
+        return collapse(source.span(part.begin + 1, end)), end + 1
+    return "", part.begin
+
+
+def _ordinal(source: Source, i: int) -> tuple[str | None, int]:
+    """(the number behind an '@' at token i, the token after it)."""
+    return (source.said[i + 1], i + 2) if source.is_at(i, "@") and i + 1 < len(source) else (None, i)
 
 
-def _calls_of(d: _Declared, body: str, clean: str, module: str, stable: dict) -> Iterator[Found]:
-    whole, names = f"{module}.{d.name}" if module else d.name, []
-    for offset, text in parts_at(body, ";"):
-        call = _call(text)
-        if not call:
+def _calls_of(d: _Declared, module: str) -> Iterator[Found]:
+    source, whole, n = d.source, f"{module}.{d.name}" if module else d.name, 0
+    for part in d.parts(";"):
+        given, i = _listed(source, part)
+        ordinal, bracket = _ordinal(source, i + 1)
+        if i >= part.end or source.sort[i] != "word" or not source.is_at(bracket, "(") or source.close.get(bracket, part.end) >= part.end:
             continue
-        own = [a for a in split_top(",".join(call["attrs"])) if a.startswith("EnableIf")]
-        signature = f"{call['name']}({call['params']})" + (f" => ({call['response']})" if call["response"] else "")
-        attrs = {"interface": whole, "module": module, "signature": signature, "params": call["params"], "response": call["response"], "attrs": dict.fromkeys(call["attrs"], True)}
-        attrs |= ({"ordinal": call["ordinal"]} if call["ordinal"] is not None else {}) | _restricted(d.conditions + own, len(d.conditions))
-        attrs |= {"position": len(names), "stable": True} if d.stable else {}
-        names.append(call["name"])
-        yield "mojo_method", f"{whole}.{call['name']}", call["name"], line_of(clean, d.begin + offset), attrs
-    yield "mojo_interface", whole, d.name, line_of(clean, d.at), {"module": module, "method_count": len(names), "methods": sorted(names)} | stable | _restricted(d.conditions)
-
-
-def _fields_of(d: _Declared, body: str, clean: str, module: str, whole: str) -> Iterator[Found]:
-    outer, n = d.all_conditions(), 0
-    for offset, text in parts_at(body, ";"):
-        line = collapse(text)
-        lead = re.match(r"\[([^\]]*)\]\s*", line)
-        given = lead[1].strip() if lead else ""
-        what, _, default = line[lead.end() if lead else 0 :].partition("=")
-        m = re.match(r"(.+)\s+(\w+)(?:@(\d+))?$", what.strip())
-        if not m:
+        end, response = source.close[bracket], ""
+        if source.is_at(end + 1, "=>", "(") and source.close.get(end + 2, part.end) < part.end:
+            response = normalize_params(source.span(end + 3, source.close[end + 2]))
+        name, params = source.said[i], normalize_params(source.span(bracket + 1, end))
+        attrs = {"interface": whole, "module": module, "signature": f"{name}({params})" + (f" => ({response})" if response else ""), "params": params, "response": response}
+        attrs["attrs"] = {k: True for k in map(str.strip, given.split(",")) if k}
+        attrs |= ({} if ordinal is None else {"ordinal": ordinal}) | _restricted(d.conditions + [a for a in split_top(given) if a.startswith("EnableIf")], len(d.conditions))
+        attrs |= {"position": n} | d.stable if d.stable else {}
+        n += 1
+        yield "mojo_method", f"{whole}.{name}", name, source.lines.of(part.at), attrs
+
+
+def _fields_of(d: _Declared, module: str, whole: str) -> Iterator[Found]:
+    source, outer, n = d.source, d.all_conditions(), 0
+    for part in d.parts(";"):
+        given, begin = _listed(source, part)
+        equals = next((i for i in range(begin, part.end) if source.said[i] == "="), part.end)
+        numbered = source.is_at(equals - 2, "@")
+        name = equals - 3 if numbered else equals - 1
+        if name <= begin or source.sort[name] != "word":
             continue
-        version = re.search(r"\bMinVersion\s*=\s*(\d+)", given)
-        attrs = {"struct": whole, "module": module, "type": collapse(m[1]), "ordinal": m[3], "default": default.strip() or None, "attrs": given or None, "min_version": version[1] if version else None}
-        attrs |= _restricted(outer + [a for a in split_top(given) if a.startswith("EnableIf")], len(outer)) | ({"stable": True, "position": n} if d.stable else {})
+        version = parse_ext_attrs(given).get("MinVersion")
+        attrs = {
+            "struct": whole, "module": module, "type": collapse(source.span(begin, name)), "ordinal": source.said[equals - 1] if numbered else None,
+            "default": collapse(source.span(equals + 1, part.end)) or None, "attrs": given or None, "min_version": version if isinstance(version, str) and version.isdigit() else None,
+        }
+        attrs |= _restricted(outer + [a for a in split_top(given) if a.startswith("EnableIf")], len(outer)) | ({"position": n} | d.stable if d.stable else {})
         n += 1
-        yield "mojo_field", f"{whole}.{m[2]}", m[2], line_of(clean, d.begin + offset), attrs
+        yield "mojo_field", f"{whole}.{source.said[name]}", source.said[name], source.lines.of(part.at), attrs
 
 
 def _below_resources(path: str) -> list[str]:
@@ -386,86 +461,171 @@ def _below_resources(path: str) -> list[str]:
 
 def page_routes(text: str, path: str) -> Iterator[Found]:
     """Pages with their route, parent and the visibility keys whose blocks they stand in."""
-    clean, surface = mask_comments(text), _below_resources(path)[0]
-    depth, guards = 0, []  # (depth inside the block, key)
-    event = re.compile(
-        r"\bif\b[^\n]*?loadTimeData\.getBoolean\(\s*['\"](\w+)['\"][^\n]*"
-        r"|\b\w+\.([A-Z][A-Z0-9_]*)\s*=\s*(?:\w+\.([A-Z][A-Z0-9_]*)\.)?create(Child|Section)\(\s*['\"]([^'\"]+)['\"]"
-        r"|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`|[{}]",
-        re.S,
-    )
-    for m in event.finditer(clean):
-        if m[2]:
-            yield "webui_route", f"{surface}/{m[2]}", m[2], line_of(clean, m.start()), {"surface": surface, "route": m[5], "parent": m[3] or "", "route_kind": m[4].lower(), "guards": [k for _, k in guards]}
+    source, surface = Source(text), _below_resources(path)[0]
+    blocks: list[tuple[int, str]] = []  # (closing brace, key)
+    upper = lambda i: i >= 0 and source.sort[i] == "word" and source.said[i][0].isupper() and source.said[i] == source.said[i].upper()
+    for i in source.words("if", "createChild", "createSection"):
+        while blocks and blocks[-1][0] < i:
+            blocks.pop()
+        bracket = i + 1
+        if bracket not in source.close or source.said[bracket] != "(":
+            continue
+        end = source.close[bracket]
+        if source.said[i] == "if":
+            asked = next((k for k in range(bracket, end) if source.is_at(k, "loadTimeData", ".", "getBoolean", "(") and source.sort[k + 4] == "text"), None)
+            if asked is not None and source.is_at(end + 1, "{"):
+                blocks.append((source.close.get(end + 1, len(source)), source.said[asked + 4][1:-1]))
+            continue
+        # object.NAME = [object.PARENT.]create...('route')
+        parent = source.said[i - 2] if source.is_at(i - 1, ".") and upper(i - 2) else ""
+        equals = i - 5 if parent else i - 1
+        if source.is_at(equals, "=") and upper(equals - 1) and source.is_at(equals - 2, ".") and source.sort[bracket + 1] == "text" and source.said[bracket + 1][1:-1]:
+            name = source.said[equals - 1]
+            yield "webui_route", f"{surface}/{name}", name, source.line(equals - 3), {"surface": surface, "route": source.said[bracket + 1][1:-1], "parent": parent, "route_kind": source.said[i].removeprefix("create").lower(), "guards": [k for _, k in blocks]}
+
+
+def _template(text: str, path: str) -> tuple[int, int]:
+    """Where the markup of a template lies: all of an HTML file, of a script what is between the first html` and the last backtick."""
+    if not path.endswith(".html.ts"):
+        return 0, len(text)
+    at = text.find("html`")
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at = text.find("html`", at + 1)
+    if at < 0:
+        return 0, 0
+    last = text.rfind("`")
+    return at + 5, last if last > at + 5 else len(text)
+
+
+def _tags(text: str, begin: int, end: int) -> Iterator[tuple[int, str, str]]:
+    """(offset, name, attributes) of custom elements and of 'if' and '/if', comments skipped.
+
+    A custom element's name is in lower case and has a hyphen; its tag ends at the first '>'. A condition may have one in its quotes.
+    """
+    at = text.find("<", begin, end)
+    while at >= 0:
+        after = stop = at + 1
+        if text.startswith("<!--", at) and (closed := text.find("-->", at, end)) >= 0:
+            at = text.find("<", closed + 3, end)
             continue
-        if m[1] and "{" in m[0]:
-            guards.append((depth + 1, m[1]))
-        for brace in re.findall(r"[{}]", m[0]) if m[1] or m[0] in "{}" else ():
-            depth += 1 if brace == "{" else -1
-            guards = [g for g in guards if g[0] <= depth] if brace == "}" else guards
+        while stop < end and (text[stop].isalnum() or text[stop] == "-" or (stop == after and text[stop] == "/")):
+            stop += 1
+        name, tail = text[after:stop], text[stop : stop + 1]
+        custom = "-" in name and all(name.split("-")) and name.isascii() and name == name.lower() and name[0].isalpha() and (tail.isspace() or tail in ("/", ">"))
+        if custom or name in ("if", "/if"):
+            close = text.find(">", stop, end)
+            if name == "if" and (quote := text.find('"', stop, end)) >= 0 and (quote := text.find('"', quote + 1, end)) >= 0:
+                close = text.find(">", quote, end)
+            if close >= 0:
+                yield at, name, text[stop:close]
+                after = close + 1
+        at = text.find("<", after, end)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes with a value in double quotes; the mark before a bound one's name goes."""
+    out, at = {}, 0
+    while (quote := text.find('"', at)) >= 0:
+        end = text.find('"', quote + 1)
+        if end < 0:
+            break
+        head = text[at:quote].rstrip()
+        if head.endswith("="):
+            name = head[:-1].rstrip()
+            size = next((k for k, c in enumerate(reversed(name)) if not (c.isalnum() or c in "_-")), len(name))
+            if size:
+                out[name[len(name) - size :]] = text[quote + 1 : end]
+        at = end + 1
+    return out
 
 
-_TAG = re.compile(r"<([a-z][a-z0-9]*(?:-[a-z0-9]+)+)(?=[\s/>])([^>]*)>", re.S)
-_PREF = re.compile(r"(?:\{\{|\[\[)\s*prefs\.([\w.]+?)(?:\.value)?\s*(?:\}\}|\]\])|\$\{\s*(?:this\.)?prefs\.([\w.]+?)(?:\.value)?\s*\}")
+#: How a template writes a value in: opening and closing marks, and what may stand before the preferences.
+_BINDINGS = (("{{", "}}", ""), ("[[", "]]", ""), ("${", "}", "this."))
+#: Forms of a localised label: what stands between '$i18n' and its name in braces.
+_LABELS = ("", "Polymer", "Raw")
 
 
-def is_control(tag: str, pref: str, element_id: str, label: str) -> bool:
-    """Whether an element is a control: it writes a preference, is a unit of a page, or has an interactive part in its tag and an id or label."""
-    return bool(pref) or tag in rules.PAGE_UNITS or bool(element_id or label) and not set(tag.split("-")).isdisjoint(rules.CONTROL_PARTS)
+def _bound_pref(value: str) -> str:
+    """The preference that an attribute is bound to; a binding to anything else is none."""
+    for begin, end, owner in _BINDINGS:
+        for piece in value.split(begin)[1:]:
+            inner = piece.split(end, 1)[0].strip().removeprefix(owner)
+            name = inner.removeprefix("prefs.")
+            if end in piece and name != inner and name and name.replace(".", "a").replace("_", "a").isalnum():
+                return name[: -len(".value")] if name.endswith(".value") and name != ".value" else name
+    return ""
 
 
-def _template(text: str, path: str) -> str:
-    """The markup of a template: all of an HTML file; of a script what lies between html` and the last backtick, the rest blanked."""
-    if path.endswith(".html.ts"):
-        m = re.search(r"\bhtml`", text)
-        end = text.rfind("`")
-        text = "" if not m else _blank(text[: m.end()]) + text[m.end() : end if end > m.end() else len(text)]
-    return re.sub(r"<!--.*?-->", lambda c: _blank(c[0]), text, flags=re.S)
+def _message(value: str) -> str:
+    """The name of a localised label."""
+    for piece in value.split("$i18n")[1:]:
+        form, brace, rest = piece.partition("{")
+        name, close, _ = rest.partition("}")
+        if brace and close and form in _LABELS and name.replace("_", "a").isalnum():
+            return name
+    return ""
 
 
 def page_controls(text: str, path: str) -> Iterator[Found]:
-    """Controls of a template, each by preference and id, preference, id, label, or its place among those of its tag."""
-    clean, folders, name = _template(text, path), _below_resources(path), path.rsplit("/", 1)[-1]
-    file = re.sub(r"\.html(\.ts)?$", "", name) if re.search(r"\.html(\.ts)?$", name) else name.rsplit(".", 1)[0]
+    """Controls of a template, each by preference and id, preference, id, label, or its place among those of its tag.
+
+    A control writes a preference, is a unit of a page, or has an interactive part in its tag and an id or label.
+    """
+    folders, name, lines = _below_resources(path), path.rsplit("/", 1)[-1], Lines(text)
+    file = name.removesuffix(".ts").removesuffix(".html") if name.endswith((".html", ".html.ts")) else name.rpartition(".")[0]
     surface, page = folders[0], folders[1] if len(folders) >= 3 else file
-    spans, open_ = [], []
-    for m in re.finditer(r'<if\s+expr="([^"]*)"\s*>|</if>', clean):
-        if m[1] is not None:
-            open_.append((m.end(), m[1]))
-        elif open_:
-            begin, condition = open_.pop()
-            spans.append((begin, m.start(), condition))
+    tags = list(_tags(text, *_template(text, path)))
+    closed, waiting = set(), []  # conditions that end somewhere, and their ends
+    for k, (_, tag, inside) in enumerate(tags):
+        if tag == "if" and "expr" in _attributes(inside):
+            waiting.append(k)
+        elif tag == "/if" and waiting:
+            closed |= {waiting.pop(), k}
+    around: list[str] = []
     seen: dict[str, int] = {}
-    for m in _TAG.finditer(clean):
-        tag, given = m[1], {a[1]: a[2] for a in re.finditer(r'[?.@]?([\w-]+)\s*=\s*"([^"]*)"', m[2])}
-        bound = _PREF.search(given.get("pref", ""))
-        pref = given.get("pref-key", "").strip() or (bound and (bound[1] or bound[2])) or ""
-        labels = [re.search(r"\$i18n(?:Polymer|Raw)?\{(\w+)\}", given.get(k, "")) for k in ("label", "page-title", "sub-label", "aria-label")]
-        label, ident = next((x[1] for x in labels if x), ""), given.get("id", "")
-        if not is_control(tag, pref, ident, label):
+    for k, (at, tag, inside) in enumerate(tags):
+        given = _attributes(inside)
+        if tag in ("if", "/if"):
+            if k in closed:
+                around = [*around, given["expr"]] if tag == "if" else around[:-1]
             continue
-        if pref or ident or label:
-            known = f"pref:{pref}#{ident}" if pref and ident else f"pref:{pref}" if pref else f"id:{ident}" if ident else f"label:{label}"
-        else:
+        pref, ident = given.get("pref-key", "").strip() or _bound_pref(given.get("pref", "")), given.get("id", "")
+        label = next((m for k in ("label", "page-title", "sub-label", "aria-label") if (m := _message(given.get(k, "")))), "")
+        interactive = not set(tag.split("-")).isdisjoint(rules.CONTROL_PARTS)
+        if not (pref or tag in rules.PAGE_UNITS or (interactive and (ident or label))):
+            continue
+        known = f"pref:{pref}" + (f"#{ident}" if ident else "") if pref else f"id:{ident}" if ident else f"label:{label}"
+        if not (pref or ident or label):
             seen[tag] = seen.get(tag, -1) + 1
             known = f"{tag}#{seen[tag]}"
-        conditions = [c for a, b, c in spans if a <= m.start() < b]
+        conditions = around[::-1]  # the innermost first
         state = platform_state(conditions, "template")
         restricted = {"platform_state": {rules.PLATFORM: state}} if state not in (None, "compiled") else {}
-        yield "webui_control", f"{surface}/{page}/{file}/{known}", known, line_of(clean, m.start()), {"surface": surface, "page": page, "file": file, "control": tag, "pref": pref, "label": label, "element_id": ident, "build_conditions": conditions} | restricted
+        yield "webui_control", f"{surface}/{page}/{file}/{known}", known, lines.of(at), {"surface": surface, "page": page, "file": file, "control": tag, "pref": pref, "label": label, "element_id": ident, "build_conditions": conditions} | restricted
+
+
+_SETTERS = {"AddBoolean": "boolean", "AddInteger": "integer", "AddString": "string", "AddDouble": "double"}
 
 
 def visibility_gates(text: str, path: str) -> Iterator[Found]:
     """Visibility keys that a handler sets, with the features and checks in the expression."""
-    clean, handler = mask_comments(text), path.rsplit("/", 1)[-1].removesuffix(".cc")
-    for m, inner in _calls(clean, r"\bAdd(Boolean|Integer|String|Double)\s*\("):
-        args = split_top(inner)
-        key = re.match(r'"([\w.-]+)"$', args[0])
-        if key and len(args) > 1:
-            whole = collapse(",".join(args[1:]))
-            features = list(dict.fromkeys(re.findall(r"features::(k\w+)", whole)))
-            checks = sorted(set(re.findall(r"IsEnabled\s*\(\s*(?:\w+::)*features::(k\w+)", whole)))
-            yield "webui_gate", f"{handler}/{key[1]}", key[1], line_of(clean, m.start()), {"data_key": key[1], "handler": handler, "value_type": m[1].lower(), "expression": whole[:400], "features": features, "enabled_checks": checks}
+    source, handler = Source(text), path.rsplit("/", 1)[-1].removesuffix(".cc")
+    for i, bracket in source.calls(*_SETTERS):
+        args = source.parts(bracket + 1, source.close[bracket])
+        key = _string(args[0].said)
+        if not key or len(args) < 2 or not key.translate({ord(c): "a" for c in "_.-"}).isalnum():
+            continue
+        named = [k + 2 for k in range(args[1].begin, source.close[bracket]) if source.is_at(k, "features", "::") and _is_symbol(source.said[k + 2])]
+        features = list(dict.fromkeys(source.said[k] for k in named))
+        checks = sorted({source.said[k] for k in named if _is_checked(source, k - 2)})
+        yield "webui_gate", f"{handler}/{key}", key, source.line(i), {"data_key": key, "handler": handler, "value_type": _SETTERS[source.said[i]], "expression": collapse(",".join(a.said for a in args[1:]))[:400], "features": features, "enabled_checks": checks}
+
+
+def _is_checked(source: Source, i: int) -> bool:
+    """Whether what begins at token i, or a namespace before it, is the first argument of IsEnabled."""
+    while source.is_at(i - 1, "::"):
+        i -= 2
+    return source.is_at(i - 2, "IsEnabled", "(")
 
 
 Extractor = Callable[[str, str], Iterable[Found]]
@@ -491,44 +651,115 @@ def register_extractor(name: str, applies: Column, surface: str, function: Extra
     EXTRACTORS[name] = function
 
 
-def extract(corpus: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
-    """Facts of a corpus (snapshot_id, path, text), with the extractor; a failed file's row has an error and no kind.
+def _kept(known: dict[str, Extractor], r: dict) -> list[tuple]:
+    """The rows of one file and extractor: its facts, and one that tells how many there are or what went wrong."""
+    rows: list[tuple] = []
+    error = r["error"] or (UNREADABLE if r["text"] is None else None)
+    read = error is None
+    if read:
+        try:
+            for kind, key, name, line, attrs in known[r["extractor"]](r["text"], r["path"]):
+                values = [(k, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for k, v in sorted(attrs.items()) if v is not None]
+                rows.append((r["snapshot_id"], r["extractor"], kind, key, name, r["path"], line, values, None, None, None))
+        except Exception as e:  # one bad file must not fail the job; its error is a row
+            rows, error = [], f"{type(e).__name__}: {e}"
+    return [*rows, (r["snapshot_id"], r["extractor"], None, None, None, r["path"], None, None, len(rows) if read else None, r["size"], error)]
+
+
+def extract(corpus: DataFrame, extractors: dict[str, Extractor] | None = None, routes: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Facts of a corpus (snapshot_id, path, text), with the extractor, and a status row for each file and extractor.
 
     Files are routed by path before their text is read; those that are no product source are
-    left out. A null text is a file that could not be read. Values become canonical JSON; nulls
-    are dropped.
+    left out. A status row has no kind but ``n_facts``, the file's ``size`` (in bytes, where the
+    corpus has it) and ``error``: null, what an extractor raised (then its facts of that file are
+    dropped and ``n_facts`` is 0), or why the file could not be read (the corpus's ``error``, else
+    ``UNREADABLE``; ``n_facts`` is null). A file without facts has a status row like any other.
+    Values become canonical JSON; nulls are dropped. ``extractors`` and ``routes`` (name to surface and
+    condition on ``path``) stand for what is registered: T1 as values, for one call.
     """
     known = dict(EXTRACTORS if extractors is None else extractors)
+    names = [c.split()[0] for c in _SCHEMA.split(", ")]
+    kinds = [pa.string()] * 6 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                try:
-                    if r["text"] is None:
-                        raise OSError("not readable")
-                    made = []
-                    for kind, key, name, line, attrs in known[r["extractor"]](r["text"], r["path"]):
-                        values = [(k, json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False)) for k, v in sorted(attrs.items()) if v is not None]
-                        made.append((r["snapshot_id"], r["extractor"], kind, key, name, r["path"], line, values, None))
-                    rows += made
-                except Exception as e:  # one bad file must not fail the job; its error is a row
-                    rows.append((r["snapshot_id"], r["extractor"], None, None, None, r["path"], None, None, f"{type(e).__name__}: {e}"))
-            kinds = [pa.string()] * 6 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.string()]
-            columns = list(zip(*rows, strict=True)) or [[]] * 9
-            names = ["snapshot_id", "extractor", "kind", "key", "name", "path", "line", "attrs", "error"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    routed = coverage.route_files(coverage.in_scope(corpus)).where(F.col("extractor").isin(*known)).select("snapshot_id", "extractor", "path", "text")
-    return routed.mapInArrow(run, _SCHEMA)
-
-
-def extract_stats(found: DataFrame) -> DataFrame:
-    """Facts before deduplication and failed files, by extractor."""
-    return found.groupBy("snapshot_id", "extractor").agg(F.count("kind").alias("n_facts"), F.count("error").alias("n_errors"))
-
-
-def build_snapshot(corpus: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(facts, statistics) of a corpus: E1 to E11, then J11 and A1 to A4; with a scope only its files are read."""
-    found = extract(corpus if scope is None else coverage.reaches(corpus, scope))
-    return dedupe_facts(found.where("error is null").drop("extractor", "error")), extract_stats(found)
+            rows: list[tuple] = []
+            for i in range(batch.num_rows):  # one file's text at a time
+                rows += _kept(known, batch.slice(i, 1).to_pylist()[0])
+                if len(rows) > 5000 or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
+
+    extra = [F.col(c) if c in corpus.columns else F.lit(None).cast(t).alias(c) for c, t in (("size", "long"), ("error", "string"))]
+    routed = coverage.route_files(coverage.in_scope(corpus.select("snapshot_id", "path", "text", *extra)), routes).where(F.col("extractor").isin(*known))
+    return routed.select("snapshot_id", "extractor", "path", "text", "size", "error").mapInArrow(run, _SCHEMA)
+
+
+def facts_of(found: DataFrame) -> DataFrame:
+    """The facts among the rows of ``extract``."""
+    return found.where("kind is not null").select("snapshot_id", "kind", "key", "name", "path", "line", "attrs")
+
+
+def file_status(found: DataFrame) -> DataFrame:
+    """(snapshot_id, extractor, path, n_facts, size, error): one row for each file and extractor that reads it."""
+    return found.where("kind is null").select("snapshot_id", "extractor", "path", "n_facts", "size", "error")
+
+
+def extract_stats(status: DataFrame, extractors: dict[str, Extractor] | None = None, snapshots: DataFrame | None = None) -> DataFrame:
+    """Facts before deduplication, files read and files that failed, by extractor, of ``file_status``.
+
+    Every extractor has a row in each snapshot (of ``snapshots``, else of ``status``), also one that no file was routed to.
+    """
+    names = F.explode(F.array(*map(F.lit, EXTRACTORS if extractors is None else extractors)))
+    every = (status if snapshots is None else snapshots).select("snapshot_id").distinct().withColumn("extractor", names)
+    got = status.groupBy("snapshot_id", "extractor").agg(F.sum("n_facts").alias("n_facts"), F.count("n_facts").alias("n_files"), F.count("error").alias("n_errors"))
+    return every.join(got, ["snapshot_id", "extractor"], "left").na.fill(0, ["n_facts", "n_files", "n_errors"])
+
+
+def file_totals(status: DataFrame) -> DataFrame:
+    """(snapshot_id, n_files, n_errors): files that were read; files that could not be, each once, and failures of extractors."""
+    unread = F.max(F.col("n_facts").isNull().cast("long"))
+    per_file = status.groupBy("snapshot_id", "path").agg(unread.alias("u"), F.count_if(F.col("n_facts").isNotNull() & F.col("error").isNotNull()).alias("f"))
+    return per_file.groupBy("snapshot_id").agg(F.sum(1 - F.col("u")).alias("n_files"), F.sum(F.col("u") + F.col("f")).alias("n_errors"))
+
+
+class Snapshot(NamedTuple):
+    """What a corpus says: deduplicated facts, statistics by extractor, a status row a file and extractor, and the header."""
+
+    facts: DataFrame
+    stats: DataFrame
+    status: DataFrame
+    header: DataFrame
+
+
+def snapshot_header(versions: DataFrame, corpus: DataFrame, status: DataFrame, scope: DataFrame | None = None, created: str | None = None) -> DataFrame:
+    """Headers worked out from what was read: a row for each of ``versions`` (snapshot_id, ref, target_set, partitions, complete).
+
+    The milestone is the reference's; ``parse_errors`` are those of ``file_totals``; a target of the
+    scope is missing if no file of the corpus is it or lies below it (one whose row says that
+    it is missing is none). Without a scope no target is missing.
+    """
+    errors = file_totals(status).select("snapshot_id", F.col("n_errors").cast("int").alias("parse_errors"))
+    out = versions.join(errors, "snapshot_id", "left")
+    if scope is None:
+        out = out.withColumn("missing_targets", F.array().cast("array<string>"))
+    else:
+        there = corpus.where(F.coalesce(F.col("error"), F.lit("")) != "missing") if "error" in corpus.columns else corpus
+        lost = coverage.absent_targets(scope, there.select("snapshot_id", "path")).groupBy("snapshot_id").agg(F.array_sort(F.collect_set("path")).alias("missing_targets"))
+        out = out.join(lost, "snapshot_id", "left")
+    at = F.current_timestamp() if created is None else F.lit(created).cast("timestamp")
+    return out.select(
+        "snapshot_id", "ref", milestone_from_ref(F.col("ref")).cast("int").alias("milestone"), at.alias("created"), "target_set", F.array_sort(F.coalesce("partitions", F.array().cast("array<string>"))).alias("partitions"),
+        F.coalesce("complete", F.lit(False)).alias("complete"), F.coalesce("missing_targets", F.array().cast("array<string>")).alias("missing_targets"), F.coalesce("parse_errors", F.lit(0)).alias("parse_errors"), F.lit(SCHEMA_VERSION).alias("schema"),
+    )
+
+
+def build_snapshot(corpus: DataFrame, versions: DataFrame, scope: DataFrame | None = None, extractors: dict[str, Extractor] | None = None) -> Snapshot:
+    """Snapshots of a corpus: E1 to E11, then J11 and A1 to A4, and the header; with a scope only its files are read.
+
+    The corpus is parsed once: what extractors found is stored and read for facts and status.
+    """
+    found = stored(extract(corpus if scope is None else coverage.reaches(corpus, scope), extractors), "extracted")
+    status = file_status(found)
+    stats = extract_stats(status, extractors, versions)
+    return Snapshot(dedupe_facts(facts_of(found)), stats, status, snapshot_header(versions, corpus, status, scope))

@@ -3,7 +3,7 @@
 Every kind is one SELECT that Spark and DuckDB both run: a row per raw declaration. For DuckDB the
 attributes lie in flat columns (null: missing); for Spark they are the attribute map. Version 1
 lacks ids divisible by 11, version 2 those divisible by 13; version 2 changes states, paths,
-keys and identifiers at other divisors.
+keys and identifiers at other divisors. Versions 3 and 4 go on in the same way.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ def json_text(column: str, value: str) -> str:
 _DIR = "CASE ({0}) % 6 WHEN 0 THEN 'chrome/browser/ui' WHEN 1 THEN 'components/prefs/android' WHEN 2 THEN 'content/public' WHEN 3 THEN 'ash/system' WHEN 4 THEN 'third_party/blink/common' ELSE 'chrome/browser/resources/settings' END"
 
 
+#: A version lacks the ids divisible by its number.
+LACKS = {1: 11, 2: 13, 3: 17, 4: 19}
+
+
 @dataclass
 class Kind:
     """One kind's rows of one version."""
@@ -58,9 +62,9 @@ class Kind:
 
     def sql(self, flat: bool) -> str:
         v = self.version
-        moved = f"({self.id}) + (CASE WHEN {v} = 2 AND ({self.id}) % 17 = 0 THEN 1 ELSE 0 END)"
+        moved = f"({self.id}) + (CASE WHEN {v} % 2 = 0 AND ({self.id}) % 17 = 0 THEN 1 ELSE 0 END)"
         path = f"concat({_DIR.format(moved)}, '/', {self.file})"
-        kept = f"({self.id}) % {11 if v == 1 else 13} <> 0" + (f" AND {self.where}" if self.where else "")
+        kept = f"({self.id}) % {LACKS[v]} <> 0" + (f" AND {self.where}" if self.where else "")
         if flat:
             cells = ", ".join(f"{self.attrs.get(c, 'CAST(NULL AS STRING)')} AS a_{c}" for c in COLUMNS)
         else:
@@ -74,7 +78,7 @@ def _text(number: str) -> str:
 
 
 def _version(v: int) -> list[Kind]:
-    new = v == 2
+    new = v % 2 == 0
     part, flag, member = "p_partkey", "s_suppkey", "(l_suppkey % 25 * 300 + l_partkey % 300)"
     renamed = lambda id_, by, a, b: f"CASE WHEN {id_} % {by} = 0 THEN {b} ELSE {a} END" if new else a
     step = lambda id_, by: f"CASE WHEN {id_} % {by} = 0 THEN {v} ELSE 0 END"
@@ -107,6 +111,10 @@ def _version(v: int) -> list[Kind]:
 
 KINDS = [*_version(1), *_version(2)]
 FLAT = " UNION ALL ".join(k.sql(True) for k in KINDS)
+#: Four versions in a chain, and the pairs of them that are compared.
+CHAIN = [k for v in LACKS for k in _version(v)]
+CHAIN_FLAT = " UNION ALL ".join(k.sql(True) for k in CHAIN)
+CHAIN_PAIRS = [(f"v{a}-v{b}", f"v{a}", f"v{b}") for a, b in ((1, 2), (2, 3), (3, 4), (1, 4), (4, 2))]
 
 
 def duckdb_sql(text: str) -> str:
@@ -120,9 +128,14 @@ def read_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", text))
 
 
-def raw_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw declarations of both versions in the fact schema."""
-    return read_sql(spark, sf_dir, " UNION ALL ".join(k.sql(False) for k in KINDS))
+def raw_facts(spark: SparkSession, sf_dir: str, chain: bool = False) -> DataFrame:
+    """Raw declarations of both versions, or of all four of the chain, in the fact schema."""
+    return read_sql(spark, sf_dir, " UNION ALL ".join(k.sql(False) for k in (CHAIN if chain else KINDS)))
+
+
+def chain_pairs(spark: SparkSession) -> DataFrame:
+    """The pairs of the chain."""
+    return spark.createDataFrame(CHAIN_PAIRS, "pair_id string, from_id string, to_id string")
 
 
 def headers(spark: SparkSession) -> DataFrame:

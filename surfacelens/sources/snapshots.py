@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..common import stored
 from ..schema import SCHEMA_VERSION
 
 _FACT = "struct<kind:string,key:string,name:string,path:string,line:int,attrs:map<string,string>>"
@@ -26,46 +27,52 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return headers, facts
 
 
-def snapshot_key(headers: DataFrame) -> DataFrame:
-    """What a stored snapshot may stand in for: reference, target set, sorted partitions, completeness."""
-    return headers.withColumn("cache_key", F.concat_ws("|", "ref", "target_set", F.array_join(F.array_sort(F.coalesce("partitions", F.array().cast("array<string>"))), ","), F.coalesce("complete", F.lit(False)).cast("string")))
-
-
-def write_snapshot(facts: DataFrame, headers: DataFrame, path: str) -> None:
-    """Facts by what their snapshot covers (``cache_key``) and by snapshot; only those in ``facts`` are replaced, each at once.
-
-    A snapshot of a part of the tree never takes the place of a wider one, as its key differs.
-    """
-    keys = snapshot_key(headers).select("snapshot_id", "cache_key").distinct()
-    some = facts.join(F.broadcast(keys), "snapshot_id")  # as many rows as snapshots
-    some.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("cache_key", "snapshot_id").parquet(path)
-
-
-def read_facts(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Stored facts; with ``wanted`` (headers) only those whose stored snapshot covers exactly the same."""
-    rows = spark.read.parquet(path)
-    if wanted is not None:
-        rows = rows.join(F.broadcast(snapshot_key(wanted).select("snapshot_id", "cache_key").distinct()), ["snapshot_id", "cache_key"], "left_semi")
-    return rows.drop("cache_key")
-
-
 def fresh_snapshots(headers: DataFrame, version: int = SCHEMA_VERSION) -> tuple[DataFrame, DataFrame]:
     """S3: (snapshots written at this schema version, ids of those to build again)."""
     good = headers.where(F.col("schema") == version)
     return good, headers.select("snapshot_id").join(good.select("snapshot_id"), "snapshot_id", "left_anti")
 
 
-def read_corpus(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    """(snapshot_id, path, text, error) of all files below ``path``; bytes that are no UTF-8 are replaced.
+def list_files(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
+    """(snapshot_id, path, size) of all files below ``path``, empty and hidden ones too.
 
-    A file that can't be read has a null text and an error, and is counted rather than fatal:
-    files that vanish or are cut short while they are read are such rows.
+    Spark's own file sources leave both out. The names pass through the driver, as those of Spark's
+    file index do; for trees of many millions of files hand ``read_corpus`` a listing instead.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = fs.makeQualified(root).toString().rstrip("/") + "/"
+    found, files = [], fs.listFiles(root, True)
+    while files.hasNext():
+        one = files.next()
+        name = one.getPath().toString().removeprefix(base)
+        if not name.endswith(".crc") or not name.rsplit("/", 1)[-1].startswith("."):
+            found.append((snapshot_id, name, one.getLen()))
+    return spark.createDataFrame(found, "snapshot_id string, path string, size long")
+
+
+def read_corpus(spark: SparkSession, path: str, snapshot_id: str, listing: DataFrame | None = None) -> DataFrame:
+    """(snapshot_id, path, text, size, error): a row for every file of the listing, and for each that was read.
+
+    ``listing`` has the paths that should be there; without one it is what is found below
+    ``path``. Bytes that are no UTF-8 are replaced. A file is read by the task that has it,
+    guarded: one that fails (a wrong checksum, cut short, no permission) or has vanished since it
+    was listed ends neither the task nor the job. Such a file's row has a null text and an error;
+    an empty file has an empty text. What was read is stored once, and listed files without a read are
+    found by their paths alone, so texts are neither shuffled nor read twice.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(path)
     root = re.sub("^[a-z]+:/*", "/", path.rstrip("/") + "/")
     place = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), root, -1)
-    broken = F.col("content").isNull() | (F.length("content") != F.col("length"))
-    return rows.select(F.lit(snapshot_id).alias("snapshot_id"), place.alias("path"), F.when(~broken, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.when(broken, "not readable").alias("error"))
+    whole = F.length("content") == F.col("length")
+    read = rows.select(place.alias("path"), F.when(whole, F.make_valid_utf8(F.col("content").cast("string"))).alias("text"), F.col("length").alias("size"), F.when(~whole, "cut short").alias("error"))
+    read = stored(read, "corpus")
+    # What is there now: also the empty files, which Spark's file index leaves out.
+    there = list_files(spark, path, snapshot_id).select("path", "size")
+    files = there if listing is None else listing.select("path").distinct().join(there, "path", "left")
+    error = F.when(F.col("size").isNull(), "missing").when(F.col("size") > 0, "not readable")
+    lost = files.join(read.select("path"), "path", "left_anti").select("path", F.when(F.col("size") == 0, "").alias("text"), "size", error.alias("error"))
+    return read.unionByName(lost).select(F.lit(snapshot_id).alias("snapshot_id"), "path", "text", "size", "error")
 
 
 def read_listing(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from surfacelens.operators import enrich
-from surfacelens.sources import extractors, snapshots
+from surfacelens.functions import lexer
+from surfacelens.operators import diff, enrich, facts
+from surfacelens.plans import corpus as made
+from surfacelens.sources import extractors, fixtures, snapshots, store
 
 FILES = {
     "chrome/common/pref_names.cc": '// char kNo[] = "no";\nconst char kA[] = "a.b";\n#if BUILDFLAG(IS_MAC)\ninline constexpr char kM[] = "m";\n#else\nconst char kW[] = "w";\n#endif\n',
@@ -33,8 +38,9 @@ def test_extractors(spark):
     assert {k for t, k in got if t == "webui_control"} == {"settings/a_page/a_page/pref:a.b#t"}
     gate = got["webui_gate", "b_handler/showP"][1]
     assert gate["features"] == ["kFoo", "kBar"] and gate["enabled_checks"] == ["kFoo"]
-    stats = {r["extractor"]: (r["n_facts"], r["n_errors"]) for r in extractors.extract_stats(extractors.extract(corpus)).collect()}
-    assert stats["flags_metadata"] == (1, 1)
+    status = extractors.file_status(extractors.extract(corpus))
+    stats = {r["extractor"]: (r["n_facts"], r["n_files"], r["n_errors"]) for r in extractors.extract_stats(status).collect()}
+    assert stats["flags_metadata"] == (1, 2, 1) and stats["mojom"] == (0, 0, 0) and len(stats) == len(extractors.EXTRACTORS)
 
 
 def test_snapshot_files(spark, tmp_path):
@@ -43,16 +49,6 @@ def test_snapshot_files(spark, tmp_path):
     assert facts.first()[:6] == ("v1", "pref", "k", "k", "", 0)
     good, again = snapshots.fresh_snapshots(headers, 41)
     assert good.count() == 0 and again.count() == 1
-    wide, narrow = headers, headers.withColumn("partitions", F.array(F.lit("ui")))
-    for some in (wide, narrow, wide):
-        snapshots.write_snapshot(facts, some, str(tmp_path / "out"))
-    snapshots.write_snapshot(facts.withColumn("snapshot_id", F.lit("v2")), headers.withColumn("snapshot_id", F.lit("v2")), str(tmp_path / "out"))
-    assert snapshots.read_facts(spark, str(tmp_path / "out")).count() == 3 and snapshots.read_facts(spark, str(tmp_path / "out"), narrow).count() == 1
-    (tmp_path / "tree" / "a").mkdir(parents=True)
-    (tmp_path / "tree" / "a" / "b.txt").write_bytes(b"x\xff")
-    assert [tuple(r) for r in snapshots.read_corpus(spark, str(tmp_path / "tree"), "v1").collect()] == [("v1", "a/b.txt", "x\ufffd", None)]
-    unread = spark.createDataFrame([("v1", "a/b.mojom", None)], "snapshot_id string, path string, text string")
-    assert extractors.extract(unread).first()["error"] == "OSError: not readable"
     (tmp_path / "l.txt").write_text("a/b\n\nc\n")
     assert snapshots.read_listing(spark, str(tmp_path / "l.txt"), "v1").count() == 2
     (tmp_path / "b.json").write_text(")]}'\n" + json.dumps({"Enabled": [{"name": "New Thing", "id": 1, "summary": "word " * 100}]}))
@@ -70,3 +66,171 @@ def test_versions(spark):
     assert {r[0]: r[1] for r in enrich.latest_version_per_milestone(v).collect()} == {151: "151.0.10.0", 152: "152.1.1.1"}
     s = spark.createDataFrame([(1, 3), (None, 5), (3, 3), (1, 20), (1, None)], "start int, end int")
     assert [r[0] for r in enrich.milestone_span(s).select("milestones").collect()] == [[2, 3], [5], [3], list(range(13, 21)), []]
+
+
+FACT = "snapshot_id string, kind string, key string, name string, path string, line int, attrs map<string,string>"
+WANTED = "snapshot_id string, ref string, target_set string, partitions array<string>, complete boolean"
+
+
+def test_every_file_is_a_row(spark, tmp_path):
+    root = tmp_path / "tree"
+    (root / "a").mkdir(parents=True)
+    (root / "a" / "b_features.cc").write_bytes(b"x\xff")
+    (root / "a" / ".hidden_features.cc").write_text("x")
+    odd = made.spoil(spark, str(root))
+    rows = {r["path"]: r for r in snapshots.read_corpus(spark, str(root), "v1").collect()}
+    assert set(rows) == {"a/b_features.cc", "a/.hidden_features.cc", *odd[:2]}
+    assert rows["a/b_features.cc"][2:] == ("x\ufffd", 2, None) and rows["odd/empty.cc"][2:] == ("", 0, None)
+    assert rows["odd/broken.cc"]["text"] is None and rows["odd/broken.cc"]["error"] == "not readable" and rows["odd/broken.cc"]["size"] == 22
+    listing = spark.createDataFrame([(p,) for p in ["a/b_features.cc", *odd, odd[0]]], "path string")
+    got = {r["path"]: r["error"] for r in snapshots.read_corpus(spark, str(root), "v1", listing).collect()}
+    assert got == {"a/b_features.cc": None, "odd/broken.cc": "not readable", "odd/empty.cc": None, "odd/gone.cc": "missing"}
+
+
+def test_status_and_header(spark):
+    rows = [
+        ("v1", "a/x_features.cc", 'BASE_FEATURE(kA, "A", base::FEATURE_ENABLED_BY_DEFAULT);', 55, None), ("v1", "a/empty_features.cc", "", 0, None),
+        ("v1", "a/y_features.cc", None, 7, "not readable"), ("v1", "a/z_switches.cc", None, None, "missing"), ("v1", "a/flag-metadata.json", "[ {", 3, None), ("v1", "a/plain.txt", None, 1, "not readable"),
+    ]
+    corpus = spark.createDataFrame(rows, "snapshot_id string, path string, text string, size long, error string")
+    scope = spark.createDataFrame([("v1", "a", True, None), ("v1", "b/", True, None), ("v1", "a/x_features.cc", False, None), ("v1", "a/z_switches.cc", False, None)], "snapshot_id string, path string, is_tree boolean, suffixes array<string>")
+    wanted = spark.createDataFrame([("v1", "151.0.1.2", "t", ["b", "a"], True), ("v2", "r", "t", None, None)], WANTED)
+    built = extractors.build_snapshot(corpus, wanted, scope)
+    status = {(r["extractor"], r["path"]): r for r in built.status.collect()}
+    assert status["base_features", "a/x_features.cc"][3:] == (1, 55, None) and status["base_features", "a/empty_features.cc"][3:] == (0, 0, None)
+    assert status["base_features", "a/y_features.cc"][3:] == (None, 7, "not readable") and status["flags_metadata", "a/flag-metadata.json"]["n_facts"] == 0
+    # The unreadable switches file is read by two extractors and counts once; the text file by none.
+    assert [tuple(r) for r in extractors.file_totals(built.status).collect()] == [("v1", 3, 3)]
+    header = {r["snapshot_id"]: r for r in built.header.collect()}
+    assert header["v1"]["milestone"] == 151 and header["v1"]["parse_errors"] == 3 and header["v1"]["missing_targets"] == ["a/z_switches.cc", "b/"] and header["v1"]["partitions"] == ["a", "b"]
+    assert header["v2"]["parse_errors"] == 0 and header["v2"]["complete"] is False and header["v2"]["missing_targets"] == []
+    stats = {(r["snapshot_id"], r["extractor"]): r[2:] for r in built.stats.collect()}
+    assert stats["v1", "base_features"] == (1, 2, 2) and stats["v2", "mojom"] == (0, 0, 0)
+    none = extractors.build_snapshot(corpus.limit(0), wanted, scope)
+    assert none.facts.count() == 0 and none.header.count() == 2
+
+
+def some_facts(spark, v, n, value="x"):
+    return spark.createDataFrame([(v, "pref", f"k{i}", f"k{i}", "a/b.cc", i, {"var": f'"{value}"'}) for i in range(n)], FACT)
+
+
+def headers_of(spark, v, partitions=()):
+    return spark.createDataFrame([(v, "r", "t", list(partitions), True)], WANTED)
+
+
+def test_store(spark, tmp_path):
+    path = str(tmp_path / "s")
+    assert store.write_snapshot(some_facts(spark, "v1", 5), headers_of(spark, "v1"), path, 3) == 1
+    old = store.read_facts(spark, path)
+    store.write_snapshot(some_facts(spark, "v2", 4).unionByName(some_facts(spark, "v9", 9)), headers_of(spark, "v2"), path)
+    store.write_snapshot(some_facts(spark, "v1", 3), headers_of(spark, "v1", ["ui"]), path)  # a part never stands in for the whole
+    assert store.read_facts(spark, path).groupBy("snapshot_id").count().orderBy("snapshot_id").collect() == [("v1", 8), ("v2", 4)]
+    assert store.read_facts(spark, path, headers_of(spark, "v1")).count() == 5 and store.read_facts(spark, path, headers_of(spark, "v8")).count() == 0
+    store.write_snapshot(some_facts(spark, "v1", 2), headers_of(spark, "v1"), path)
+    store.write_snapshot(some_facts(spark, "v3", 0), headers_of(spark, "v3"), path)
+    assert old.count() == 5 and store.read_facts(spark, path, headers_of(spark, "v1")).count() == 2 and store.read_headers(spark, path).count() == 4
+    assert store.read_facts(spark, path, headers_of(spark, "v3")).count() == 0
+    assert len(store.vacuum(spark, path)) == 1 and store.read_facts(spark, path).count() == 9
+    assert store.read_facts(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_readers_see_one_commit(spark, tmp_path):
+    path, seen, done = str(tmp_path / "s"), [], threading.Event()
+    store.write_snapshot(some_facts(spark, "v1", 40, "c0"), headers_of(spark, "v1"), path)
+
+    def write():
+        for k in (1, 2, 3):
+            store.write_snapshot(some_facts(spark, "v1", 40 + k, f"c{k}"), headers_of(spark, "v1"), path)
+        done.set()
+
+    writer = threading.Thread(target=write)
+    writer.start()
+    while not done.is_set() or not seen:
+        seen.append([tuple(r) for r in store.read_facts(spark, path).groupBy(F.col("attrs")["var"]).count().collect()])
+    writer.join()
+    assert all(s in [[(f'"c{k}"', 40 + k)] for k in range(4)] for s in seen), seen
+
+
+def test_lost_race_is_tried_again(spark, tmp_path, monkeypatch):
+    path, known = str(tmp_path / "s"), store._current
+    store.write_snapshot(some_facts(spark, "v1", 1), headers_of(spark, "v1"), path)
+    stale = iter([known(store._Folder(spark, path))] * 2)
+    store.write_snapshot(some_facts(spark, "v2", 2), headers_of(spark, "v2"), path)
+    monkeypatch.setattr(store, "_current", lambda folder: next(stale, None) or known(folder))
+    assert store.write_snapshot(some_facts(spark, "v3", 3), headers_of(spark, "v3"), path) == 3
+    assert store.read_facts(spark, path).count() == 6
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_one_shuffle_for_many_pairs_and_none_on_buckets(spark, tmp_path):
+    rows = facts.dedupe_facts(fixtures.raw_facts(spark, "/root/testdata/sf0.001", True))
+    rows.write.parquet(str(tmp_path / "facts"))
+    rows, pairs = spark.read.parquet(str(tmp_path / "facts")), fixtures.chain_pairs(spark)
+    joined = diff.join_pair(rows, pairs)
+    assert exchanges(joined) == 1
+    wanted = spark.createDataFrame([(f"v{k}", f"15{k}.0.0.1", "t", None, True) for k in range(1, 5)], WANTED)
+    store.write_snapshot(rows, wanted, str(tmp_path / "store"))
+    bucketed = diff.join_pair(store.read_facts(spark, str(tmp_path / "store")), pairs)
+    assert exchanges(bucketed) == 0 and bucketed.count() == joined.count()
+    # All pairs at once are what each pair is by itself.
+    text = F.to_json(F.struct("change_type", "kind", "key", "name", "deltas", "signals", "severity", "paths", "locations"))
+    every = {(r[0], r[1]) for r in diff.compare(rows, None, pairs).select("pair_id", text).collect()}
+    one = {(r[0], r[1]) for r in diff.compare(rows, None, pairs.where("pair_id = 'v4-v2'")).select("pair_id", text).collect()}
+    assert one == {x for x in every if x[0] == "v4-v2"} and len({p for p, _ in every}) == 5 and len(one) > 1000
+
+
+def test_registry_as_a_value_and_registered(spark, monkeypatch):
+    def lines(text, path):
+        for n, line in enumerate(text.splitlines(), 1):
+            yield "note", line, line, n, {"size": len(line), "none": None}
+
+    corpus = spark.createDataFrame([("v1", "a/b.note", "x\ny"), ("v1", "a/c.txt", "z")], "snapshot_id string, path string, text string")
+    found = extractors.extract(corpus, {"notes": lines}, {"notes": ("notes", F.col("path").endswith(".note"))})
+    assert sorted((r["key"], r["line"], r["attrs"]) for r in extractors.facts_of(found).collect()) == [("x", 1, {"size": "1"}), ("y", 2, {"size": "1"})]
+    assert "notes" not in extractors.EXTRACTORS
+    monkeypatch.setattr(extractors, "EXTRACTORS", dict(extractors.EXTRACTORS))
+    monkeypatch.setattr(extractors.coverage, "ADDED_ROUTES", {})
+    extractors.register_extractor("notes", F.col("path").endswith(".note"), "notes", lines)
+    assert extractors.facts_of(extractors.extract(corpus)).count() == 2
+    with pytest.raises(ValueError):
+        extractors.register_extractor("notes", F.lit(True), "notes", lines)
+
+
+def test_lexer():
+    source = lexer.Source('a(b, "x)\\"", [c], d<e, f>) /* { */ {\r\n#if X // }\n  "é", \'}\' } ) (')
+    assert [p.said for p in source.parts(2, source.close[1])] == ["b", '"x)\\""', "[c]", "d<e, f>"]
+    brace = source.said.index("{")
+    assert source.said[source.close[brace]] == "}" and "#if X" in [s.strip() for s in source.said] and source.line(source.close[brace]) == 3
+    last = len(source) - 1
+    assert source.said[last] == "(" and last not in source.close
+    assert [p.said for p in lexer.Source("").parts(0, 0)] == [""]
+
+
+def test_extractors_on_odd_texts():
+    flags = lambda text: {f[1]: f[4] for f in extractors.feature_flags(text, "p")}
+    nested = "#if BUILDFLAG(IS_WIN)\r\n#if defined(X)\r\nBASE_FEATURE(kA,\r\n  \"Ä\", base::FEATURE_ENABLED_BY_DEFAULT);\r\n#else\r\nBASE_FEATURE(kB, base::FEATURE_DISABLED_BY_DEFAULT);\r\n#endif\r\n#endif\r\nBASE_FEATURE(kOpen, \"O\""
+    got = flags(nested)
+    assert got["Ä"]["conditions"] == ["defined(X)", "BUILDFLAG(IS_WIN)"] and got["B"]["conditions"] == ["!(defined(X))", "BUILDFLAG(IS_WIN)"] and set(got) == {"Ä", "B"}
+    assert flags("const base::FeatureParam<std::map<int, int>> kP{&ns::kF, \"p\", {1, 2}};")["kF/p".replace("kF", "F")]["type"] == "std::map<int, int>"
+    calls = list(extractors.message_definitions("module a.b;\ninterface I { [Sync] Go(map<string, array<int32>> x) => (); enum E { kA = 1 }; };\nstruct Broken { int32 a", "p"))
+    assert {f[1] for f in calls} == {"a.b.I", "a.b.I.Go", "a.b.I.E"}
+    members = list(extractors.web_definitions("callback interface C { undefined f(); };\ninterface mixin M { static attribute long x; async iterable<long>; };\ninterface Open {", "p"))
+    assert [(f[1], f[4].get("idl_kind", f[4].get("member_type"))) for f in members] == [("C", "callback interface"), ("C.f", "operation"), ("M", "interface mixin"), ("M.x", "field"), ("M.async iterable", "declarative")]
+    controls = list(extractors.page_controls('<if expr="a > b"><cr-toggle id="x"></cr-toggle></if><if expr="open"><cr-toggle id="y"></cr-toggle><!-- <cr-toggle id="z">', "chrome/browser/resources/s/p.html"))
+    assert [(f[1], f[4]["build_conditions"]) for f in controls] == [("s/p/p/id:x", ["a > b"]), ("s/p/p/id:y", []), ("s/p/p/id:z", [])]
+
+
+@pytest.mark.parametrize(
+    ("function", "piece"),
+    [(extractors.feature_flags, '#if BUILDFLAG(IS_WIN)\nBASE_FEATURE(kF%d, "F%d", base::FEATURE_ENABLED_BY_DEFAULT);\n#endif\n'), (extractors.page_controls, '<if expr="is_win"><cr-toggle id="t%d" label="%d"></cr-toggle></if>\n'), (extractors.message_definitions, "struct S%d { int32 a%d; };\n"), (extractors.visibility_gates, 's->AddBoolean("k%d", features::kX%d);\n')],
+)
+def test_extractors_are_linear(function, piece):
+    took = []
+    for n in (2000, 16000):
+        text, began = "".join(piece % (i, i) for i in range(n)), time.perf_counter()
+        assert sum(1 for _ in function(text, "a/b.html")) >= n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0], took
