@@ -15,8 +15,9 @@ history's probabilities sum to exactly 1 over the vocabulary and one class of un
 has what the discounted single words leave over.
 
 Count tables are partitioned by word, and by history for n-grams; a history with more than a
-partition's share of all tokens is split by follower. A word is known by a number that its
-partition gives it, so different words never share a count. Before n-grams of an order above two
+partition's share of all tokens is split by follower. A word is told from others by a 64-bit hash
+of its bytes, and known by a number that its partition gives that hash; two words share a count
+only where their hashes meet. Before n-grams of an order above two
 are counted in full, a table of their fingerprints (40 bits within a partition) tells which of them
 may occur twice at all.
 """

@@ -19,6 +19,8 @@ from pyspark.sql import types as T
 
 #: Blocks of a source: at most so many, of at least so many tokens.
 MAX_BLOCKS, MIN_BLOCK_TOKENS = 4096, 65_536
+#: Rows of blocks that are broadcast: some 50 MB.
+BROADCAST_ROWS = 1 << 19
 
 
 def weights_at(tokens: dict[str, int], exponent: float) -> dict[str, float]:
@@ -80,7 +82,8 @@ def mix(docs: DataFrame, source: str = "source", target_entropy: float | None =
     its order interleaves the sources by their weights); such columns of the input are replaced.
     A null source is a source of its own. Rows are spread over blocks by doc_id (equal ids: the
     same block; null ids: block of the null). Rows of sources without any token come once. The
-    realised tokens differ from a source's budget by half a block at most.
+    realised tokens differ from a source's budget by half a block at most. Texts of any length
+    count whole; an empty table stays empty. Sources go through the driver: a number each.
     """
     own = {"mix_pass", "mix_block", "mix_tokens", "mix_order"}
     docs = docs.select(*[docs[f"`{f.name}`"] for f in docs.schema if f.name not in own])
@@ -98,15 +101,17 @@ def mix(docs: DataFrame, source: str = "source", target_entropy: float | None =
         passes = round(passes, 9) if n else 1.0
         plan.append((k, min(MAX_BLOCKS, max(1, -(-n // MIN_BLOCK_TOKENS))), int(passes), (passes - int(passes)) * n, passes))
     schema = T.StructType([T.StructField(name, T.StringType()), T.StructField("blocks", T.IntegerType()), T.StructField("whole", T.IntegerType()), T.StructField("rest", T.DoubleType()), T.StructField("passes", T.DoubleType())])
-    sources = F.broadcast(spark.createDataFrame(plan, schema))  # as many rows as sources
+    # Blocks are known by number: what is broadcast has so many rows at most, or the join is left to Spark.
+    small = (lambda df: F.broadcast(df)) if sum(p[1] for p in plan) <= BROADCAST_ROWS else (lambda df: df)
+    sources = small(spark.createDataFrame(plan, schema))  # as many rows as sources
     block = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).cast("int")
     sums = slim.join(sources, name).withColumn(block_col, block).groupBy(name, block_col).agg(F.sum(tokens_col).alias("n"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
     # At most MAX_BLOCKS rows a source. The last, partial pass has an order of its own, as each pass has.
     turn = Window.partitionBy(name).orderBy(F.xxhash64(name, block_col, "whole", F.lit(seed)), block_col)
     upto = F.sum("n").over(turn.rowsBetween(Window.unboundedPreceding, 0))
     chosen = sums.withColumn("copies", F.col("whole") + F.when((F.col("rest") > 0) & (upto - F.col("n") / 2 <= F.col("rest")), 1).otherwise(0))
-    # At most MAX_BLOCKS rows a source: broadcast, so that no text is shuffled for it.
-    rows = keyed.join(sources, name).withColumn(block_col, block).join(F.broadcast(chosen.select(name, block_col, "copies")), [name, block_col])
+    # At most MAX_BLOCKS rows a source: broadcast where they are few, so that no text is shuffled for it.
+    rows = keyed.join(sources, name).withColumn(block_col, block).join(small(chosen.select(name, block_col, "copies")), [name, block_col])
     rows = rows.where("copies > 0").withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     place = F.pmod(F.xxhash64(name, block_col, "mix_pass", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     inside = F.pmod(F.xxhash64("doc_id", "mix_pass", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 60))

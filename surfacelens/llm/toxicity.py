@@ -29,7 +29,7 @@ from .quality import fit_curve, labelled_sample
 from .textkernel import U64, SpanHasher, as_bytes, mix, slabs, span_hash, window_hash, word_hashes
 
 #: Labelled rows that lexicon and weights are learned from, at most; terms in the lexicon, at most.
-SAMPLE_ROWS, MAX_TERMS = 20_000, 4_000
+SAMPLE_ROWS = 20_000
 #: How many times likelier in toxic documents than elsewhere a term must be, and its least log-likelihood ratio (G).
 MIN_LIFT, MIN_G = 8.0, 20.0
 #: Two texts are copies if, in one of so many bands, the least fingerprints of their windows of so many words are equal
@@ -431,8 +431,10 @@ def without_copies(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, sample_rows: int = SAMPLE_ROWS, most: int = 1) -> Lexicon:
     """Lexicon and weights from the labelled rows that ``where`` lets through, at most ``sample_rows``.
 
-    Copies of a text count once, but for the curve from evidence to probability. With no toxic
-    rows the lexicon is empty and every score is the base rate.
+    Copies of a text count once, but for the curve from evidence to probability. All terms and
+    stems of these rows for which the evidence suffices are kept: as many as the words of at most ``sample_rows``
+    texts. Without toxic rows, as in an empty table, the lexicon is empty and every score is the
+    base rate. Repeated rows are copies; texts of any length are read whole.
     """
     sample = labelled_sample(docs, labels, label, F.lit(True) if where is None else where, sample_rows)
     sample, texts = without_copies(sample)
@@ -463,13 +465,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
     g = 2 * (part(F.col("p"), share) + part(F.col("q"), 1 - share))
     prefix = F.explode(F.array(*[F.struct(F.substring("word", 1, k).alias("stem"), (F.length("word") > k).alias("longer")) for k in STEM_LENGTHS]))
     by_stem = by_word.select(prefix.alias("s"), "p", "q").where("s.longer").groupBy("s.stem").agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.count_if(F.col("p") > 0).alias("n"))
-    stems = by_stem.where((F.col("n") >= STEM_WORDS) & (lift >= 4 * MIN_LIFT) & (g >= 4 * MIN_G) & (F.col("q") * 20 <= F.col("p"))).withColumn("g", g).orderBy(F.desc("g"), "stem").limit(MAX_TERMS // 4)
+    stems = by_stem.where((F.col("n") >= STEM_WORDS) & (lift >= 4 * MIN_LIFT) & (g >= 4 * MIN_G) & (F.col("q") * 20 <= F.col("p"))).withColumn("g", g).orderBy(F.desc("g"), "stem")
     stems = [r[0] for r in stems.select("stem").collect()]
     terms = by_word.where((F.length("word") >= 3) & (lift >= MIN_LIFT) & (g >= MIN_G)).withColumn("g", g)
     covered = F.substring("word", 1, STEM_LENGTHS[0]).isin(stems)
     for k in STEM_LENGTHS[1:]:
         covered = covered | F.substring("word", 1, k).isin(stems)
-    terms = [r[0] for r in terms.where(~covered).orderBy(F.desc("g"), "word").limit(MAX_TERMS).select("word").collect()]
+    terms = [r[0] for r in terms.where(~covered).orderBy(F.desc("g"), "word").select("word").collect()]
     lexicon = Lexicon(terms, stems, most)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -510,7 +512,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
 
 
 def score(docs: DataFrame, lexicon: Lexicon, name: str = "score") -> DataFrame:
-    """``docs`` with a column of scores (replaced if there already). Null and empty texts get the base rate."""
+    """``docs`` with a column of scores (replaced if there already). Null and empty texts get the base rate.
+
+    Repeated rows are scored each, texts of any length whole; an empty table stays empty.
+    """
     docs = docs.select(*[docs[f"`{f.name}`"] for f in docs.schema if f.name != name])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)

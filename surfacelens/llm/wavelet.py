@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, sh
 
 
 def read_shards(path: str, shards: DataFrame) -> DataFrame:
-    """Read the shard files back: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) per document."""
+    """Read the shard files back: doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit) per document. No shards: no rows."""
     spark = shards.sparkSession
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +238,8 @@ def read_shards(path: str, shards: DataFrame) -> DataFrame:
                         }
                     )
 
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)  # without a document no task has made it
     # One row a shard (millions of ids each), so this running sum over all shards stays small.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("shard_start"))
@@ -246,6 +248,10 @@ def read_shards(path: str, shards: DataFrame) -> DataFrame:
 
 
 def token_ranges(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write ``docs`` to a new folder of shards and read every document back from the files."""
+    """Write ``docs`` to a new folder of shards and read every document back from the files.
+
+    A null or empty text is its end id alone; repeated rows and null ids come back each; texts of
+    any length are encoded whole; an empty table gives no rows. Other columns are left out.
+    """
     path = work_path(docs.sparkSession, "tokens")
     return read_shards(path, write_shards(docs, tokenizer, path))

@@ -358,3 +358,19 @@ def test_terms_are_counted_in_distinct_texts(spark):
     lexicon = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
     assert {"idiot", "scum"} <= set(lexicon.terms)  # a fixed phrase in 20 documents
     assert not {"blorp", "zonk", *exact.split(), *near} & set(lexicon.terms)  # one document and its copies
+
+
+def test_empty_tables_and_null_media(empty, spark):
+    assert wavelet.token_ranges(empty, tokenizer_path()).count() == 0
+    media = webp.store_media(spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string"))
+    rows = media.withColumn("media", F.when(F.col("doc_id") == 1, F.col("media")))
+    got = {r["doc_id"]: r for r in webp.read_media(rows, keep_pixels=True).collect()}
+    assert got[1]["payload_bytes"] == 64 and got[2]["payload_sha256"] is None and got[2]["samples"] is None
+    assert webp.read_media(media.limit(0)).count() == 0 and mixing.mix(empty, "source").count() == 0
+
+
+def test_mixing_is_the_same_without_broadcasts(docs, monkeypatch):
+    rows = lambda: sorted(map(str, mixing.mix(docs, "source").collect()))
+    small = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert rows() == small
