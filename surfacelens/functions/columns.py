@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Mapping
 
@@ -13,8 +14,18 @@ from . import rules
 
 def lookup(values: Mapping[str, object], key: Column) -> Column:
     """The value of a small literal table; null where the key has none."""
-    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
-    return F.try_element_at(table, key)
+    return F.try_element_at(literal_map(values), key)
+
+
+def literal_map(values: Mapping[str, object]) -> Column:
+    """A table of texts to texts, numbers or lists of texts as a constant.
+
+    Written as one JSON text, which the optimizer folds to a literal: a map of literals would be a
+    hundred nodes of every plan that it is in, for each time that it is in there.
+    """
+    some = next(iter(values.values()))
+    kind = "int" if isinstance(some, int) else "array<string>" if isinstance(some, (list, tuple)) else "string"
+    return F.from_json(F.lit(json.dumps(values)), f"map<string,{kind}>")
 
 
 def attr(attrs: Column | str, name: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.columns import any_of, base_name, coverage_percent, other_platform_dir, skip_reason, unix
+from ..functions.columns import any_of, base_name, coverage_percent, literal_map, other_platform_dir, skip_reason, unix
 from .ranking import placed
 
 _SOURCE = r"\.(cc|h)$"
@@ -47,7 +47,7 @@ def extractors_of(path: Column, added: dict[str, tuple[str, Column]] | None = No
 
 def surfaces_of(path: Column) -> Column:
     """Surfaces whose extractors read a file."""
-    names = F.create_map(*[F.lit(v) for k, (s, _) in (_routes() | ADDED_ROUTES).items() for v in (k, s)])
+    names = literal_map({k: s for k, (s, _) in (_routes() | ADDED_ROUTES).items()})
     return F.transform(extractors_of(path), lambda x: F.element_at(names, x))
 
 

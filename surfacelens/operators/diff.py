@@ -9,15 +9,14 @@ from ..common import stored
 from ..functions import rules
 from ..functions.columns import attr, attr_text, lookup, our_status
 from .ranking import placed
-from .signals import severity_of, signals_of
+from .signals import severity_of, with_signals
 
 _DELTAS = "array<struct<attr:string,old:string,new:string>>"
 
 
 def meaningful(kind: Column, attrs: Column) -> Column:
     """The attributes that a comparison reads: the kind's (all of an unknown kind's), without a platform state that is absent or 'compiled'."""
-    table = F.create_map(*[x for k, names in rules.MEANINGFUL.items() for x in (F.lit(k), F.array(*map(F.lit, names)))])
-    names = F.try_element_at(table, kind)
+    names = lookup(rules.MEANINGFUL, kind)
     state = lambda v: F.coalesce(F.get_json_object(v, f"$.{rules.PLATFORM}"), F.lit(""))
     return F.map_filter(attrs, lambda k, v: (names.isNull() | F.array_contains(names, k)) & ((k != "platform_state") | ~state(v).isin("", "compiled")))
 
@@ -121,8 +120,7 @@ def diff_snapshots(facts: DataFrame, pairs: DataFrame, target_milestone: int | N
         "pair_id", "change_type", "kind", "key", F.coalesce("n.name", "o.name").alias("name"), F.col("o.attrs").alias("before"), F.col("n.attrs").alias("after"),
         "deltas", paths.alias("paths"), locations("o", "n").alias("locations"), "reachable",
     )
-    flat = flat.withColumn("signals", signals_of(target_milestone)).drop("reachable")
-    return flat.withColumn("severity", severity_of())
+    return with_signals(flat, target_milestone).drop("reachable")
 
 
 def _anchor(renames: bool, repoints: bool) -> Column:

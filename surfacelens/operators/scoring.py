@@ -30,7 +30,8 @@ def surface_share(changes: DataFrame, coverage: DataFrame, pairs: DataFrame, dir
     """Adds ``share``: the read share of the change's surface on the side its evidence comes from.
 
     Falls back to that side's overall share, then to the newer side's. A surface that is listed
-    but unmeasured is unknown (null). Coverage is a row per snapshot and surface: broadcast if small.
+    but unmeasured is unknown (null). Coverage is a row per snapshot and surface and is looked up three
+    ways: give a written table. It is broadcast if Spark finds it small.
     """
     rows = coverage.select("snapshot_id", "surface", share(F.col("candidates"), F.col("read")).alias("s"))
     side = F.when((F.col("change_type") if direction is None else direction) == rules.ADDED, F.col("from_id")).otherwise(F.col("to_id"))
@@ -55,20 +56,22 @@ def score_changes(changes: DataFrame, coverage: DataFrame, headers: DataFrame, p
     gapped = pairs.join(side("from_id", "from_gap"), "from_id", "left").join(side("to_id", "to_gap"), "to_id", "left").select("pair_id", F.coalesce("from_gap", F.lit("")).alias("from_gap"), F.coalesce("to_gap", F.lit("")).alias("to_gap"))
     rows = surface_share(changes.withColumn("direction", evidence_direction()), coverage, pairs, F.col("direction")).join(F.broadcast(gapped), "pair_id")
     direction, removed, added = F.col("direction"), F.col("direction") == rules.REMOVED, F.col("direction") == rules.ADDED
-    gap = F.when(added, F.col("from_gap")).otherwise(F.col("to_gap"))
-    confirmed = (gap == "") & (F.col("share").isNull() | (F.col("share") >= rules.CONFIRMING))
+    lead, outside = F.col("lead"), F.col("outside")
+    # What several rules ask for is worked out once, a step before them.
+    rows = rows.withColumns({"lead": leading_signal(), "outside": not_in_build(), "gap": F.when(added, F.col("from_gap")).otherwise(F.col("to_gap"))})
+    confirmed = (F.col("gap") == "") & (F.col("share").isNull() | (F.col("share") >= rules.CONFIRMING))
     absent = removed | (added & (F.col("from_gap") != ""))
-    doubtful = absent & ~confirmed & ~not_in_build()
-    demoted = doubtful & leading_signal().isin(*rules.UNCONFIRMED_SIGNALS)
-    bucket = F.when(demoted, rules.HOUSEKEEPING).otherwise(bucket_of())
-    unproven = added & (bucket == rules.NEW) & (F.col("from_gap") != "") & ~not_in_build()
-    lead = leading_signal()
+    rows = rows.withColumns({"doubtful": absent & ~confirmed & ~outside, "first": bucket_of(lead)})
+    rows = rows.withColumn("demoted", F.col("doubtful") & lead.isin(*rules.UNCONFIRMED_SIGNALS))
+    rows = rows.withColumn("bucket", F.when(F.col("demoted"), rules.HOUSEKEEPING).otherwise(F.col("first")))
+    rows = rows.withColumn("unproven", added & (F.col("bucket") == rules.NEW) & (F.col("from_gap") != "") & ~outside)
+    doubtful, demoted, unproven, gap = F.col("doubtful"), F.col("demoted"), F.col("unproven"), F.col("gap")
     headline = F.when(lead != "", F.regexp_replace(lead, "_", " ")).otherwise(F.concat_ws(" ", "change_type", F.regexp_replace("kind", "_", " ")))
     why = F.when(gap != "", F.concat(F.lit("unconfirmed: "), gap)).otherwise(F.concat(F.lit("unconfirmed: "), read_percent(F.col("share")), F.lit(" of that surface was read")))
     reasons = F.array_compact(
         F.array(
             F.concat(F.lit("severity "), F.col("severity"), F.lit(": "), headline),
-            F.when(not_in_build(), F.lit("0: not compiled for our platform on either side")),
+            F.when(outside, F.lit("0: not compiled for our platform on either side")),
             F.when(doubtful, F.concat(F.lit(f"-{rules.PENALTY} "), why, F.when(demoted, "; filed as housekeeping").otherwise(""))),
             F.when(unproven, F.lit("filed as housekeeping: not shown to be new")),
         )
@@ -76,12 +79,12 @@ def score_changes(changes: DataFrame, coverage: DataFrame, headers: DataFrame, p
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.col("severity") - F.when(doubtful, rules.PENALTY).otherwise(0)))
     return rows.select(
         *changes.columns,
-        F.when(not_in_build(), 0).otherwise(score).cast("int").alias("score"),
-        F.when(not_in_build() | unproven, rules.HOUSEKEEPING).otherwise(bucket).alias("bucket"),
-        owner_of().alias("owner"),
+        F.when(outside, 0).otherwise(score).cast("int").alias("score"),
+        F.when(outside | unproven, rules.HOUSEKEEPING).otherwise(F.col("bucket")).alias("bucket"),
+        owner_of(lead).alias("owner"),
         group_of().alias("group"),
-        lead.alias("lead"),
-        not_in_build().alias("outside"),
+        "lead",
+        "outside",
         reasons.alias("reasons"),
     )
 

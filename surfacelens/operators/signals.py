@@ -6,7 +6,7 @@ nothing. Only the overload rule needs to read argument lists.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -18,8 +18,8 @@ WIRING = ("base_feature", "base_feature_status", "depends_on", "implied_by", "pu
 
 
 def has(*names: str) -> Column:
-    """Whether any of the attributes moved."""
-    return F.exists("deltas", lambda d: d["attr"].isin(*names))
+    """Whether any of the attributes moved, by the row's ``__names``."""
+    return F.arrays_overlap("__names", F.array(*map(F.lit, names)))
 
 
 def _labels(*rules_: Column) -> Column:
@@ -130,16 +130,18 @@ def small_signals(target_milestone: int | None) -> dict[tuple[str, ...], Column]
     return {("feature_param",): param, ("webui_route",): route, ("webui_control",): control, ("webui_gate",): gate, ("pref", "switch"): scan, ("flag_entry",): flag}
 
 
-def signals_of(target_milestone: int | None = None) -> Column:
-    """All signals of a change row."""
+def with_signals(changes: DataFrame, target_milestone: int | None = None) -> DataFrame:
+    """Changes with all their signals (C1 to C15) and the severity (C17), step by step: what a step takes several times is worked out once before it."""
     kind, none = F.col("kind"), F.array().cast("array<string>")
     by_kind = {("base_feature",): base_feature_signals(), ("blink_runtime_feature",): runtime_flag_signals(), ("idl_member", "idl_interface"): web_api_signals(), ("mojo_struct", "mojo_field", "mojo_enum"): message_data_signals(), ("mojo_method", "mojo_interface"): message_call_signals()}
     out = none
     for kinds, value in (by_kind | small_signals(target_milestone)).items():
         out = F.when(kind.isin(*kinds), value).otherwise(out)
-    moved = F.concat(out, F.when(has("path"), F.array(F.lit("declaration_moved"))).otherwise(none))
-    late = F.when((F.size(moved) == 0) & has("platform_state"), F.array(F.lit("build_gate_changed"))).when((F.size(moved) == 0) & has("stable"), F.array(F.lit("ipc_stability_changed")))
-    return F.coalesce(late, moved)
+    rows = changes.withColumn("__names", F.transform("deltas", lambda d: d["attr"])).withColumn("__own", out)
+    rows = rows.withColumn("__own", F.concat("__own", F.when(has("path"), F.array(F.lit("declaration_moved"))).otherwise(none)))
+    late = F.when(has("platform_state"), F.array(F.lit("build_gate_changed"))).when(has("stable"), F.array(F.lit("ipc_stability_changed")))
+    rows = rows.withColumn("signals", F.when(F.size("__own") == 0, F.coalesce(late, none)).otherwise(F.col("__own")))
+    return rows.withColumn("severity", severity_of()).drop("__names", "__own")
 
 
 def leading_signal(signals: str = "signals") -> Column:
@@ -148,21 +150,21 @@ def leading_signal(signals: str = "signals") -> Column:
     return F.coalesce(F.array_max(ranked)["s"], F.lit(""))
 
 
-def severity_of() -> Column:
-    """C17: the leading signal's severity; without one the prior of kind and direction."""
-    lead = leading_signal()
+def severity_of(lead: Column | None = None) -> Column:
+    """C17: the leading signal's severity; without one the prior of kind and direction. Here and below ``lead`` is the leading signal where it is known."""
+    lead = leading_signal() if lead is None else lead
     prior = {f"{k}:{t}": n for k, some in rules.PRIOR.items() for t, n in zip((rules.REMOVED, rules.ADDED, rules.MODIFIED), some, strict=True)}
     return F.when(lead != "", F.coalesce(lookup(rules.SEVERITY, lead), F.lit(0))).otherwise(F.coalesce(lookup(prior, F.concat_ws(":", "kind", "change_type")), F.lit(rules.OTHER_PRIOR)))
 
 
-def bucket_of() -> Column:
+def bucket_of(lead: Column | None = None) -> Column:
     """C18."""
-    return F.coalesce(lookup(rules.SIGNAL_BUCKET, leading_signal()), lookup(rules.NO_SIGNAL_BUCKET, F.col("change_type")), F.lit(rules.HOUSEKEEPING))
+    return F.coalesce(lookup(rules.SIGNAL_BUCKET, leading_signal() if lead is None else lead), lookup(rules.NO_SIGNAL_BUCKET, F.col("change_type")), F.lit(rules.HOUSEKEEPING))
 
 
-def owner_of() -> Column:
+def owner_of(lead: Column | None = None) -> Column:
     """C19."""
-    return F.when(leading_signal().isin(*rules.CONFIG_SIGNALS), "config").otherwise(F.coalesce(lookup(rules.by_member(rules.KIND_OWNER), F.col("kind")), F.lit("native")))
+    return F.when((leading_signal() if lead is None else lead).isin(*rules.CONFIG_SIGNALS), "config").otherwise(F.coalesce(lookup(rules.by_member(rules.KIND_OWNER), F.col("kind")), F.lit("native")))
 
 
 def group_of() -> Column:
@@ -170,9 +172,9 @@ def group_of() -> Column:
     return F.coalesce(lookup(rules.by_member(rules.GROUPS), F.col("kind")), F.lit(""))
 
 
-def story_of() -> Column:
+def story_of(lead: Column | None = None) -> Column:
     """What a change is told under: its leading signal, else direction and kind."""
-    lead = leading_signal()
+    lead = leading_signal() if lead is None else lead
     return F.when(lead != "", lead).otherwise(F.concat_ws(":", "change_type", "kind"))
 
 

@@ -35,7 +35,7 @@ def condensed(findings: DataFrame) -> DataFrame:
     """
     if "by_screen" in findings.columns:
         return findings
-    rows = findings.select("pair_id", *_WHOLE[:-1], story_of().alias("story"), screen_of().alias("screen"), "change_type", "severity", "score")
+    rows = findings.select("pair_id", *_WHOLE[:-1], story_of(F.col("lead")).alias("story"), screen_of().alias("screen"), "change_type", "severity", "score")
     by = lambda *names: [F.col("pair_id"), *[F.col(f"`{n}`") for n in names]]
     some = rows.groupingSets([by(*_WHOLE), by("screen")], *by(*_WHOLE, "screen"))
     return some.agg((F.grouping("screen") == 0).alias("by_screen"), F.count("*").alias("n"), *_directions(), F.max("severity").alias("severity"), F.max("score").alias("score"))
@@ -105,7 +105,8 @@ def top_n_per_group(findings: DataFrame, group: str, n: int, where: Column | Non
 def order_screen_items(findings: DataFrame, limit: int | None = None) -> DataFrame:
     """UI findings in reading order within their screen: added, modified, removed; then score, key."""
     turn = F.when(F.col("change_type") == rules.ADDED, 0).when(F.col("change_type") == rules.MODIFIED, 1).otherwise(2)
-    rows = findings.withColumn("screen", screen_of()).where("screen is not null").withColumn("turn", turn)
+    # Exploded, the screen is worked out once, not again for the filter and the sort.
+    rows = findings.withColumn("screen", F.explode(F.array_compact(F.array(screen_of())))).withColumn("turn", turn)
     return placed(rows, ["pair_id", "screen"], [F.col("turn"), F.desc("score"), F.col("key"), F.col("kind")], limit).drop("turn")
 
 
@@ -144,5 +145,5 @@ def flatten_findings(findings: DataFrame) -> DataFrame:
     places = F.transform(F.slice(F.when(F.size("locations") > 0, F.col("locations")).otherwise(F.col("paths")), 1, 6), lambda p: trim_location(p))
     return findings.select(
         "pair_id", F.concat_ws(":", "kind", "key").alias("id"), name.alias("name"), "kind", "group", "owner", "bucket", "score", "change_type", where_of().alias("where"),
-        describe().alias("what"), story_of().alias("why"), F.array_join(places, "; ").alias("places"), F.array_join(moves, "; ").alias("deltas"), F.array_join("reasons", "; ").alias("reasons"),
+        describe().alias("what"), story_of(F.col("lead")).alias("why"), F.array_join(places, "; ").alias("places"), F.array_join(moves, "; ").alias("deltas"), F.array_join("reasons", "; ").alias("reasons"),
     )

@@ -33,9 +33,14 @@ def _covered(spark: SparkSession, sf: str) -> DataFrame:
     return coverage.coverage_join(fixtures.listing(spark, sf), fixtures.scope(spark))
 
 
+def _coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Coverage, a row a snapshot and surface: written once, as scores look it up three ways."""
+    return stored(coverage.coverage(_covered(spark, sf)), "coverage")
+
+
 def _findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings for a query that reads them once: only the columns that it needs are worked out."""
-    return scoring.score_changes(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark))
+    return scoring.score_changes(_changes(spark, sf), _coverage(spark, sf), fixtures.headers(spark), fixtures.pairs(spark))
 
 
 def _stored_findings(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +184,7 @@ def score_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 def rank_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Z2, W9."""
-    rows = scoring.rank(_changes(spark, sf), coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark))
+    rows = scoring.rank(_changes(spark, sf), _coverage(spark, sf), fixtures.headers(spark), fixtures.pairs(spark))
     return rows.select("kind", "key", _long("rank", "place"))
 
 
@@ -385,7 +390,7 @@ def _lines(tables: dict[str, DataFrame], columns: dict[str, tuple[str, ...]]) ->
 def report_tables(spark: SparkSession, sf: str) -> DataFrame:
     """Z3: every row of the report's tables."""
     changes = stored(_changes(spark, sf), "changes")
-    found = stored(scoring.score_changes(changes, coverage.coverage(_covered(spark, sf)), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
+    found = stored(scoring.score_changes(changes, _coverage(spark, sf), fixtures.headers(spark), fixtures.pairs(spark)), "findings")
     return _lines(report.report(changes, found), REPORT)
 
 
