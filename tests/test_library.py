@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from surfacelens.functions import columns, parsing
+from surfacelens.functions import columns, parsing, rules
 from surfacelens.operators import coverage, diff, facts, graph, scoring, signals, summaries
 from surfacelens.operators.ranking import placed
 from surfacelens.plans import oracles
@@ -170,6 +170,40 @@ def test_scopes(spark):
         coverage.complete_scope(parts, ["engine"])
 
 
+def test_scope_lookup_is_what_walking_the_scope_gives(spark):
+    paths = ["a/b/c.cc", "a/b.cc", "a", "b/x.mojom", "b/x.cc", "bb/x.cc", "", "a/b/c/d.idl", "c/x.h", "a/b/c.cc"]
+    scope = [("a/b", True, [".cc"]), ("a/b/", True, [".idl"]), ("a", False, None), ("b/", True, [".mojom", ".h"]), ("b", True, [".h"]), ("c", True, None), ("c/x", False, None)]
+    ids = [("v1", p) for p in paths] + [("v2", p) for p in paths]
+    listed = spark.createDataFrame(ids, "snapshot_id string, path string").withColumn("hit", F.lit("mine"))
+    rows = spark.createDataFrame([("v1", *s) for s in scope] + [("v2", "", True, [".h"])], "snapshot_id string, path string, is_tree boolean, suffixes array<string>")
+
+    def reached(v, p):
+        mine = scope if v == "v1" else [("", True, [".h"])]
+        over = lambda t: p.startswith(t.rstrip("/") + "/" if t else "")
+        return any((over(t) and (s is None or p.endswith(tuple(s)))) if tree else p == t for t, tree, s in mine)
+
+    want = sorted(x for x in ids if reached(*x))
+    assert sorted((r[0], r[1]) for r in coverage.reaches(listed, rows).collect()) == want
+    assert sorted((r[0], r[1]) for r in coverage.reaches(listed, rows, "left_anti").collect()) == sorted(x for x in ids if not reached(*x))
+    assert coverage.reaches(listed, rows).columns == listed.columns and coverage.reaches(listed, rows.limit(0)).count() == 0
+    absent = coverage.absent_targets(rows, listed)
+    assert [(r["snapshot_id"], r["path"]) for r in absent.collect()] == [("v1", "c/x")]
+
+
+def test_six_summaries_read_the_findings_once(spark, tmp_path):
+    rows = [(f"p{i % 2}", "pref" if i % 3 else "webui_route", f"k{i}", "added" if i % 2 else "removed", {}, {"surface": '"s"'}, [], i, i, rules.BUCKETS[i % 4], "native", "", "pref_left_scan" if i % 5 else "", i % 7 == 0) for i in range(50)]
+    schema = "pair_id string, kind string, key string, change_type string, before map<string,string>, after map<string,string>, deltas array<struct<attr:string,old:string,new:string>>, severity int, score int, bucket string, owner string, `group` string, lead string, outside boolean"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "f"))
+    found = spark.read.parquet(str(tmp_path / "f"))
+    counts = summaries.condensed(found)
+    for make in (summaries.finding_summary, summaries.owner_bucket_matrix, summaries.measured_figures, summaries.stories, summaries.screens, summaries.screen_totals):
+        assert sorted(map(str, make(counts).collect())) == sorted(map(str, make(found).collect()))
+        assert make(found)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r["pair_id"], r["what"], r["value"]): r["n"] for r in summaries.finding_summary(found).collect()}
+    assert got["p0", "total", ""] == 25 and got["p0", "owner", "ipc"] == 0 and got["p0", "bucket", rules.BUCKETS[0]] == 13 and got["p1", "not_in_build", ""] == 4
+    assert summaries.finding_summary(found.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("name", ["count_by_kind", "score_changes", "describe", "coverage", "missed_paths", "closure_summary", "extract_facts", "build_guards", "signatures", "path_functions", "partition_scope", "briefs_round_trip"])
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
