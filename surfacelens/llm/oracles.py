@@ -65,4 +65,22 @@ b0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY g) - 1 AS i, h,
 told AS (SELECT a0.doc_id, a0.leaf, b0.h AS subroot, b{UPPER}.h AS root, sha256({" || ".join(_PROOF)}) AS proof_sha256, {_FOLDED} AS folded_root FROM a0 JOIN b0 ON b0.source_key = a0.g JOIN b{UPPER} ON true {" ".join(_STEPS)})
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM told"""
 
-SQL: dict[str, str] = {"op11_url_rules": URL_RULES, "op12_prefix_trie": PREFIX_TRIE, "op13_merkle": MERKLE}
+_WORD = r"[^\x20\x09-\x0D]+"
+SUBSTRING = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 11)) AS i)),
+firsts AS (SELECT s, min(doc_id) AS least FROM windows GROUP BY s),
+covered AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (s), range(13) r(k) WHERE least < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)"""
+
+NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i) WHERE len(ws) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+both_ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reached r JOIN both_ways e ON r.b = e.a)
+SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, min(r.b) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id, sizes.n"""
+
+SQL: dict[str, str] = {"op3_substring_dedup": SUBSTRING, "op10_ngram_join": NGRAM_JOIN, "op11_url_rules": URL_RULES, "op12_prefix_trie": PREFIX_TRIE, "op13_merkle": MERKLE}
