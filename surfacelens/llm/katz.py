@@ -8,8 +8,8 @@ over goes to its unseen ones, in proportion to the model of the next lower order
     a(h) = (1 - sum of seen followers' P(w | h)) / (1 - sum of seen followers' P(w | h')),
 
 where h' is h without its first word. A token is evaluated recursively down to single words.
-N-grams of three words and more count as seen from two occurrences on (``CUTOFF``): single ones
-are discounted to nothing, so their mass goes to the backoff too. A history whose followers all
+All n-grams count as seen. With ``cutoff=2`` those of three words and more do from two occurrences
+on: single ones are discounted to nothing, so their mass goes to the backoff too. A history whose followers all
 have counts above K would leave nothing over: it counts one more token than it has. So every
 history's probabilities sum to exactly 1 over the vocabulary and one class of unknown words, which
 has what the discounted single words leave over.
@@ -17,9 +17,9 @@ has what the discounted single words leave over.
 Count tables are partitioned by word, and by history for n-grams; a history with more than a
 partition's share of all tokens is split by follower. A word is told from others by a 64-bit hash
 of its bytes, and known by a number that its partition gives that hash; two words share a count
-only where their hashes meet. Before n-grams of an order above two
-are counted in full, a table of their fingerprints (40 bits within a partition) tells which of them
-may occur twice at all.
+only where their hashes meet. With ``cutoff=2``, before n-grams of an order above two are counted
+in full, a table of their fingerprints (40 bits within a partition) tells which of them may occur
+twice at all.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ from .textkernel import U64, as_bytes, mix, word_hashes
 
 #: Counts up to this one are discounted.
 K = 5
-#: Least count of an n-gram of three words or more that counts as seen.
-CUTOFF = 2
+#: Least count of an n-gram of three words or more that counts as seen: 1 (all of them) or 2.
+CUTOFF = 1
 #: Bytes of text whose n-grams make one partition.
 BUCKET_BYTES = 12 << 20
 END = U64(0x5BD1E9955BD1E995)
@@ -151,9 +151,14 @@ class _Model:
     """What is known of the corpus after some stages."""
 
     buckets: int
+    cutoff: int = CUTOFF
     unigrams: Unigrams | None = None
     d: dict[int, np.ndarray] = field(default_factory=dict)
 
+    def least(self, n: int) -> int:
+        """Least count of an n-gram of order n that counts as seen."""
+        return 1 if n == 2 else self.cutoff
+
     def counts_at(self, n: int) -> int:
         """Where the replies with counts of order n begin, among a chunk's replies."""
         return (2 * n - 3) * self.buckets
@@ -208,14 +213,14 @@ class _Chunk:
 
         What has a word that occurs once occurs once itself, and is left out.
         """
-        some = np.flatnonzero(g.rarest >= CUTOFF)
+        some = np.flatnonzero(g.rarest >= self.model.cutoff)
         high = (g.key[some] >> U64(40)) * U64(self.model.buckets) >> U64(24)
         order = np.argsort(high << U64(40) | g.key[some] & LOW40)
         return some[order], runs(high[order].astype(np.int64))
 
     def kept(self, g: _Grams, n: int) -> np.ndarray:
-        """The n-grams whose counts are asked for: pairs of known words, longer ones that occur twice."""
-        if n == 2:
+        """The n-grams whose counts are asked for: known words after known histories; of those that must occur twice, the ones that do."""
+        if self.model.least(n) == 1:
             return np.flatnonzero((g.history_count[g.history] > 0) & (self.count[g.word] > 0))
         order, cuts = self.fingerprints(g)
         twice = np.zeros(len(g.word), bool)
@@ -237,7 +242,7 @@ class _Requests:
     """What a chunk asks of one order's table, in sending order."""
 
     def __init__(self, chunk: _Chunk, g: _Grams, n: int) -> None:
-        self.n, self.least = n, 1 if n == 2 else CUTOFF
+        self.n, self.least = n, chunk.model.least(n)
         kept = chunk.kept(g, n)
         buckets, total = chunk.model.buckets, chunk.model.unigrams.total
         # Into how many parts a history's followers are split.
@@ -350,13 +355,12 @@ def _twice_table(group: pa.Table) -> pa.Table:
     keys = [_keys(b[0]) for b in blobs]
     _, _, code = distinct(np.concatenate(keys))
     n = np.bincount(code, np.concatenate([b[1] for b in blobs]))
-    parts = np.split(n[code] >= CUTOFF, np.cumsum([len(k) for k in keys])[:-1])
+    parts = np.split(n[code] >= 2, np.cumsum([len(k) for k in keys])[:-1])
     return _replies(group, [pack(np.packbits(p)) for p in parts], [0] * (K + 1) + [int((n == 1).sum()) + sum(int(b[2][0]) for b in blobs)])
 
 
-def _gram_table(group: pa.Table, n: int, unigrams: Unigrams) -> pa.Table:
+def _gram_table(group: pa.Table, n: int, least: int, unigrams: Unigrams) -> pa.Table:
     """One partition of n-gram counts: replies with totals and with the parts of the weights of histories."""
-    least = 1 if n == 2 else CUTOFF
     blobs = [unpack(b) for b in group["blob"].to_pylist()]
     asked = [_keys(b[7]) for b in blobs]
     histories, _, run = distinct(np.concatenate([_keys(b[0]) for b in blobs]))
@@ -397,15 +401,16 @@ def _table_of(n: int, model: _Model) -> Callable[[pa.Table], pa.Table]:
     """What answers a partition of order n's stage: counts of order n, and after them fingerprints of the next order."""
 
     def answer(group: pa.Table) -> pa.Table:
-        return _twice_table(group) if group["bucket"][0].as_py() >= model.buckets else _gram_table(group, n, model.unigrams)
+        return _twice_table(group) if group["bucket"][0].as_py() >= model.buckets else _gram_table(group, n, model.least(n), model.unigrams)
 
     return answer
 
 
-def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score(docs: DataFrame, learn: Column, order: int = 3, cutoff: int = CUTOFF, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Scores of all ``docs`` (doc_id, text) by the model, of ``order`` words, of those for which ``learn`` is true.
 
-    Letters A-Z are lower-cased; a text's tokens are its white-space words and an end. Returns
+    ``cutoff`` is the least count of an n-gram of three words or more that counts as seen: 1, which
+    is all of them, or 2, which sends fewer rows. Letters A-Z are lower-cased; a text's tokens are its white-space words and an end. Returns
     doc_id, n_tokens, n_known (tokens seen in training), train_tokens, base_score (sum of log10
     of the add-half unigram estimate) and score (sum of log10 of the model's probabilities).
     Null texts are empty: their only token is the end. Where ``learn`` is null the row is not
@@ -415,9 +420,11 @@ def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BU
     """
     if order < 2:
         raise ValueError("the order is two at least")
+    if cutoff not in (1, 2):
+        raise ValueError("the cutoff is 1 or 2")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learn.alias("learn"))
     chunks = chunked(slim, "katz", make=_body)
-    model = _Model(max(1, -(-total_bytes(chunks) // bucket_bytes)))
+    model = _Model(max(1, -(-total_bytes(chunks) // bucket_bytes)), cutoff)
 
     def ask_words(body: bytes, got: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         c = _Chunk(body, got, _Model(model.buckets))
@@ -445,19 +452,19 @@ def score(docs: DataFrame, learn: Column, order: int = 3, bucket_bytes: int = BU
             low = c.known(n - 1)[-1]
             g = c.next(low, n)
             yield from _Requests(c, g, n).messages(c, g, low)
-            if n < order:
+            if n < order and cutoff > 1:
                 longer = c.next(g, n + 1)
                 by, cuts = c.fingerprints(longer)
-                once = int(((longer.own == 1) & (longer.rarest < CUTOFF)).sum())
+                once = int(((longer.own == 1) & (longer.rarest < cutoff)).sum())
                 for at, a, b in cuts or [(0, 0, 0)]:
-                    yield model.buckets + at, pack(_steps(longer.key[by[a:b]] & LOW40), np.minimum(longer.own[by[a:b]], CUTOFF), np.array([once]))
+                    yield model.buckets + at, pack(_steps(longer.key[by[a:b]] & LOW40), np.minimum(longer.own[by[a:b]], cutoff), np.array([once]))
                     once = 0
 
         rows, more = stage(ask, _table_of(n, model), model.counts_at(n))
         told = told.unionByName(more)
         *counts, now = sums(rows, K + 2)
         model.d[n] = discounts(counts if once is None else [once, *counts[1:]])
-        once = now
+        once = now if cutoff > 1 else None
 
     def read(body: bytes, got: dict[int, bytes]) -> pa.Table:
         c = _Chunk(body, got, model)

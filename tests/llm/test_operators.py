@@ -114,7 +114,8 @@ def test_ngram_join(docs, empty, spark):
 class KatzByHand:
     """The model of katz.score from dictionaries."""
 
-    def __init__(self, texts, order):
+    def __init__(self, texts, order, cutoff):
+        self.cutoff = cutoff
         self.c = [None] + [Counter() for _ in range(order)]
         for w in texts:
             seq = [b"\0begin", *w]
@@ -129,7 +130,7 @@ class KatzByHand:
 
     def kept(self, gram):
         n = self.c[len(gram)][gram]
-        least = 1 if len(gram) < 3 else 2
+        least = 1 if len(gram) < 3 else self.cutoff
         return 0 if n < least else self.d[len(gram)][n] * n if n <= katz.K else n
 
     def history(self, h):
@@ -174,8 +175,8 @@ def test_near_copies_in_large_groups(spark):
 def test_katz(docs, empty):
     rows = [(i, [*split(t, True), b"\0end"], i % 5 != 1) for i, t in corpus()]
     learned = [w for _, w, learn in rows if learn]
-    for order, sizes in ((2, (2000,)), (3, (1 << 30, 2000)), (4, (3000,))):
-        model = KatzByHand(learned, order)
+    for order, cutoff, sizes in ((2, 1, (2000,)), (3, 1, (1 << 30, 2000)), (3, 2, (1 << 30, 2000)), (4, 1, (3000,)), (4, 2, (3000,))):
+        model = KatzByHand(learned, order, cutoff)
         model.texts_begin = learned
         c = Counter({g[0]: n for g, n in model.c[1].items()})
         total = model.total
@@ -189,7 +190,7 @@ def test_katz(docs, empty):
             score = sum(math.log10(model.p(tuple(seq[max(0, j - order + 1) : j + 1]))) for j in range(1, len(seq)))
             want[i] = (len(w), sum(c[x] > 0 for x in w), total, sum(math.log10((c[x] + 0.5) / (total + 0.5 * (len(c) + 1))) for x in w), score)
         for size in sizes:
-            got = {r[0]: tuple(r)[1:] for r in katz.score(docs, F.col("doc_id") % 5 != 1, order, bucket_bytes=size).collect()}
+            got = {r[0]: tuple(r)[1:] for r in katz.score(docs, F.col("doc_id") % 5 != 1, order, cutoff, bucket_bytes=size).collect()}
             assert {i: (got.get(i), want[i]) for i in want if got.get(i) != pytest.approx(want[i], rel=1e-9, abs=1e-9)} == {} and got.keys() == want.keys()
     assert katz.score(empty, F.lit(True)).count() == 0
     assert all(r["score"] == 0 and r["n_known"] == 0 for r in katz.score(docs, F.lit(None).cast("boolean")).collect())
