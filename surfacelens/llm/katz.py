@@ -17,7 +17,7 @@ has what the discounted single words leave over.
 Count tables are partitioned by word, and by history for n-grams; a history with more than a
 partition's share of all tokens is split by follower. A word is told from others by a 64-bit hash
 of its bytes, and known by a number that its partition gives that hash; two words share a count
-only where their hashes meet. With ``cutoff=2``, before n-grams of an order above two are counted
+only where their hashes meet. Histories are told apart by the numbers of their words. With ``cutoff=2``, before n-grams of an order above two are counted
 in full, a table of their fingerprints (40 bits within a partition) tells which of them may occur
 twice at all.
 """
@@ -142,7 +142,9 @@ class _Grams:
     history_key: np.ndarray
     history_count: np.ndarray  # training count of each history, as far as it is known
     rarest: np.ndarray  # training count of the rarest word in it
+    parts: list[np.ndarray]  # its words, first to last; V is the beginning
     total: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    over: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # what the followers of each history are counted out of
     p: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
 
@@ -159,6 +161,10 @@ class _Model:
         """Least count of an n-gram of order n that counts as seen."""
         return 1 if n == 2 else self.cutoff
 
+    def lower_counted(self, n: int) -> bool:
+        """Whether the n-grams of order n - 1 that seen ones of order n end in are all seen, so that their counts tell their probabilities."""
+        return n > 2 and self.least(n - 1) == 1
+
     def counts_at(self, n: int) -> int:
         """Where the replies with counts of order n begin, among a chunk's replies."""
         return (2 * n - 3) * self.buckets
@@ -194,7 +200,8 @@ class _Chunk:
         """Order one: words. The beginning of a text is the last of them; texts begin as often as they end."""
         count = np.append(self.count, self.count[0] if len(self.count) else 0)
         none = np.zeros(0, np.int64)
-        return _Grams(none, none, none, none, self.code, np.append(self.number, U64(0)), none, count, count, count, self.model.unigrams.probability(self.count))
+        parts = [np.arange(len(count), dtype=np.int32)]
+        return _Grams(none, none, none, none, self.code, np.append(self.number, U64(0)), none, count, count, parts, count, none, self.model.unigrams.probability(self.count))
 
     def next(self, low: _Grams, n: int) -> _Grams:
         """Order n, from order n - 1."""
@@ -206,7 +213,7 @@ class _Chunk:
         of[some] = code
         history, word = gram // v, gram % v
         key = mix(low.key[history] * _ODD + self.number[word] + U64(n))
-        return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total, np.minimum(low.rarest[history], self.count[word]))
+        return _Grams(history, word, np.bincount(code, self.learn[some], len(gram)).astype(np.int64), low.of[some[first]], of, key, low.key, low.total, np.minimum(low.rarest[history], self.count[word]), [*(x[history] for x in low.parts), word.astype(np.int32)])
 
     def fingerprints(self, g: _Grams) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         """(n-grams by partition and fingerprint, runs of the partitions). Partitions are ranges of the keys' upper bits.
@@ -233,7 +240,7 @@ class _Chunk:
         out = [self.first()]
         for n in range(2, upto + 1):
             g = self.next(out[-1], n)
-            _Requests(self, g, n).read(self, g, out[-1])
+            _Requests(self, g, out[-1], n).read(self, g, out[-1])
             out.append(g)
         return out
 
@@ -241,7 +248,7 @@ class _Chunk:
 class _Requests:
     """What a chunk asks of one order's table, in sending order."""
 
-    def __init__(self, chunk: _Chunk, g: _Grams, n: int) -> None:
+    def __init__(self, chunk: _Chunk, g: _Grams, low: _Grams, n: int) -> None:
         self.n, self.least = n, chunk.model.least(n)
         kept = chunk.kept(g, n)
         buckets, total = chunk.model.buckets, chunk.model.unigrams.total
@@ -249,9 +256,11 @@ class _Requests:
         self.salts = np.clip(-(-g.history_count * buckets // max(total, 1)), 1, buckets)
         history = g.history[kept]
         target = self._bucket(g.history_key[history], mix(chunk.number[g.word[kept]]) % self.salts[history].astype(np.uint64), buckets)
-        # N-grams come by history already; their keys are sorted for the sake of small differences.
-        rank = np.empty(len(g.history_key), np.int64)
-        rank[np.argsort(g.history_key)] = np.arange(len(g.history_key))
+        # Histories are sent in order of their first words' numbers, each of which is told once.
+        self.numbers = np.append(chunk.number, U64(0)).astype(np.int64)
+        back = np.argsort(self.numbers[low.parts[0]], kind="stable")
+        rank = np.empty(len(back), np.int64)
+        rank[back] = np.arange(len(back))
         order = ordered(target * len(rank) + rank[history])
         self.gram, self.bucket = kept[order], target[order]
         # Histories whose weight is asked: before an n-gram that is not asked, and all that are split. Of the others the table tells where it is needed.
@@ -266,8 +275,6 @@ class _Requests:
         target = self._bucket(g.history_key[of], spread(np.zeros(len(need), np.int64), self.salts[need]).astype(np.uint64), buckets)
         # Two parts of a history may share a partition, which answers for both at once.
         both = distinct(target * len(rank) + rank[of])[0]
-        back = np.empty(len(rank), np.int64)
-        back[rank] = np.arange(len(rank))
         self.need, self.need_bucket = back[both % max(len(rank), 1)], both // max(len(rank), 1)
         pairs, needs = {b: (a, e) for b, a, e in runs(self.bucket)}, {b: (a, e) for b, a, e in runs(self.need_bucket)}
         self.places = [(b, slice(*pairs.get(b, (0, 0))), slice(*needs.get(b, (0, 0)))) for b in sorted(pairs.keys() | needs.keys())]
@@ -277,13 +284,23 @@ class _Requests:
         return (mix(key + salt * _ODD) % U64(buckets)).astype(np.int64)
 
     def messages(self, chunk: _Chunk, g: _Grams, low: _Grams) -> Iterator[tuple[int, bytes]]:
-        """Per partition: histories and their counts, followers, own counts, the followers' probabilities one order lower (of words their counts), histories whose weight is asked."""
+        """Per partition: words, followers as places among them, own counts, what tells the followers' probabilities one order lower, counts and words of histories, words of those whose weight is asked.
+
+        Lower probabilities are told by counts (of words for pairs), and by what they are out of, a number a history, where those tell them.
+        """
         for b, pairs, needs in self.places:
-            gram = self.gram[pairs]
+            gram, need = self.gram[pairs], self.need[needs]
             history, size = _runs_of(g.history[gram])
-            number, first, code = distinct(chunk.number[g.word[gram]])
-            below = chunk.count[g.word[gram[first]]] if self.n == 2 else low.p[g.lower[gram]]
-            yield b, pack(_steps(g.history_key[history]), g.history_count[history], size, _steps(number), code, g.own[gram], below, _steps(g.history_key[self.need[needs]]))
+            word = self.numbers[g.word[gram]]
+            number, _, code = distinct(np.concatenate([word, *(self.numbers[x[history]] for x in low.parts), *(self.numbers[x[need]] for x in low.parts)]))
+            code, before, weighed = np.split(code, np.cumsum([len(word), len(history) * len(low.parts)]))
+            below, over = low.p[g.lower[gram]] if self.n > 2 else np.zeros(len(number), np.int64), np.zeros(0, np.int64)
+            if self.n == 2:
+                below[code] = chunk.count[g.word[gram]]
+            elif chunk.model.lower_counted(self.n):
+                lower = g.lower[gram]
+                below, over = low.total[lower], low.over[low.history[lower[np.cumsum(size) - size]]]
+            yield b, pack(np.diff(number, prepend=0), code, g.own[gram], below, over, g.history_count[history], size, *_sent(before, len(history)), *_sent(weighed, len(need)))
 
     def read(self, chunk: _Chunk, g: _Grams, low: _Grams) -> None:
         """Totals and probabilities of the order's n-grams, from the replies."""
@@ -307,7 +324,7 @@ class _Requests:
             mass[some] += below[fresh]
             known[told] = True
         whole |= known & (big == g.history_count)
-        over = np.maximum(g.history_count + whole, 1)
+        over = g.over = np.maximum(g.history_count + whole, 1)
         weight = np.ones(size)
         some = np.flatnonzero(known & (g.history_count >= self.least))
         weight[some] = (over[some] - took[some]) / over[some] / np.maximum(1 - mass[some], 1e-300)
@@ -322,6 +339,18 @@ def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
+def _sent(words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n histories' words, first words of all, then second ones: first words as steps between runs, the runs' lengths, and the others."""
+    first, size = _runs_of(words[:n])
+    return np.diff(first, prepend=0), size, words[n:]
+
+
+def _got(first: np.ndarray, size: np.ndarray, others: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+    """What ``_sent`` was given, as n rows of words numbered by ``dense``."""
+    whole = np.repeat(np.cumsum(first.astype(np.int64)), size.astype(np.int64))
+    return dense[np.concatenate((whole, others.astype(np.int64)))].reshape(n, len(whole))
+
+
 def _steps(key: np.ndarray) -> np.ndarray:
     """Ascending keys as differences."""
     return np.diff(key, prepend=U64(0))
@@ -359,40 +388,47 @@ def _twice_table(group: pa.Table) -> pa.Table:
     return _replies(group, [pack(np.packbits(p)) for p in parts], [0] * (K + 1) + [int((n == 1).sum()) + sum(int(b[2][0]) for b in blobs)])
 
 
-def _gram_table(group: pa.Table, n: int, least: int, unigrams: Unigrams) -> pa.Table:
+def _gram_table(group: pa.Table, n: int, model: _Model) -> pa.Table:
     """One partition of n-gram counts: replies with totals and with the parts of the weights of histories."""
+    least = model.least(n)
     blobs = [unpack(b) for b in group["blob"].to_pylist()]
-    asked = [_keys(b[7]) for b in blobs]
-    histories, _, run = distinct(np.concatenate([_keys(b[0]) for b in blobs]))
-    count = np.zeros(len(histories), np.int64)
-    count[run] = np.concatenate([b[1].astype(np.int64) for b in blobs])
-    history = np.repeat(run, np.concatenate([b[2].astype(np.int64) for b in blobs]))
-    numbers, _, dense = distinct(np.concatenate([_keys(b[3]) for b in blobs]))
-    first = np.cumsum([0] + [len(b[3]) for b in blobs[:-1]])
-    word = np.concatenate([dense[b[4].astype(np.int64) + f] for b, f in zip(blobs, first, strict=True)])
-    below = np.concatenate([unigrams.probability(b[6].astype(np.int64))[b[4]] if n == 2 else b[6] for b in blobs])
+    numbers, _, dense = distinct(np.concatenate([np.cumsum(b[0].astype(np.int64)) for b in blobs]))
+    own_dense = np.split(dense, np.cumsum([len(b[0]) for b in blobs])[:-1])
+    word = np.concatenate([x[b[1].astype(np.int64)] for b, x in zip(blobs, own_dense, strict=True)])
+    before = [_got(*b[7:10], x, n - 1) for b, x in zip(blobs, own_dense, strict=True)]
+    weighed = [_got(*b[10:13], x, n - 1) for b, x in zip(blobs, own_dense, strict=True)]
+    ends = np.cumsum([x.shape[1] for x in before + weighed])
+    histories, run = 0, np.zeros(int(ends[-1]), np.int64)
+    for words in np.concatenate(before + weighed, axis=1):
+        some, _, run = distinct(run * max(len(numbers), 1) + words)
+        histories = len(some)
+    run, *asked = np.split(run, ends[len(blobs) - 1 : -1])
+    count = np.zeros(histories, np.int64)
+    count[run] = np.concatenate([b[5].astype(np.int64) for b in blobs])
+    history = np.repeat(run, np.concatenate([b[6].astype(np.int64) for b in blobs]))
+    if n == 2:
+        below = np.concatenate([model.unigrams.probability(b[3].astype(np.int64))[b[1]] for b in blobs])
+    elif model.lower_counted(n):
+        below = np.concatenate([discounted(b[3].astype(np.int64), model.d[n - 1]) / np.repeat(b[4].astype(np.int64), b[6].astype(np.int64)) for b in blobs])
+    else:
+        below = np.concatenate([b[3] for b in blobs])
     gram, place, at = distinct(history * max(len(numbers), 1) + word)
-    total = np.bincount(at, np.concatenate([b[5] for b in blobs]), len(gram)).astype(np.int64)
+    total = np.bincount(at, np.concatenate([b[2] for b in blobs]), len(gram)).astype(np.int64)
     of = gram // max(len(numbers), 1)
     seen = total >= least
-    mass = np.bincount(of[seen], below[place[seen]], len(histories))
+    mass = np.bincount(of[seen], below[place[seen]], histories)
     low = seen & (total <= K)
-    parts = np.bincount(of[low] * K + total[low] - 1, minlength=len(histories) * K).reshape(-1, K)
-    big = np.bincount(of[total > K], total[total > K], len(histories)).astype(np.int64)
+    parts = np.bincount(of[low] * K + total[low] - 1, minlength=histories * K).reshape(-1, K)
+    big = np.bincount(of[total > K], total[total > K], histories).astype(np.int64)
     whole = big == count
     replies, start, start_run = [], 0, 0
-    for b, keys in zip(blobs, asked, strict=True):
-        size, size_run = len(b[4]), len(b[0])
+    for b, need in zip(blobs, asked, strict=True):
+        size, size_run = len(b[1]), len(b[6])
         own, own_run = total[at[start : start + size]], run[start_run : start_run + size_run]
         # Histories of n-grams that were asked for and that training does not have: their weight is needed.
-        missed = np.flatnonzero(np.bincount(np.repeat(np.arange(size_run), b[2].astype(np.int64)), own < least, size_run))
-        p, m, g = np.zeros((len(keys), K), np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        if len(histories):
-            need = np.minimum(np.searchsorted(histories, keys), len(histories) - 1)
-            hit = histories[need] == keys
-            p[hit], m[hit], g[hit] = parts[need[hit]], mass[need[hit]], big[need[hit]]
-        extra = own_run[missed]
-        replies.append(pack(own, np.packbits(whole[own_run]), np.concatenate((p, parts[extra])).ravel(), np.concatenate((g, big[extra])), np.concatenate((m, mass[extra])), missed))
+        missed = np.flatnonzero(np.bincount(np.repeat(np.arange(size_run), b[6].astype(np.int64)), own < least, size_run))
+        told = np.concatenate((need, own_run[missed]))
+        replies.append(pack(own, np.packbits(whole[own_run]), parts[told].ravel(), big[told], mass[told], missed))
         start, start_run = start + size, start_run + size_run
     return _replies(group, replies, [*_counts_of_counts(total * seen), 0])
 
@@ -401,7 +437,7 @@ def _table_of(n: int, model: _Model) -> Callable[[pa.Table], pa.Table]:
     """What answers a partition of order n's stage: counts of order n, and after them fingerprints of the next order."""
 
     def answer(group: pa.Table) -> pa.Table:
-        return _twice_table(group) if group["bucket"][0].as_py() >= model.buckets else _gram_table(group, n, model.least(n), model.unigrams)
+        return _twice_table(group) if group["bucket"][0].as_py() >= model.buckets else _gram_table(group, n, model)
 
     return answer
 
@@ -451,7 +487,7 @@ def score(docs: DataFrame, learn: Column, order: int = 3, cutoff: int = CUTOFF,
             c = _Chunk(body, got, model)
             low = c.known(n - 1)[-1]
             g = c.next(low, n)
-            yield from _Requests(c, g, n).messages(c, g, low)
+            yield from _Requests(c, g, low, n).messages(c, g, low)
             if n < order and cutoff > 1:
                 longer = c.next(g, n + 1)
                 by, cuts = c.fingerprints(longer)
