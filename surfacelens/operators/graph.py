@@ -9,29 +9,49 @@ from ..common import stored
 from ..functions.columns import attr_list, attr_text, feature_name_from_var, norm_identifier
 from .ranking import placed
 
+#: Neighbours from which on a node may be a hub, and how many nodes are hubs at most.
+HUB, MOST_HUBS = 1 << 20, 10_000
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+
+def _with_least(rows: DataFrame, least: DataFrame, hub: int | None) -> DataFrame:
+    """(v, m) of rows (u, v) and a row (u, m, n) per u, where n counts its rows; no task gets more than ``hub`` rows of one u, if that is given.
+
+    The least neighbours of hubs are broadcast, so that their rows stay where they are: of N rows
+    at most N / hub nodes have more than ``hub``. The other nodes are joined as usual.
+    """
+    if hub is None:
+        return rows.join(least.drop("n"), "u").select("v", "m")
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))
+    rest = rows.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= hub).drop("n"), "u")
+    return rows.join(hubs, "u").select("v", "m").unionAll(rest.select("v", "m"))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b, of one orderable type); a component's id is its smallest node.
 
     Large-star and small-star steps in turn: each links a node's neighbours to the least of
     them. Every round is written and read back, so that lineage stays short. Loops and repeated
-    edges do no harm; null ends are left out.
+    edges do no harm; null ends are left out. A node with more than ``hub`` neighbours, and with
+    more than a ``MOST_HUBS``-th of all edges' ends, is a hub: its least neighbour is found from
+    every partition's, and broadcast to its edges, which are not gathered.
     """
     now = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = stored(now, "edges")
-    before = None
+    n_edges, before = now.count(), None
     for _ in range(most_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Where there are too few edges for a hub, none is looked for.
+        size = max(hub, 2 * n_edges // MOST_HUBS) if n_edges > hub else None
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("v > u"), least, size).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, size).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         now = stored(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == before:
             break
-        before = mark
+        n_edges, before = mark[0], mark
     else:
         raise RuntimeError("components did not settle")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

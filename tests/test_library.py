@@ -134,6 +134,20 @@ def test_components(spark):
     assert len(got) == 40 and all(got[f"n{i:03}"] == f"n{i // 10 * 10:03}" for i in range(40))
 
 
+def test_components_of_hubs(spark):
+    """Stars whose edges are not gathered by their centres: the same components, and rows stay spread over the tasks."""
+    star = spark.range(0, 4000, 1, 8).select(F.lit(5000).cast("long").alias("a"), F.col("id").alias("b"))
+    other = spark.range(6000, 9000, 1, 8).select("id", F.lit(9000).cast("long")).union(spark.createDataFrame([(9000, 9500), (9500, 9400), (9700, 9600)], "a long, b long"))
+    want = {i: 0 for i in [*range(4000), 5000]} | {i: 6000 for i in [*range(6000, 9001), 9400, 9500]} | {9700: 9600, 9600: 9600}
+    for hub in (20, 1000, 1 << 20):
+        rows = graph.connected_components(star.union(other), hub=hub).collect()
+        assert len(rows) == len(want) and {r["node"]: r["component"] for r in rows} == want
+    rows = star.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    joined = graph._with_least(rows, rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), 100)
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) == 500
+
+
 def test_links(spark):
     rows = [fact(2, "webui_route", "s/R", guards=["show"]), fact(2, "webui_gate", "h/show", data_key="show", features=["F1"]), fact(2, "base_feature", "F1", var="kF1"), fact(2, "pref", "alone", var="kA")]
     changes = diff.compare(spark.createDataFrame(rows, FACT), None, fixtures.pairs(spark)).withColumns({"score": F.col("severity"), "bucket": signals.bucket_of()})
