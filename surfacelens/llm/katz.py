@@ -123,9 +123,9 @@ def _body(rows: pa.Table) -> bytes:
 
 
 def _by_words(words: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """(words by partition, runs of the partitions)."""
+    """(words by partition and hash, runs of the partitions)."""
     bucket = (mix(words + U64(3)) % U64(buckets)).astype(np.int64)
-    order = ordered(bucket)
+    order = np.lexsort((words, bucket))
     return order, runs(bucket[order])
 
 
@@ -190,7 +190,7 @@ class _Chunk:
             order, cuts = _by_words(self.words, model.buckets)
             for at, a, b in cuts:
                 rank, total = unpack(got[at])
-                self.number[order[a:b]] = rank.astype(np.uint64) * U64(model.buckets) + U64(at + 1)
+                self.number[order[a:b]] = _keys(rank) * U64(model.buckets) + U64(at + 1)
                 self.count[order[a:b]] = total
 
     def own_words(self) -> np.ndarray:
@@ -372,10 +372,10 @@ def _replies(group: pa.Table, replies: list[bytes], counts: list[int]) -> pa.Tab
 def _word_table(group: pa.Table) -> pa.Table:
     """One partition of the word counts: replies to its chunks, and tokens, words and counts of counts."""
     blobs = [unpack(b) for b in group["blob"].to_pylist()]
-    _, _, code = distinct(np.concatenate([b[0] for b in blobs]))
+    _, _, code = distinct(np.concatenate([_keys(b[0]) for b in blobs]))
     total = np.bincount(code, np.concatenate([b[1] for b in blobs])).astype(np.int64)
     parts = np.split(code, np.cumsum([len(b[0]) for b in blobs])[:-1])
-    return _replies(group, [pack(p, total[p]) for p in parts], [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total)])
+    return _replies(group, [pack(np.diff(p, prepend=0), total[p]) for p in parts], [int(total.sum()), int((total > 0).sum()), *_counts_of_counts(total)])
 
 
 def _twice_table(group: pa.Table) -> pa.Table:
@@ -467,7 +467,7 @@ def score(docs: DataFrame, learn: Column, order: int = 3, cutoff: int = CUTOFF,
         n = c.own_words()
         by, cuts = _by_words(c.words, model.buckets)
         for at, a, b in cuts:
-            yield at, pack(c.words[by[a:b]], n[by[a:b]])
+            yield at, pack(_steps(c.words[by[a:b]]), n[by[a:b]])
 
     def sums(rows: DataFrame, n: int) -> list[int]:
         return [int(x or 0) for x in rows.where("counts is not null").agg(*[F.sum(F.col("counts")[i]) for i in range(n)]).first()]
