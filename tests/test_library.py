@@ -184,6 +184,11 @@ def test_scopes(spark):
         coverage.complete_scope(parts, ["engine"])
 
 
+def test_a_file_that_is_listed_twice_counts_once_for_its_surface(spark):
+    rows = spark.createDataFrame([("v1", "a/route.ts", True, ["routes"])] * 3 + [("v1", "a/x.mojom", False, ["messages"])], "snapshot_id string, path string, read boolean, surfaces array<string>")
+    assert {tuple(r) for r in coverage.coverage(rows).select("surface", "candidates", "read").collect()} == {("routes", 1, 1), ("messages", 1, 0), (None, 4, 3)}
+
+
 def test_scope_lookup_is_what_walking_the_scope_gives(spark):
     paths = ["a/b/c.cc", "a/b.cc", "a", "b/x.mojom", "b/x.cc", "bb/x.cc", "", "a/b/c/d.idl", "c/x.h", "a/b/c.cc"]
     scope = [("a/b", True, [".cc"]), ("a/b/", True, [".idl"]), ("a", False, None), ("b/", True, [".mojom", ".h"]), ("b", True, [".h"]), ("c", True, None), ("c/x", False, None)]
