@@ -85,6 +85,27 @@ def test_dedupe_does_not_depend_on_order(spark):
         assert out == expected
 
 
+def test_declarations_are_compared_in_one_pass(spark):
+    pairs, text = fixtures.pairs(spark), F.to_json(F.struct("change_type", "kind", "key", "name", "deltas", "signals", "severity", "paths", "locations", "before", "after"))
+    raw = fixtures.raw_facts(spark, SF)
+    one, two = (sorted(r[0] for r in diff.compare(rows, None, pairs, 40, declared=declared).select(text).collect()) for rows, declared in ((raw, True), (facts.dedupe_facts(raw), False)))
+    assert one == two and len(one) > 1000
+    # A side of too few facts ends the comparison here, too; so do none at all.
+    for some in (raw.where("snapshot_id = 'v1' or kind = 'pref'"), raw.where("snapshot_id = 'v1'")):
+        assert diff.compare(some, None, pairs, 40, declared=True).count() == 0
+    # One shuffle of the declarations, besides that of the overload sets.
+    plan = facts.versions_of(raw.where("kind = 'mojo_field'"), {"v1": "a", "v2": "b"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(kind") == 1
+
+
+def test_packed_attributes_sort_and_read_as_their_entries(spark):
+    maps = [{}, {"a": "1"}, {"a": None}, {"a": "1", "b": "2"}, {"a": "10"}, {"ab": "1"}, {"a": '"x=;,|"', "b": "[]"}, {"b": ""}]
+    rows = spark.createDataFrame([(m,) for m in [*maps, None]], "attrs map<string,string>").withColumn("p", columns.packed("attrs"))
+    assert all(r["attrs"] == r["u"] for r in rows.select("attrs", columns.unpacked(F.col("p")).alias("u")).collect())
+    turn = lambda by: [r["attrs"] for r in rows.orderBy(by).collect()]
+    assert turn(F.col("p")) == turn(F.map_entries("attrs"))
+
+
 def test_scores(spark):
     rows = [fact(1, "pref", "gone", var="kG"), fact(1, "mojo_method", "m", platform_state={"windows": "not_compiled"}), fact(2, "webui_route", "new")]
     changes = diff.compare(spark.createDataFrame(rows, FACT), None, fixtures.pairs(spark))
