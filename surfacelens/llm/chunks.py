@@ -40,25 +40,45 @@ def unzip_array(data: bytes, kind: object) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _frame(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Several arrays in one value, each with its type; integers in the smallest unsigned type that holds them."""
+    """Several arrays in one value, each with its type; integers in the smallest unsigned type that holds them.
+
+    Wider integers are compressed whole or byte by byte (all lowest bytes, then all next ones), whichever is shorter.
+    """
     parts = []
     for x in arrays:
-        x = np.ascontiguousarray(x)
-        if x.dtype.kind in "iu" and x.dtype.itemsize > 1 and (not len(x) or x.min() >= 0):
+        x = np.ascontiguousarray(x).ravel()
+        whole = x.dtype.kind in "iu" and x.dtype.itemsize > 1
+        if whole and (not len(x) or x.min() >= 0):
             x = x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
-        data = zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-        parts.append(x.dtype.str.encode().ljust(4) + len(data).to_bytes(4, "little") + data)
+        data, how = _frame(x.tobytes()), b" "
+        if whole and x.dtype.itemsize > 1:
+            planes = [_frame(p.tobytes()) for p in x.view(np.uint8).reshape(len(x), -1).T]
+            apart = b"".join(len(p).to_bytes(4, "little") + p for p in planes)
+            data, how = min((data, how), (apart, b"p"), key=lambda one: len(one[0]))
+        parts.append(x.dtype.str.encode().ljust(3) + how + len(data).to_bytes(4, "little") + data)
     return b"".join(parts)
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
     """The arrays of ``pack``."""
-    at, out = 0, []
+    at, out, plain = 0, [], zstandard.ZstdDecompressor().decompress
     while at < len(blob):
-        n = int.from_bytes(blob[at + 4 : at + 8], "little")
-        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at + 8 : at + 8 + n]), blob[at : at + 4].strip().decode()))
-        at += 8 + n
+        kind, n = np.dtype(blob[at : at + 3].strip().decode()), int.from_bytes(blob[at + 4 : at + 8], "little")
+        first, end, planes = at + 8, at + 8 + n, []
+        if blob[at + 3 : at + 4] == b"p":
+            while first < end:
+                size = int.from_bytes(blob[first : first + 4], "little")
+                planes.append(np.frombuffer(plain(blob[first + 4 : first + 4 + size]), np.uint8))
+                first += 4 + size
+            out.append(np.ascontiguousarray(np.stack(planes, axis=1)).view(kind).ravel())
+        else:
+            out.append(np.frombuffer(plain(blob[first:end]), kind))
+        at = end
     return out
 
 

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from surfacelens.llm import bpe, katz, mixing, ngram_join, packing, permutation_index, quality, textkernel, toxicity, wavelet, webp
+from surfacelens.llm import bpe, chunks, katz, mixing, ngram_join, packing, permutation_index, quality, textkernel, toxicity, wavelet, webp
 from surfacelens.llm.queries import tokenizer_path
 
 
@@ -294,3 +294,13 @@ def test_all_tied_terms_count():
     lexicon = toxicity.Lexicon(["grumpa", "grumpb", "grumpc", "grumpd", "z" * 60], [], 1)
     assert [t for t, _ in lexicon.match(b"grumpx")] == ["grumpa", "grumpb", "grumpc", "grumpd"]
     assert lexicon.match(b"z" * 59 + b"q") == [("z" * 60, 1)] and lexicon.match(b"z" * 200) == []
+
+
+def test_pack_splits_bytes():
+    """Wide integers come back as they were, and take no more room than their bytes apart (op3, op6)."""
+    rng = np.random.default_rng(1)
+    near = np.sort(rng.integers(0, 1 << 62, 5000, dtype=np.uint64))
+    some = [np.diff(near, prepend=np.uint64(0)), rng.zipf(1.3, 5000) % 60000, np.array([-5, 7]), np.zeros(0, np.int64), np.zeros(3, bool), rng.random(9), np.array([1 << 63], np.uint64)]
+    back = chunks.unpack(chunks.pack(*some))
+    assert all(np.array_equal(a, b) for a, b in zip(some, back, strict=True))
+    assert len(chunks.pack(some[0])) < 0.9 * some[0].nbytes  # 62 bits, of which 12 are the order's
