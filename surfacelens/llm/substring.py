@@ -151,12 +151,19 @@ def _counts(blobs: list[bytes]) -> list[bytes]:
 
 
 def _message(suffixes: Suffixes, some: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> bytes:
-    """Suffixes as the words they hold, their sizes, and their documents."""
+    """Suffixes as the words they hold, their sizes, and their documents.
+
+    Words are numbered by how often they occur, so that most numbers are small, and told as steps from one
+    to the next; those that are equally frequent ascend.
+    """
     size = suffixes.n[some] + suffixes.window - 1
     code = codes[spread(suffixes.lo[some], size)]
-    used, code = np.unique(code, return_inverse=True)
+    used, code, often = np.unique(code, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
     doc = ids[suffixes.owner[suffixes.lo[some]]]
-    return pack(suffixes.vocabulary[used], code, suffixes.n[some], suffixes.anchor[some] - suffixes.lo[some], doc.astype(np.int64))
+    return pack(np.diff(suffixes.vocabulary[used[order]], prepend=U64(0)), number[code], suffixes.n[some], suffixes.anchor[some] - suffixes.lo[some], doc.astype(np.int64))
 
 
 def nodes(words: np.ndarray) -> np.ndarray:
@@ -180,7 +187,7 @@ class Subtree:
     def __init__(self, blobs: list[bytes], window: int) -> None:
         parts = [unpack(b) for b in blobs]
         self.sizes = [int(p[2].astype(np.int64).sum()) for p in parts]
-        _, dense = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        _, dense = np.unique(np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts]), return_inverse=True)
         first = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
         word = np.concatenate([dense[p[1].astype(np.int64) + f] for p, f in zip(parts, first, strict=True)]).astype(np.int32) + 1
         n, before, doc = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (2, 3, 4))
