@@ -43,6 +43,8 @@ GRAM = 8
 #: Bytes of text whose suffixes make one subtree, about a million words.
 TREE_BYTES = 6 << 20
 LOW40 = U64((1 << 40) - 1)
+#: Words that messages name by their place in a list of frequent ones, at most, and chunks that the list is made from.
+COMMON, COMMON_CHUNKS = 16384, 32
 
 
 def anchors(words: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -150,20 +152,48 @@ def _counts(blobs: list[bytes]) -> list[bytes]:
     return [pack(n, np.packbits(s)) for n, s in zip(np.split(total[code], cut), np.split((suffixes == 1)[code], cut), strict=True)]
 
 
+def common_words(chunks: DataFrame) -> np.ndarray:
+    """Fingerprints of frequent words, most frequent first: of the first chunks alone.
+
+    They only shorten messages: a word that is not among them is sent by its fingerprint, so no result depends on the list.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for body in batch.column("body"):
+                word, n = np.unique(word_hashes(chunk_rows(body.as_py())[2])[0], return_counts=True)
+                top = np.lexsort((word, -n))[:COMMON]
+                yield pa.RecordBatch.from_arrays([pa.array(word[top].view(np.int64)), pa.array(n[top].astype(np.int64))], names=["word", "n"])
+
+    some = chunks.select("chunk").orderBy("chunk").limit(COMMON_CHUNKS)
+    rows = chunks.join(F.broadcast(some), "chunk").select("body").mapInArrow(run, "word long, n long")
+    top = rows.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON).select("word").collect()
+    return np.array([r.word for r in top], np.int64).view(np.uint64)
+
+
 def _message(suffixes: Suffixes, some: np.ndarray, codes: np.ndarray, ids: np.ndarray) -> bytes:
     """Suffixes as the words they hold, their sizes, and their documents.
 
-    Words are numbered by how often they occur, so that most numbers are small, and told as steps from one
-    to the next; those that are equally frequent ascend.
+    A frequent word is told by its place in the common list; the others are numbered behind it, in
+    the order of their fingerprints, which are sent as steps. ``suffixes.places`` has the place of each word of the vocabulary, -1 for those others.
     """
     size = suffixes.n[some] + suffixes.window - 1
     code = codes[spread(suffixes.lo[some], size)]
-    used, code, often = np.unique(code, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
+    used, code = np.unique(code, return_inverse=True)
+    number = suffixes.places[used]
+    rare = number < 0
+    number[rare] = COMMON + np.arange(np.count_nonzero(rare))
     doc = ids[suffixes.owner[suffixes.lo[some]]]
-    return pack(np.diff(suffixes.vocabulary[used[order]], prepend=U64(0)), number[code], suffixes.n[some], suffixes.anchor[some] - suffixes.lo[some], doc.astype(np.int64))
+    return pack(np.diff(suffixes.vocabulary[used[rare]], prepend=U64(0)), number[code], suffixes.n[some], suffixes.anchor[some] - suffixes.lo[some], doc.astype(np.int64))
+
+
+def _place(vocabulary: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The place of each word in the common list; -1 for those that are not in it."""
+    if not len(common):
+        return np.full(len(vocabulary), -1)
+    order = np.argsort(common)
+    at = order[np.minimum(np.searchsorted(common, vocabulary, sorter=order), len(common) - 1)]
+    return np.where(common[at] == vocabulary, at, -1)
 
 
 def nodes(words: np.ndarray) -> np.ndarray:
@@ -188,8 +218,10 @@ class Subtree:
         parts = [unpack(b) for b in blobs]
         self.sizes = [int(p[2].astype(np.int64).sum()) for p in parts]
         _, dense = np.unique(np.concatenate([np.cumsum(p[0].astype(np.uint64), dtype=np.uint64) for p in parts]), return_inverse=True)
+        # All words of the common list, then the others: one number a word, whichever message it is in.
+        dense = np.concatenate((np.arange(COMMON), COMMON + dense))
         first = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
-        word = np.concatenate([dense[p[1].astype(np.int64) + f] for p, f in zip(parts, first, strict=True)]).astype(np.int32) + 1
+        word = np.concatenate([dense[np.where(p[1] < COMMON, p[1].astype(np.int64), p[1].astype(np.int64) + f)] for p, f in zip(parts, first, strict=True)]).astype(np.int32) + 1
         n, before, doc = (np.concatenate([p[i].astype(np.int64) for p in parts]) for i in (2, 3, 4))
         size = n + window - 1
         begin = np.cumsum(size) - size
@@ -223,6 +255,7 @@ def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.
     chunks = chunked(docs, "substring")
     trees = max(1, -(-total_bytes(chunks) // tree_bytes))
     share = tree_bytes / 6  # windows: words of six bytes
+    common = common_words(chunks)
 
     def ask_counts(body: bytes, _: dict[int, bytes]) -> Iterator[tuple[int, bytes]]:
         s = Suffixes(chunk_rows(body)[2], window, trees)
@@ -237,6 +270,7 @@ def _repeated(docs: DataFrame, window: int, tree_bytes: int, read: Callable[[pa.
         _, ids, texts = chunk_rows(body)
         suffixes = Suffixes(texts, window, trees, heard, share)
         suffixes.vocabulary, codes = np.unique(suffixes.words, return_inverse=True)
+        suffixes.places = _place(suffixes.vocabulary, common)
         order, cuts = suffixes.sent()
         for tree, a, b in cuts:
             yield tree, _message(suffixes, order[a:b], codes, ids)
