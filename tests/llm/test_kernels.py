@@ -240,6 +240,72 @@ def test_written_transforms():
         assert webp.decode_payload(media) == payload and len(media) <= len(webp.encode(pixels, copies=True)) + 2
 
 
+def test_writer_takes_every_step(monkeypatch):
+    """Payloads for which the writer takes predictors, the colour transform, the cache and copies at several distances."""
+    rng = np.random.default_rng(5)
+    walk = lambda n, k: np.cumsum(np.cumsum(rng.integers(-2, 3, (n, 16, k)), 0), 1).astype(np.uint8)
+    smooth = walk(96, 4)
+    green = rng.integers(0, 256, (96, 16, 1)).astype(np.uint8)
+    noise = rng.integers(0, 256, (96, 16, 1)).astype(np.uint8)
+    tied = np.concatenate((noise, green, 3 + (green.view(np.int8) >> 1).view(np.uint8), np.full_like(green, 9)), -1)  # red: half of green, and 3
+    steps = rng.integers(-20, 21, (96, 16, 1))
+    both = np.concatenate((walk(96, 1), np.cumsum(steps, 1).astype(np.uint8), np.cumsum(steps >> 1, 1).astype(np.uint8), walk(96, 1)), -1)
+    for samples, kinds in ((smooth, (webp.PREDICTOR,)), (tied, (webp.CROSS_COLOUR,)), (both, (webp.PREDICTOR, webp.CROSS_COLOUR))):
+        payload = np.ascontiguousarray(samples).tobytes()
+        pixels = np.frombuffer(payload, "<u4").astype(np.uint32).reshape(-1, 16)
+        assert webp.chosen_transforms(pixels) == kinds
+        media = webp.encode_payload(payload)
+        assert webp.decode_payload(media) == payload and len(media) < 0.9 * len(webp.encode(pixels, cache_bits=None, copies=True))
+    seen = {}
+    resolve = webp._resolve
+    monkeypatch.setattr(webp, "_resolve", lambda *a: (seen.update(cached=len(a[2]), distances={c[2] for c in a[3]}), resolve(*a))[1])
+    words = rng.integers(97, 123, (700, 4)).astype(np.uint8)
+    often = words[np.minimum(rng.geometric(0.03, 4000), 699)].tobytes()
+    parts = [words[i : i + 40].tobytes() for i in range(0, 400, 40)]
+    payload = often + b"".join(parts[i] for i in (0, 1, 2, 0, 3, 1, 4, 2, 5, 3, 6, 0)) + bytes(64)
+    payload = webp.payload_of(payload)
+    assert webp.decode_payload(webp.encode_payload(payload)) == payload
+    assert seen["cached"] > 1000 and len(seen["distances"]) >= 3
+
+
+def test_predictors_against_the_format():
+    """All modes, block by block, forward and back, against the format's formulas pixel by pixel and byte by byte."""
+    rng = np.random.default_rng(6)
+    px = rng.integers(0, 2**32, (21, 9), dtype=np.uint32)
+    modes = np.arange(18).reshape(6, 3) % 14
+
+    def guess(mode, at, y, x):
+        if y == 0 and x == 0 or mode == 0 and y and x:
+            return 255 * (at == 3)
+        of = lambda dy, dx: int(px.ravel()[(y + dy) * 9 + x + dx]) >> 8 * at & 255
+        if y == 0 or x == 0:
+            return of(0, -1) if y == 0 else of(-1, 0)
+        le, to, tr, tl = of(0, -1), of(-1, 0), of(-1, 1), of(-1, -1)
+        if mode == 11:
+            all_of = lambda dy, dx: [int(px.ravel()[(y + dy) * 9 + x + dx]) >> 8 * k & 255 for k in range(4)]
+            far = lambda a: sum(abs(p - q) for p, q in zip(a, all_of(-1, -1), strict=True))
+            return le if far(all_of(-1, 0)) < far(all_of(0, -1)) else to
+        clip = lambda v: min(255, max(0, v))
+        half = (le + to) // 2
+        return (0, le, to, tr, tl, ((le + tr) // 2 + to) // 2, (le + tl) // 2, half, (tl + to) // 2, (to + tr) // 2, ((le + tl) // 2 + (to + tr) // 2) // 2, 0, clip(le + to - tl), clip(half + int((half - tl) / 2)))[mode]
+
+    want = np.zeros_like(px)
+    for y in range(21):
+        for x in range(9):
+            for at in range(4):
+                want[y, x] |= np.uint32((((int(px[y, x]) >> 8 * at) - guess(int(modes[y >> 2, x >> 2]), at, y, x)) & 255) << 8 * at)
+    assert (webp._predicted(px, modes, 2) == want).all() and (webp._unpredict(want, modes, 2) == px).all()
+
+
+def test_places_of_the_cache_that_hold_nothing():
+    """A place where no colour was put holds 0; what it gives is put into 0's own place."""
+    literals = np.array([0x01020304, 0x05060708], np.uint32)
+    at = int(webp._cache_places(literals[:1], 4)[0])
+    free = next(k for k in range(1, 16) if k not in webp._cache_places(literals, 4))
+    got = webp._resolve(literals, 7, [(0, free), (2, at), (3, free), (4, 0)], [(5, 1, 2)], 4)
+    assert got.tolist() == [0, 0x01020304, 0x01020304, 0, 0, 0, 0x05060708]
+
+
 def test_public_file():
     """A lossless file of one transparent pixel that browsers' feature tests have long used, not made by this writer."""
     data = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
