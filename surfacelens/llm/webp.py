@@ -71,7 +71,7 @@ class PrefixCode:
     """A canonical prefix code as a lookup table over the next bits."""
 
     def __init__(self, lengths: np.ndarray) -> None:
-        used = np.flatnonzero(lengths)
+        used = lengths.nonzero()[0]
         if len(used) <= 1:
             self.bits, self.symbols, self.sizes = 0, np.array([used[0] if len(used) else 0]), np.zeros(1, np.uint8)
         else:
@@ -81,8 +81,8 @@ class PrefixCode:
             spread = np.repeat(used[order], 1 << (self.bits - n[order]))
             if len(spread) != 1 << self.bits:
                 raise ValueError("incomplete or oversubscribed prefix code")
-            self.symbols = spread[_reverse(self.bits)]
-            self.sizes = lengths[self.symbols].astype(np.uint8)
+            self.symbols = spread.take(_reverse(self.bits))
+            self.sizes = lengths.astype(np.uint8).take(self.symbols)
         self.mask = (1 << self.bits) - 1
         #: Sizes, with 128 more where the next bits are a copy or a place of the cache.
         self.marked = self.sizes.astype(np.int64)
@@ -202,7 +202,7 @@ def _read_code(bits: BitReader, size: int, known: dict[bytes, PrefixCode]) -> Pr
         lengths.pop()
     key = bytes(lengths)
     if key not in known:
-        known[key] = PrefixCode(np.array(lengths, np.int64))
+        known[key] = PrefixCode(np.frombuffer(key, np.uint8))
     return known[key]
 
 
@@ -782,13 +782,21 @@ def find_copies(pixels: np.ndarray, spent: np.ndarray, tries: int = 8, enough: i
         return []
     before = np.full(len(pixels), -1)
     before[order[again + 1]] = order[again]
+    seen, sums = before >= 0, np.append(0.0, spent.cumsum())
+    least = TABLE_BITS + sums[-1] / WORTH
+    # A copy lies within a run of such places and the pixel after: if all these runs spare too little, no copy is looked for.
+    edge = np.flatnonzero(seen[1:] != seen[:-1]) + 1
+    if seen[0]:
+        edge = np.append(0, edge)
+    runs = sums.take(edge[1::2] + 1) - sums.take(edge[0 : len(edge) // 2 * 2 : 2]) - (COPY_BITS + 3)
+    if runs[runs > 0].sum() <= least:
+        return []
     # Two pixels pay for a copy only if they are dear, or if more may follow.
-    seen = before >= 0
     seen[:-1] &= seen[1:] | (spent[:-1] + spent[1:] > COPY_BITS + 8)
     places, before, n = seen.nonzero()[0].tolist(), before.tolist(), len(pixels)
     if not places:
         return []
-    total, v = [0.0, *spent.cumsum().tolist()], pixels.tolist()
+    total, v = sums.tolist(), pixels.tolist()
     out, upto, spared = [], 0, 0.0
     for at in places:
         if at < upto:
@@ -812,7 +820,7 @@ def find_copies(pixels: np.ndarray, spent: np.ndarray, tries: int = 8, enough: i
             out.append((at, most, came))
             upto = at + most
             spared += gain
-    return out if spared > TABLE_BITS + total[-1] / WORTH else []
+    return out if spared > least else []
 
 
 def _hits(pixels: np.ndarray, cache_bits: int) -> tuple[np.ndarray, np.ndarray]:
