@@ -46,6 +46,8 @@ IMAGE_BYTES = 16384 * 64
 MAX_CODE = 12
 #: Most pixels of one copy, and the farthest that one goes back.
 MOST_COPIED, FARTHEST = 4096, (1 << 20) - 120
+#: Pixels of a match after which, if no copy pays, none is looked for within it.
+LONG = 16
 #: Fewest and most bits of the writer's colour cache, and what it takes a copy (beside the bits of its numbers), a cached colour and a used symbol of a code to cost.
 LEAST_CACHE, MOST_CACHE, COPY_BITS, CACHED_BITS, SYMBOL_BITS = 4, 10, 10, 8.0, 4.0
 #: What further symbols of a code cost, and the share of an image's bits (one in so many) that copies or a cache must spare beyond that to be worth their time.
@@ -801,7 +803,7 @@ def find_copies(pixels: np.ndarray, spent: np.ndarray, tries: int = 8, enough: i
     for at in places:
         if at < upto:
             continue
-        most, gain, came, j = 0, 0.0, 0, before[at]
+        most, longest, gain, came, j = 0, 0, 0.0, 0, before[at]
         for _ in range(tries):
             if j < 0 or at - j > FARTHEST:
                 break
@@ -810,6 +812,7 @@ def find_copies(pixels: np.ndarray, spent: np.ndarray, tries: int = 8, enough: i
                 while at + k < n and v[j + k] == v[at + k]:
                     k += 1
                 # A symbol and extra bits for the length, and for the distance.
+                longest = max(longest, k)
                 saved = total[at + k] - total[at] - (COPY_BITS + k.bit_length() + (at - j).bit_length())
                 if saved > gain:
                     most, gain, came = k, saved, at - j
@@ -820,6 +823,8 @@ def find_copies(pixels: np.ndarray, spent: np.ndarray, tries: int = 8, enough: i
             out.append((at, most, came))
             upto = at + most
             spared += gain
+        elif longest >= LONG:  # pixels that cost next to nothing: what begins within them spares less still
+            upto = at + longest - 1
     return out if spared > least else []
 
 

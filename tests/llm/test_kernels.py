@@ -268,6 +268,14 @@ def test_writer_takes_every_step(monkeypatch):
     assert seen["cached"] > 1000 and len(seen["distances"]) >= 3
 
 
+def test_matches_that_do_not_pay():
+    """Long matches of pixels that cost next to nothing are passed over, not tried from each of their pixels."""
+    rng = np.random.default_rng(7)
+    payload = np.where(rng.random(1 << 16) < 0.01, 0x61, 0x20).astype("<u4").tobytes()
+    media = webp.encode_payload(payload)
+    assert webp.decode_payload(media) == payload and len(media) < 10000
+
+
 def test_predictors_against_the_format():
     """All modes, block by block, forward and back, against the format's formulas pixel by pixel and byte by byte."""
     rng = np.random.default_rng(6)
